@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from insight_spark.functions import fixed_values as fv
-from insight_spark.functions.text import contains_any, literal_map
+from insight_spark.functions.text import contains_any, let, literal_map
 
 # Frequent short words per language (own selection), tried in this order; a tie
 # goes to the earlier language.
@@ -65,49 +65,55 @@ def script_language(text: Column) -> Column:
 
 def word_profile_language(text: Column) -> Column:
     """Language with the most frequent-word and marker-letter hits; null without any."""
-    lowered = F.lower(text)
-    words = F.regexp_extract_all(lowered, F.lit(r"(\p{L}+)"), F.lit(1))
-    profiles = {}
-    for code, listed in COMMON_WORDS.items():
-        for word in listed.split():
-            profiles.setdefault(word, []).append(code)
-    # Count only the words that any profile knows, once per distinct word list.
-    by_word = literal_map({word: "," + ",".join(codes) + "," for word, codes in profiles.items()})
-    known = F.concat_ws("", F.transform(words, lambda word: F.try_element_at(by_word, word)))
-    score = {
-        code: F.regexp_count(known, F.lit(f"{code},"))
-        + (
-            F.when(lowered.rlike(f"[{MARKER_LETTERS[code]}]"), 2).otherwise(0)
-            if code in MARKER_LETTERS
-            else F.lit(0)
-        )
-        for code in COMMON_WORDS
-    }
-    best = F.greatest(*score.values())
-    codes = list(score)
-    choice = reduce(
-        lambda chain, code: chain.when(score[code] == best, F.lit(code)),
-        codes[1:],
-        F.when(score[codes[0]] == best, F.lit(codes[0])),
+    codes = list(COMMON_WORDS)
+    listed = {code: words.split() for code, words in COMMON_WORDS.items()}
+    known = sorted({word for words in listed.values() for word in words})
+    words = F.filter(
+        F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)), lambda word: word.isin(*known)
+    )
+
+    def marked(code: str) -> Column:
+        if code not in MARKER_LETTERS:
+            return F.lit(0)
+        return F.when(F.lower(text).rlike(f"[{MARKER_LETTERS[code]}]"), 2).otherwise(0)
+
+    scores = let(
+        words,
+        lambda found: F.array(
+            *[F.size(F.filter(found, _listed_in(listed[code]))) + marked(code) for code in codes]
+        ),
+    )
+    names = F.array(*[F.lit(code) for code in codes])
+    return let(
+        scores,
+        lambda s: F.when(
+            F.array_max(s) > 0, F.element_at(names, F.array_position(s, F.array_max(s)).cast("int"))
+        ),
     )
-    return F.when(best > 0, choice)
+
+
+def _listed_in(words: list[str]):
+    return lambda word: word.isin(*words)
 
 
 def alphabet_language(text: Column) -> Column:
     codes = list(ALPHABETS)
-    return reduce(
+    found = reduce(
         lambda chain, code: chain.when(_share(text, ALPHABETS[code]) > ALPHABET_SHARE, F.lit(code)),
         codes[1:],
         F.when(_share(text, ALPHABETS[codes[0]]) > ALPHABET_SHARE, F.lit(codes[0])),
     )
+    anything = "[" + "".join(letters.strip("[]") for letters in ALPHABETS.values()) + "]"
+    return F.when(text.rlike(anything), found)
 
 
 def detect_language(text: Column) -> Column:
     """Script first, then other alphabets, then word profiles; default 'en'."""
-    latin = word_profile_language(text)
-    settled = F.when(
-        (latin == "ca") & contains_any(F.lower(text), fv.PORTUGUESE_MARKERS), F.lit("pt")
-    ).otherwise(latin)
+    portuguese = contains_any(F.lower(text), fv.PORTUGUESE_MARKERS)
+    settled = let(
+        word_profile_language(text),
+        lambda latin: F.when((latin == "ca") & portuguese, F.lit("pt")).otherwise(latin),
+    )
     return F.coalesce(script_language(text), alphabet_language(text), settled, F.lit("en"))
 
 

@@ -12,6 +12,11 @@ def literal_map(entries: dict) -> Column:
     return F.create_map(*[F.lit(part) for pair in entries.items() for part in pair])
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     """True when any of the given literal substrings occurs."""
     hit = F.lit(False)
@@ -146,8 +151,7 @@ def words_of(text: Column) -> Column:
 
 def tokenize_words(text: Column) -> Column:
     """:func:`words_of` without the vocabulary stop words; repeats are kept."""
-    stop = literal_map({word: True for word in fv.STOP_WORDS})
-    return F.filter(words_of(text), lambda word: ~F.map_contains_key(stop, word))
+    return F.filter(words_of(text), lambda word: ~word.isin(*fv.STOP_WORDS))
 
 
 def name_tokens(name: Column) -> Column:

@@ -295,6 +295,7 @@ def bm25_topk(
                 (query_id, doc_id),
             )
         )
+    weights.unpersist()
     return reduce(DataFrame.unionByName, results)
 
 
@@ -434,14 +435,17 @@ def rrf_fusion(
     constant: int = fv.FUSION_CONSTANT,
 ) -> DataFrame:
     """Weighted reciprocal rank fusion of two ranked lists: (query, doc, fused, fused_rank)."""
-    def side(df: DataFrame, weight: float) -> DataFrame:
-        return df.select(query_id, doc_id, (F.lit(weight) / (F.col("rank") + constant)).alias("_w"))
+    def side(df: DataFrame, weight: float, name: str) -> DataFrame:
+        return df.select(query_id, doc_id, (F.lit(weight) / (F.col("rank") + constant)).alias(name))
 
+    # Every list names a document once per query, so a full join adds the two parts.
     fused = (
-        side(lexical, weights[0])
-        .unionByName(side(vectors, weights[1]))
-        .groupBy(query_id, doc_id)
-        .agg(F.round(F.sum("_w"), 9).alias("fused"))
+        side(lexical, weights[0], "_lexical")
+        .join(side(vectors, weights[1], "_vector"), [query_id, doc_id], "full")
+        .select(
+            query_id, doc_id,
+            F.round(F.coalesce("_lexical", F.lit(0.0)) + F.coalesce("_vector", F.lit(0.0)), 9).alias("fused"),
+        )
     )
     order = Window.partitionBy(query_id).orderBy(F.desc("fused"), doc_id)
     return fused.withColumn("fused_rank", F.row_number().over(order))

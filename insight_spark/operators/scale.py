@@ -18,6 +18,16 @@ PROBE_BYTES = 64 << 20
 BLOCK_CELLS = 4_000_000
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work on a scan of few row groups.
+
+    An input with at least as many partitions as cores, as any large one has, is
+    returned untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def top_n_per_group(
     df: DataFrame,
     keys: list[str],

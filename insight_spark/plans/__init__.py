@@ -1,6 +1,12 @@
 """Importing this package registers every query."""
 
-from insight_spark.plans import table_queries, text_queries  # noqa: F401
+from insight_spark.plans import (  # noqa: F401
+    question_queries,
+    retrieval_queries,
+    series_queries,
+    table_queries,
+    text_queries,
+)
 from insight_spark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

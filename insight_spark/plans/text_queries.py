@@ -8,6 +8,7 @@ from insight_spark.functions import fixed_values as fv
 from insight_spark.functions import language as lang
 from insight_spark.functions import logs
 from insight_spark.functions import text as tx
+from insight_spark.operators.scale import spread_small
 from insight_spark.plans.registry import Tables, query, sql_any, sql_list
 
 # Words of a text as the library counts them, in SQL without look-around.
@@ -209,7 +210,8 @@ d AS (SELECT *, coalesce({_script_sql(text)}, CASE {alphabets} END,
 WITH src AS (SELECT doc_id, lang, text FROM documents), {_language_sql('text')}
 SELECT doc_id, lang, detected FROM d""")
 def detect_language(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "lang", lang.detect_language(F.col("text")).alias("detected"))
+    docs = spread_small(t.documents.select("doc_id", "lang", "text"))
+    return docs.select("doc_id", "lang", lang.detect_language(F.col("text")).alias("detected"))
 
 
 @query("short_query_guard", f"""
@@ -217,7 +219,8 @@ WITH src AS (SELECT conv_id, turn, text FROM conversations), {_language_sql('tex
 SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, '\\S+')) < 4
  AND coalesce({_script_sql('text')}, '') NOT IN ('ja', 'ko', 'zh-cn') THEN 'en' ELSE detected END AS language FROM d""")
 def short_query_guard(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", lang.short_query_guard(F.col("text")).alias("language"))
+    turns = spread_small(t.conversations.select("conv_id", "turn", "text"))
+    return turns.select("conv_id", "turn", lang.short_query_guard(F.col("text")).alias("language"))
 
 
 @query("language_name", f"""
@@ -240,7 +243,8 @@ def title_from_first_message(t: Tables) -> DataFrame:
 WITH w AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS words FROM documents)
 SELECT doc_id, array_to_string(words, ' ') AS words, len(words)::INTEGER AS n FROM w""")
 def tokenize_words(t: Tables) -> DataFrame:
-    words = t.documents.select("doc_id", tx.tokenize_words(F.col("text")).alias("w"))
+    docs = spread_small(t.documents.select("doc_id", "text"))
+    words = docs.select("doc_id", tx.tokenize_words(F.col("text")).alias("w"))
     return words.select("doc_id", F.array_join("w", " ").alias("words"), F.size("w").alias("n"))
 
 
