@@ -14,13 +14,11 @@ from insight_spark.functions.text import title_from_first_message
 from insight_spark.operators.relational import join_left_count, keep_latest, latest_n
 
 
-def conversation_create(spark, rows: list[tuple[str, str, str, str]]) -> DataFrame:
-    """New conversations from (id, user, title, timestamp text) rows."""
-    made = spark.createDataFrame(
-        rows, "conversation_id string, user_id string, title string, created_at string"
-    ).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return made.withColumn("title", F.coalesce("title", F.lit("New Chat"))).withColumn(
-        "updated_at", F.col("created_at")
+def conversation_create(requests: DataFrame) -> DataFrame:
+    """New conversations from (conversation_id, user_id, title, created_at) requests."""
+    return requests.select(
+        "conversation_id", "user_id", F.coalesce("title", F.lit("New Chat")).alias("title"),
+        "created_at", F.col("created_at").alias("updated_at"),
     )
 
 

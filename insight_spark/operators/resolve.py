@@ -153,10 +153,10 @@ def _closest(block, asked, probes, histograms, cutoff, best) -> None:
         total = lengths + len(probe)
         shared = np.minimum(value_counts, histograms[i]).sum(axis=1)
         bound = np.divide(2.0 * shared, total, out=np.ones(len(block)), where=total > 0)
-        least = max(cutoff, best[i][0]) if i in best else cutoff
-        for j in np.flatnonzero(bound >= least):
-            matcher = difflib.SequenceMatcher(None, block[j], probe)
-            ratio = matcher.ratio()
+        for j in np.argsort(-bound, kind="stable"):
+            if bound[j] < (max(cutoff, best[i][0]) if i in best else cutoff):
+                break
+            ratio = difflib.SequenceMatcher(None, block[j], probe).ratio()
             if ratio >= cutoff and (i not in best or (ratio, block[j]) > best[i]):
                 best[i] = (ratio, block[j])
 

@@ -108,16 +108,16 @@ def number_rows(df: DataFrame, order: list[str], out: str, keys: list[str] | Non
     ranged = range_bucket(df, order[0], "_range")
     before = (
         ranged.groupBy(*keys, "_range")
-        .agg(F.count("*").alias("_size"))
-        .withColumn("_start", F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_size"))
-        .drop("_size")
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_rows_before", F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_rows"))
+        .drop("_rows")
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     return (
-        ranged.withColumn("_no", F.row_number().over(inside) - 1)
+        ranged.withColumn("_inside", F.row_number().over(inside) - 1)
         .join(before, [*keys, "_range"])
-        .withColumn(out, F.col("_start") + F.col("_no"))
-        .drop("_range", "_no", "_start")
+        .withColumn(out, F.col("_rows_before") + F.col("_inside"))
+        .drop("_range", "_inside", "_rows_before")
     )
 
 

@@ -185,10 +185,12 @@ def conversation_search(t: Tables) -> DataFrame:
 SELECT c_custkey AS conversation_id, 'user' || c_nationkey AS user_id, 'New Chat' AS title, c_custkey * 60 AS created_at, c_custkey * 60 AS updated_at FROM customer""")
 def conversation_create(t: Tables) -> DataFrame:
     """One new conversation per customer."""
-    return t.customer.select(
-        F.col("c_custkey").alias("conversation_id"), F.concat(F.lit("user"), F.col("c_nationkey").cast("string")).alias("user_id"),
-        F.lit("New Chat").alias("title"), (F.col("c_custkey") * 60).alias("created_at"), (F.col("c_custkey") * 60).alias("updated_at"),
+    asked = t.customer.select(
+        F.col("c_custkey").alias("conversation_id"),
+        F.concat(F.lit("user"), F.col("c_nationkey").cast("string")).alias("user_id"),
+        F.lit(None).cast("string").alias("title"), (F.col("c_custkey") * 60).alias("created_at"),
     )
+    return conv.conversation_create(asked)
 
 
 @query("message_append", f"""
@@ -229,8 +231,8 @@ def agg_routing_breakdown(t: Tables) -> DataFrame:
 
 
 def session_chunks(t: Tables) -> DataFrame:
-    """Every turn as a chunk of a file named after its role; system turns as tables."""
-    return t.conversations.select(
+    """Turns that are not the user's, as chunks of a file named after the role; system turns as tables."""
+    return t.conversations.filter(F.col("role") != "user").select(
         F.col("conv_id").alias("conversation_id"), F.col("role").alias("source"),
         F.when(F.col("role") == "system", "csv").otherwise("document").alias("source_type"),
     )
@@ -239,7 +241,7 @@ def session_chunks(t: Tables) -> DataFrame:
 def status(t: Tables) -> DataFrame:
     chunks = session_chunks(t)
     tables = chunks.filter(F.col("source_type") == "csv").select("conversation_id")
-    return conv.session_status(chats(t).select("conversation_id"), chunks.filter(F.col("conversation_id") % 10 < 9), tables)
+    return conv.session_status(chats(t).select("conversation_id"), chunks, tables)
 
 
 STATUS_SQL = f"""
@@ -247,7 +249,7 @@ STATUS_SQL = f"""
  coalesce(bool_or(m.role = 'system'), false) AS has_csv,
  (SELECT count(*) FROM msgs s WHERE s.conversation_id = c.conversation_id AND s.role = 'system') AS csv_tables,
  CASE WHEN count(m.message_id) > 0 THEN 'active' ELSE 'idle' END AS status, count(m.message_id) > 0 AS vectorstore_ready
- FROM convs c LEFT JOIN msgs m ON m.conversation_id = c.conversation_id AND m.conversation_id % 10 < 9 GROUP BY c.conversation_id)"""
+ FROM convs c LEFT JOIN msgs m ON m.conversation_id = c.conversation_id AND m.role <> 'user' GROUP BY c.conversation_id)"""
 
 
 @query("session_status", f"WITH {STATUS_SQL} SELECT * FROM st")

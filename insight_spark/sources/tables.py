@@ -56,7 +56,7 @@ def write_table(df: DataFrame, name: str, path: str | None = None, partition_by:
         writer = writer.partitionBy(*partition_by)
     if path:
         writer = writer.option("path", path)
-    writer.saveAsTable(name)
+    writer.saveAsTable(f"`{name}`")
     return name
 
 
