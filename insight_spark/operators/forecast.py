@@ -177,7 +177,7 @@ def forecast(series: DataFrame, keys: list[str], periods: int = fv.DEFAULT_PERIO
         keys, series = ["_series"], series.withColumn("_series", F.lit(1))
     kept = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = fit_series(pdf, periods, freq)
         for name, value in zip(keys, key):
             out.insert(0, name, value)

@@ -82,7 +82,7 @@ def workbooks(df: DataFrame, key: str, rows_per_file: int = 500) -> DataFrame:
     """(path, content): one workbook per ``rows_per_file`` keys, so no group grows with the data."""
     names = df.columns
 
-    def run(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(key)[names].astype(object).values.tolist()
         rows = [[v if isinstance(v, str) else v for v in row] for row in rows]
         book = workbook_file({"Data": [names, *rows], "Notes": [["note"], [f"file {group[0]}"]]})
