@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from insight_spark.functions import fixed_values as fv
@@ -18,11 +20,12 @@ def let(value: Column, use) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    """True when any of the given literal substrings occurs."""
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | text.contains(word)
-    return hit
+    """True when any of the given literal substrings occurs.
+
+    One alternation scans the text once; a chain of ``contains`` would read (and
+    lower-case) it once per word.
+    """
+    return text.rlike("|".join(re.escape(word) for word in words))
 
 
 def contains_word(text: Column, words: list[str]) -> Column:
@@ -31,10 +34,7 @@ def contains_word(text: Column, words: list[str]) -> Column:
 
 
 def starts_with_any(text: Column, words: list[str]) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | text.startswith(word)
-    return hit
+    return text.rlike("^(?:" + "|".join(re.escape(word) for word in words) + ")")
 
 
 def normalize_token(value: Column) -> Column:

@@ -25,6 +25,8 @@ from insight_spark.operators.scale import (
 
 PROSE_SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 TABLE_SEPARATORS = ["\n\n", "\n"]
+# Stands for "a document" among the counted words; no word has this character.
+DOCUMENT_MARK = "\x00"
 
 
 # --- Chunks -----------------------------------------------------------------
@@ -224,14 +226,21 @@ def bm25_topk(
     words = docs.select(
         F.col(doc_id), in_scope.alias("_scope"), tokens(F.col(text)).alias("_tokens")
     )
-    sizes = words.groupBy("_scope").agg(
-        F.count("*").alias("_docs"), F.avg(F.size("_tokens")).alias("_avgdl")
-    )
-    frequency = (
-        words.select("_scope", F.explode(F.array_distinct("_tokens")).alias("term"))
+    # One pass over the texts counts both: every document adds one mark with its
+    # length to the words it contains. The vocabulary is small next to the texts.
+    counted = (
+        words.select(
+            "_scope", F.size("_tokens").alias("_dl"),
+            F.explode(F.concat(F.array_distinct("_tokens"), F.array(F.lit(DOCUMENT_MARK)))).alias("term"),
+        )
         .groupBy("_scope", "term")
-        .agg(F.count("*").alias("_df"))
+        .agg(F.count("*").alias("_df"), F.sum("_dl").alias("_length"))
+        .persist()
+    )
+    sizes = counted.filter(F.col("term") == DOCUMENT_MARK).select(
+        "_scope", F.col("_df").alias("_docs"), (F.col("_length") / F.col("_df")).alias("_avgdl")
     )
+    frequency = counted.filter(F.col("term") != DOCUMENT_MARK)
     idf = frequency.join(sizes, "_scope").select(
         "_scope",
         "term",
@@ -296,6 +305,7 @@ def bm25_topk(
             )
         )
     weights.unpersist()
+    counted.unpersist()
     return reduce(DataFrame.unionByName, results)
 
 

@@ -89,8 +89,9 @@ def range_bucket(df: DataFrame, column: str, out: str, rows_per_bucket: int = 1_
     """
     from pyspark.ml.feature import Bucketizer
 
-    rows = df.count()
-    buckets = int(min(10_000, max(16, rows // rows_per_bucket)))
+    buckets = int(min(10_000, df.count() // rows_per_bucket))
+    if buckets < 2:
+        return df.withColumn(out, F.lit(0))
     cuts = df.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.25 / buckets)
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     typed = df.withColumn("_cut", F.col(column).cast("double"))
@@ -98,14 +99,16 @@ def range_bucket(df: DataFrame, column: str, out: str, rows_per_bucket: int = 1_
     return placed.withColumn(out, F.col(out).cast("int")).drop("_cut")
 
 
-def number_rows(df: DataFrame, order: list[str], out: str, keys: list[str] | None = None) -> DataFrame:
+def number_rows(
+    df: DataFrame, order: list[str], out: str, keys: list[str] | None = None, rows_per_bucket: int = 1_000_000
+) -> DataFrame:
     """Row numbers from 0 by ``order`` (a number first), overall or per key.
 
     Rows are ranked inside value ranges; the rows before a range come from its
     size. Neither the table nor a hot key is ever sorted in one task.
     """
     keys = keys or []
-    ranged = range_bucket(df, order[0], "_range")
+    ranged = range_bucket(df, order[0], "_range", rows_per_bucket)
     before = (
         ranged.groupBy(*keys, "_range")
         .agg(F.count("*").alias("_rows"))
@@ -121,15 +124,17 @@ def number_rows(df: DataFrame, order: list[str], out: str, keys: list[str] | Non
     )
 
 
-def value_at_index(df: DataFrame, keys: list[str], value: str, fraction: float, out: str) -> DataFrame:
+def value_at_index(
+    df: DataFrame, keys: list[str], value: str, fraction: float, out: str, rows_per_bucket: int = 1_000_000
+) -> DataFrame:
     """``sorted(values)[int(fraction * n)]`` per group, exactly.
 
     Equal values are counted first, so a hot value is one row. Of the ordered
     value ranges only the one that holds the wanted position is ranked.
     """
     base = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    counts = base.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ranged = range_bucket(counts, "_v", "_range")
+    counts = base.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).persist()
+    ranged = range_bucket(counts, "_v", "_range", rows_per_bucket)
     sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_size"))
     ordered = Window.partitionBy(*keys).orderBy("_range")
     whole = Window.partitionBy(*keys)

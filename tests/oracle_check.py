@@ -69,7 +69,13 @@ def main(sf_dir: str, only: list[str]) -> None:
     import __spark_entry__ as entry
     from insight_spark import build_session
 
-    spark = build_session("oracle check", "local[8]", 8)
+    if "--plain" in only:  # a session without any of our settings
+        from pyspark.sql import SparkSession
+
+        only = [part for part in only if part != "--plain"]
+        spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").getOrCreate()
+    else:
+        spark = build_session("oracle check", "local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf_dir)
     oracles = entry.oracle_sql()

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import Window, functions as F
 
 from insight_spark.operators import scale
@@ -17,22 +19,24 @@ def sample(spark, n=2000):
     return rows, spark.createDataFrame(rows, "k int, i long, v double")
 
 
-def test_value_at_index_per_group_and_overall(spark):
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 50])
+def test_value_at_index_per_group_and_overall(spark, rows_per_bucket):
     rows, df = sample(spark)
-    got = {r["k"]: r["p"] for r in scale.value_at_index(df, ["k"], "v", 0.95, "p").collect()}
+    got = {r["k"]: r["p"] for r in scale.value_at_index(df, ["k"], "v", 0.95, "p", rows_per_bucket).collect()}
     for key in {r[0] for r in rows}:
         values = sorted(r[2] for r in rows if r[0] == key)
         assert got[key] == values[int(0.95 * len(values))]
     values = sorted(r[2] for r in rows)
-    assert scale.value_at_index(df, [], "v", 0.95, "p").first()["p"] == values[int(0.95 * len(values))]
+    assert scale.value_at_index(df, [], "v", 0.95, "p", rows_per_bucket).first()["p"] == values[int(0.95 * len(values))]
 
 
-def test_number_rows_overall_and_per_key(spark):
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 50])
+def test_number_rows_overall_and_per_key(spark, rows_per_bucket):
     rows, df = sample(spark)
-    got = {r["i"]: r["no"] for r in scale.number_rows(df, ["v", "i"], "no").collect()}
+    got = {r["i"]: r["no"] for r in scale.number_rows(df, ["v", "i"], "no", None, rows_per_bucket).collect()}
     for number, row in enumerate(sorted(rows, key=lambda r: (r[2], r[1]))):
         assert got[row[1]] == number
-    per_key = {r["i"]: r["no"] for r in scale.number_rows(df, ["i"], "no", ["k"]).collect()}
+    per_key = {r["i"]: r["no"] for r in scale.number_rows(df, ["i"], "no", ["k"], rows_per_bucket).collect()}
     hot = sorted(r[1] for r in rows if r[0] == 0)
     assert [per_key[i] for i in hot] == list(range(len(hot)))
 
