@@ -71,22 +71,59 @@ def prepare(df: DataFrame, keys: list[str], ds: str, y: str, unit: str | None =
         typed = (
             typed.groupBy(*keys, F.date_trunc(unit, "ds").alias("ds")).agg(how("y").alias("y"))
         )
-    sizes = typed.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= fv.MIN_SERIES_ROWS)
     if not keys:
-        return typed.withColumn("_k", F.lit(1)).join(sizes.withColumn("_k", F.lit(1)), "_k", "left_semi").drop("_k")
+        return typed.filter(typed.select(F.count("*")).scalar() >= fv.MIN_SERIES_ROWS)
+    sizes = typed.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= fv.MIN_SERIES_ROWS)
     return typed.join(sizes, keys, "left_semi")
 
 
+def _days(later: Column, earlier: Column) -> Column:
+    micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
+    return F.floor(micros / 86_400_000_000)
+
+
+def date_points(df: DataFrame, keys: list[str], ds: str, tie: str) -> DataFrame:
+    """Distinct dates per series: how many rows they have, which comes first, and
+    the whole days since the date before.
+
+    Rows of the same date collapse in the partial aggregation, so a date that
+    holds a third of all rows is one point.
+    """
+    points = df.groupBy(*keys, ds).agg(F.count("*").alias("rows"), F.min(tie).alias("first_row"))
+    return previous_in_group(points, keys, ds, "previous_ds").withColumn(
+        "gap_days", _days(F.col(ds), F.col("previous_ds"))
+    )
+
+
 def date_gaps(df: DataFrame, keys: list[str], ds: str, tie: str) -> DataFrame:
-    """Whole days since the previous date of the same series."""
-    with_previous = previous_in_group(df, keys, ds, tie, F.date_trunc("month", ds), "previous_ds")
-    gap = F.floor((F.unix_micros(F.col(ds).cast("timestamp")) - F.unix_micros(F.col("previous_ds").cast("timestamp"))) / 86_400_000_000)
-    return with_previous.withColumn("gap_days", gap)
+    """Every row with the whole days since the row before it in the same series."""
+    points = date_points(df, keys, ds, tie)
+    gap = F.when(F.col(tie) == F.col("first_row"), F.col("gap_days")).otherwise(F.lit(0))
+    return (
+        df.join(points, [*keys, ds]).withColumn("gap_days", gap).drop("rows", "first_row", "previous_ds")
+    )
+
 
+def median_gap(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Median days between consecutive rows, from :func:`date_points`.
 
-def median_gap(gaps: DataFrame, keys: list[str]) -> DataFrame:
-    """Median gap in days; the exact median only stores the few distinct day counts."""
-    return gaps.filter(F.col("gap_days").isNotNull()).groupBy(*keys).agg(F.median("gap_days").alias("median_days"))
+    The further rows of a date are gaps of zero days. The exact median only
+    stores the few distinct day counts.
+    """
+    gaps = points.select(
+        *keys,
+        F.explode(
+            F.array(
+                F.struct(F.col("gap_days").alias("gap"), F.lit(1).cast("bigint").alias("times")),
+                F.struct(F.lit(0).cast("bigint").alias("gap"), (F.col("rows") - 1).alias("times")),
+            )
+        ).alias("_g"),
+    ).select(*keys, "_g.*")
+    return (
+        gaps.filter(F.col("gap").isNotNull() & (F.col("times") > 0))
+        .groupBy(*keys)
+        .agg(F.percentile("gap", 0.5, F.col("times")).alias("median_days"))
+    )
 
 
 def frequency(median_days: Column) -> Column:

@@ -26,6 +26,26 @@ def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def _category_like(df: DataFrame, columns: list[str], rows: int) -> dict[str, bool]:
+    """Which text columns have at most twenty values, or at most 10% of the rows.
+
+    A sketch decides all but the close calls; only those are counted exactly, so
+    no column of long, mostly different texts is ever shuffled to be counted.
+    """
+    if not columns or not rows:
+        return {c: True for c in columns}
+    sketch = df.agg(*[F.approx_count_distinct(F.col(c), 0.02).alias(f"u_{i}") for i, c in enumerate(columns)]).first()
+    share = {c: sketch[f"u_{i}"] / rows for i, c in enumerate(columns)}
+    out = {c: share[c] <= 0.1 for c in columns}
+    few = [c for i, c in enumerate(columns) if sketch[f"u_{i}"] <= 2 * fv.MAX_GROUPS]
+    close = [c for c in columns if c not in few and 0.08 <= share[c] <= 0.12]
+    if few or close:
+        exact = df.agg(*[F.count_distinct(F.col(c)).alias(f"e_{i}") for i, c in enumerate(few + close)]).first()
+        for i, c in enumerate(few + close):
+            out[c] = exact[f"e_{i}"] <= fv.MAX_GROUPS or exact[f"e_{i}"] / rows <= 0.1
+    return out
+
+
 def role_map(df: DataFrame, strict: bool = False) -> dict[str, str]:
     """Role of every column: id, numeric, categorical, date or text.
 
@@ -37,43 +57,41 @@ def role_map(df: DataFrame, strict: bool = False) -> dict[str, str]:
     """
     fields = {f.name: f.dataType for f in df.schema}
     strings = string_columns(df)
-    year_like = [c for c in numeric_columns(df) if "year" in re.split(r"[_\W]+", c.lower())]
+
+    def hinted(name: str) -> bool:
+        return any(part in name.lower() for part in fv.DATE_NAME_PARTS)
+
+    def is_id(name: str) -> bool:
+        return any(name.lower().endswith(end) for end in fv.ID_NAME_ENDINGS)
+
+    year_like = [] if strict else [c for c in numeric_columns(df) if "year" in re.split(r"[_\W]+", c.lower())]
+    maybe_dates = [] if strict else [c for c in strings if hinted(c)]
     counted = [F.count("*").alias("_n")]
-    counted += [F.count_distinct(F.col(c)).alias(f"u_{i}") for i, c in enumerate(strings)]
-    if not strict:
-        for i, c in enumerate(strings):
-            reads = coerce_date(F.col(c)).isNotNull() | parse_month(F.col(c)).isNotNull()
-            counted.append(F.try_divide(F.count_if(reads), F.count(F.col(c))).alias(f"d_{i}"))
-        counted += [
-            (F.min(c).between(1900, 2100) & F.max(c).between(1900, 2100)).alias(f"y_{c}") for c in year_like
-        ]
+    for i, c in enumerate(maybe_dates):
+        reads = coerce_date(F.col(c)).isNotNull() | parse_month(F.col(c)).isNotNull()
+        counted.append(F.try_divide(F.count_if(reads), F.count(F.col(c))).alias(f"d_{i}"))
+    for i, c in enumerate(year_like):
+        counted.append((F.min(c).between(1900, 2100) & F.max(c).between(1900, 2100)).alias(f"y_{i}"))
     stats = df.agg(*counted).first()
+    dates = {c for i, c in enumerate(maybe_dates) if (stats[f"d_{i}"] or 0) >= 0.8}
+    years = {c for i, c in enumerate(year_like) if stats[f"y_{i}"]}
+    open_ones = [c for c in strings if not is_id(c) and c not in dates and not (strict and hinted(c))]
+    category = _category_like(df, open_ones, stats["_n"])
     roles = {}
     for name, kind in fields.items():
-        low = name.lower()
-        hinted = any(part in low for part in fv.DATE_NAME_PARTS)
-        is_id = any(low.endswith(end) for end in fv.ID_NAME_ENDINGS)
         numeric = isinstance(kind, NUMERIC_TYPES) or isinstance(kind, T.BooleanType)
-        if isinstance(kind, DATE_TYPES):
-            role = "date"
-        elif strict and hinted:
+        if isinstance(kind, DATE_TYPES) or (strict and hinted(name)):
             role = "date"
         elif numeric and strict:
             role = "numeric"
         elif numeric:
-            role = "id" if is_id else "date" if name in year_like and stats[f"y_{name}"] else "numeric"
-        elif name in strings:
-            i = strings.index(name)
-            if not strict and hinted and (stats[f"d_{i}"] or 0) >= 0.8:
-                role = "date"
-            elif is_id:
-                role = "id"
-            elif stats[f"u_{i}"] <= fv.MAX_GROUPS or (stats["_n"] and stats[f"u_{i}"] / stats["_n"] <= 0.1):
-                role = "categorical"
-            else:
-                role = "text"
+            role = "id" if is_id(name) else "date" if name in years else "numeric"
+        elif name in dates:
+            role = "date"
+        elif is_id(name) and name in strings:
+            role = "id"
         else:
-            role = "text"
+            role = "categorical" if category.get(name) else "text"
         roles[name] = role
     return roles
 
@@ -145,85 +163,100 @@ def row_narratives(df: DataFrame, roles: dict[str, str], source: str) -> DataFra
     )
 
 
+def _few_values(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns of at most twenty values; a sketch rules the others out first."""
+    if not columns:
+        return []
+    sketch = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"u_{i}") for i, c in enumerate(columns)]).first()
+    near = [c for i, c in enumerate(columns) if sketch[f"u_{i}"] <= 2 * fv.MAX_GROUPS]
+    if not near:
+        return []
+    exact = df.agg(*[F.count_distinct(F.col(c)).alias(f"e_{i}") for i, c in enumerate(near)]).first()
+    return [c for i, c in enumerate(near) if exact[f"e_{i}"] <= fv.MAX_GROUPS]
+
+
 def group_summaries(df: DataFrame, roles: dict[str, str], source: str, order: list[str]) -> DataFrame:
     """One text per value of every categorical column: header, up to fifteen member
     lines (by ``order``), how many more there are, and the means of numeric columns.
 
     Values of fewer than two rows and columns of more than twenty values give no
-    text. Counts and means are partial aggregates; only the fifteen listed rows of
-    a group are ranked, so a group that holds a third of the table stays cheap.
+    text. All columns share two passes over the table: counts and means are
+    partial aggregates, and of a group only the fifteen listed rows leave a task,
+    so a group that holds a third of the table stays cheap.
     """
     subject = subject_column(df, roles)
-    categories = [c for c in df.columns if roles[c] == "categorical"]
+    categories = _few_values(df, [c for c in df.columns if roles[c] == "categorical"])
     numbers = [c for c in df.columns if roles[c] == "numeric"][: fv.GROUP_MEANS]
     if not categories:
         return _rows(df, [], "chunk_type string, source string, source_type string, group_col string, group_val string, text string")
     kind = F.lower(record_type(F.lit(subject)))
-    out = None
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categories])
+    long = (
+        df.withColumn("_pair", F.explode(pairs))
+        .filter(F.col("_pair.v").isNotNull())
+        .withColumns({"_column": F.col("_pair.c"), "_value": F.col("_pair.v")})
+        .drop("_pair")
+    )
+    stats = long.groupBy("_column", "_value").agg(
+        F.count("*").alias("_n"), *[F.avg(F.col(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(numbers)]
+    ).filter(F.col("_n") >= fv.MIN_GROUP_ROWS)
+
+    line, label = F.lit(None).cast("string"), F.lit("")
     for column in categories:
-        shown = [c for c in df.columns if c not in (subject, column)]
         details = F.array_compact(
-            F.array(*[F.when(F.col(c).isNotNull(), format_value(c, F.col(c), roles[c])) for c in shown])
+            F.array(
+                *[
+                    F.when(F.col(c).isNotNull(), format_value(c, F.col(c), roles[c]))
+                    for c in df.columns
+                    if c not in (subject, column)
+                ]
+            )
         )
-        line = F.concat(
+        own = F.concat(
             F.lit("  - "), F.coalesce(F.col(subject).cast("string"), F.lit("nan")), F.lit(": "),
             F.array_join(F.slice(details, 1, fv.GROUP_DETAILS), ", "),
         )
-        rows = df.filter(F.col(column).isNotNull()).withColumn("_value", F.col(column).cast("string"))
-        stats = rows.groupBy("_value").agg(
-            F.count("*").alias("_n"), *[F.avg(F.col(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(numbers)]
-        )
-        few = stats.agg(F.count("*").alias("_g")).filter(F.col("_g") <= fv.MAX_GROUPS).withColumn("_k", F.lit(1))
-        stats = (
-            stats.withColumn("_k", F.lit(1)).join(few, "_k", "left_semi").drop("_k")
-            .filter(F.col("_n") >= fv.MIN_GROUP_ROWS)
-        )
-        window = Window.partitionBy("_value").orderBy(*order)
-        listed = (
-            rows.withColumn("_no", F.row_number().over(window))
-            .filter(F.col("_no") <= fv.GROUP_LINES)
-            .select("_value", "_no", line.alias("_line"))
-            .groupBy("_value")
-            .agg(
-                F.array_join(
-                    F.transform(F.array_sort(F.collect_list(F.struct("_no", "_line"))), lambda r: r["_line"]), "\n"
-                ).alias("_lines")
-            )
-        )
-        means = F.concat_ws(
-            ". ",
-            *[
-                F.when(
-                    F.col(f"_m{i}").isNotNull() & ~F.isnan(f"_m{i}"),
-                    F.concat(F.lit("Average "), _label(c), F.lit(": "), format_value(c, F.col(f"_m{i}"), "numeric")),
-                )
-                for i, c in enumerate(numbers)
-            ],
-        )
-        text = F.concat_ws(
-            "\n",
-            F.concat(
-                F.col("_value"), F.lit(" "), _label(column), F.lit(" — "), F.col("_n").cast("string"),
-                F.lit(" "), kind, F.lit("s:"),
-            ),
-            F.col("_lines"),
+        line = F.when(F.col("_column") == column, own).otherwise(line)
+        label = F.when(F.col("_column") == column, _label(column)).otherwise(label)
+    window = Window.partitionBy("_column", "_value").orderBy(*order)
+    lines = F.array_sort(F.collect_list(F.struct("_no", "_line")))
+    listed = (
+        long.withColumn("_no", F.row_number().over(window))
+        .filter(F.col("_no") <= fv.GROUP_LINES)
+        .select("_column", "_value", "_no", line.alias("_line"))
+        .groupBy("_column", "_value")
+        .agg(F.array_join(F.transform(lines, lambda r: r["_line"]), "\n").alias("_lines"))
+    )
+    means = F.concat_ws(
+        ". ",
+        *[
             F.when(
-                F.col("_n") > fv.GROUP_LINES,
-                F.concat(F.lit("  ... and "), (F.col("_n") - fv.GROUP_LINES).cast("string"), F.lit(" more.")),
-            ),
-            F.when(F.col("_means") != "", F.concat(F.lit("Averages — "), F.col("_means"), F.lit("."))),
-        )
-        one = (
-            stats.withColumn("_means", means)
-            .join(listed, "_value")
-            .select(
-                F.lit("group_summary").alias("chunk_type"), F.lit(source).alias("source"),
-                F.lit("csv").alias("source_type"), F.lit(column).alias("group_col"),
-                F.col("_value").alias("group_val"), text.alias("text"),
+                F.col(f"_m{i}").isNotNull() & ~F.isnan(f"_m{i}"),
+                F.concat(F.lit("Average "), _label(c), F.lit(": "), format_value(c, F.col(f"_m{i}"), "numeric")),
             )
+            for i, c in enumerate(numbers)
+        ],
+    )
+    text = F.concat_ws(
+        "\n",
+        F.concat(
+            F.col("_value"), F.lit(" "), label, F.lit(" — "), F.col("_n").cast("string"), F.lit(" "), kind, F.lit("s:")
+        ),
+        F.col("_lines"),
+        F.when(
+            F.col("_n") > fv.GROUP_LINES,
+            F.concat(F.lit("  ... and "), (F.col("_n") - fv.GROUP_LINES).cast("string"), F.lit(" more.")),
+        ),
+        F.when(F.col("_means") != "", F.concat(F.lit("Averages — "), F.col("_means"), F.lit("."))),
+    )
+    return (
+        stats.withColumn("_means", means)
+        .join(listed, ["_column", "_value"])
+        .select(
+            F.lit("group_summary").alias("chunk_type"), F.lit(source).alias("source"), F.lit("csv").alias("source_type"),
+            F.col("_column").alias("group_col"), F.col("_value").alias("group_val"), text.alias("text"),
         )
-        out = one if out is None else out.unionByName(one)
-    return out
+    )
 
 
 def dataset_overview(df: DataFrame, roles: dict[str, str], source: str) -> DataFrame:
@@ -308,16 +341,14 @@ def plain_row_chunks(df: DataFrame, source: str, order: list[str], sheet: str |
     )
     head = F.lit(f"Excel File: {source}, Sheet: {sheet}" if sheet else f"CSV File: {source}")
     lines = df.orderBy(*order).limit(sample_rows).select(F.struct(*order).alias("_key"), cells.alias("_line"))
-    sample = lines.agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_key", "_line"))), lambda r: r["_line"]), "\n").alias("_sample")
-    ).withColumn("_k", F.lit(1))
-    total = df.agg(F.count("*").alias("_n")).withColumn("_k", F.lit(1))
-    summary = total.join(sample, "_k").select(
+    ordered = F.array_sort(F.collect_list(F.struct("_key", "_line")))
+    sample = lines.select(F.array_join(F.transform(ordered, lambda r: r["_line"]), "\n")).scalar()
+    summary = df.agg(F.count("*").alias("_n")).select(
         F.lit(source).alias("source"), F.lit("excel" if sheet else "csv_summary").alias("type"),
         F.lit(None).cast("bigint").alias("row"),
         F.concat(
             head, F.lit(f"\nColumns: {', '.join(df.columns)}\nTotal Rows: "), F.col("_n").cast("string"),
-            F.lit("\n\nSample:\n" if sheet else "\n\nSample Data:\n"), F.col("_sample"),
+            F.lit("\n\nSample:\n" if sheet else "\n\nSample Data:\n"), sample,
         ).alias("text"),
     )
     return summary.unionByName(rows)

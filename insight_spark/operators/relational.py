@@ -218,9 +218,10 @@ def result_text(df: DataFrame, order: list[str]) -> DataFrame:
     body = lines.agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_key", "_line"))), lambda r: r["_line"]), "").alias("_body"),
     )
-    total = df.agg(F.count("*").alias("_n"), F.min(F.col(df.columns[0]).cast("string")).alias("_one"))
-    # Both sides are single rows; the join key only says so.
-    both = body.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k")
+    total = df.agg(F.count("*").alias("n"), F.min(F.col(df.columns[0]).cast("string")).alias("one"))
+    both = body.withColumn("_t", total.select(F.struct("n", "one")).scalar()).select(
+        "_body", F.col("_t.n").alias("_n"), F.col("_t.one").alias("_one")
+    )
     many = F.concat(
         F.lit("Found "), F.col("_n").cast("string"), F.lit(" result(s):\n\n"), F.col("_body"),
         F.when(
@@ -360,13 +361,8 @@ def agg_group_mean(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
         .groupBy(F.col(group).cast("string").alias("group_value"))
         .agg(F.count("*").alias("row_count"), *[F.round(F.avg(c), 4).alias(f"avg_{c}") for c in columns])
     )
-    groups = means.agg(F.count("*").alias("_groups")).withColumn("_k", F.lit(1))
-    return (
-        means.filter(F.col("row_count") >= fv.MIN_GROUP_ROWS)
-        .withColumn("_k", F.lit(1))
-        .join(groups.filter(F.col("_groups") <= fv.MAX_GROUPS), "_k", "left_semi")
-        .drop("_k")
-    )
+    groups = means.select(F.count("*")).scalar()
+    return means.filter((F.col("row_count") >= fv.MIN_GROUP_ROWS) & (groups <= fv.MAX_GROUPS))
 
 
 def agg_parse_ratio(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -94,7 +94,7 @@ def fuzzy_match(
     )
     corpus = values.select(F.col(scope).alias("_scope"), F.col(value).alias("_value"))
     out = None
-    for part in probe_slices(keyed, "_id", 1024):
+    for part in probe_slices(keyed, "_id", F.octet_length("_id") * 3 + ALPHABET_BINS * 4):
         found = part.toPandas()
         shared = spark.sparkContext.broadcast(
             (found["_probe"].tolist(), found["_scope"].tolist(), [_histogram(p) for p in found["_probe"]])

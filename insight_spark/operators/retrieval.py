@@ -274,7 +274,7 @@ def bm25_topk(
     spark = docs.sparkSession
     id_type, probe_type = _sql_type(docs, doc_id), _sql_type(queries, query_id)
     results = []
-    for part in probe_slices(weights, "_query", 96):
+    for part in probe_slices(weights, "_query", F.octet_length("term") + 96):
         found = part.toPandas()
         query_ids, query_no = np.unique(found["_query"].to_numpy(), return_inverse=True)
         terms, term_no = np.unique(found["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
@@ -384,7 +384,7 @@ def vector_topk(
         F.size("_vector") == width
     )
     results = []
-    for part in probe_slices(asked, "_query", width * 8 + 64):
+    for part in probe_slices(asked, "_query", F.lit(width * 8 + 64)):
         found = part.toPandas()
         matrix = np.array(found["_vector"].tolist(), dtype=float).reshape(len(found), width)
         by_scope = {s: np.flatnonzero(found["_scope"] == s) for s in found["_scope"].unique()}

@@ -57,27 +57,28 @@ def top_n_per_group(
 
 
 def previous_in_group(
-    df: DataFrame, keys: list[str], order: str, tie: str, bucket: Column, out: str = "previous"
+    df: DataFrame, keys: list[str], order: str, out: str = "previous", rows_per_bucket: int = 1_000_000
 ) -> DataFrame:
-    """``lag(order)`` per group without sorting a whole group in one task.
+    """``lag(order)`` per group for a timestamp that is distinct within its group,
+    without sorting a whole group in one task.
 
-    ``bucket`` must never decrease with ``order``. Rows are sorted inside each
-    (group, bucket); the first row of a bucket takes the largest ``order`` of
-    the bucket before it, found on the short per-bucket summary.
+    Rows are sorted inside (group, time range); the first row of a range takes the
+    latest time of the range before it, found on the short per-range summary.
     """
-    spread = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order, tie)
+    timed = df.withColumn("_time", F.unix_micros(F.col(order).cast("timestamp")))
+    spread = range_bucket(timed, "_time", "_range", rows_per_bucket).drop("_time")
+    inside = Window.partitionBy(*keys, "_range").orderBy(order)
     heads = (
-        spread.groupBy(*keys, "_bucket")
+        spread.groupBy(*keys, "_range")
         .agg(F.max(order).alias("_top"))
-        .withColumn("_before", F.lag("_top").over(Window.partitionBy(*keys).orderBy("_bucket")))
+        .withColumn("_before", F.lag("_top").over(Window.partitionBy(*keys).orderBy("_range")))
         .drop("_top")
     )
     return (
         spread.withColumn("_inside", F.lag(order).over(inside))
-        .join(heads, [*keys, "_bucket"])
+        .join(heads, [*keys, "_range"])
         .withColumn(out, F.coalesce("_inside", "_before"))
-        .drop("_bucket", "_inside", "_before")
+        .drop("_range", "_inside", "_before")
     )
 
 
@@ -154,9 +155,12 @@ def value_at_index(
     )
 
 
-def probe_slices(probes: DataFrame, key: str, row_bytes: int) -> Iterator[DataFrame]:
-    """The probe set in parts that each fit a broadcast; one part when it is small."""
-    parts = max(1, ceil(probes.count() * row_bytes / PROBE_BYTES))
+def probe_slices(probes: DataFrame, key: str, row_bytes: Column) -> Iterator[DataFrame]:
+    """The probe set in parts that each fit a broadcast; one part when it is small.
+
+    ``row_bytes`` is the size of a row; its sum over the probes decides.
+    """
+    parts = max(1, ceil((probes.select(F.sum(row_bytes)).first()[0] or 0) / PROBE_BYTES))
     for part in range(parts):
         if parts == 1:
             yield probes

@@ -65,7 +65,8 @@ def win_date_gap(t: Tables) -> DataFrame:
 
 @query("agg_median_gap", f"WITH {GAPS_SQL} SELECT user_id, median(gap_days) AS median_days FROM gaps WHERE gap_days IS NOT NULL GROUP BY user_id")
 def agg_median_gap(t: Tables) -> DataFrame:
-    return fc.median_gap(user_gaps(t), ["user_id"])
+    points = fc.date_points(t.events.select("user_id", "event_id", "ts"), ["user_id"], "ts", "event_id")
+    return fc.median_gap(points, ["user_id"])
 
 
 @query("ts_infer_freq", f"""
@@ -73,8 +74,8 @@ WITH {MONTHLY_SQL}, g AS (SELECT o_orderstatus, date_diff('day', lag(ds) OVER (P
 SELECT o_orderstatus, CASE WHEN median(gap) <= 1 THEN 'D' WHEN median(gap) <= 8 THEN 'W' WHEN median(gap) <= 32 THEN 'MS'
  WHEN median(gap) <= 95 THEN 'QS' ELSE 'YS' END AS freq FROM g WHERE gap IS NOT NULL GROUP BY o_orderstatus""")
 def ts_infer_freq(t: Tables) -> DataFrame:
-    gaps = fc.date_gaps(monthly(t).withColumn("tie", F.lit(0)), ["o_orderstatus"], "ds", "tie")
-    return fc.median_gap(gaps, ["o_orderstatus"]).select("o_orderstatus", fc.frequency(F.col("median_days")).alias("freq"))
+    points = fc.date_points(monthly(t).withColumn("tie", F.lit(0)), ["o_orderstatus"], "ds", "tie")
+    return fc.median_gap(points, ["o_orderstatus"]).select("o_orderstatus", fc.frequency(F.col("median_days")).alias("freq"))
 
 
 @query("ts_future_dates", f"""

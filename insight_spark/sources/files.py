@@ -17,7 +17,10 @@ WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 WORD_SCHEMA = "path string, kind string, position int, text string, error string"
-CELL_SCHEMA = "path string, sheet_no int, sheet string, row int, cells array<string>, error string"
+CELL_SCHEMA = (
+    "path string, sheet_no int, sheet string, kind string, row int, names array<string>, cells array<string>, error string"
+)
+SAMPLE_ROWS = 3
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -63,7 +66,9 @@ def _word_rows(path: str, content: bytes) -> list[tuple]:
             for row in table.findall(f"{WORD_NS}tr")
         ]
         rows.append((path, "table", i, "\n".join(lines), None))
-    return [row for row in rows if row[1] == "table" or row[3]]
+    parts = [row for row in rows if row[1] == "table" or row[3]]
+    tables = sum(row[1] == "table" for row in parts)
+    return [(path, "summary", None, f"Paragraphs: {len(parts) - tables}\nTables: {tables}", None), *parts]
 
 
 def _each_file(read, columns: list[str], empty: tuple):
@@ -82,42 +87,31 @@ def _each_file(read, columns: list[str], empty: tuple):
 
 
 def word_parts(files: DataFrame) -> DataFrame:
-    """Raw parts of Word files: (path, kind, position, text, error)."""
+    """Parts of Word files: (path, kind, position, text, error); kind is summary,
+    paragraph, table or error."""
     names = ["path", "kind", "position", "text", "error"]
-    return files.select("path", "content").mapInPandas(_each_file(_word_rows, names, ("error", 0, None)), WORD_SCHEMA)
+    parts = files.select("path", "content").mapInPandas(
+        _each_file(_word_rows, names, ("error", None, None)), WORD_SCHEMA.replace("position int", "position double")
+    )
+    return parts.withColumn("position", F.nanvl("position", F.lit(None).cast("double")).cast("int"))
 
 
 def scan_docx(files: DataFrame) -> DataFrame:
-    """Word files as chunks: a summary, every non-empty paragraph, every table."""
-    parts = word_parts(files)
+    """Word files as chunks: a summary, every non-empty paragraph, every table.
+
+    The parser sees a whole file, so it also counts; no join or shuffle follows.
+    """
     source = file_name(F.col("path"))
-    good = parts.filter(F.col("error").isNull())
-    counts = good.groupBy("path").agg(
-        F.count_if(F.col("kind") == "paragraph").alias("_p"), F.count_if(F.col("kind") == "table").alias("_t")
+    kind = F.col("kind")
+    place = F.when(kind == "table", F.lit(", Table ")).otherwise(F.lit(", Paragraph "))
+    text = F.when(
+        kind == "summary", F.concat(F.lit("Word Document: "), source, F.lit("\n"), F.col("text"))
+    ).otherwise(
+        F.concat(F.lit("From "), source, place, F.col("position").cast("string"), F.lit(":\n"), F.col("text"))
     )
-    empty_ones = files.select("path").join(parts.filter(F.col("error").isNotNull()), "path", "left_anti")
-    summary = (
-        empty_ones.join(counts, "path", "left")
-        .fillna(0, ["_p", "_t"])
-        .select(
-            "path", source.alias("source"), F.lit("docx_summary").alias("type"), F.lit(None).cast("int").alias("position"),
-            F.concat(
-                F.lit("Word Document: "), source, F.lit("\nParagraphs: "), F.col("_p").cast("string"),
-                F.lit("\nTables: "), F.col("_t").cast("string"),
-            ).alias("text"),
-        )
+    return word_parts(files).filter(kind != "error").select(
+        "path", source.alias("source"), F.concat(F.lit("docx_"), kind).alias("type"), "position", text.alias("text")
     )
-    is_table = F.col("kind") == "table"
-    body = good.select(
-        "path", source.alias("source"),
-        F.when(is_table, F.lit("docx_table")).otherwise(F.lit("docx_paragraph")).alias("type"),
-        "position",
-        F.concat(
-            F.lit("From "), source, F.when(is_table, F.lit(", Table ")).otherwise(F.lit(", Paragraph ")),
-            F.col("position").cast("string"), F.lit(":\n"), F.col("text"),
-        ).alias("text"),
-    )
-    return summary.unionByName(body)
 
 
 def _cell_column(reference: str) -> int:
@@ -143,6 +137,7 @@ def _sheet_rows(path: str, content: bytes) -> list[tuple]:
         for sheet_no, sheet in enumerate(sheets):
             target = links[sheet.get(f"{REL_NS}id")].lstrip("/")
             target = target if target.startswith("xl/") else f"xl/{target}"
+            table = []
             for index, row in enumerate(ElementTree.fromstring(archive.read(target)).iter(f"{SHEET_NS}row")):
                 cells: dict[int, str] = {}
                 for place, cell in enumerate(row.findall(f"{SHEET_NS}c")):
@@ -156,15 +151,30 @@ def _sheet_rows(path: str, content: bytes) -> list[tuple]:
                         cells[column] = value.text
                 width = max(cells, default=-1) + 1
                 number = int(row.get("r")) - 1 if row.get("r") else index
-                rows.append((path, sheet_no, sheet.get("name"), number, [cells.get(i) for i in range(width)], None))
+                table.append((number, [cells.get(i) for i in range(width)]))
+            if not table:
+                continue
+            header = [name or f"Unnamed: {i}" for i, name in enumerate(table[0][1])]
+            place = (path, sheet_no, sheet.get("name"))
+            body = [(number - 1 - table[0][0], cells) for number, cells in table[1:]]
+            sample = [
+                ", ".join(f"{n}: {'nan' if c is None else c}" for n, c in zip(header, cells + [None] * len(header)))
+                for _, cells in body[:SAMPLE_ROWS]
+            ]
+            rows.append((*place, "sheet", len(body), header, sample, None))
+            rows += [(*place, "row", number, header, cells, None) for number, cells in body]
     return rows
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:
-    """Cells of every sheet: (path, sheet_no, sheet, row, cells, error); row 0 is the header."""
-    names = ["path", "sheet_no", "sheet", "row", "cells", "error"]
+    """Every sheet as (path, sheet_no, sheet, kind, row, names, cells, error).
+
+    Kind "row" is a data row, numbered from 0 below the header in ``names``; kind
+    "sheet" has the number of rows and, in ``cells``, three sample lines.
+    """
+    names = ["path", "sheet_no", "sheet", "kind", "row", "names", "cells", "error"]
     return files.select("path", "content").mapInPandas(
-        _each_file(_sheet_rows, names, (0, None, 0, None)), CELL_SCHEMA
+        _each_file(_sheet_rows, names, (0, None, "error", 0, None, None)), CELL_SCHEMA
     )
 
 
@@ -173,45 +183,34 @@ def scan_workbook(files: DataFrame, header: list[str] | None = None, sheet_no: i
 
     Without ``header`` the header of the first file is read.
     """
-    cells = workbook_cells(files).filter((F.col("sheet_no") == sheet_no) & F.col("error").isNull())
+    cells = workbook_cells(files).filter(F.col("sheet_no") == sheet_no)
     if header is None:
-        first = cells.filter(F.col("row") == 0).orderBy("path").select("cells").first()
-        header = [name or f"Unnamed: {i}" for i, name in enumerate(first["cells"])] if first else []
-    return cells.filter(F.col("row") > 0).select(
-        "path", (F.col("row") - 1).alias("row"),
-        *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(header)],
+        first = cells.filter(F.col("kind") == "sheet").select(F.min_by("names", "path")).first()
+        header = first[0] or []
+    return cells.filter(F.col("kind") == "row").select(
+        "path", "row", *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(header)]
     )
 
 
 def workbook_chunks(files: DataFrame) -> DataFrame:
     """All sheets as row texts plus a summary per sheet with three sample rows."""
-    cells = workbook_cells(files).filter(F.col("error").isNull())
-    header = cells.filter(F.col("row") == 0).select("path", "sheet_no", F.col("cells").alias("names"))
-    # A header is one row per sheet, far fewer than the rows it is joined to.
-    body = cells.filter(F.col("row") > 0).join(header, ["path", "sheet_no"])
+    source = file_name(F.col("path"))
+    number = F.col("row").cast("string")
     named = F.array_join(
         F.zip_with("names", "cells", lambda n, c: F.concat(n, F.lit(": "), F.coalesce(c, F.lit("nan")))), ", "
     )
-    source = file_name(F.col("path"))
-    number = (F.col("row") - 1).cast("string")
-    rows = body.select(
-        "path", "sheet", F.lit("excel_row").alias("type"), (F.col("row") - 1).alias("row"),
-        F.concat(F.lit("From "), source, F.lit(", Sheet '"), F.col("sheet"), F.lit("', Row "), number, F.lit(":\n"), named).alias("text"),
+    is_row = F.col("kind") == "row"
+    row_text = F.concat(
+        F.lit("From "), source, F.lit(", Sheet '"), F.col("sheet"), F.lit("', Row "), number, F.lit(":\n"), named
     )
-    sample = F.array_sort(F.collect_list(F.when(F.col("row") <= 3, F.struct("row", named.alias("line")))))
-    sheets = cells.groupBy("path", "sheet", "sheet_no").agg(F.count_if(F.col("row") > 0).alias("_n"))
-    samples = body.groupBy("path", "sheet_no").agg(
-        F.array_join(F.transform(sample, lambda r: r["line"]), "\n").alias("_s"), F.first("names").alias("_names")
+    summary = F.concat(
+        F.lit("Excel File: "), source, F.lit(", Sheet: "), F.col("sheet"), F.lit("\nColumns: "),
+        F.array_join("names", ", "), F.lit("\nTotal Rows: "), number, F.lit("\n\nSample:\n"), F.array_join("cells", "\n"),
     )
-    summary = sheets.join(samples, ["path", "sheet_no"]).select(
-        "path", "sheet", F.lit("excel").alias("type"), F.lit(None).cast("int").alias("row"),
-        F.concat(
-            F.lit("Excel File: "), source, F.lit(", Sheet: "), F.col("sheet"), F.lit("\nColumns: "),
-            F.array_join("_names", ", "), F.lit("\nTotal Rows: "), F.col("_n").cast("string"),
-            F.lit("\n\nSample:\n"), F.col("_s"),
-        ).alias("text"),
+    return workbook_cells(files).filter(F.col("kind") != "error").select(
+        "path", "sheet", F.when(is_row, F.lit("excel_row")).otherwise(F.lit("excel")).alias("type"),
+        F.when(is_row, F.col("row")).alias("row"), F.when(is_row, row_text).otherwise(summary).alias("text"),
     )
-    return summary.unionByName(rows)
 
 
 def page_text(html: Column) -> Column:

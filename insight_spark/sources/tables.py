@@ -111,16 +111,11 @@ def table_info(df: DataFrame, table: str) -> DataFrame:
 
 def table_metadata(df: DataFrame, files: DataFrame) -> DataFrame:
     """Rows, columns, types and file size (``files`` is a ``binaryFile`` listing)."""
-    size = files.agg(F.sum("length").alias("_bytes")).withColumn("_k", F.lit(1))
+    size = files.select(F.sum("length")).scalar()
     types = ", ".join(f"{name}:{kind}" for name, kind in df.dtypes)
-    return (
-        df.agg(F.count("*").alias("row_count"))
-        .withColumn("_k", F.lit(1))
-        .join(size, "_k")
-        .select(
-            "row_count", F.lit(len(df.columns)).alias("column_count"), F.lit(", ".join(df.columns)).alias("columns"),
-            F.lit(types).alias("dtypes"), (F.col("_bytes") / (1024 * 1024)).alias("file_size_mb"),
-        )
+    return df.agg(F.count("*").alias("row_count")).select(
+        "row_count", F.lit(len(df.columns)).alias("column_count"), F.lit(", ".join(df.columns)).alias("columns"),
+        F.lit(types).alias("dtypes"), (size / (1024 * 1024)).alias("file_size_mb"),
     )
 
 

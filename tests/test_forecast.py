@@ -48,7 +48,7 @@ def test_prepare_drops_and_adds_up(spark):
 def test_frequencies(spark, days, expected):
     rows = [("a", datetime(2020, 1, 1) + timedelta(days=days * i), i) for i in range(6)]
     df = spark.createDataFrame(rows, "s string, ds timestamp_ntz, i int")
-    gap = fc.median_gap(fc.date_gaps(df, ["s"], "ds", "i"), ["s"])
+    gap = fc.median_gap(fc.date_points(df, ["s"], "ds", "i"), ["s"])
     assert gap.select(fc.frequency(F.col("median_days"))).first()[0] == expected
 
 

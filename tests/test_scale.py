@@ -1,12 +1,13 @@
 """Skew-safe building blocks against plain Python, with one hot group."""
 
 import random
+import statistics
 
 import pytest
 
 from pyspark.sql import Window, functions as F
 
-from insight_spark.operators import scale
+from insight_spark.operators import forecast as fc, scale
 
 
 def sample(spark, n=2000):
@@ -41,12 +42,25 @@ def test_number_rows_overall_and_per_key(spark, rows_per_bucket):
     assert [per_key[i] for i in hot] == list(range(len(hot)))
 
 
-def test_previous_in_group_equals_lag(spark):
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 50])
+def test_previous_in_group_equals_lag(spark, rows_per_bucket):
     _, df = sample(spark)
+    dated = df.select("k", F.timestamp_seconds((F.col("v") * 86400).cast("long") + 1_700_000_000).alias("ts")).distinct()
+    spread = scale.previous_in_group(dated, ["k"], "ts", "p", rows_per_bucket)
+    plain = dated.withColumn("p", F.lag("ts").over(Window.partitionBy("k").orderBy("ts")))
+    assert sorted(map(tuple, spread.select("k", "ts", "p").collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_gaps_with_a_hot_date(spark):
+    rows, df = sample(spark)
     dated = df.select("k", "i", F.timestamp_seconds((F.col("v") * 86400).cast("long") + 1_700_000_000).alias("ts"))
-    spread = scale.previous_in_group(dated, ["k"], "ts", "i", F.date_trunc("month", "ts"), "p")
-    plain = dated.withColumn("p", F.lag("ts").over(Window.partitionBy("k").orderBy("ts", "i")))
-    assert sorted(map(tuple, spread.select("k", "i", "p").collect())) == sorted(map(tuple, plain.select("k", "i", "p").collect()))
+    got = {r["i"]: r["gap_days"] for r in fc.date_gaps(dated, ["k"], "ts", "i").collect()}
+    medians = {r["k"]: r["median_days"] for r in fc.median_gap(fc.date_points(dated, ["k"], "ts", "i"), ["k"]).collect()}
+    for key in {r[0] for r in rows}:
+        times = sorted((int(r[2] * 86400), r[1]) for r in rows if r[0] == key)
+        gaps = [(b[0] - a[0]) // 86400 for a, b in zip(times, times[1:])]
+        assert [got[i] for _, i in times] == [None, *gaps]
+        assert medians[key] == statistics.median(gaps)
 
 
 def test_top_n_with_and_without_salt(spark):
