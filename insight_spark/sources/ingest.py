@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from insight_spark.functions.text import file_extension, file_name, table_name_for
 from insight_spark.operators.retrieval import cap_chunks, split_recursive, split_structured
-from insight_spark.sources.files import scan_docx, scan_text, word_parts, workbook_cells, workbook_chunks
+from insight_spark.operators.profile import table_chunks
+from insight_spark.operators.relational import string_columns
+from insight_spark.sources.files import (
+    scan_csv,
+    scan_docx,
+    scan_text,
+    scan_workbook,
+    word_parts,
+    workbook_cells,
+    workbook_chunks,
+)
+from insight_spark.sources.tables import upload_table_name, write_table
 
 # File endings by how they are read.
 TABLE_TYPES, DOCUMENT_TYPES = ("csv", "xlsx"), ("txt", "docx")
+CHUNK_COLUMNS = ["chunk_id", "conversation_id", "source", "source_type", "chunk_type", "text", "columns"]
+CHUNK_ORDER = ["source", "path", "pos", "chunk_no", "chunk_id"]
 
 
 def csv_row_chunks(files: DataFrame) -> DataFrame:
@@ -48,6 +63,16 @@ def csv_row_chunks(files: DataFrame) -> DataFrame:
     )
 
 
+def with_ids(pieces: DataFrame, conversation_id: str) -> DataFrame:
+    """Chunk columns plus the origin that orders them; an id is a hash of its origin."""
+    origin = F.concat_ws("\x1f", F.lit(conversation_id), "path", "type", F.coalesce("pos", F.lit(-1)), "chunk_no", "chunk")
+    return pieces.select(
+        F.sha2(origin, 256).alias("chunk_id"), F.lit(conversation_id).alias("conversation_id"),
+        file_name(F.col("path")).alias("source"), "source_type", F.col("type").alias("chunk_type"),
+        F.col("chunk").alias("text"), "columns", "path", "pos", "chunk_no",
+    )
+
+
 def ingest_files(files: DataFrame, conversation_id: str) -> tuple[DataFrame, DataFrame]:
     """(chunks, status) of a ``binaryFile`` listing (path, content).
 
@@ -60,34 +85,29 @@ def ingest_files(files: DataFrame, conversation_id: str) -> tuple[DataFrame, Dat
     word = listed.filter(F.col("_ext") == "docx")
     plain = listed.filter(F.col("_ext") == "txt")
     none = F.lit(None).cast("array<string>")
-    tables = csv_row_chunks(csv).select("path", "type", "text", "columns").unionByName(
-        workbook_chunks(books).select("path", "type", "text", none.alias("columns"))
+    first = F.lit(None).cast("int")
+    tables = csv_row_chunks(csv).select("path", "type", F.col("row").alias("pos"), "text", "columns").unionByName(
+        workbook_chunks(books).select("path", "type", F.col("row").alias("pos"), "text", none.alias("columns"))
     )
-    documents = scan_docx(word).select("path", "type", "text", none.alias("columns")).unionByName(
-        scan_text(plain).select("path", "type", "text", none.alias("columns"))
+    documents = scan_docx(word).select("path", "type", F.col("position").alias("pos"), "text", none.alias("columns")).unionByName(
+        scan_text(plain).select("path", "type", first.alias("pos"), "text", none.alias("columns"))
     )
     pieces = split_structured(tables).withColumn("source_type", F.lit("csv")).unionByName(
         split_recursive(documents).withColumn("source_type", F.lit("document"))
     )
-    chunks = pieces.select(
-        F.sha2(F.concat_ws("\x1f", F.lit(conversation_id), "path", "type", "chunk_no", "chunk"), 256).alias("chunk_id"),
-        F.lit(conversation_id).alias("conversation_id"),
-        file_name(F.col("path")).alias("source"),
-        "source_type", F.col("type").alias("chunk_type"), F.col("chunk").alias("text"), "columns",
-    )
-    capped = cap_chunks(chunks, ["conversation_id"], ["source", "chunk_id"])
+    capped = cap_chunks(with_ids(pieces, conversation_id), ["conversation_id"], CHUNK_ORDER).select(*CHUNK_COLUMNS)
     broken = (
         word_parts(word).filter(F.col("error").isNotNull()).select("path", "error")
         .unionByName(workbook_cells(books).filter(F.col("error").isNotNull()).select("path", "error"))
     )
-    counts = chunks.groupBy("source").agg(F.count("*").alias("chunks"))
+    counts = pieces.groupBy("path").agg(F.count("*").alias("chunks"))
     kind = F.when(F.col("_ext").isin(*TABLE_TYPES), F.lit("hybrid")).when(
         F.col("_ext").isin(*DOCUMENT_TYPES), F.lit("document")
     )
     status = (
         listed.select("path", "_ext", file_name(F.col("path")).alias("source"))
         .join(broken, "path", "left")
-        .join(counts, "source", "left")
+        .join(counts, "path", "left")
         .select(
             F.col("source").alias("filename"), F.col("_ext").alias("format"), kind.alias("type"),
             F.when(kind == "hybrid", table_name_for(F.lit(conversation_id), F.col("source"))).alias("sql_table"),
@@ -110,9 +130,85 @@ def existing_files(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
-def ingest_paths(spark: SparkSession, paths: list[str], conversation_id: str) -> tuple[DataFrame, DataFrame]:
+def typed_columns(df: DataFrame) -> DataFrame:
+    """Text columns that hold only numbers as numbers, found in one pass."""
+    texts = string_columns(df)
+    if not texts:
+        return df
+    row = df.agg(
+        *[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(texts)],
+        *[F.count(F.col(c).try_cast("double")).alias(f"d_{i}") for i, c in enumerate(texts)],
+        *[F.count(F.when(F.col(c).rlike(r"^[+-]?[0-9]{1,18}$"), 1)).alias(f"i_{i}") for i, c in enumerate(texts)],
+    ).first()
+    kinds = {
+        c: "bigint" if row[f"i_{i}"] == row[f"n_{i}"] else "double"
+        for i, c in enumerate(texts)
+        if row[f"n_{i}"] and row[f"d_{i}"] == row[f"n_{i}"]
+    }
+    return df.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns])
+
+
+def read_table_file(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file, or the first sheet of a workbook, as a typed table."""
+    if path.lower().endswith(".csv"):
+        return scan_csv(spark, path)
+    book = spark.read.format("binaryFile").load(path).select("path", "content")
+    problem = workbook_cells(book).filter(F.col("kind") == "error").select("error").first()
+    if problem is not None:
+        raise ValueError(problem[0])
+    return typed_columns(scan_workbook(book).drop("path", "row"))
+
+
+def ingest_table_file(
+    spark: SparkSession, path: str, conversation_id: str, table_path: str | None = None
+) -> tuple[DataFrame, str]:
+    """Import a structured file as a table and turn it into row, group and overview
+    texts: (pieces, table name). Members of a group are listed in column order."""
+    source = path.rsplit("/", 1)[-1]
+    df = read_table_file(spark, path)
+    name = write_table(df, upload_table_name(conversation_id, source), table_path)
+    stored = spark.table(f"`{name}`")
+    texts = table_chunks(stored, source, stored.columns)
+    pieces = split_structured(texts.select(F.col("chunk_type").alias("type"), "text")).select(
+        F.lit(path).alias("path"), "type", F.lit(None).cast("int").alias("pos"), "chunk_no", "chunk",
+        F.array(*[F.lit(c) for c in stored.columns]).alias("columns"), F.lit("csv").alias("source_type"),
+    )
+    return pieces, name
+
+
+def ingest_paths(
+    spark: SparkSession, paths: list[str], conversation_id: str, table_folder: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(chunks, status) of one upload; structured files also become tables.
+
+    The driver walks over the files of the upload, each of which is a distributed
+    job of its own. Missing files are skipped; a broken one only shows in the status.
+    """
     found = existing_files(spark, paths)
     if not found:
         raise FileNotFoundError("none of the given files exists")
-    files = spark.read.format("binaryFile").load(found).select("path", "content")
-    return ingest_files(files, conversation_id)
+    structured = [p for p in found if p.lower().endswith(TABLE_TYPES)]
+    others = [p for p in found if p not in structured]
+    pieces, rows = [], []
+    for path in structured:
+        source = path.rsplit("/", 1)[-1]
+        ending = source.rsplit(".", 1)[-1].lower()
+        try:
+            place = f"{table_folder}/{upload_table_name(conversation_id, source)}" if table_folder else None
+            made, name = ingest_table_file(spark, path, conversation_id, place)
+            pieces.append(made)
+            rows.append((source, ending, "hybrid", name, made.count(), "ready", None))
+        except Exception as problem:  # one bad file must not fail the upload
+            rows.append((source, ending, "hybrid", None, 0, "error", str(problem)[:300]))
+    schema = "filename string, format string, type string, sql_table string, chunks bigint, status string, error string"
+    status = spark.createDataFrame(rows, schema)
+    parts = [with_ids(made, conversation_id) for made in pieces]
+    if others:
+        files = spark.read.format("binaryFile").load(others).select("path", "content")
+        chunks, other_status = ingest_files(files, conversation_id)
+        parts.append(chunks.withColumns({"path": F.col("source"), "pos": F.lit(None).cast("int"), "chunk_no": F.lit(0)}))
+        status = status.unionByName(other_status)
+    if not parts:
+        raise ValueError("no file of the upload could be read")
+    together = reduce(DataFrame.unionByName, parts)
+    return cap_chunks(together, ["conversation_id"], CHUNK_ORDER).select(*CHUNK_COLUMNS), status

@@ -53,17 +53,38 @@ def test_workbook(spark, folder):
 
 def test_ingest(spark, folder):
     paths = [str(folder / n) for n in ("sales.csv", "notes.txt", "plan.docx", "book.xlsx", "broken.docx", "image.png", "missing.txt")]
-    chunks, status = ingest.ingest_paths(spark, paths, "0123456789")
+    chunks, status = ingest.ingest_paths(spark, paths, "0123456789", fresh_path(spark, "tables"))
+    got = {r["filename"]: (r["type"], r["status"], r["sql_table"]) for r in status.collect()}
+    assert got == {
+        "sales.csv": ("hybrid", "ready", "upload_01234567_sales"), "notes.txt": ("document", "ready", None),
+        "plan.docx": ("document", "ready", None), "book.xlsx": ("hybrid", "ready", "upload_01234567_book"),
+        "broken.docx": ("document", "error", None), "image.png": (None, "skipped", None),
+    }
+    assert dict(spark.table("upload_01234567_book").dtypes) == {"ID": "bigint", "Name": "string", "Price": "double"}
+    assert spark.table("upload_01234567_sales").count() == 2
+    rows = chunks.collect()
+    assert {(r["source"], r["chunk_type"]) for r in rows} >= {
+        ("sales.csv", "row_narrative"), ("sales.csv", "dataset_overview"), ("book.xlsx", "row_narrative"), ("plan.docx", "docx_table"), ("notes.txt", "txt"),
+    }
+    assert 'Jan — Revenue: $450,000. Note: a, "b".' in {r["text"].split(" ", 1)[1] for r in rows if r["source"] == "sales.csv"}
+    assert all(r["columns"] == ["Month", "Revenue", "Note"] for r in rows if r["source"] == "sales.csv")
+
+
+def test_ingest_without_tables(spark, folder):
+    listing = files.binary_files(spark, str(folder)).select("path", "content")
+    chunks, status = ingest.ingest_files(listing, "0123456789")
     got = {r["filename"]: (r["type"], r["status"], r["chunks"]) for r in status.collect()}
     assert got == {
         "sales.csv": ("hybrid", "ready", 2), "notes.txt": ("document", "ready", 1), "plan.docx": ("document", "ready", 4),
         "book.xlsx": ("hybrid", "ready", 5), "broken.docx": ("document", "error", 0), "image.png": (None, "skipped", 0),
     }
-    assert status.filter("filename = 'sales.csv'").first()["sql_table"] == "upload_01234567_sales"
     texts = {r["text"] for r in chunks.filter("source = 'sales.csv'").collect()}
     assert texts == {
         'From sales.csv, Row 0:\nMonth: Jan, Revenue: 450000, Note: a, "b"', "From sales.csv, Row 1:\nMonth: Feb, Revenue: nan, Note: two\nlines",
     }
+
+
+def test_missing_files(spark, folder):
     with pytest.raises(FileNotFoundError):
         ingest.ingest_paths(spark, [str(folder / "missing.txt")], "x")
 
