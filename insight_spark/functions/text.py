@@ -116,7 +116,7 @@ def format_value(column_name: str, value: Column, role: str) -> Column:
         shown = F.concat(_pattern(number, "0.0"), F.lit("%"))
     else:
         shown = F.when(
-            number == F.floor(number), number.cast("decimal(38,0)").cast("string")
+            number == F.rint(number), number.cast("decimal(38,0)").cast("string")
         ).otherwise(_pattern(number, "0.00"))
     return (
         F.when(value.isNull(), F.lit("N/A"))

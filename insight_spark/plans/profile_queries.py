@@ -78,14 +78,17 @@ def group_summaries(t: Tables) -> DataFrame:
 
 
 def _breakdown_sql(column: str, label: str) -> str:
-    return f"""(SELECT '{label} breakdown: ' || string_agg(v || ' (' || n || ')', ', ' ORDER BY n DESC, v) || '.' FROM
- (SELECT {column} AS v, count(*) AS n FROM part GROUP BY v ORDER BY n DESC, v LIMIT 8))"""
+    """Breakdown line of a column, empty when its role is text: more than twenty
+    values and more than a tenth of the rows."""
+    return f"""CASE WHEN count(DISTINCT {column}) <= 20 OR count(DISTINCT {column}) <= 0.1 * count(*) THEN
+ (SELECT '{label} breakdown: ' || string_agg(v || ' (' || n || ')', ', ' ORDER BY n DESC, v) || '.' FROM
+ (SELECT {column} AS v, count(*) AS n FROM part GROUP BY v ORDER BY n DESC, v LIMIT 8)) || chr(10) ELSE '' END"""
 
 
 @query("dataset_overview", f"""
 SELECT 'dataset_overview' AS chunk_type, 'part.csv' AS source, 'csv' AS source_type, 'Dataset overview — part.csv' || chr(10) || 'Contains ' || count(*)
- || ' p_partkeys with 6 attributes.' || chr(10) || {_breakdown_sql('p_name', 'p name')} || chr(10) || {_breakdown_sql('p_brand', 'p brand')}
- || chr(10) || {_breakdown_sql('p_type', 'p type')} || chr(10) || 'p size: ranges ' || min(p_size) || '–' || max(p_size) || ', average ' || {two('avg(p_size)')}
+ || ' p_partkeys with 6 attributes.' || chr(10) || {_breakdown_sql('p_name', 'p name')} || {_breakdown_sql('p_brand', 'p brand')}
+ || {_breakdown_sql('p_type', 'p type')} || 'p size: ranges ' || min(p_size) || '–' || max(p_size) || ', average ' || {two('avg(p_size)')}
  || '.' || chr(10) || 'p retailprice: ranges ' || {money('min(p_retailprice)')} || '–' || {money('max(p_retailprice)')} || ', average ' || {money('avg(p_retailprice)')} || '.' AS text FROM part""")
 def dataset_overview(t: Tables) -> DataFrame:
     return prof.dataset_overview(t.part, prof.role_map(t.part), "part.csv")

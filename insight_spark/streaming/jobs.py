@@ -8,19 +8,21 @@ from pyspark.sql.streaming import StreamingQuery
 from insight_spark.functions.text import title_from_first_message
 from insight_spark.operators.routing import classify_route
 from insight_spark.sources.chunk_store import write_chunks
-from insight_spark.sources.ingest import ingest_files
+from insight_spark.sources.ingest import ingest_files, ingest_paths
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stream_ingest_files(
     spark: SparkSession, folder: str, conversation_id: str, chunk_path: str, status_path: str,
-    checkpoint: str, files_per_batch: int = 1000,
+    checkpoint: str, files_per_batch: int = 1000, table_folder: str | None = None,
 ) -> StreamingQuery:
     """Watch a folder; every micro-batch of files becomes chunks and a status row each.
 
     Chunk ids are hashes of their origin and the status carries the batch number,
-    so a repeated batch replaces its own output instead of doubling it.
+    so a repeated batch replaces its own output instead of doubling it. With a
+    ``table_folder`` structured files also become tables; the driver then walks
+    over the files of a batch, at most ``files_per_batch``.
     """
     files = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
@@ -28,7 +30,13 @@ def stream_ingest_files(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        chunks, status = ingest_files(batch.select("path", "content"), conversation_id)
+        if batch.isEmpty():
+            return
+        if table_folder:
+            paths = [r["path"] for r in batch.select("path").collect()]
+            chunks, status = ingest_paths(spark, paths, conversation_id, table_folder)
+        else:
+            chunks, status = ingest_files(batch.select("path", "content"), conversation_id)
         write_chunks(chunks.withColumn("meta", F.create_map(F.lit("batch"), F.lit(str(batch_id)))), f"{chunk_path}/batch={batch_id}")
         status.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{status_path}/batch={batch_id}")
 

@@ -44,6 +44,20 @@ def test_ingest_stream(spark, tmp_path):
     assert {r["source"] for r in chunks.select("source").distinct().collect()} == {"a.txt", "c.txt"}
 
 
+def test_ingest_stream_imports_tables(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "staff.csv").write_text("StaffID,Team\nS1,a\nS2,a\n")
+    (folder / "note.txt").write_text("A note.")
+    path = fresh_path(spark, "ingest")
+    jobs.stream_ingest_files(
+        spark, str(folder), "feedbeef-1", f"{path}/chunks", f"{path}/status", f"{path}/cp", table_folder=f"{path}/tables"
+    ).awaitTermination()
+    assert spark.table("upload_feedbeef_staff").count() == 2
+    texts = {r["text"] for r in spark.read.parquet(f"{path}/chunks").collect()}
+    assert "Staff S1 — Team: a." in texts and "A note." in texts
+
+
 def test_classify_stream(spark):
     path = fresh_path(spark, "classify")
     df = spark.createDataFrame([("hello there", True, True, ["a.csv"]), ("plot sales", True, True, ["a.csv"])], "question string, has_docs boolean, has_csv boolean, files array<string>")
