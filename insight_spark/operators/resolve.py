@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import expand_abbreviations, normalize_token, parse_month
 from insight_spark.operators.relational import string_columns
-from insight_spark.operators.scale import BLOCK_CELLS, probe_slices, probe_top_k
+from insight_spark.operators.scale import BLOCK_CELLS, probe_slices
 
 LITERAL = r"'((?:[^'\"\\]|\\.)*)'"
 ALPHABET_BINS = 64
@@ -99,7 +99,7 @@ def fuzzy_match(
         shared = spark.sparkContext.broadcast(
             (found["_probe"].tolist(), found["_scope"].tolist(), [_histogram(p) for p in found["_probe"]])
         )
-        best = probe_top_k_text(corpus, shared, found["_id"].tolist(), cutoff)
+        best = _closest_values(corpus, shared, found["_id"].tolist(), cutoff)
         out = best if out is None else out.unionByName(best)
     parsed = F.from_json("_id", "s string, p string")
     return out.select(
@@ -115,7 +115,7 @@ def _histogram(text: str) -> np.ndarray:
     return counts
 
 
-def probe_top_k_text(corpus: DataFrame, shared, ids: list[str], cutoff: float) -> DataFrame:
+def _closest_values(corpus: DataFrame, shared, ids: list[str], cutoff: float) -> DataFrame:
     def run(batches):
         probes, scopes, histograms = shared.value
         by_scope: dict = {}

@@ -13,11 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from insight_spark.functions import fixed_values as fv
-from insight_spark.functions.text import literal_map, name_tokens, preview_text, tokenize_words
+from insight_spark.functions.text import name_tokens, preview_text, tokenize_words
 from insight_spark.operators.scale import (
     BLOCK_CELLS,
     best_of_block,
-    keep_best,
     probe_slices,
     probe_top_k,
     top_n_per_group,

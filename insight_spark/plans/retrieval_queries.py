@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from insight_spark.functions import fixed_values as fv
-from insight_spark.functions.text import tokenize_words
 from insight_spark.operators import retrieval as ret
 from insight_spark.operators import routing
-from insight_spark.operators.relational import agg_dominant
 from insight_spark.operators.scale import spread_small, top_n_per_group
 from insight_spark.plans.registry import Tables, query, sql_list
 from insight_spark.plans.text_queries import TOKENS_SQL, WORDS_SQL

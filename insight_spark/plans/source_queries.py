@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from insight_spark.functions import fixed_values as fv
 from insight_spark.operators import evaluation as ev
 from insight_spark.operators.retrieval import split_recursive
 from insight_spark.operators.scale import spread_small
