@@ -57,14 +57,14 @@ def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def kept_table(df: DataFrame, label: str) -> DataFrame:
+def kept_table(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     What follows reads the files, so an executor that is lost costs a read and
     not the work before it. Nothing is held on one machine.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

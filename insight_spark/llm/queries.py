@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import simhash
+from insight_spark.llm import language_id, pattern_packing, quality_model, quality_rules, secret_scan, simhash
+from insight_spark.llm.common import crc_bucket
 from insight_spark.session import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +26,52 @@ def _query(name: str):
 @_query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(load_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+ORACLES["op9_quality_rules"] = quality_rules.oracle()
+
+
+@_query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(load_table(spark, sf_dir, "documents")))
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> quality_model.Model:
+    """Learned from the labels of ids whose crc32 modulo 5 is not 0."""
+    return quality_model.train(
+        load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0
+    )
+
+
+@_query("op8_quality_model")
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model.score(load_table(spark, sf_dir, "documents"), quality_classifier(spark, sf_dir))
+    return scored.select(
+        "doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@_query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    pieces = language_id.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    held_out = crc_bucket("doc_id", 3) == 1
+    model = language_id.train(docs, pieces, ~held_out)
+    found = language_id.predict(docs, model, pieces)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@_query("op2_pattern_packing")
+def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pattern_packing.pack_documents(
+        load_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
