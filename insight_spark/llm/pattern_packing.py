@@ -23,6 +23,8 @@ from insight_spark.llm.tokens import shared_tokens
 LIMIT = 2048
 # Lengths are fitted in classes of LIMIT / CLASSES tokens.
 CLASSES = 256
+# A fitted pattern may leave so many tokens of a sequence free; looser ones go to the rest.
+SLACK = 1
 
 
 class Plan(NamedTuple):
@@ -44,6 +46,7 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, max_steps: int = 300
     """x >= 0 that minimises |a x - b|, by the active-set method of Lawson and Hanson."""
     x = np.zeros(a.shape[1])
     passive: list[int] = []
+    target = a.T @ b
     tolerance = 1e-9 * max(float(np.abs(b).max(initial=0)), 1e-300)
     for _ in range(max_steps):
         gradient = a.T @ (b - a @ x)
@@ -53,7 +56,11 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, max_steps: int = 300
             break
         passive.append(best)
         while passive:
-            solved = np.linalg.lstsq(a[:, passive], b, rcond=None)[0]
+            chosen = a[:, passive]
+            try:
+                solved = np.linalg.solve(chosen.T @ chosen, target[passive])
+            except np.linalg.LinAlgError:  # dependent patterns
+                solved = np.linalg.lstsq(chosen, b, rcond=None)[0]
             if (solved > 0).all():
                 x[:] = 0
                 x[passive] = solved
@@ -121,18 +128,23 @@ def _fitted(left: dict[int, int], limit: int, width: int, classes: int) -> dict[
 
 
 def _members(pattern: tuple[int, ...], left: dict[int, int], limit: int, width: int) -> list[int]:
-    """Exact lengths for a pattern's classes: the longest of each, and last the longest that still fits."""
-    chosen: list[int] = []
-    for place, number in enumerate(pattern):
-        room = limit - sum(chosen)
-        top = room if place and place == len(pattern) - 1 else min(room, number * width)
-        for length in range(top, (number - 1) * width, -1):
-            if left.get(length, 0) > chosen.count(length):
-                chosen.append(length)
-                break
-        else:
-            return []
-    return chosen
+    """Exact lengths for a pattern's classes that leave at most SLACK tokens free, or none."""
+    tops = [number * width for number in pattern]
+    for first in range(min(limit, tops[0]), tops[0] - width, -1):
+        if not left.get(first):
+            continue
+        chosen = [first]
+        for place, top in enumerate(tops[1:], 1):
+            room = limit - sum(chosen)
+            last = place == len(pattern) - 1
+            low = max(1, room - SLACK) if last else top - width + 1
+            for length in range(room if last else min(room, top), low - 1, -1):
+                if left.get(length, 0) > chosen.count(length):
+                    chosen.append(length)
+                    break
+        if len(chosen) == len(pattern) and sum(chosen) >= limit - SLACK:
+            return chosen
+    return []
 
 
 def _best_fit(left: dict[int, int], packs: dict[tuple[int, ...], int], limit: int) -> dict[tuple[int, ...], int]:
@@ -144,7 +156,7 @@ def _best_fit(left: dict[int, int], packs: dict[tuple[int, ...], int], limit: in
         count = left[length]
         for room in range(length, limit + 1):
             while count and by_room[room]:
-                pattern = min(by_room[room])
+                pattern = next(iter(by_room[room]))
                 used = min(count, by_room[room][pattern])
                 # A sequence takes as many of these as fit before the next one is opened.
                 fits = min(room // length, -(-count // used) if used else 1)

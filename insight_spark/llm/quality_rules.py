@@ -126,11 +126,11 @@ def oracle(rules: list[Rule] = RULES) -> str:
     ), w AS (
       SELECT doc_id, t, regexp_extract_all(t, '{word}+') AS ws,
              list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{word}')) AS ls FROM d
-    ), at AS (
+    ), placed AS (
       SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win
       FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)
     ), rep AS (
-      SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM at) WHERE n > 1
+      SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM placed) WHERE n > 1
     ), cov AS (
       SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n_repeat_words
       FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id
