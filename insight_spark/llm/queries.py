@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import language_id, pattern_packing, quality_model, quality_rules, secret_scan, simhash
+from insight_spark.llm import decontaminate, language_id, pattern_packing, quality_model, quality_rules, secret_scan, simhash, simple8b
 from insight_spark.llm.common import crc_bucket
 from insight_spark.session import load_table
 
@@ -75,3 +75,16 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         load_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query("op7_simple8b")
+def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read_back = simple8b.round_trip(
+        load_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2
+    )
+    return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
