@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.llm.common import chunks, id_type, kept_table, map_chunks, small_batches
+from insight_spark.llm.common import chunks, id_type, kept_table, map_chunks, small_batches, text_key
 
 # Fixed masks: six words each out of 8, 10 and 12. Together they meet 98 of 100 stretches of
 # 15 words in which three were replaced.
@@ -151,11 +151,6 @@ def _passes(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return kept
 
 
-def text_key(text_col: str) -> Column:
-    """With the id it names a row: rows of equal id and text have the same verdict."""
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
 def hit_regions(df: DataFrame, bits, masks: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
     """Stretches of documents around places that pass the filter, written to the shared folder.
 

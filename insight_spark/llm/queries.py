@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import decontaminate, language_id, pattern_packing, quality_model, quality_rules, secret_scan, simhash, simple8b
+from insight_spark.llm import decontaminate, language_id, lm_score, pattern_packing, preference, quality_model, quality_rules, secret_scan, simhash, simple8b
 from insight_spark.llm.common import crc_bucket
 from insight_spark.session import load_table
 
@@ -88,3 +88,23 @@ def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+
+
+@_query("op5_preference")
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against its echo: the last answer replaced by what the assistant was just told."""
+    turns = load_table(spark, sf_dir, "conversations")
+    names = ("conv_id", "turn", "role", "text")
+    return preference.format_pairs(turns, preference.echo_rejections(turns, *names), *names)
+
+
+ORACLES["op5_preference"] = preference.ORACLE
+
+
+@_query("op6_lm_score")
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as good. Background: all documents."""
+    docs = load_table(spark, sf_dir, "documents")
+    good = load_table(spark, sf_dir, "labels").filter("quality = 1")
+    models = lm_score.train(lm_score.mark_target(docs.select("doc_id", "text"), good), F.col("_target"))
+    return lm_score.score(docs, models)

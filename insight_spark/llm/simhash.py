@@ -14,9 +14,9 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.llm.common import id_type, kept_table, map_chunks
+from insight_spark.llm.common import id_type, kept_table, map_chunks, text_key
 from insight_spark.llm.components import connected_components
 
 SEED = 42
@@ -47,14 +47,15 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(``id_col``, fp) per row; ``fp`` is the fingerprint as a signed long, null text counts as empty."""
+    """(id, text_key, fp) per row; ``fp`` is the fingerprint as a signed long, null text counts as empty."""
 
     def work(chunk: pa.RecordBatch) -> pa.RecordBatch:
-        values = [fingerprint(text, words) for text in chunk.column(1).to_pylist()]
+        values = [fingerprint(text, words) for text in chunk.column(2).to_pylist()]
         signed = np.array(values, np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([chunk.column(0), pa.array(signed)], names=[id_col, "fp"])
+        return pa.RecordBatch.from_arrays([*chunk.columns[:2], pa.array(signed)], names=["id", "text_key", "fp"])
 
-    return map_chunks(df.select(id_col, text_col), work, f"`{id_col}` {id_type(df, id_col)}, fp bigint")
+    given = df.select(id_col, text_key(text_col).alias("text_key"), F.col(text_col).cast("string"))
+    return map_chunks(given, work, f"id {id_type(df, id_col)}, text_key bigint, fp bigint")
 
 
 def links(prints: DataFrame, bits: int = 3) -> DataFrame:
@@ -103,12 +104,45 @@ def near_duplicates(
     list grows with the number of copies.
     """
     prints = kept_table(fingerprints(df, id_col, text_col, words), "fingerprints")
-    labels = connected_components(links(prints, bits)).withColumnRenamed("node", "fp")
-    groups = prints.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    labelled = groups.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "first_id")
-    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    # Written, so that both sides of the last join are dealt anew and a hot fingerprint can be split.
-    placed = kept_table(labelled.join(least, "label").select("fp", "component_id"), "components")
+    placed = _groups(prints, F.min("id"), bits)
     return prints.join(placed, "fp").select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("first").alias("component_id"),
+    )
+
+
+def _groups(prints: DataFrame, least: Column, bits: int) -> DataFrame:
+    """(fp, first) for every fingerprint: ``least``, a minimum over ``prints``, of its whole component.
+
+    Written to the shared folder, so that both sides of a join with it are dealt
+    anew and a hot fingerprint can be split.
+    """
+    labels = connected_components(links(prints, bits)).withColumnRenamed("node", "fp")
+    groups = prints.groupBy("fp").agg(least.alias("first"))
+    labelled = groups.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "first")
+    firsts = labelled.groupBy("label").agg(F.min("first").alias("first"))
+    return kept_table(labelled.drop("first").join(firsts, "label").select("fp", "first"), "components")
+
+
+def keep_one(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3
+) -> DataFrame:
+    """One row, with all its columns, of every near-duplicate group: that of the smallest id.
+
+    Among rows of the smallest id the one with the smallest text hash stays, of
+    repeated rows the least by their columns. A null id counts as the greatest.
+    """
+    prints = kept_table(fingerprints(df, id_col, text_col, words), "fingerprints")
+    key = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_key").alias("text_key"))
+    placed = _groups(prints, F.min(key), bits)
+    doubled = prints.join(placed, "fp").filter(
+        ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")))
     )
+    dropped = doubled.select(F.col("id").alias("_drop_id"), F.col("text_key").alias("_drop_key")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.col("_text_key") == F.col("_drop_key"))
+    kept = df.withColumn("_text_key", text_key(text_col)).join(dropped, same, "left_anti")
+    if not prints.groupBy("id", "text_key").count().filter("count > 1").isEmpty():
+        rest = [c for c in df.columns if c != id_col]
+        least = kept.groupBy(id_col, "_text_key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))
+        kept = least.select(id_col, *[F.col("_row").getField(c).alias(c) for c in rest])
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
