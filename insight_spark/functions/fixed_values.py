@@ -212,7 +212,6 @@ GROUP_LINES, GROUP_DETAILS, GROUP_MEANS = 15, 5, 6
 OVERVIEW_CATEGORIES, OVERVIEW_VALUES, OVERVIEW_NUMBERS = 4, 8, 6
 PROSE_CHUNK, PROSE_OVERLAP = 1000, 200
 TABLE_CHUNK, TABLE_OVERLAP = 10000, 50
-CHUNK_CAP = 5000
 CANDIDATES, RERANKED = 10, 3
 LEXICAL_WEIGHT, VECTOR_WEIGHT, FUSION_CONSTANT = 0.5, 0.5, 60
 GUARD_THRESHOLD, GUARD_STEP, GUARD_MAX = -10.0, 0.5, 2.0
@@ -221,6 +220,8 @@ DEDUPE_PREFIX, PREVIEW_CHARS = 100, 150
 VALUE_CUTOFF, COLUMN_CUTOFF = 0.75, 0.7
 SHOWN_VALUES = 20
 CHART_POINTS, CHART_MIN_ROWS = 50, 2
+# A number in plain decimal notation.
+NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 DEFAULT_PERIODS, MAX_PERIODS, MIN_SERIES_ROWS = 6, 36, 3
 TREND_PERCENT = 2.0
 LISTED_CONVERSATIONS, LISTED_MESSAGES, CACHED_MESSAGES = 20, 50, 100

@@ -32,9 +32,9 @@ def primary_table(sql: Column) -> Column:
 
 def extract_periods(question: Column) -> Column:
     """Number of periods asked for, clamped; the unit itself is not interpreted."""
-    number = F.regexp_extract(
-        F.lower(question), r"([0-9]+)\s*(?:month|week|quarter|year|period)", 1
-    ).try_cast("int")
+    digits = F.regexp_extract(F.lower(question), r"([0-9]+)\s*(?:month|week|quarter|year|period)", 1)
+    # Too long a number for an integer is certainly above the greatest one.
+    number = F.when(F.length(F.ltrim(digits, F.lit("0"))) > 9, F.lit(fv.MAX_PERIODS)).otherwise(digits.try_cast("int"))
     return F.when(number.isNull(), F.lit(fv.DEFAULT_PERIODS)).otherwise(
         F.greatest(F.lit(1), F.least(F.lit(fv.MAX_PERIODS), number))
     )

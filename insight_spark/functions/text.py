@@ -169,7 +169,7 @@ def title_from_first_message(title: Column, content: Column) -> Column:
 
 def is_numeric_string(value: Column) -> Column:
     """True when the text reads as a number; null counts as not numeric."""
-    return F.coalesce(F.trim(value).try_cast("double").isNotNull(), F.lit(False))
+    return F.coalesce(F.trim(value).rlike(fv.NUMBER), F.lit(False))
 
 
 def json_field(json: Column, path: str) -> Column:

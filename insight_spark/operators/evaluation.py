@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions.logs import keyword_hit, refusal_flag
 from insight_spark.operators.relational import agg_accuracy, agg_confusion
-from insight_spark.operators.scale import value_at_index
+from insight_spark.operators.scale import kept, value_at_index
 
 ROUTES = ["sql", "document", "hybrid", "general", "forecast"]
 
@@ -37,7 +37,7 @@ def latency_per_question(log: DataFrame, question: str, route: str, seconds: str
 
 def eval_latency(log: DataFrame, question: str, route: str, seconds: str) -> DataFrame:
     """Mean per question, then mean and 95th-percentile-by-index per class and overall."""
-    means = latency_per_question(log, question, route, seconds).persist()
+    means = kept(latency_per_question(log, question, route, seconds), "latency")
     per_class = means.groupBy(F.col(route).alias("class")).agg(F.avg("mean_s").alias("avg_s"), F.count("*").alias("questions"))
     per_class_p95 = value_at_index(means.withColumnRenamed(route, "class"), ["class"], "mean_s", 0.95, "p95_s")
     overall = means.agg(F.avg("mean_s").alias("avg_s"), F.count("*").alias("questions")).withColumn("class", F.lit("overall"))

@@ -11,13 +11,13 @@ from insight_spark.functions.logs import percent_change, trend_label
 from insight_spark.operators.relational import (
     agg_mape,
     agg_parse_ratio,
-    coerce_date,
-    coerce_numeric,
+    date_of,
     holdout_split,
+    number_of,
     numeric_columns,
     string_columns,
 )
-from insight_spark.operators.scale import previous_in_group
+from insight_spark.operators.scale import join_null_safe, previous_in_group
 
 PERIOD_UNITS = {"D": "day", "W": "week", "MS": "month", "QS": "quarter", "YS": "year"}
 FIT_SCHEMA = "ds timestamp, y double, yhat double, yhat_lower double, yhat_upper double"
@@ -65,7 +65,7 @@ def prepare(df: DataFrame, keys: list[str], ds: str, y: str, unit: str | None =
     series never has more rows than the calendar has periods, however many facts
     it holds.
     """
-    typed = df.select(*keys, coerce_date(F.col(ds)).alias("ds"), coerce_numeric(F.col(y)).alias("y")).dropna(subset=["ds", "y"])
+    typed = df.select(*keys, date_of(df, ds).alias("ds"), number_of(df, y).alias("y")).dropna(subset=["ds", "y"])
     if unit:
         how = {"sum": F.sum, "avg": F.avg}[agg]
         typed = (
@@ -74,7 +74,13 @@ def prepare(df: DataFrame, keys: list[str], ds: str, y: str, unit: str | None =
     if not keys:
         return typed.filter(typed.select(F.count("*")).scalar() >= fv.MIN_SERIES_ROWS)
     sizes = typed.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= fv.MIN_SERIES_ROWS)
-    return typed.join(sizes, keys, "left_semi")
+    return join_null_safe(typed, sizes, keys, "left_semi")
+
+
+def unreadable_rows(df: DataFrame, keys: list[str], ds: str, y: str) -> DataFrame:
+    """Per series how many rows :func:`prepare` leaves out because the date or the number is none."""
+    bad = date_of(df, ds).isNull() | number_of(df, y).isNull()
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(bad).alias("dropped"))
 
 
 def _days(later: Column, earlier: Column) -> Column:
@@ -99,9 +105,7 @@ def date_gaps(df: DataFrame, keys: list[str], ds: str, tie: str) -> DataFrame:
     """Every row with the whole days since the row before it in the same series."""
     points = date_points(df, keys, ds, tie)
     gap = F.when(F.col(tie) == F.col("first_row"), F.col("gap_days")).otherwise(F.lit(0))
-    return (
-        df.join(points, [*keys, ds]).withColumn("gap_days", gap).drop("rows", "first_row", "previous_ds")
-    )
+    return join_null_safe(df, points, [*keys, ds]).withColumn("gap_days", gap).drop("rows", "first_row", "previous_ds")
 
 
 def median_gap(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,14 +159,13 @@ def future_dates(last: DataFrame, last_ds: str, periods: int = fv.DEFAULT_PERIOD
     return last.withColumn("ds", F.explode(dates))
 
 
-def _design(days: np.ndarray, start: float, span: float, weekly: bool, yearly: bool) -> np.ndarray:
-    """Trend line plus Fourier terms of the week (order 3) and the year (up to 10)."""
+def _design(days: np.ndarray, start: float, span: float, weekly: int, yearly: int) -> np.ndarray:
+    """Trend line plus Fourier terms of the week and the year, to the given orders."""
     columns = [np.ones_like(days), (days - start) / span]
-    for active, period, order in ((weekly, 7.0, 3), (yearly, 365.25, 10)):
-        if active:
-            for n in range(1, order + 1):
-                angle = 2 * np.pi * n * days / period
-                columns += [np.sin(angle), np.cos(angle)]
+    for period, order in ((7.0, weekly), (365.25, yearly)):
+        for n in range(1, order + 1):
+            angle = 2 * np.pi * n * days / period
+            columns += [np.sin(angle), np.cos(angle)]
     return np.column_stack(columns)
 
 
@@ -183,9 +186,12 @@ def fit_series(pdf: pd.DataFrame, periods: int, freq: str | None) -> pd.DataFram
     ahead = future.to_numpy().astype("datetime64[us]").astype(float) / 86_400_000_000
     start, span = days[0], max(days[-1] - days[0], 1.0)
     finest = gaps[gaps > 0].min() if (gaps > 0).any() else 0
-    # A season needs two cycles of history and more rows than terms.
-    weekly = span >= 14 and 0 < finest < 7 and len(y) > 2 * 8
-    yearly = span >= 730 and len(y) > 2 * 28
+    # A season needs two cycles of history (the last month of a year may still be open). A year gets
+    # as many waves as the spacing of the rows can show and four rows per term support.
+    weekly = 3 if span >= 14 and 0 < finest < 7 and len(y) > 2 * 8 else 0
+    spacing = np.median(gaps[gaps > 0]) if (gaps > 0).any() else 365
+    yearly = int(min(10, 365.25 / (2 * spacing) - 0.5, (len(y) / 4 - 1 - 2 * weekly) / 2)) if span >= 690 else 0
+    yearly = max(0, yearly)
     history = _design(days, start, span, weekly, yearly)
     beta, *_ = np.linalg.lstsq(history, y, rcond=None)
     fitted = history @ beta
@@ -249,7 +255,7 @@ def filter_future(forecasts: DataFrame, actuals: DataFrame, keys: list[str]) ->
     if not keys:
         return forecasts.filter(F.col("ds") > actuals.select(F.max("ds")).scalar())
     last = actuals.groupBy(*keys).agg(F.max("ds").alias("_last"))
-    return forecasts.join(last, keys).filter(F.col("ds") > F.col("_last")).drop("_last")
+    return join_null_safe(forecasts, last, keys).filter(F.col("ds") > F.col("_last")).drop("_last")
 
 
 def outside_band(y: Column, lower: Column, upper: Column) -> Column:
@@ -258,7 +264,7 @@ def outside_band(y: Column, lower: Column, upper: Column) -> Column:
 
 def join_actual_forecast(actuals: DataFrame, forecasts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Actuals with the forecast of the same date."""
-    return actuals.join(forecasts.drop("y"), [*keys, "ds"], how)
+    return join_null_safe(actuals, forecasts.drop("y"), [*keys, "ds"], how)
 
 
 def anomalies(joined: DataFrame, keys: list[str]) -> DataFrame:
@@ -280,7 +286,7 @@ def chart_rows(forecasts: DataFrame, actuals_per_day: DataFrame, keys: list[str]
     """
     dated = forecasts.drop("y").withColumn("day", F.to_date("ds"))
     known = actuals_per_day.withColumn("_known", F.lit(True))
-    joined = dated.join(known, [*keys, "day"], "left")
+    joined = join_null_safe(dated, known, [*keys, "day"], "left")
 
     def later(column: str) -> Column:
         return F.when(F.col("_known").isNull(), F.round(column, 2))
@@ -303,7 +309,7 @@ def first_last(actuals: DataFrame, future: DataFrame, keys: list[str]) -> DataFr
     ahead = future.groupBy(*keys).agg(
         F.min_by("yhat", "ds").alias("next_forecast"), F.max_by("yhat", "ds").alias("last_forecast")
     )
-    return past.join(ahead, keys, "left")
+    return join_null_safe(past, ahead, keys, "left")
 
 
 def summary(actuals: DataFrame, future: DataFrame, flagged: DataFrame, keys: list[str]) -> DataFrame:
@@ -311,8 +317,7 @@ def summary(actuals: DataFrame, future: DataFrame, flagged: DataFrame, keys: lis
     counts = flagged.groupBy(*keys).agg(F.count("*").alias("anomalies"))
     percent = percent_change(F.col("last_actual"), F.col("last_forecast"))
     return (
-        first_last(actuals, future, keys)
-        .join(counts, keys, "left")
+        join_null_safe(first_last(actuals, future, keys), counts, keys, "left")
         .withColumn("anomalies", F.coalesce("anomalies", F.lit(0)))
         .withColumn("pct_change", F.round(percent, 1))
         .withColumn("trend", trend_label(percent))
@@ -329,7 +334,8 @@ def backtest(series: DataFrame, keys: list[str], freq: str | None = None) -> tup
     row is compared with the n-th predicted period.
     """
     sizes = series.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= 8)
-    split = holdout_split(series.join(sizes, keys, "left_semi").withColumn("_tie", F.lit(0)), keys, "ds", "_tie")
+    long_enough = join_null_safe(series, sizes, keys, "left_semi")
+    split = holdout_split(long_enough.withColumn("_tie", F.lit(0)), keys, "ds", "_tie")
     train = split.filter(F.col("part") == "train").select(*keys, "ds", "y")
     window = Window.partitionBy(*keys).orderBy("ds")
     test = split.filter(F.col("part") == "test").withColumn("period", F.row_number().over(window))
@@ -338,8 +344,9 @@ def backtest(series: DataFrame, keys: list[str], freq: str | None = None) -> tup
         .filter(F.col("y").isNull())
         .withColumn("period", F.row_number().over(window))
     )
-    paired = test.select(*keys, "period", F.col("y").alias("actual")).join(
-        predicted.select(*keys, "period", F.col("yhat").alias("predicted")), [*keys, "period"]
+    paired = join_null_safe(
+        test.select(*keys, "period", F.col("y").alias("actual")),
+        predicted.select(*keys, "period", F.col("yhat").alias("predicted")), [*keys, "period"],
     )
     return agg_mape(paired, "actual", "predicted", [*keys, "period"]), agg_mape(paired, "actual", "predicted", keys)
 
@@ -349,7 +356,7 @@ def inject_anomaly(series: DataFrame, keys: list[str], factor: float = 10.0) ->
     window = Window.partitionBy(*keys).orderBy("ds")
     sizes = series.groupBy(*keys).agg(F.greatest(F.lit(2), F.floor(F.count("*") / 3)).alias("_at"))
     return (
-        series.join(sizes, keys)
+        join_null_safe(series, sizes, keys)
         .withColumn("injected", F.row_number().over(window) - 1 == F.col("_at"))
         .withColumn("y", F.when(F.col("injected"), F.col("y") * factor).otherwise(F.col("y")))
         .drop("_at")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.logs import is_not_available
 from insight_spark.functions.text import month_number
+from insight_spark.operators.scale import join_null_safe
 
 NUMERIC_TYPES = (
     T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType,
@@ -59,8 +60,23 @@ def filter_contains_ci(df: DataFrame, column: str, needle: str) -> DataFrame:
 
 
 def coerce_numeric(value: Column) -> Column:
-    """Number, or null when the text is none."""
-    return value.try_cast("double")
+    """Number, or null when the text is none. Only plain decimal notation counts: a type
+    suffix as in "12d" or a name as in "NaN" is no number."""
+    return F.when(value.cast("string").rlike(fv.NUMBER), value.try_cast("double"))
+
+
+def number_of(df: DataFrame, column: str) -> Column:
+    """The column as a double; only text is looked at cell by cell, other kinds are no numbers."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, NUMERIC_TYPES):
+        return F.col(column).cast("double")
+    return coerce_numeric(F.col(column)) if isinstance(kind, T.StringType) else F.lit(None).cast("double")
+
+
+def date_of(df: DataFrame, column: str) -> Column:
+    """The column as a timestamp; dates and timestamps are taken as they are."""
+    kind = df.schema[column].dataType.typeName()
+    return F.col(column).cast("timestamp_ntz") if kind in ("date", "timestamp", "timestamp_ntz") else coerce_date(F.col(column))
 
 
 # How a date may be written, and the format that reads it.
@@ -68,7 +84,17 @@ DATE_FORMATS = [
     (r"^[0-9]{4}$", "yyyy"),
     (r"^[0-9]{4}-[0-9]{1,2}$", "yyyy-M"),
     (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
+    (r"^[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}$", "yyyy.M.d"),
+    (r"^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])$", "yyyyMMdd"),
+    (r"^(?:1[3-9]|2[0-9]|3[01])/[0-9]{1,2}/[0-9]{4}$", "d/M/yyyy"),
     (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "M/d/yyyy H:mm"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^[0-9]{4}[Qq][1-4]$", "yyyy'Q'q"),
+    (r"^[A-Za-z]{3}-[0-9]{4}$", "MMM-yyyy"),
+    (r"^[A-Za-z]{3} [0-9]{1,2} [0-9]{4}$", "MMM d yyyy"),
+    (r"^[A-Za-z]{4,} [0-9]{1,2} [0-9]{4}$", "MMMM d yyyy"),
+    (r"^[A-Za-z]{4,} [0-9]{1,2}, [0-9]{4}$", "MMMM d, yyyy"),
     (r"^[A-Za-z]{3} [0-9]{4}$", "MMM yyyy"),
     (r"^[A-Za-z]{4,} [0-9]{4}$", "MMMM yyyy"),
     (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$", "MMM d, yyyy"),
@@ -83,6 +109,9 @@ def coerce_date(value: Column) -> Column:
     chain = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"), text.try_cast("timestamp_ntz"))
     for pattern, fmt in DATE_FORMATS:
         shown = F.replace(text, F.lit(" "), F.lit("-")) if fmt == "d-MMM-yyyy" else text
+        if "Q" in fmt:  # a quarter is its first month
+            month = F.lpad(((F.right(text, F.lit(1)).try_cast("int") - 1) * 3 + 1).cast("string"), 2, "0")
+            shown, fmt = F.concat(F.left(text, F.lit(4)), month), "yyyyMM"
         read = F.try_to_timestamp(shown, F.lit(fmt)).cast("timestamp_ntz")
         if fmt == "yyyy":
             read = F.when(text.between("1678", "2261"), read)
@@ -350,12 +379,12 @@ def agg_min_max_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.select("r.column", "r.s.*").filter(F.col("smallest").isNotNull())
 
 
-def agg_group_mean(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """Mean of up to six numeric columns per group of at least two rows.
+def agg_group_mean(df: DataFrame, group: str, columns: list[str], most: int | None = fv.GROUP_MEANS) -> DataFrame:
+    """Mean of numeric columns, ``most`` of them, per group of at least two rows.
 
     A grouping column with more than 20 values gives no groups at all.
     """
-    columns = columns[: fv.GROUP_MEANS]
+    columns = columns[:most]
     means = (
         df.filter(F.col(group).isNotNull())
         .groupBy(F.col(group).cast("string").alias("group_value"))
@@ -367,10 +396,24 @@ def agg_group_mean(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
 
 def agg_parse_ratio(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of non-null cells per column that read as a date and as a number."""
-    cells = unpivot_strings(df, columns)
-    return cells.groupBy("column").agg(
-        F.round(F.count_if(coerce_date(F.col("value")).isNotNull()) / F.count("*"), 6).alias("date_ratio"),
-        F.round(F.count_if(coerce_numeric(F.col("value")).isNotNull()) / F.count("*"), 6).alias("number_ratio"),
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, date_ratio double, number_ratio double")
+    counts = df.agg(*[
+        measure.alias(f"{name}_{i}")
+        for i, c in enumerate(columns)
+        for name, measure in (
+            ("n", F.count(F.col(f"`{c}`"))),
+            ("d", F.count_if(date_of(df, c).isNotNull())),
+            ("x", F.count_if(number_of(df, c).isNotNull())),
+        )
+    ])
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"n_{i}").alias("n"), F.col(f"d_{i}").alias("d"), F.col(f"x_{i}").alias("x"))
+        for i, c in enumerate(columns)
+    ])
+    return counts.select(F.explode(rows).alias("r")).filter("r.n > 0").select(
+        "r.column", F.round(F.col("r.d") / F.col("r.n"), 6).alias("date_ratio"),
+        F.round(F.col("r.x") / F.col("r.n"), 6).alias("number_ratio"),
     )
 
 
@@ -436,7 +479,7 @@ def head_per_group(
     window = Window.partitionBy(group).orderBy(*order)
     first = df.withColumn("line_no", F.row_number().over(window)).filter(F.col("line_no") <= n)
     sizes = df.groupBy(group).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
-    return first.join(sizes, group)
+    return join_null_safe(first, sizes, [group])
 
 
 def latest_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -467,13 +510,13 @@ def holdout_split(df: DataFrame, keys: list[str], order: str, tie: str) -> DataF
         df.select(*keys, order, tie)
         .withColumn("_back", F.row_number().over(window))
         .filter(F.col("_back") <= 6)
-        .join(sizes, keys)
+        .transform(lambda last: join_null_safe(last, sizes, keys))
         .filter(F.col("_back") <= F.col("_n"))
         .groupBy(*keys)
         .agg(F.min(F.struct(order, tie)).alias("_edge"))
     )
     part = F.when(F.struct(order, tie) >= F.col("_edge"), F.lit("test")).otherwise(F.lit("train"))
-    return df.join(edge, keys).withColumn("part", part).drop("_edge")
+    return join_null_safe(df, edge, keys).withColumn("part", part).drop("_edge")
 
 
 def keep_latest(df: DataFrame, keys: list[str], updated: list[str], others: list[str]) -> DataFrame:

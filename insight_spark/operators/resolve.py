@@ -258,12 +258,16 @@ def rewrite_literals(statements: DataFrame, index: DataFrame, key: str = "sql_id
     resolved = resolve_values(
         wanted.select("table", "literal", F.lit(None).cast("string").alias("hint")), index
     ).select("table", "literal", "resolved")
+    # A stored value is written as a literal, so a quote in it is doubled; what was typed stays as it was.
+    stored = F.when(F.col("resolved") == F.col("literal"), F.col("literal")).otherwise(
+        F.coalesce(F.replace("resolved", F.lit("'"), F.lit("''")), "literal")
+    )
     fixed = (
         each.join(resolved, ["table", "literal"], "left")
         .groupBy(key)
         .agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("_at", F.coalesce("resolved", "literal").alias("v")))),
+                F.array_sort(F.collect_list(F.struct("_at", stored.alias("v")))),
                 lambda r: r["v"],
             ).alias("_values")
         )

@@ -17,6 +17,7 @@ from insight_spark.functions.text import name_tokens, preview_text, tokenize_wor
 from insight_spark.operators.scale import (
     BLOCK_CELLS,
     best_of_block,
+    keep_best,
     probe_slices,
     probe_top_k,
     top_n_per_group,
@@ -105,7 +106,7 @@ def tag_source(
     )
 
 
-def cap_chunks(df: DataFrame, keys: list[str], order: list[str], cap: int = fv.CHUNK_CAP) -> DataFrame:
+def cap_chunks(df: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
     """First ``cap`` chunks of every conversation, numbered."""
     return top_n_per_group(df, keys, [F.col(c) for c in order], cap, "chunk_rank", salt_on=order)
 
@@ -337,22 +338,21 @@ def _bm25_scorer(shared, doc_id: str, k: int):
         count = np.searchsorted(known["key"], key, "right") - first
         ids = np.array(batch.column(doc_id).to_pylist(), dtype=object)
         ids = ids.astype(np.int64) if pa.types.is_integer(batch.column(doc_id).type) else ids.astype(str)
-        rows_at_once = max(1, BLOCK_CELLS // n_queries)
-        for start in range(0, batch.num_rows, rows_at_once):
-            stop = min(start + rows_at_once, batch.num_rows)
-            lo, hi = np.searchsorted(row, [start, stop])
+        # Only (question, document) pairs that share a word get a cell, whatever the sign of their sum.
+        edges = np.searchsorted(np.cumsum(count), np.arange(BLOCK_CELLS, int(count.sum()), BLOCK_CELLS))
+        edges = np.searchsorted(row, np.unique(row[edges])) if len(edges) else edges
+        for lo, hi in zip([0, *edges], [*edges, len(row)]):
             reps = count[lo:hi]
             total = int(reps.sum())
             if not total:
                 continue
             offset = np.repeat(first[lo:hi] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps)
             entry = offset + np.arange(total)
-            cell = known["query"][entry] * (stop - start) + np.repeat(row[lo:hi] - start, reps)
-            sums = np.bincount(
-                cell, np.repeat(part[lo:hi], reps) * known["weight"][entry], n_queries * (stop - start)
+            cell, place = np.unique(
+                known["query"][entry].astype(np.int64) * batch.num_rows + np.repeat(row[lo:hi], reps), return_inverse=True
             )
-            block = np.round(sums, 6).reshape(n_queries, stop - start)
-            yield best_of_block(block, np.arange(n_queries), ids[start:stop], k, 0.0)
+            sums = np.bincount(place, np.repeat(part[lo:hi], reps) * known["weight"][entry], len(cell))
+            yield keep_best(cell // batch.num_rows, ids[cell % batch.num_rows], np.round(sums, 6), k)
 
     return score
 
@@ -376,12 +376,17 @@ def vector_topk(
     asked = queries.select(
         F.col(query_id).alias("_query"), in_scope, F.col(vector).alias("_vector")
     ).filter(F.col(vector).isNotNull())
-    width_row = asked.select(F.max(F.size("_vector"))).first()
-    width = width_row[0] or 1
+    widths = asked.select(F.min(F.size("_vector")), F.max(F.size("_vector"))).first()
+    if widths[0] != widths[1]:
+        raise ValueError(f"query vectors of {widths[0]} and {widths[1]} numbers")
+    width = widths[0] or 1
     id_type, probe_type = _sql_type(corpus, vector_id), _sql_type(queries, query_id)
-    rows = corpus.select(F.col(vector_id), in_scope, F.col(vector).alias("_vector")).filter(
-        F.size("_vector") == width
+    # A vector of another width is an error and not a silent miss; a null vector has no neighbours.
+    checked = F.when(F.size(vector) == width, F.col(vector)).otherwise(
+        F.raise_error(F.concat(F.lit(f"a vector of other than {width} numbers: "), F.size(vector).cast("string")))
     )
+    known = corpus.filter(F.col(vector).isNotNull())
+    rows = known.select(F.col(vector_id), in_scope, (checked if widths[0] else F.col(vector)).alias("_vector"))
     results = []
     for part in probe_slices(asked, "_query", F.lit(width * 8 + 64)):
         found = part.toPandas()
@@ -532,12 +537,16 @@ def expand_low_score(
     question: str,
     seen: DataFrame,
     trigger: float = fv.EXPANSION_TRIGGER,
+    texts: DataFrame | None = None,
+    text: str = "text",
+    prefix: int = fv.DEDUPE_PREFIX,
 ) -> DataFrame:
     """Second retrieval for questions whose best score is below ``trigger``.
 
     ``synonyms`` is (term, expansion). ``retrieve(questions)`` gives candidates
     with at least (query, doc); only candidates not in ``seen`` are added before
-    ``rerank``. Questions above the trigger never reach the expansion joins.
+    ``rerank``, and with ``texts`` (doc, text) only those whose text begins unlike
+    any seen one. Questions above the trigger never reach the expansion joins.
     """
     best = reranked.groupBy(query_id).agg(F.max("rerank_score").alias("_best"))
     low = questions.join(best.filter(F.col("_best") < trigger), query_id, "left_semi")
@@ -551,6 +560,13 @@ def expand_low_score(
         question, F.concat_ws(" ", question, "_extra")
     ).drop("_extra")
     fresh = retrieve(expanded).join(seen.select(query_id, doc_id), [query_id, doc_id], "left_anti")
+    if texts is not None:
+        begins = texts.select(doc_id, F.substring(text, 1, prefix).alias("_prefix"))
+        known = seen.join(begins, doc_id).select(query_id, "_prefix").distinct()
+        fresh = (
+            fresh.join(begins, doc_id).join(known, [query_id, "_prefix"], "left_anti")
+            .groupBy(query_id, "_prefix").agg(F.min(doc_id).alias(doc_id))
+        )
     old = seen.join(low.select(query_id), query_id, "left_semi")
     again = rerank(old.select(query_id, doc_id).unionByName(fresh.select(query_id, doc_id)))
     untouched = reranked.join(low.select(query_id), query_id, "left_anti")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from insight_spark.session import fresh_path
+
 # Spark turns "row_number() <= n" into a per-task limit ahead of the shuffle
 # only up to this n (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT_PUSHDOWN = 1000
@@ -18,6 +21,20 @@ PROBE_BYTES = 64 << 20
 BLOCK_CELLS = 4_000_000
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys appear once, from the left."""
+    if not keys:  # one group: the constant is the key
+        one = F.lit(1)
+        return join_null_safe(left.withColumn("_one", one), right.withColumn("_one", one), ["_one"], how).drop("_one")
+    renamed = right.select(
+        *[F.col(f"`{k}`").alias(f"_key_{i}") for i, k in enumerate(keys)],
+        *[F.col(f"`{c}`") for c in right.columns if c not in keys],
+    )
+    same = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(renamed[f"_key_{i}"]) for i, k in enumerate(keys)])
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Use all cores for heavy per-row work on a scan of few row groups.
 
@@ -74,16 +91,16 @@ def previous_in_group(
         .withColumn("_before", F.lag("_top").over(Window.partitionBy(*keys).orderBy("_range")))
         .drop("_top")
     )
+    ranked = spread.withColumn("_inside", F.lag(order).over(inside))
     return (
-        spread.withColumn("_inside", F.lag(order).over(inside))
-        .join(heads, [*keys, "_range"])
+        join_null_safe(ranked, heads, [*keys, "_range"])
         .withColumn(out, F.coalesce("_inside", "_before"))
         .drop("_range", "_inside", "_before")
     )
 
 
 def range_bucket(df: DataFrame, column: str, out: str, rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Number of the ordered value range each row falls into.
+    """Number of the ordered value range each row falls into; null is before all, NaN after.
 
     The cut points are approximate quantiles, read once (at most 10,000 numbers)
     and then fixed, so a task that runs again puts every row in the same range.
@@ -93,11 +110,13 @@ def range_bucket(df: DataFrame, column: str, out: str, rows_per_bucket: int = 1_
     buckets = int(min(10_000, df.count() // rows_per_bucket))
     if buckets < 2:
         return df.withColumn(out, F.lit(0))
-    cuts = df.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.25 / buckets)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     typed = df.withColumn("_cut", F.col(column).cast("double"))
-    placed = Bucketizer(splits=splits, inputCol="_cut", outputCol=out).transform(typed)
-    return placed.withColumn(out, F.col(out).cast("int")).drop("_cut")
+    cuts = typed.approxQuantile("_cut", [i / buckets for i in range(1, buckets)], 0.25 / buckets)
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    filled = typed.withColumn("_filled", F.coalesce("_cut", F.lit(float("nan"))))
+    placed = Bucketizer(splits=splits, inputCol="_filled", outputCol=out, handleInvalid="keep").transform(filled)
+    number = F.when(F.col("_cut").isNull(), F.lit(-1)).otherwise(F.col(out).cast("int"))
+    return placed.withColumn(out, number).drop("_cut", "_filled")
 
 
 def number_rows(
@@ -117,9 +136,9 @@ def number_rows(
         .drop("_rows")
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    ranked = ranged.withColumn("_inside", F.row_number().over(inside) - 1)
     return (
-        ranged.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(before, [*keys, "_range"])
+        join_null_safe(ranked, before, [*keys, "_range"])
         .withColumn(out, F.col("_rows_before") + F.col("_inside"))
         .drop("_range", "_inside", "_rows_before")
     )
@@ -134,7 +153,7 @@ def value_at_index(
     value ranges only the one that holds the wanted position is ranked.
     """
     base = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    counts = base.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).persist()
+    counts = kept(base.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "value-counts")
     ranged = range_bucket(counts, "_v", "_range", rows_per_bucket)
     sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_size"))
     ordered = Window.partitionBy(*keys).orderBy("_range")
@@ -147,7 +166,7 @@ def value_at_index(
     )
     inside = Window.partitionBy(*keys).orderBy("_v")
     return (
-        ranged.join(holder, [*keys, "_range"])
+        join_null_safe(ranged, holder, [*keys, "_range"])
         .withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
         .filter(F.col("_want") < F.col("_upto"))
         .groupBy(*keys)
@@ -155,6 +174,13 @@ def value_at_index(
     )
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: nothing to release, nothing to lose."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def probe_slices(probes: DataFrame, key: str, row_bytes: Column) -> Iterator[DataFrame]:
     """The probe set in parts that each fit a broadcast; one part when it is small.
 

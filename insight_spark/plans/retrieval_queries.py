@@ -121,7 +121,7 @@ bm25_all AS (SELECT a.query_id, tf.doc_id, round(sum(a.times * w.w * tf.tf * 2.5
   (tf.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / size.avgdl))), 6) AS score
  FROM asked a JOIN tf USING (term) JOIN weight w USING (term) JOIN dl ON dl.doc_id = tf.doc_id, size GROUP BY ALL),
 bm25 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm25_all
- WHERE score > 0 QUALIFY rank <= 10)"""
+ QUALIFY rank <= 10)"""
 
 
 def lexical(t: Tables) -> DataFrame:
@@ -286,7 +286,7 @@ def expand_low_score(t: Tables) -> DataFrame:
     synonyms = longer.select(F.col("_stem").alias("term"), "expansion").unionByName(ret.abbreviation_synonyms(t.spark))
     return ret.expand_low_score(
         asked, rerank(first), synonyms, lambda q: ret.bm25_topk(docs, q), rerank,
-        "query_id", "doc_id", "text", first, trigger=0.9,
+        "query_id", "doc_id", "text", first, trigger=0.9, texts=docs,
     )
 
 

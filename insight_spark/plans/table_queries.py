@@ -441,7 +441,7 @@ def win_chunk_cap(t: Tables) -> DataFrame:
 
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     rows = t.lineitem.select("l_returnflag", *order)
-    return cap_chunks(rows, ["l_returnflag"], order).drop("l_suppkey", "l_extendedprice")
+    return cap_chunks(rows, ["l_returnflag"], order, 5000).drop("l_suppkey", "l_extendedprice")
 
 
 # --- Sorts, limits, sets ----------------------------------------------------

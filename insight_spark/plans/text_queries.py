@@ -167,9 +167,9 @@ def _script_sql(text: str) -> str:
     return f"CASE {rules} END"
 
 
-# Texts of several scripts: documents with a few foreign letters put in front.
+# Texts of several scripts: whole documents with foreign words put in front, as many as a tenth of their letters or more.
 SCRIPT_SAMPLES = {"en": "총수익은", "fr": "ここで何人", "de": "كم عدد", "es": "यहाँ कितने"}
-SCRIPT_TEXT_SQL = f"({map_sql(SCRIPT_SAMPLES, 'lang')} || ' ' || substring(text, 1, 30 + n_chars % 10))"
+SCRIPT_TEXT_SQL = f"(repeat({map_sql(SCRIPT_SAMPLES, 'lang')} || ' ', CAST(1 + n_chars // 40 * (n_chars % 3) AS BIGINT)) || text)"
 
 
 @query("script_language", f"""
@@ -177,7 +177,8 @@ WITH s AS (SELECT doc_id, {SCRIPT_TEXT_SQL} AS text FROM documents)
 SELECT doc_id, {_script_sql('text')} AS script FROM s""")
 def script_language(t: Tables) -> DataFrame:
     sample = F.try_element_at(tx.literal_map(SCRIPT_SAMPLES), F.col("lang"))
-    text = F.concat(sample, F.lit(" "), F.col("text").substr(F.lit(1), (F.col("n_chars") % 10 + 30).cast("int")))
+    times = 1 + F.floor(F.col("n_chars") / 40) * (F.col("n_chars") % 3)
+    text = F.concat(F.repeat(F.concat(sample, F.lit(" ")), times.cast("int")), F.col("text"))
     return t.documents.select("doc_id", lang.script_language(text).alias("script"))
 
 

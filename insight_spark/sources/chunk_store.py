@@ -50,9 +50,11 @@ def read_chunks(spark: SparkSession, path: str, conversation_id: str | None = No
 
 
 def delete_chunks(spark: SparkSession, path: str, conversation_id: str) -> bool:
-    """Remove one conversation's folder through the file system Spark uses."""
+    """Remove one conversation's folders, those of streamed batches as well, through the file system Spark uses."""
     jvm = spark.sparkContext._jvm
     escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(conversation_id)
-    folder = jvm.org.apache.hadoop.fs.Path(path, f"conversation_id={escaped}")
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.delete(folder, True)
+    store = jvm.org.apache.hadoop.fs.Path(path)
+    system = store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    batches = [batch.getPath() for batch in system.globStatus(jvm.org.apache.hadoop.fs.Path(store, "batch=*")) or []]
+    gone = [system.delete(jvm.org.apache.hadoop.fs.Path(place, f"conversation_id={escaped}"), True) for place in [store, *batches]]
+    return any(gone)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from insight_spark.functions.text import file_name
-from insight_spark.operators.scale import number_rows
+from insight_spark.operators.scale import join_null_safe, number_rows
 
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -23,9 +23,21 @@ CELL_SCHEMA = (
 SAMPLE_ROWS = 3
 
 
-def scan_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header. Give a schema for large inputs: inferring reads them twice."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Some line has an odd number of quotes, so a quoted field goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def scan_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """CSV with a header. Give a schema for large inputs: inferring reads them twice.
+
+    Spark splits a file unless ``multi_line`` is set, which quoted line breaks
+    need. By default one pass over the text tells whether there are any.
+    """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", True).csv(path)
@@ -75,13 +87,12 @@ def _each_file(read, columns: list[str], empty: tuple):
     """mapInPandas body: ``read`` per file; an unreadable file gives one error row."""
     def run(batches):
         for batch in batches:
-            rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows += read(path, bytes(content))
+                    rows = read(path, bytes(content))
                 except Exception as problem:  # one bad file must not fail the batch
-                    rows.append((path, *empty, f"{type(problem).__name__}: {problem}"[:300]))
-            yield pd.DataFrame(rows, columns=columns)
+                    rows = [(path, *empty, f"{type(problem).__name__}: {problem}")]
+                yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -101,6 +112,11 @@ def scan_docx(files: DataFrame) -> DataFrame:
 
     The parser sees a whole file, so it also counts; no join or shuffle follows.
     """
+    return part_chunks(word_parts(files))
+
+
+def part_chunks(parts: DataFrame) -> DataFrame:
+    """The chunks of :func:`scan_docx` from :func:`word_parts`."""
     source = file_name(F.col("path"))
     kind = F.col("kind")
     place = F.when(kind == "table", F.lit(", Table ")).otherwise(F.lit(", Paragraph "))
@@ -109,7 +125,7 @@ def scan_docx(files: DataFrame) -> DataFrame:
     ).otherwise(
         F.concat(F.lit("From "), source, place, F.col("position").cast("string"), F.lit(":\n"), F.col("text"))
     )
-    return word_parts(files).filter(kind != "error").select(
+    return parts.filter(kind != "error").select(
         "path", source.alias("source"), F.concat(F.lit("docx_"), kind).alias("type"), "position", text.alias("text")
     )
 
@@ -194,6 +210,11 @@ def scan_workbook(files: DataFrame, header: list[str] | None = None, sheet_no: i
 
 def workbook_chunks(files: DataFrame) -> DataFrame:
     """All sheets as row texts plus a summary per sheet with three sample rows."""
+    return cell_chunks(workbook_cells(files))
+
+
+def cell_chunks(cells: DataFrame) -> DataFrame:
+    """The chunks of :func:`workbook_chunks` from :func:`workbook_cells`."""
     source = file_name(F.col("path"))
     number = F.col("row").cast("string")
     named = F.array_join(
@@ -207,7 +228,7 @@ def workbook_chunks(files: DataFrame) -> DataFrame:
         F.lit("Excel File: "), source, F.lit(", Sheet: "), F.col("sheet"), F.lit("\nColumns: "),
         F.array_join("names", ", "), F.lit("\nTotal Rows: "), number, F.lit("\n\nSample:\n"), F.array_join("cells", "\n"),
     )
-    return workbook_cells(files).filter(F.col("kind") != "error").select(
+    return cells.filter(F.col("kind") != "error").select(
         "path", "sheet", F.when(is_row, F.lit("excel_row")).otherwise(F.lit("excel")).alias("type"),
         F.when(is_row, F.col("row")).alias("row"), F.when(is_row, row_text).otherwise(summary).alias("text"),
     )
@@ -237,17 +258,16 @@ def pages_to_documents(pages: DataFrame, document: Column, page_key: str, html:
     numbered = number_rows(texts, [page_key], "_no", ["source"]).withColumn("page", (F.col("_no") + 1).cast("int"))
     totals = texts.groupBy("source").agg(F.count("*").cast("int").alias("total_pages"))
     body = (
-        numbered.filter(F.col("_text") != "")
-        .join(totals, "source")
+        join_null_safe(numbered.filter(F.col("_text") != ""), totals, ["source"])
         .select(
             "source", F.lit("page").alias("type"), "page", "total_pages",
             F.concat(
-                F.lit("From "), "source", F.lit(", Page "), F.col("page").cast("string"), F.lit(":\n"), "_text"
+                F.lit("From "), F.coalesce("source", F.lit("unknown")), F.lit(", Page "), F.col("page").cast("string"), F.lit(":\n"), "_text"
             ).alias("text"),
         )
     )
     summary = totals.select(
         "source", F.lit("page_summary").alias("type"), F.lit(None).cast("int").alias("page"), "total_pages",
-        F.concat(F.lit("Document: "), "source", F.lit("\nTotal Pages: "), F.col("total_pages").cast("string")).alias("text"),
+        F.concat(F.lit("Document: "), F.coalesce("source", F.lit("unknown")), F.lit("\nTotal Pages: "), F.col("total_pages").cast("string")).alias("text"),
     )
     return summary.unionByName(body)

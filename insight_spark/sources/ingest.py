@@ -6,24 +6,28 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.functions.text import file_extension, file_name, table_name_for
+from insight_spark.functions.text import file_extension, file_name
 from insight_spark.operators.retrieval import cap_chunks, split_recursive, split_structured
 from insight_spark.operators.profile import table_chunks
-from insight_spark.operators.relational import string_columns
+from insight_spark.operators.relational import coerce_numeric, string_columns
+from insight_spark.operators.scale import kept
 from insight_spark.sources.files import (
+    cell_chunks,
+    part_chunks,
     scan_csv,
-    scan_docx,
     scan_text,
     scan_workbook,
     word_parts,
     workbook_cells,
-    workbook_chunks,
 )
 from insight_spark.sources.tables import upload_table_name, write_table
 
 # File endings by how they are read.
 TABLE_TYPES, DOCUMENT_TYPES = ("csv", "xlsx"), ("txt", "docx")
 CHUNK_COLUMNS = ["chunk_id", "conversation_id", "source", "source_type", "chunk_type", "text", "columns"]
+# Possessive runs: the matcher neither recurses nor goes back, however long a field is.
+RECORD = r'((?:[^"\n]++|"(?:[^"]++|"")*+"?)++)'
+CELL = r'("(?:[^"]++|"")*+"|[^,]*+),'
 CHUNK_ORDER = ["source", "path", "pos", "chunk_no", "chunk_id"]
 
 
@@ -36,11 +40,11 @@ def csv_row_chunks(files: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n?", "\n")
     # A record ends at a line break that is followed by an even number of quotes.
     records = F.filter(
-        F.regexp_extract_all(text, F.lit(r'((?:[^"\n]|"(?:[^"]|"")*")+)'), F.lit(1)), lambda r: F.trim(r) != ""
+        F.regexp_extract_all(text, F.lit(RECORD), F.lit(1)), lambda r: F.trim(r) != ""
     )
     def cells(record):
         raw = F.regexp_extract_all(
-            F.concat(record, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1)
+            F.concat(record, F.lit(",")), F.lit(CELL), F.lit(1)
         )
         bare = F.transform(raw, lambda c: F.regexp_replace(c, r'^"|"$', ""))
         return F.transform(bare, lambda c: F.replace(c, F.lit('""'), F.lit('"')))
@@ -73,32 +77,37 @@ def with_ids(pieces: DataFrame, conversation_id: str) -> DataFrame:
     )
 
 
-def ingest_files(files: DataFrame, conversation_id: str) -> tuple[DataFrame, DataFrame]:
+def ingest_files(files: DataFrame, conversation_id: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, status) of a ``binaryFile`` listing (path, content).
 
-    Files are read once per branch by their ending; an unsupported or broken file
-    only shows in the status. Chunks are split, numbered and capped.
+    Every file is parsed once: its parts, with errors as rows, and its chunks
+    are kept in the shared folder, and chunks and status read them there. An
+    unsupported or broken file only shows in the status. All chunks are
+    returned unless ``cap`` limits them per conversation. No table is made here,
+    so ``sql_table`` is null; see :func:`ingest_paths`.
     """
     listed = files.withColumn("_ext", file_extension(F.col("path")))
     csv = listed.filter(F.col("_ext") == "csv")
     books = listed.filter(F.col("_ext") == "xlsx")
     word = listed.filter(F.col("_ext") == "docx")
     plain = listed.filter(F.col("_ext") == "txt")
+    cells, parts = kept(workbook_cells(books), "cells"), kept(word_parts(word), "parts")
     none = F.lit(None).cast("array<string>")
     first = F.lit(None).cast("int")
     tables = csv_row_chunks(csv).select("path", "type", F.col("row").alias("pos"), "text", "columns").unionByName(
-        workbook_chunks(books).select("path", "type", F.col("row").alias("pos"), "text", none.alias("columns"))
+        cell_chunks(cells).select("path", "type", F.col("row").alias("pos"), "text", none.alias("columns"))
     )
-    documents = scan_docx(word).select("path", "type", F.col("position").alias("pos"), "text", none.alias("columns")).unionByName(
+    documents = part_chunks(parts).select("path", "type", F.col("position").alias("pos"), "text", none.alias("columns")).unionByName(
         scan_text(plain).select("path", "type", first.alias("pos"), "text", none.alias("columns"))
     )
-    pieces = split_structured(tables).withColumn("source_type", F.lit("csv")).unionByName(
+    split = split_structured(tables).withColumn("source_type", F.lit("csv")).unionByName(
         split_recursive(documents).withColumn("source_type", F.lit("document"))
     )
-    capped = cap_chunks(with_ids(pieces, conversation_id), ["conversation_id"], CHUNK_ORDER).select(*CHUNK_COLUMNS)
+    pieces = kept(split, "pieces")
+    chunks = capped(with_ids(pieces, conversation_id), cap)
     broken = (
-        word_parts(word).filter(F.col("error").isNotNull()).select("path", "error")
-        .unionByName(workbook_cells(books).filter(F.col("error").isNotNull()).select("path", "error"))
+        parts.filter(F.col("error").isNotNull()).select("path", "error")
+        .unionByName(cells.filter(F.col("error").isNotNull()).select("path", "error"))
     )
     counts = pieces.groupBy("path").agg(F.count("*").alias("chunks"))
     kind = F.when(F.col("_ext").isin(*TABLE_TYPES), F.lit("hybrid")).when(
@@ -110,13 +119,20 @@ def ingest_files(files: DataFrame, conversation_id: str) -> tuple[DataFrame, Dat
         .join(counts, "path", "left")
         .select(
             F.col("source").alias("filename"), F.col("_ext").alias("format"), kind.alias("type"),
-            F.when(kind == "hybrid", table_name_for(F.lit(conversation_id), F.col("source"))).alias("sql_table"),
+            F.lit(None).cast("string").alias("sql_table"),
             F.coalesce("chunks", F.lit(0)).alias("chunks"),
             F.when(kind.isNull(), F.lit("skipped")).when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("ready")).alias("status"),
             "error",
         )
     )
-    return capped, status
+    return chunks, status
+
+
+def capped(chunks: DataFrame, cap: int | None) -> DataFrame:
+    """The chunk columns; with a ``cap`` only so many chunks per conversation, in their order."""
+    if cap is not None:
+        chunks = cap_chunks(chunks, ["conversation_id"], CHUNK_ORDER, cap)
+    return chunks.select(*CHUNK_COLUMNS)
 
 
 def existing_files(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -137,7 +153,7 @@ def typed_columns(df: DataFrame) -> DataFrame:
         return df
     row = df.agg(
         *[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(texts)],
-        *[F.count(F.col(c).try_cast("double")).alias(f"d_{i}") for i, c in enumerate(texts)],
+        *[F.count(coerce_numeric(F.col(c))).alias(f"d_{i}") for i, c in enumerate(texts)],
         *[F.count(F.when(F.col(c).rlike(r"^[+-]?[0-9]{1,18}$"), 1)).alias(f"i_{i}") for i, c in enumerate(texts)],
     ).first()
     kinds = {
@@ -177,10 +193,12 @@ def ingest_table_file(
 
 
 def ingest_paths(
-    spark: SparkSession, paths: list[str], conversation_id: str, table_folder: str | None = None
+    spark: SparkSession, paths: list[str], conversation_id: str, table_folder: str | None = None, cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks, status) of one upload; structured files also become tables.
 
+    All chunks are returned unless ``cap`` limits them per conversation.
+
     The driver walks over the files of the upload, each of which is a distributed
     job of its own. Missing files are skipped; a broken one only shows in the status.
     """
@@ -199,7 +217,7 @@ def ingest_paths(
             pieces.append(made)
             rows.append((source, ending, "hybrid", name, made.count(), "ready", None))
         except Exception as problem:  # one bad file must not fail the upload
-            rows.append((source, ending, "hybrid", None, 0, "error", str(problem)[:300]))
+            rows.append((source, ending, "hybrid", None, 0, "error", str(problem)))
     schema = "filename string, format string, type string, sql_table string, chunks bigint, status string, error string"
     status = spark.createDataFrame(rows, schema)
     parts = [with_ids(made, conversation_id) for made in pieces]
@@ -211,4 +229,4 @@ def ingest_paths(
     if not parts:
         raise ValueError("no file of the upload could be read")
     together = reduce(DataFrame.unionByName, parts)
-    return cap_chunks(together, ["conversation_id"], CHUNK_ORDER).select(*CHUNK_COLUMNS), status
+    return capped(together, cap), status

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import title_from_first_message
 from insight_spark.operators.routing import classify_route
 from insight_spark.sources.chunk_store import write_chunks
@@ -60,7 +61,7 @@ def conversation_rollup(messages: DataFrame, watermark: str = "1 hour") -> DataF
         .agg(
             F.count("*").alias("message_count"),
             F.max("created_at").alias("updated_at"),
-            title_from_first_message(F.lit("New Chat"), F.min_by("content", F.struct("created_at", "message_id"))).alias("title"),
+            title_from_first_message(F.lit("New Chat"), F.min_by(F.substring("content", 1, fv.TITLE_CHARS), F.struct("created_at", "message_id"))).alias("title"),
         )
     )
 

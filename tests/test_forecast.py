@@ -86,3 +86,26 @@ def test_detect_columns(spark):
     texts = spark.createDataFrame([("a", "5"), ("b", "7")], "label string, n string")
     assert fc.detect_date_column(texts) is None
     assert fc.detect_value_column(texts) == "n"
+
+
+def test_two_years_of_months_show_their_season(spark):
+    import math
+
+    rows = [("s", d, 100 + 20 * math.sin(2 * math.pi * i / 12)) for i, d in enumerate(months(24))]
+    series = spark.createDataFrame(rows, "s string, ds timestamp, y double")
+    ahead = fc.forecast(series, ["s"], 12, "MS").filter("y IS NULL").orderBy("ds").collect()
+    assert len(ahead) == 12
+    assert all(abs(r["yhat"] - (100 + 20 * math.sin(2 * math.pi * i / 12))) < 4 for i, r in enumerate(ahead))
+
+
+def test_series_with_null_keys_and_dates(spark):
+    day = "timestamp'2024-01-0{}'"
+    frame = spark.sql(" UNION ALL ".join(
+        f"SELECT {key} AS k, {day.format(i)} AS t, {i}.0D AS v" for key in ("NULL", "'a'") for i in range(1, 5)
+    ) + " UNION ALL SELECT NULL, NULL, 1.0D")
+    kept = fc.prepare(frame, ["k"], "t", "v")
+    assert {(r["k"], r["count"]) for r in kept.groupBy("k").count().collect()} == {(None, 4), ("a", 4)}
+    dropped = {r["k"]: (r["rows"], r["dropped"]) for r in fc.unreadable_rows(frame, ["k"], "t", "v").collect()}
+    assert dropped == {None: (5, 1), "a": (4, 0)}
+    gaps = fc.date_gaps(frame.withColumn("i", F.monotonically_increasing_id()), ["k"], "t", "i")
+    assert gaps.count() == 9 and gaps.filter("gap_days = 1").count() == 6

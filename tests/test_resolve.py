@@ -61,3 +61,14 @@ def test_rewrite(spark, index):
     assert got == {
         1: "SELECT * FROM up WHERE Month = 'Jan' AND n > '3' OR Dept IN ('Sales', 'Sales')", 2: "SELECT \"Month\" FROM up", 3: "SELECT 'Jan'",
     }
+
+
+def test_a_quote_in_a_stored_value_is_escaped(spark):
+    from insight_spark.operators import resolve
+
+    names = spark.createDataFrame([("O'Brien Ltd",), ("Plain",)], "name string")
+    index = resolve.value_forms(names, "t")
+    logged = spark.createDataFrame([(1, "t", "SELECT 1 FROM t WHERE name = 'obrien ltd' OR name = 'plain' OR x = 'zzz'")], "sql_id int, table string, sql string")
+    out = resolve.rewrite_literals(logged, index).first()["rewritten"]
+    assert "'plain'" not in out and "'Plain'" in out and "'zzz'" in out
+    assert "'O''Brien Ltd'" in out or "'obrien ltd'" in out

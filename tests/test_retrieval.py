@@ -35,7 +35,7 @@ def okapi(docs, queries, k):
             s = sum(
                 idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / avgdl)) for w in text.split() if w in idf and tf[w]
             )
-            if round(s, 6) > 0:
+            if any(w in idf and tf[w] for w in text.split()):
                 scores.append((-round(s, 6), i))
         out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
     return out
@@ -165,3 +165,35 @@ def test_fuzzy_equals_difflib(spark, monkeypatch, probe_bytes):
     for probe in probes:
         best = difflib.get_close_matches(probe, values, 1, 0.75)
         assert found.get(probe) == (best[0] if best else None)
+
+
+def test_bm25_answers_from_tiny_corpora(spark):
+    asked = spark.createDataFrame([(1, "apple river"), (2, "nothing known")], "query_id int, text string")
+    for rows in ([(1, "apple tree")], [(1, "apple tree"), (2, "river bank apple")]):
+        docs = spark.createDataFrame(rows, "doc_id int, text string")
+        found = ret.bm25_topk(docs, asked).collect()
+        assert {(r["query_id"], r["doc_id"]) for r in found} == {(1, d) for d, _ in rows}
+
+
+def test_vectors_of_another_width_are_an_error(spark):
+    import pytest
+
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None)], "vec_id int, embedding array<double>")
+    assert ret.vector_topk(mixed.filter("vec_id <> 2"), one).count() == 1
+    with pytest.raises(Exception, match="other than 2 numbers"):
+        ret.vector_topk(mixed, one).collect()
+    with pytest.raises(ValueError):
+        ret.vector_topk(mixed, mixed.withColumnRenamed("vec_id", "query_id"))
+
+
+def test_expansion_leaves_near_copies_out(spark):
+    asked = spark.createDataFrame([(1, "apple")], "query_id int, text string")
+    texts = spark.createDataFrame([(1, "p" * 100 + "a"), (2, "p" * 100 + "b"), (3, "other"), (4, "other")], "doc_id int, text string")
+    seen = spark.createDataFrame([(1, 1)], "query_id int, doc_id int")
+    ranked = spark.createDataFrame([(1, 1, 0.1, 1)], "query_id int, doc_id int, rerank_score double, position int")
+    synonyms = spark.createDataFrame([("apple", "pear")], "term string, expansion string")
+    every = spark.createDataFrame([(1, d) for d in (1, 2, 3, 4)], "query_id int, doc_id int")
+    score = lambda pairs: pairs.selectExpr("query_id", "doc_id", "0.5D AS rerank_score", "1 AS position")
+    out = ret.expand_low_score(asked, ranked, synonyms, lambda q: every, score, "query_id", "doc_id", "text", seen, texts=texts)
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]

@@ -75,3 +75,21 @@ def test_group_limit_runs_before_the_shuffle(spark):
     _, df = sample(spark)
     plan = scale.top_n_per_group(df, ["k"], [F.col("v")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_null_keys_and_values_survive_several_ranges(spark):
+    from pyspark.sql import Window, functions as F
+
+    from insight_spark.operators.scale import number_rows, previous_in_group, value_at_index
+
+    rows = [(k, v, i) for i, (k, v) in enumerate((k, v) for k in (None, 1, 2) for v in (None, float("nan"), *map(float, range(40))))]
+    frame = spark.createDataFrame(rows, "k int, v double, i int")
+    plain = Window.partitionBy("k").orderBy("v", "i")
+    want = {r["i"]: r["n"] for r in frame.withColumn("n", F.row_number().over(plain) - 1).collect()}
+    got = {r["i"]: r["n"] for r in number_rows(frame, ["v", "i"], "n", ["k"], rows_per_bucket=10).collect()}
+    assert got == want
+    dated = frame.filter("NOT isnan(v) OR v IS NULL").withColumn("t", F.timestamp_seconds("v")).select("k", "t").distinct()
+    lagged = {(r["k"], r["t"]): r["p"] for r in dated.withColumn("p", F.lag("t").over(Window.partitionBy("k").orderBy("t"))).collect()}
+    assert {(r["k"], r["t"]): r["previous"] for r in previous_in_group(dated, ["k"], "t", rows_per_bucket=10).collect()} == lagged
+    at = value_at_index(frame.filter("NOT isnan(v)"), ["k"], "v", 0.5, "m", rows_per_bucket=10)
+    assert {(r["k"], r["m"]) for r in at.collect()} == {(None, 20.0), (1, 20.0), (2, 20.0)}

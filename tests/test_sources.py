@@ -142,6 +142,50 @@ def test_shared_dir_needs_setting_on_a_cluster(spark, monkeypatch):
     assert shared_dir(spark) == shared_dir(spark)
 
 
+def test_csv_splits_unless_quoted_breaks_need_it(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("a,b\n" + "\n".join(f'{i},"x, {i}"' for i in range(60_000)))
+    (tmp_path / "broken.csv").write_text('a,b\n1,"x\ny"\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = files.scan_csv(spark, str(tmp_path / "plain.csv"))
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert files.has_quoted_breaks(spark, str(tmp_path / "broken.csv"))
+    assert [tuple(r) for r in files.scan_csv(spark, str(tmp_path / "broken.csv")).collect()] == [(1, "x\ny")]
+
+
+def test_csv_records_with_long_fields(spark):
+    long = "word, " * 20_000
+    text = f'id,note\n1,"{long}""q"" end"\n2,"two\nlines"\n3,\n4,""\n'
+    listing = spark.createDataFrame([("/in/a.csv", bytearray(text.encode()))], "path string, content binary")
+    rows = {r["row"]: r["text"].split("\n", 1)[1] for r in ingest.csv_row_chunks(listing).collect()}
+    assert rows == {0: f'id: 1, note: {long}"q" end', 1: "id: 2, note: two\nlines", 2: "id: 3, note: nan", 3: "id: 4, note: nan"}
+
+
+def test_ingest_keeps_every_chunk(spark):
+    text = "\n\n".join(f"paragraph {i} " + "x" * 900 for i in range(5200))
+    listing = spark.createDataFrame([("/in/a.txt", bytearray(text.encode()))], "path string, content binary")
+    chunks, status = ingest.ingest_files(listing, "c")
+    assert chunks.count() == status.first()["chunks"] == 5200
+    assert ingest.ingest_files(listing, "c", cap=100)[0].count() == 100
+
+
+def test_streamed_chunks_can_be_deleted(spark):
+    path = fresh_path(spark, "store")
+    df = spark.createDataFrame([("1", "a", "x"), ("2", "b", "y")], "chunk_id string, conversation_id string, text string")
+    chunk_store.write_chunks(df, f"{path}/batch=0")
+    assert chunk_store.delete_chunks(spark, path, "a") and not chunk_store.delete_chunks(spark, path, "c")
+    assert [r["chunk_id"] for r in chunk_store.read_chunks(spark, path).collect()] == ["2"]
+
+
+def test_pages_without_a_host_or_number(spark):
+    pages = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (None, "h", "c")], "id int, host string, html string")
+    rows = files.pages_to_documents(pages, F.col("host"), "id").filter("type = 'page'").collect()
+    assert sorted((str(r["source"]), r["page"], r["total_pages"]) for r in rows) == [("None", 1, 2), ("None", 2, 2), ("h", 1, 1)]
+
+
 def test_report(spark):
     path = fresh_path(spark, "report")
     sinks.write_report("R", {"a": spark.createDataFrame([(1, "x")], "n int, s string")}, path)

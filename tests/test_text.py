@@ -143,3 +143,40 @@ def test_forecast_summary(spark):
     got = [r[0] for r in df.select(logs.forecast_summary_text(F.lit("Revenue"), F.lit(6), F.col("l"), F.col("n"), F.col("a"))).collect()]
     assert got[0].endswith("Next period forecast: **2.00**. No anomalies detected — data is within expected bounds.")
     assert got[1].endswith("Last actual value: **1.00**. **3 anomaly/anomalies** detected outside the 95% confidence interval.")
+
+
+def test_numbers_in_plain_notation_only(spark):
+    from pyspark.sql import functions as F
+
+    from insight_spark.functions.text import is_numeric_string
+    from insight_spark.operators.relational import coerce_numeric
+
+    cells = {"12": 12.0, " -1.5e3 ": -1500.0, ".5": 0.5, "7.": 7.0, "12d": None, "3F": None, "NaN": None, "inf": None, "": None, "1 2": None, None: None}
+    rows = spark.createDataFrame([(c,) for c in cells], "c string").select("c", coerce_numeric(F.col("c")).alias("n"), is_numeric_string(F.col("c")).alias("is")).collect()
+    assert {r["c"]: r["n"] for r in rows} == cells
+    assert all(r["is"] == (cells[r["c"]] is not None) for r in rows)
+
+
+def test_dates_as_they_are_written(spark):
+    from pyspark.sql import functions as F
+
+    from insight_spark.operators.relational import coerce_date
+
+    cells = {
+        "20240115": "2024-01-15 00:00", "2024.01.15": "2024-01-15 00:00", "01/15/2024 10:30": "2024-01-15 10:30",
+        "15/03/2024": "2024-03-15 00:00", "03/04/2024": "2024-03-04 00:00", "March 5 2024": "2024-03-05 00:00", "Mar 5 2024": "2024-03-05 00:00",
+        "2024Q1": "2024-01-01 00:00", "2024Q4": "2024-10-01 00:00", "Jan-2024": "2024-01-01 00:00", "March 5, 2024": "2024-03-05 00:00",
+        "2024": "2024-01-01 00:00", "20241345": None, "12345678": None, "x": None, None: None,
+    }
+    rows = spark.createDataFrame([(c,) for c in cells], "c string").select("c", F.date_format(coerce_date(F.col("c")), "yyyy-MM-dd HH:mm").alias("d")).collect()
+    assert {r["c"]: r["d"] for r in rows} == cells
+
+
+def test_too_many_periods_are_clamped(spark):
+    from pyspark.sql import functions as F
+
+    from insight_spark.functions.logs import extract_periods
+
+    asked = {"next 99999999999 months": 36, "0000000000012 weeks": 12, "some day": 6, "2 years": 2}
+    rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", extract_periods(F.col("q")).alias("n")).collect()
+    assert {r["q"]: r["n"] for r in rows} == asked
