@@ -134,9 +134,9 @@ def build_filter(keys: DataFrame) -> np.ndarray:
         )
 
     found = map_chunks(keys.select("key"), work, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    rows = found.toPandas()
+    rows = found.toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 

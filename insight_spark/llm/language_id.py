@@ -263,9 +263,9 @@ def train(
     for _ in range(rounds if languages else 0):
         shared = spark.sparkContext.broadcast((trie, languages, probability))
         expected = counts.mapInArrow(_expectation(shared), "lang int, piece int, n double")
-        summed = expected.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        summed = expected.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         total = np.full(probability.shape, SMOOTHING)
-        total[summed["piece"], summed["lang"]] += summed["n"]
+        total[summed["piece"].to_numpy(), summed["lang"].to_numpy()] += summed["n"].to_numpy()
         probability = total / total.sum(0)
     return Model(languages, probability)
 
