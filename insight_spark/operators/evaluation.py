@@ -31,6 +31,11 @@ def eval_retrieval(log: DataFrame, answer: str = "answer", keywords: str = "keyw
     )
 
 
+def retrieval_misses(log: DataFrame, answer: str = "answer", keywords: str = "keywords") -> DataFrame:
+    """The rows whose answer has none of its keywords; an answer that is null has none."""
+    return log.filter(~F.coalesce(keyword_hit(F.col(answer), F.col(keywords)), F.lit(False)))
+
+
 def latency_per_question(log: DataFrame, question: str, route: str, seconds: str) -> DataFrame:
     return log.groupBy(question, route).agg(F.avg(seconds).alias("mean_s"))
 
@@ -48,8 +53,7 @@ def eval_latency(log: DataFrame, question: str, route: str, seconds: str) -> Dat
 
 def eval_guard(log: DataFrame, answer: str = "answer") -> DataFrame:
     """Share of questions that were refused; rate-limited answers do not count."""
-    limited = F.lower(F.col(answer)).contains("rate limit") | F.col(answer).contains("429")
-    kept = log.filter(~limited)
+    kept = log.filter(~_rate_limited(answer))
     guarded = refusal_flag(F.col(answer))
     return kept.agg(
         F.count_if(guarded).alias("guarded"),
@@ -58,6 +62,16 @@ def eval_guard(log: DataFrame, answer: str = "answer") -> DataFrame:
     )
 
 
+def _rate_limited(answer: str) -> Column:
+    return F.lower(F.col(answer)).contains("rate limit") | F.col(answer).contains("429")
+
+
+def guard_slippages(log: DataFrame, answer: str = "answer", chars: int = 100) -> DataFrame:
+    """The rows that were answered instead of refused, with the start of the answer as ``snippet``."""
+    leaked = log.filter(~_rate_limited(answer) & ~refusal_flag(F.col(answer)))
+    return leaked.withColumn("snippet", F.substring(F.lower(F.col(answer)), 1, chars))
+
+
 def eval_language(log: DataFrame, expected: str = "expected", detected: str = "detected") -> DataFrame:
     return log.agg(
         F.count_if(F.col(expected) == F.col(detected)).alias("correct"),

@@ -169,8 +169,11 @@ def _design(days: np.ndarray, start: float, span: float, weekly: int, yearly: in
     return np.column_stack(columns)
 
 
-def fit_series(pdf: pd.DataFrame, periods: int, freq: str | None) -> pd.DataFrame:
-    """Least-squares fit of one series; history and future with a 95% band."""
+def fit_series(pdf: pd.DataFrame, periods: int, freq: str | None, seasonal: bool = True) -> pd.DataFrame:
+    """Least-squares fit of one series; history and future with a 95% band.
+
+    Without ``seasonal`` it is the regression line over time.
+    """
     pdf = pdf.sort_values("ds")
     ds = pd.to_datetime(pdf["ds"])
     days = ds.to_numpy().astype("datetime64[us]").astype(float) / 86_400_000_000
@@ -191,7 +194,7 @@ def fit_series(pdf: pd.DataFrame, periods: int, freq: str | None) -> pd.DataFram
     weekly = 3 if span >= 14 and 0 < finest < 7 and len(y) > 2 * 8 else 0
     spacing = np.median(gaps[gaps > 0]) if (gaps > 0).any() else 365
     yearly = int(min(10, 365.25 / (2 * spacing) - 0.5, (len(y) / 4 - 1 - 2 * weekly) / 2)) if span >= 690 else 0
-    yearly = max(0, yearly)
+    weekly, yearly = (weekly, max(0, yearly)) if seasonal else (0, 0)
     history = _design(days, start, span, weekly, yearly)
     beta, *_ = np.linalg.lstsq(history, y, rcond=None)
     fitted = history @ beta
@@ -209,7 +212,9 @@ def fit_series(pdf: pd.DataFrame, periods: int, freq: str | None) -> pd.DataFram
     )
 
 
-def forecast(series: DataFrame, keys: list[str], periods: int = fv.DEFAULT_PERIODS, freq: str | None = None) -> DataFrame:
+def forecast(
+    series: DataFrame, keys: list[str], periods: int = fv.DEFAULT_PERIODS, freq: str | None = None, seasonal: bool = True
+) -> DataFrame:
     """Fit every series and predict its history plus ``periods`` more.
 
     ``series`` comes from :func:`prepare` with a ``unit``, so that one group is
@@ -221,7 +226,7 @@ def forecast(series: DataFrame, keys: list[str], periods: int = fv.DEFAULT_PERIO
     kept = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fit_series(pdf, periods, freq)
+        out = fit_series(pdf, periods, freq, seasonal)
         for name, value in zip(keys, key):
             out.insert(0, name, value)
         return out[[*keys, "ds", "y", "yhat", "yhat_lower", "yhat_upper"]]
@@ -327,7 +332,7 @@ def summary(actuals: DataFrame, future: DataFrame, flagged: DataFrame, keys: lis
     )
 
 
-def backtest(series: DataFrame, keys: list[str], freq: str | None = None) -> tuple[DataFrame, DataFrame]:
+def backtest(series: DataFrame, keys: list[str], freq: str | None = None, seasonal: bool = True) -> tuple[DataFrame, DataFrame]:
     """(error per held-out period, mean error per series) for series of at least eight rows.
 
     The last rows of a series are held out, the rest is fitted; the n-th held-out
@@ -340,7 +345,7 @@ def backtest(series: DataFrame, keys: list[str], freq: str | None = None) -> tup
     window = Window.partitionBy(*keys).orderBy("ds")
     test = split.filter(F.col("part") == "test").withColumn("period", F.row_number().over(window))
     predicted = (
-        forecast(train, keys, 6, freq)
+        forecast(train, keys, 6, freq, seasonal)
         .filter(F.col("y").isNull())
         .withColumn("period", F.row_number().over(window))
     )

@@ -26,7 +26,32 @@ def money(x: str) -> str:
     return f"CASE WHEN {x} >= 100 THEN '$' || format('{{:,.0f}}', {x}) ELSE '$' || format('{{:.2f}}', {x}) END"
 
 
-@query("column_roles")
+def _open_sql(table: str, columns: dict[str, int]) -> str:
+    """Roles of text columns: categorical with at most 20 values or 10% of the rows."""
+    return " UNION ALL ".join(
+        f"SELECT {pos} AS pos, '{c}' AS \"column\", CASE WHEN count(DISTINCT {c}) <= 20 OR count(DISTINCT {c}) <= 0.1 * count(*) "
+        f"THEN 'categorical' ELSE 'text' END AS role, '{table}' AS \"table\" FROM {table}"
+        for c, pos in columns.items()
+    )
+
+
+def _fixed_sql(table: str, columns: list[tuple[int, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT {pos}, '{c}', '{role}', '{table}'" for pos, c, role in columns)
+
+
+ROLES_SQL = " UNION ALL ".join([
+    _open_sql("customer", {"c_name": 1, "c_mktsegment": 4}),
+    _fixed_sql("customer", [(0, "c_custkey", "id"), (2, "c_nationkey", "id"), (3, "c_acctbal", "numeric")]),
+    _open_sql("part", {"p_name": 1, "p_brand": 2, "p_type": 3}),
+    _fixed_sql("part", [(0, "p_partkey", "id"), (4, "p_size", "numeric"), (5, "p_retailprice", "numeric")]),
+    _open_sql("orders", {"o_orderstatus": 2, "o_orderpriority": 5}),
+    _fixed_sql("orders", [(0, "o_orderkey", "id"), (1, "o_custkey", "id"), (3, "o_totalprice", "numeric"), (4, "o_orderdate", "date")]),
+    _open_sql("documents", {"text": 1, "lang": 2, "source": 3}),
+    _fixed_sql("documents", [(0, "doc_id", "id"), (4, "n_chars", "numeric")]),
+])
+
+
+@query("column_roles", ROLES_SQL)
 def column_roles(t: Tables) -> DataFrame:
     out = None
     for name in ("customer", "part", "orders", "documents"):
@@ -35,7 +60,19 @@ def column_roles(t: Tables) -> DataFrame:
     return out
 
 
-@query("schema_roles")
+# The second rule set goes by type and name; DuckDB's types under Spark's names.
+SCHEMA_ROLES_SQL = """
+WITH c AS (SELECT table_name, column_name, ordinal_position - 1 AS pos, data_type FROM (
+ SELECT 'customer' AS table_name, column_name, row_number() OVER () AS ordinal_position, column_type AS data_type FROM (DESCRIBE customer)
+ UNION ALL SELECT 'part', column_name, row_number() OVER (), column_type FROM (DESCRIBE part)
+ UNION ALL SELECT 'orders', column_name, row_number() OVER (), column_type FROM (DESCRIBE orders)))
+SELECT pos::INTEGER AS pos, column_name AS "column", table_name AS "table",
+ CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type,
+ CASE data_type WHEN 'VARCHAR' THEN 'categorical' WHEN 'BIGINT' THEN 'numeric' WHEN 'INTEGER' THEN 'numeric' WHEN 'DOUBLE' THEN 'numeric' ELSE 'date' END AS role
+FROM c"""
+
+
+@query("schema_roles", SCHEMA_ROLES_SQL)
 def schema_roles(t: Tables) -> DataFrame:
     out = None
     for name, key in (("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey")):

@@ -295,6 +295,28 @@ def eval_routing_confusion(t: Tables) -> DataFrame:
     return ev.eval_routing(routing_log(t))["confusion"]
 
 
+@query("eval_routing_failures", f"WITH {ROUTING_LOG_SQL} SELECT question_id, expected, predicted FROM log WHERE expected <> predicted")
+def eval_routing_failures(t: Tables) -> DataFrame:
+    return ev.eval_routing(routing_log(t))["failures"].select("question_id", "expected", "predicted")
+
+
+@query("eval_retrieval_misses", """
+SELECT conv_id, turn, ['nicht', role] AS keywords FROM conversations WHERE NOT contains(lower(text), 'nicht') AND NOT contains(lower(text), role)""")
+def eval_retrieval_misses(t: Tables) -> DataFrame:
+    """Answers without any of their keywords."""
+    log = t.conversations.select("conv_id", "turn", F.col("text").alias("answer"), F.array(F.lit("nicht"), F.col("role")).alias("keywords"))
+    return ev.retrieval_misses(log).select("conv_id", "turn", "keywords")
+
+
+@query("eval_guard_slippages", f"""
+SELECT conv_id, turn, substring(lower(text), 1, 100) AS snippet FROM conversations WHERE role = 'assistant'
+ AND NOT contains(lower(text), 'rate limit') AND NOT contains(text, '429')
+ AND NOT ({sql_any('lower(text)', fv.REFUSAL_PHRASES)} OR length(trim(lower(text))) < 30)""")
+def eval_guard_slippages(t: Tables) -> DataFrame:
+    """Answers that should have been refused and were not."""
+    return ev.guard_slippages(t.conversations.filter(F.col("role") == "assistant"), "text").select("conv_id", "turn", "snippet")
+
+
 @query("eval_retrieval", """
 WITH a AS (SELECT contains(lower(c.text), 'nicht') OR contains(lower(c.text), c.role) AS hit FROM conversations c)
 SELECT count(*) FILTER (hit) AS hits, count(*) AS total, round(count(*) FILTER (hit) * 100.0 / count(*)::DOUBLE, 1) AS hit_rate_pct FROM a""")

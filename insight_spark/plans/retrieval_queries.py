@@ -28,6 +28,19 @@ def split_recursive(t: Tables) -> DataFrame:
     return ret.split_recursive(documents(t))
 
 
+@query("split_recursive_bounds", """
+SELECT doc_id, true AS within_size, true AS in_text, true AS opens, true AS closes FROM documents WHERE regexp_matches(text, '\\S')""")
+def split_recursive_bounds(t: Tables) -> DataFrame:
+    """Per document: no chunk is too long, all are parts of the text, the first opens it and the last closes it."""
+    chunks = ret.split_recursive(documents(t)).join(t.documents.select("doc_id", F.trim("text").alias("whole")), "doc_id")
+    bare = F.regexp_replace("whole", r"^\s+|\s+$", "")
+    return chunks.groupBy("doc_id").agg(
+        (F.max(F.length("chunk")) <= fv.PROSE_CHUNK).alias("within_size"), F.bool_and(F.contains("whole", "chunk")).alias("in_text"),
+        F.min_by(F.startswith(bare, F.col("chunk")), "chunk_no").alias("opens"),
+        F.max_by(F.endswith(bare, F.col("chunk")), "chunk_no").alias("closes"),
+    )
+
+
 @query("split_structured")
 def split_structured(t: Tables) -> DataFrame:
     return ret.split_structured(documents(t))
@@ -40,6 +53,14 @@ def tag_source(t: Tables) -> DataFrame:
     return tagged.select("doc_id", "source_type", "source", F.array_join("columns", ",").alias("columns"))
 
 
+@query("embed_text_norm", f"""
+SELECT doc_id, 64 AS width, CASE WHEN len({TOKENS_SQL.format('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""")
+def embed_text_norm(t: Tables) -> DataFrame:
+    """Every vector has the asked width and length one; a text without a word has the null vector."""
+    squares = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
+    return embed_text(t).select("doc_id", F.size("embedding").alias("width"), F.round(F.sqrt(squares), 4).alias("norm"))
+
+
 @query("embed_text")
 def embed_text(t: Tables) -> DataFrame:
     """Unit vectors of all documents by hashed, IDF-weighted words."""

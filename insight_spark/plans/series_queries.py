@@ -184,6 +184,45 @@ def ts_forecast_linear(t: Tables) -> DataFrame:
     )
 
 
+TREND_SQL = f"""
+{MONTHLY_SQL}, d AS (SELECT *, epoch_us(ds) / 86400000000::DOUBLE AS x FROM monthly),
+line AS (SELECT o_orderstatus, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, max(ds) AS last, count(*) AS n,
+ 1.96::DOUBLE * sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / greatest(count(*) - 2, 1)) AS band
+ FROM d GROUP BY o_orderstatus HAVING count(*) >= 3)"""
+
+
+@query("ts_forecast_trend", f"""
+WITH {TREND_SQL}, f AS (SELECT *, last + to_months(CAST(i AS INTEGER)) AS ds FROM line, range(1, 7) r(i))
+SELECT o_orderstatus, strftime(ds, '%Y-%m-%d') AS day, round(a * epoch_us(ds) / 86400000000::DOUBLE + b, 2) AS yhat,
+ round(a * epoch_us(ds) / 86400000000::DOUBLE + b - band, 2) AS yhat_lower, round(a * epoch_us(ds) / 86400000000::DOUBLE + b + band, 2) AS yhat_upper FROM f""")
+def ts_forecast_trend(t: Tables) -> DataFrame:
+    """The grouped fit without seasons is the regression line."""
+    ahead = fc.forecast(monthly(t), ["o_orderstatus"], 6, "MS", seasonal=False).filter("y IS NULL")
+    return ahead.select("o_orderstatus", day_text(), *[F.round(c, 2).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")])
+
+
+@query("ts_backtest_trend", f"""
+WITH {MONTHLY_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY o_orderstatus) AS n,
+ row_number() OVER (PARTITION BY o_orderstatus ORDER BY ds DESC) AS back, epoch_us(ds) / 86400000000::DOUBLE AS x FROM monthly),
+h AS (SELECT *, back <= greatest(2, least(6, floor(n * 0.2))) AS test FROM c WHERE n >= 8),
+line AS (SELECT o_orderstatus, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, max(ds) AS last FROM h WHERE NOT test GROUP BY o_orderstatus),
+p AS (SELECT h.o_orderstatus, h.y, row_number() OVER (PARTITION BY h.o_orderstatus ORDER BY h.ds) AS period FROM h WHERE test),
+f AS (SELECT o_orderstatus, i AS period, a * epoch_us(last + to_months(CAST(i AS INTEGER))) / 86400000000::DOUBLE + b AS yhat FROM line, range(1, 7) r(i))
+SELECT p.o_orderstatus, round(avg(abs((y - yhat) / nullif(y, 0))) * 100, 4) AS mape_pct, count(*) FILTER (y <> 0) AS periods
+FROM p JOIN f ON p.o_orderstatus = f.o_orderstatus AND p.period = f.period GROUP BY p.o_orderstatus""")
+def ts_backtest_trend(t: Tables) -> DataFrame:
+    return fc.backtest(monthly(t), ["o_orderstatus"], "MS", seasonal=False)[1]
+
+
+@query("ts_injected_rows", f"""
+WITH {MONTHLY_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ds) - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM monthly)
+SELECT o_orderstatus, strftime(ds, '%Y-%m-%d') AS day, round(y * 10, 2) AS y FROM c WHERE n >= 3 AND i = greatest(2, floor(n / 3.0))""")
+def ts_injected_rows(t: Tables) -> DataFrame:
+    """The month of every status that the injection multiplies by ten."""
+    bent = fc.inject_anomaly(monthly(t), ["o_orderstatus"])
+    return bent.filter("injected").select("o_orderstatus", day_text(), F.round("y", 2).alias("y"))
+
+
 @query("ts_forecast")
 def ts_forecast(t: Tables) -> DataFrame:
     """Six more months per order status with a 95% band."""
@@ -212,7 +251,7 @@ def ts_anomaly_injection(t: Tables) -> DataFrame:
     return flagged.join(injected, "o_orderstatus").withColumn("is_injected", F.col("ds") == F.col("injected_ds"))
 
 
-@query("ts_detect_date")
+@query("ts_detect_date", "SELECT count(*) AS row_count, 'o_orderdate' AS date_column FROM orders")
 def ts_detect_date(t: Tables) -> DataFrame:
     """The date column of the orders when all columns are read as text."""
     texts = t.orders.select(*[F.col(c).cast("string").alias(c) for c in t.orders.columns])
@@ -220,7 +259,8 @@ def ts_detect_date(t: Tables) -> DataFrame:
     return texts.agg(F.count("*").alias("row_count")).withColumn("date_column", F.lit(column))
 
 
-@query("ts_detect_value")
+@query("ts_detect_value", """
+SELECT n AS row_count, unnest(['o_totalprice', 'o_totalprice', 'o_custkey']) AS value_column FROM (SELECT count(*) AS n FROM orders)""")
 def ts_detect_value(t: Tables) -> DataFrame:
     """The value column of the orders for each of three wordings of a question."""
     asked = ["forecast o_totalprice", "forecast the next months", "what about o custkey"]

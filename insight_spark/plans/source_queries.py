@@ -66,7 +66,21 @@ def scan_workbook(t: Tables) -> DataFrame:
     return files.scan_workbook(workbooks(t.part, "p_partkey"), t.part.columns)
 
 
-@query("workbook_chunks")
+BOOK_ROW_SQL = (
+    "'p_partkey: ' || p_partkey || ', p_name: ' || p_name || ', p_brand: ' || p_brand || ', p_type: ' || p_type"
+    " || ', p_size: ' || p_size || ', p_retailprice: ' || p_retailprice"
+)
+
+
+@query("workbook_chunks", f"""
+WITH b AS (SELECT 'book' || (p_partkey // 500) || '.xlsx' AS book, p_partkey % 500 AS i, {BOOK_ROW_SQL} AS line FROM part)
+SELECT '/in/' || book AS path, 'Data' AS sheet, 'excel_row' AS type, i::INTEGER AS row, 'From ' || book || ', Sheet ''Data'', Row ' || i || ':' || chr(10) || line AS text FROM b
+UNION ALL SELECT '/in/' || book, 'Data', 'excel', NULL, 'Excel File: ' || book || ', Sheet: Data' || chr(10)
+ || 'Columns: p_partkey, p_name, p_brand, p_type, p_size, p_retailprice' || chr(10) || 'Total Rows: ' || count(*) || chr(10) || chr(10)
+ || 'Sample:' || chr(10) || string_agg(line, chr(10) ORDER BY i) FILTER (i < 3) FROM b GROUP BY book
+UNION ALL SELECT DISTINCT '/in/' || book, 'Notes', 'excel_row', 0, 'From ' || book || ', Sheet ''Notes'', Row 0:' || chr(10) || 'note: file ' || replace(replace(book, 'book', ''), '.xlsx', '') FROM b
+UNION ALL SELECT DISTINCT '/in/' || book, 'Notes', 'excel', NULL::INTEGER, 'Excel File: ' || book || ', Sheet: Notes' || chr(10) || 'Columns: note' || chr(10)
+ || 'Total Rows: 1' || chr(10) || chr(10) || 'Sample:' || chr(10) || 'note: file ' || replace(replace(book, 'book', ''), '.xlsx', '') FROM b""")
 def workbook_chunks(t: Tables) -> DataFrame:
     return files.workbook_chunks(workbooks(t.part, "p_partkey"))
 
@@ -139,6 +153,13 @@ def table_schema_text(t: Tables) -> DataFrame:
     return tables.schema_text(table_schema(t))
 
 
+@query("agg_metadata_shape", """
+SELECT count(*) AS row_count, 6 AS column_count, 'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority' AS columns FROM orders""")
+def agg_metadata_shape(t: Tables) -> DataFrame:
+    """Rows and columns of the metadata; types and file size have other names in DuckDB."""
+    return agg_metadata(t).select("row_count", "column_count", "columns")
+
+
 @query("agg_metadata")
 def agg_metadata(t: Tables) -> DataFrame:
     listing = t.spark.read.format("binaryFile").load(f"{t.sf_dir}/orders.parquet").select("length")
@@ -212,13 +233,40 @@ def ingest_files(t: Tables) -> DataFrame:
     return ingest.ingest_files(upload(t), "upload-0001")[1].select("filename", "format", "type", "status")
 
 
+@query("ingest_row_chunks", f"""
+WITH b AS (SELECT 'book' || (p_partkey // 500) || '.xlsx' AS source, p_partkey % 500 AS i, {BOOK_ROW_SQL} AS line FROM part),
+c AS (SELECT 'suppliers' || (s_suppkey // 100) || '.csv' AS source,
+ row_number() OVER (PARTITION BY s_suppkey // 100 ORDER BY s_suppkey || ',') - 1 AS i, s_suppkey, s_name, s_acctbal FROM supplier)
+SELECT source, 'excel_row' AS chunk_type, 'From ' || source || ', Sheet ''Data'', Row ' || i || ':' || chr(10) || line AS text FROM b
+UNION ALL SELECT DISTINCT source, 'excel_row', 'From ' || source || ', Sheet ''Notes'', Row 0:' || chr(10) || 'note: file ' || replace(replace(source, 'book', ''), '.xlsx', '') FROM b
+UNION ALL SELECT source, 'csv_row', 'From ' || source || ', Row ' || i || ':' || chr(10) || 'SupplierID: ' || s_suppkey || ', Name: ' || s_name || ', Ltd, Balance: ' || s_acctbal FROM c""")
+def ingest_row_chunks(t: Tables) -> DataFrame:
+    """All chunks of an upload that stand for one row of a table file."""
+    chunks = ingest.ingest_files(upload(t), "upload-0001")[0]
+    return chunks.filter(F.col("chunk_type").isin("excel_row", "csv_row")).select("source", "chunk_type", "text")
+
+
+@query("ingest_document_chunks", """
+SELECT doc_id || '.txt' AS source, 'txt' AS chunk_type, true AS within_size, true AS in_text FROM documents WHERE regexp_matches(text, '\\S')""")
+def ingest_document_chunks(t: Tables) -> DataFrame:
+    """Per text file of an upload: no chunk is too long, and every chunk is a part of the text."""
+    chunks = ingest.ingest_files(text_files(t), "upload-0001")[0]
+    whole = files.scan_text(text_files(t)).select("source", F.col("text").alias("whole"))
+    return chunks.join(whole, "source").groupBy("source", "chunk_type").agg(
+        (F.max(F.length("text")) <= 1000).alias("within_size"), F.bool_and(F.contains("whole", "text")).alias("in_text")
+    )
+
+
 @query("ingest_chunks")
 def ingest_chunks(t: Tables) -> DataFrame:
-    """Chunks of an upload, capped per conversation."""
+    """All chunks of an upload."""
     return ingest.ingest_files(upload(t), "upload-0001")[0].select("chunk_id", "source", "source_type", "chunk_type", "text")
 
 
-@query("results_sink")
+@query("results_sink", """
+WITH s AS (SELECT count(*) FILTER (quality = 1 - toxic) AS correct, count(*) AS total, count(DISTINCT 1 - toxic) AS languages FROM labels)
+SELECT unnest([repeat('=', 70), 'EVALUATION REPORT', repeat('=', 70), 'LABELS', repeat('-', 70), 'accuracy_pct: '
+ || round(correct * 100.0 / total::DOUBLE, 1) || ', correct: ' || correct || ', languages: ' || languages || ', total: ' || total]) AS value FROM s""")
 def results_sink(t: Tables) -> DataFrame:
     """Evaluation results written as JSON and as a report; the report's lines."""
     path = fresh_path(t.spark, "results")
