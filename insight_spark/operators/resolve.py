@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import expand_abbreviations, normalize_token, parse_month
 from insight_spark.operators.relational import string_columns
-from insight_spark.operators.scale import BLOCK_CELLS, probe_slices
+from insight_spark.operators.scale import BLOCK_CELLS, probe_slices, slice_results
 
 LITERAL = r"'((?:[^'\"\\]|\\.)*)'"
 ALPHABET_BINS = 64
@@ -93,14 +93,14 @@ def fuzzy_match(
         F.to_json(F.struct(F.col(scope).alias("s"), F.col(probe).alias("p"))).alias("_id"),
     )
     corpus = values.select(F.col(scope).alias("_scope"), F.col(value).alias("_value"))
-    out = None
-    for part in probe_slices(keyed, "_id", F.octet_length("_id") * 3 + ALPHABET_BINS * 4):
+    def search(part: DataFrame) -> tuple:
         found = part.toPandas()
         shared = spark.sparkContext.broadcast(
             (found["_probe"].tolist(), found["_scope"].tolist(), [_histogram(p) for p in found["_probe"]])
         )
-        best = _closest_values(corpus, shared, found["_id"].tolist(), cutoff)
-        out = best if out is None else out.unionByName(best)
+        return _closest_values(corpus, shared, found["_id"].tolist(), cutoff), shared
+
+    out = slice_results(probe_slices(keyed, "_id", F.octet_length("_id") * 3 + ALPHABET_BINS * 4), search)
     parsed = F.from_json("_id", "s string, p string")
     return out.select(
         parsed["s"].alias(scope), parsed["p"].alias(probe), F.col("_value").alias(value),

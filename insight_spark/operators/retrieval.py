@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,7 @@ from insight_spark.operators.scale import (
     keep_best,
     probe_slices,
     probe_top_k,
+    slice_results,
     top_n_per_group,
 )
 
@@ -273,8 +273,7 @@ def bm25_topk(
     )
     spark = docs.sparkSession
     id_type, probe_type = _sql_type(docs, doc_id), _sql_type(queries, query_id)
-    results = []
-    for part in probe_slices(weights, "_query", F.octet_length("term") + 96):
+    def search(part: DataFrame) -> tuple:
         found = part.toPandas()
         query_ids, query_no = np.unique(found["_query"].to_numpy(), return_inverse=True)
         terms, term_no = np.unique(found["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
@@ -293,20 +292,15 @@ def bm25_topk(
             "queries": len(query_ids),
         }
         shared = spark.sparkContext.broadcast(lists)
-        results.append(
-            probe_top_k(
-                words.filter(F.size("_tokens") > 0),
-                _bm25_scorer(shared, doc_id, k),
-                query_ids.tolist(),
-                probe_type,
-                id_type,
-                k,
-                (query_id, doc_id),
-            )
-        )
+        return probe_top_k(
+            words.filter(F.size("_tokens") > 0), _bm25_scorer(shared, doc_id, k), query_ids.tolist(), probe_type, id_type, k,
+            (query_id, doc_id),
+        ), shared
+
+    result = slice_results(probe_slices(weights, "_query", F.octet_length("term") + 96), search)
     weights.unpersist()
     counted.unpersist()
-    return reduce(DataFrame.unionByName, results)
+    return result
 
 
 def _bm25_scorer(shared, doc_id: str, k: int):
@@ -387,24 +381,17 @@ def vector_topk(
     )
     known = corpus.filter(F.col(vector).isNotNull())
     rows = known.select(F.col(vector_id), in_scope, (checked if widths[0] else F.col(vector)).alias("_vector"))
-    results = []
-    for part in probe_slices(asked, "_query", F.lit(width * 8 + 64)):
+    def search(part: DataFrame) -> tuple:
         found = part.toPandas()
         matrix = np.array(found["_vector"].tolist(), dtype=float).reshape(len(found), width)
         by_scope = {s: np.flatnonzero(found["_scope"] == s) for s in found["_scope"].unique()}
         shared = spark.sparkContext.broadcast((matrix, by_scope))
-        results.append(
-            probe_top_k(
-                rows,
-                _vector_scorer(shared, vector_id, width, k),
-                found["_query"].tolist(),
-                probe_type,
-                id_type,
-                k,
-                (query_id, vector_id),
-            )
-        )
-    return reduce(DataFrame.unionByName, results)
+        return probe_top_k(
+            rows, _vector_scorer(shared, vector_id, width, k), found["_query"].tolist(), probe_type, id_type, k,
+            (query_id, vector_id),
+        ), shared
+
+    return slice_results(probe_slices(asked, "_query", F.lit(width * 8 + 64)), search)
 
 
 def _vector_scorer(shared, vector_id: str, width: int, k: int):

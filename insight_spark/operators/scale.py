@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -181,6 +182,25 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slice_results(parts: Iterator[DataFrame], search: Callable) -> DataFrame:
+    """``search(part)`` gives (result, broadcast) for each part of the probes; all results together.
+
+    One part runs within the caller's plan. Of several, each is searched and
+    written before the next one is broadcast, so a single broadcast is held at a
+    time and the plan does not grow with the number of parts.
+    """
+    first = next(parts)
+    second = next(parts, None)
+    if second is None:
+        return search(first)[0]
+    found = []
+    for part in chain([first, second], parts):
+        result, shared = search(part)
+        found.append(kept(result, "slice"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found)
+
+
 def probe_slices(probes: DataFrame, key: str, row_bytes: Column) -> Iterator[DataFrame]:
     """The probe set in parts that each fit a broadcast; one part when it is small.
 

@@ -17,6 +17,28 @@ from insight_spark.plans.text_queries import (
 )
 
 
+SEGMENT_SQL = "SELECT DISTINCT lower(c_mktsegment) AS seg FROM customer"
+
+
+@query("fuzzy_match_known", f"""
+SELECT substring(seg, 1, length(seg) - 1) AS probe, seg AS value, round(2.0 * (length(seg) - 1) / (2 * length(seg) - 1), 6)::DOUBLE AS ratio FROM ({SEGMENT_SQL})""")
+def fuzzy_match_known(t: Tables) -> DataFrame:
+    """Every market segment without its last letter finds the whole one."""
+    known = t.customer.select(F.lit("customer").alias("table"), F.lower("c_mktsegment").alias("value")).distinct()
+    typed = known.select("table", F.expr("substring(value, 1, length(value) - 1)").alias("probe"))
+    return res.fuzzy_match(typed, known, 0.75).select("probe", "value", "ratio")
+
+
+@query("resolve_values_known", """
+SELECT DISTINCT p_name AS literal, p_name AS resolved, 'exact' AS method FROM part
+UNION ALL SELECT DISTINCT upper(p_name), p_name, 'canonical' FROM part""")
+def resolve_values_known(t: Tables) -> DataFrame:
+    """Part names as stored and in capitals, resolved to the stored ones."""
+    names = t.part.select(F.explode(F.array("p_name", F.upper("p_name"))).alias("literal"))
+    asked = names.select(F.lit("part").alias("table"), "literal", F.lit(None).cast("string").alias("hint"))
+    return res.resolve_values(asked, res.value_forms(t.part, "part", ["p_name"])).select("literal", "resolved", "method")
+
+
 def two(x: str) -> str:
     """SQL text of a plain number."""
     return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE format('{{:.2f}}', {x}) END"
