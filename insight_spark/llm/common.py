@@ -12,8 +12,9 @@ from insight_spark.session import fresh_path
 
 # Spark hands Python batches of at most so many rows, so a batch of long texts stays small.
 ROWS_PER_BATCH = 256
-# Batches are put together up to about this size before they are worked on.
-CHUNK_BYTES = 12 << 20
+# Batches are put together up to about this size before they are worked on. Work on a chunk takes up
+# to 25 times its size in arrays, in each of an executor's Python workers.
+CHUNK_BYTES = 4 << 20
 # Word separators of the contracts: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,6 +37,7 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
         if size >= limit:
             yield pa.concat_batches(held)
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield pa.concat_batches(held)
 

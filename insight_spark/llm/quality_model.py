@@ -20,7 +20,7 @@ from insight_spark.llm.common import id_type, map_chunks, segment_sums, text_col
 
 BITS = 18
 # The training sample: at most so many labelled texts, the first ones by the hash of their id.
-SAMPLE = 8000
+SAMPLE = 5000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.5, 1.0
 PAIR = np.uint64(0x9E3779B97F4A7C15)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Stretches remembered per worker; beyond that the memory starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 # Every character that Unicode calls white space, and the four information separators.
 _BLANK = r"\t\n\x0B\x0C\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # A space next to white space, the cutting sign itself, or the one letter whose lower case ends
