@@ -25,20 +25,23 @@ MONTH_NAMES = [
 ]
 
 # --- Fixed values: vocabulary stop words ------------------------------------
-STOP_WORDS = (
-    "the a an is in of to and or for with from at by on are was be this that it "
-    "as we our has have had not but if so its can all any one two per will been "
-    "more also than when what how which who they them their there here each both "
-    "some into over after about up out do did were would could should may might "
-    "shall row file column data value table page source type total number name "
-    "date time"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "in", "of", "to", "and", "or", "for", "with", "from", "at", "by",
+    "on", "are", "was", "be", "this", "that", "it", "as", "we", "our", "has", "have", "had",
+    "not", "but", "if", "so", "its", "can", "all", "any", "one", "two", "per", "will", "been",
+    "more", "also", "than", "when", "what", "how", "which", "who", "they", "them", "their",
+    "there", "here", "each", "both", "some", "into", "over", "after", "about", "up", "out",
+    "do", "did", "were", "would", "could", "should", "may", "might", "shall", "row", "file",
+    "column", "data", "value", "table", "page", "source", "type", "total", "number", "name",
+    "date", "time",
+]
 
 # --- Fixed values: question words that carry intent, not content ------------
-INTENT_WORDS = (
-    "chart plot graph pie bar line show give display visualize grouped group "
-    "number count total average sum list tell what how many much all get"
-).split()
+INTENT_WORDS = [
+    "chart", "plot", "graph", "pie", "bar", "line", "show", "give", "display", "visualize",
+    "grouped", "group", "number", "count", "total", "average", "sum", "list", "tell", "what",
+    "how", "many", "much", "all", "get",
+]
 
 # --- Fixed values: language codes and names ---------------------------------
 LANGUAGE_NAMES = {
@@ -229,3 +232,18 @@ TITLE_CHARS = 50
 TABLE_NAME_CHARS, TABLE_ID_CHARS = 63, 8
 TABLE_PREFIX = "upload_"
 BM25_K1, BM25_B = 1.5, 0.75
+
+# --- Fixed values: patterns over logged SQL and names ------------------------
+SQL_FENCE = r"(?i)```(?:sql)?\s*"
+SQL_LINE_COMMENT = r"(?m)--.*$"
+SQL_BLOCK_COMMENT = r"(?s)/\*.*?\*/"
+SQL_SEMICOLONS = r";+$"
+SQL_BARE_AGGREGATE = r'(?i)\b(MAX|MIN|AVG|SUM|COUNT|TOTAL)\s+(?!\()([a-zA-Z_][a-zA-Z0-9_."]*)'
+SQL_TABLE = r'(?i)\b(?:FROM|JOIN|UPDATE|INTO)\s+[`"\[]?(\w+)[`"\]]?'
+CAMEL_CASE = r"([a-z])([A-Z])"
+RECORD_ENDING = r"(?:[Ii][Dd]|[Cc]ode|[Nn]o|[Nn]um(?:ber)?)$"
+PERIODS_ASKED = r"([0-9]+)\s*(?:month|week|quarter|year|period)"
+
+# --- Fixed values: grades by lowest score -------------------------------------
+GRADES = [(90, "A+ Excellent"), (80, "A Good"), (70, "B Fair")]
+LOWEST_GRADE = "C Needs Improvement"

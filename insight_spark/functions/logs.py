@@ -13,26 +13,24 @@ from insight_spark.functions.text import contains_any, contains_word, literal_ma
 def clean_sql_text(sql: Column) -> Column:
     """Logged SQL without fences, comments and a trailing semicolon; an aggregate
     written without parentheses gets them."""
-    out = F.regexp_replace(sql, r"(?i)```(?:sql)?\s*", "")
-    out = F.regexp_replace(out, r"(?m)--.*$", "")
-    out = F.regexp_replace(out, r"(?s)/\*.*?\*/", "")
+    out = F.regexp_replace(sql, fv.SQL_FENCE, "")
+    out = F.regexp_replace(out, fv.SQL_LINE_COMMENT, "")
+    out = F.regexp_replace(out, fv.SQL_BLOCK_COMMENT, "")
     out = F.regexp_replace(F.trim(out), r"^\s+|\s+$", "")
-    out = F.regexp_replace(out, r";+$", "")
-    out = F.regexp_replace(
-        out, r'(?i)\b(MAX|MIN|AVG|SUM|COUNT|TOTAL)\s+(?!\()([a-zA-Z_][a-zA-Z0-9_."]*)', "$1($2)"
-    )
+    out = F.regexp_replace(out, fv.SQL_SEMICOLONS, "")
+    out = F.regexp_replace(out, fv.SQL_BARE_AGGREGATE, "$1($2)")
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def primary_table(sql: Column) -> Column:
     """First identifier after FROM, JOIN, UPDATE or INTO; null when there is none."""
-    name = F.regexp_extract(sql, r'(?i)\b(?:FROM|JOIN|UPDATE|INTO)\s+[`"\[]?(\w+)[`"\]]?', 1)
+    name = F.regexp_extract(sql, fv.SQL_TABLE, 1)
     return F.nullif(name, F.lit(""))
 
 
 def extract_periods(question: Column) -> Column:
     """Number of periods asked for, clamped; the unit itself is not interpreted."""
-    digits = F.regexp_extract(F.lower(question), r"([0-9]+)\s*(?:month|week|quarter|year|period)", 1)
+    digits = F.regexp_extract(F.lower(question), fv.PERIODS_ASKED, 1)
     # Too long a number for an integer is certainly above the greatest one.
     number = F.when(F.length(F.ltrim(digits, F.lit("0"))) > 9, F.lit(fv.MAX_PERIODS)).otherwise(digits.try_cast("int"))
     return F.when(number.isNull(), F.lit(fv.DEFAULT_PERIODS)).otherwise(

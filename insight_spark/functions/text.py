@@ -82,13 +82,13 @@ def month_number(value: Column) -> Column:
 
 def humanize_column(name: Column) -> Column:
     """'TreatmentCost_USD' to 'Treatment Cost USD'."""
-    split = F.regexp_replace(name, r"([a-z])([A-Z])", "$1 $2")
+    split = F.regexp_replace(name, fv.CAMEL_CASE, "$1 $2")
     return F.trim(F.replace(split, F.lit("_"), F.lit(" ")))
 
 
 def record_type(name: Column) -> Column:
     """What one row is about, read from its subject column: 'PatientID' to 'Patient'."""
-    stem = F.trim(F.regexp_replace(name, r"(?:[Ii][Dd]|[Cc]ode|[Nn]o|[Nn]um(?:ber)?)$", ""))
+    stem = F.trim(F.regexp_replace(name, fv.RECORD_ENDING, ""))
     return F.when(stem == "", F.lit("Record")).otherwise(stem)
 
 

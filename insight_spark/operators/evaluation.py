@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.logs import keyword_hit, refusal_flag
 from insight_spark.operators.relational import agg_accuracy, agg_confusion
 from insight_spark.operators.scale import kept, value_at_index
@@ -82,12 +83,7 @@ def eval_language(log: DataFrame, expected: str = "expected", detected: str = "d
 
 
 def grade(score: Column) -> Column:
-    return (
-        F.when(score >= 90, F.lit("A+ Excellent"))
-        .when(score >= 80, F.lit("A Good"))
-        .when(score >= 70, F.lit("B Fair"))
-        .otherwise(F.lit("C Needs Improvement"))
-    )
+    return F.coalesce(*[F.when(score >= low, F.lit(name)) for low, name in fv.GRADES], F.lit(fv.LOWEST_GRADE))
 
 
 def eval_overall(scores: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:

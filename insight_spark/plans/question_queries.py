@@ -116,13 +116,13 @@ def combine_hybrid(t: Tables) -> DataFrame:
 WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY month),
 p AS (SELECT * FROM m ORDER BY month LIMIT 50)
 SELECT 'line' AS type, string_agg(month, '|' ORDER BY month) AS x, count(total) AS points, round(sum(total), 2) AS y_sum,
- 'month' AS x_label, 'total' AS y_label, 'total by month' AS title FROM p""")
+ 'month' AS x_label, 'total' AS y_label, 'total by month' AS title, (SELECT count(*) FROM m) > 50 AS truncated FROM p""")
 def chart_spec(t: Tables) -> DataFrame:
     months = rel.agg_by_month(t.orders, "o_orderdate", "o_totalprice").select("month", "total")
     spec = charts.chart_spec(months, "show revenue", ["month"])
     return spec.select(
         "type", F.array_join("x", "|").alias("x"), F.size("y").cast("bigint").alias("points"),
-        F.round(F.aggregate("y", F.lit(0.0), lambda a, b: a + b), 2).alias("y_sum"), "x_label", "y_label", "title",
+        F.round(F.aggregate("y", F.lit(0.0), lambda a, b: a + b), 2).alias("y_sum"), "x_label", "y_label", "title", "truncated",
     )
 
 

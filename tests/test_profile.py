@@ -100,3 +100,13 @@ def test_dates_in_many_forms(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
     got = [r["d"] for r in df.select("i", F.date_format(rel.coerce_date(F.col("s")), "yyyy-MM-dd").alias("d")).orderBy("i").collect()]
     assert got == ["2024-01-05"] * 3 + ["2024-01-01"] * 2 + ["2024-01-05"] * 3 + ["2024-01-01"] + [None] * 3
+
+
+def test_chart_says_when_points_are_left_out(spark):
+    from insight_spark.operators import charts
+
+    months = spark.createDataFrame([(f"2020-{i:03d}", float(i)) for i in range(80)], "month string, total double")
+    cut = charts.chart_spec(months, "revenue", ["month"]).first()
+    assert len(cut["x"]) == 50 and cut["truncated"]
+    whole = charts.chart_spec(months, "revenue", ["month"], points=80).first()
+    assert len(whole["x"]) == 80 and not whole["truncated"] and whole["y"][-1] == 79.0
