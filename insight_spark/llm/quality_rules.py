@@ -23,7 +23,7 @@ BLANKS = r"' \t\n\u000B\f\r'"
 class Rule(NamedTuple):
     """``low <= 100 * top / bottom <= high``; a limit that is None does not bind.
 
-    ``top`` and ``bottom`` are measures of ``MEASURES`` or derived integers.
+    ``top`` and ``bottom`` are SQL expressions over ``MEASURES``.
     """
 
     name: str
@@ -40,7 +40,8 @@ RULES = [
     Rule("short_words", "word_chars", "n_words", 150, None),
     Rule("long_words", "word_chars", "n_words", None, 2000),
     Rule("symbols", "n_symbols", "n_words", None, 15),
-    Rule("stop_words", "n_stop_words", "n_words", 2, None),
+    # One stop word is granted, so that a short text without any is not rejected for that alone.
+    Rule("stop_words", "(n_stop_words + 1)", "n_words", 2, None),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 30),
 ]
 

@@ -49,7 +49,7 @@ def test_measures_and_verdict(spark):
         base = want["n_words"] < 10 or 100 * want["n_repeat_words"] > 20 * want["n_words"]
         broken = []
         for rule in rules.RULES:
-            top, bottom = want[rule.top], want[rule.bottom]
+            top, bottom = eval(rule.top, {}, want), eval(rule.bottom, {}, want)
             if bottom and not (
                 (rule.low is None or 100 * top >= rule.low * bottom) and (rule.high is None or 100 * top <= rule.high * bottom)
             ):
