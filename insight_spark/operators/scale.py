@@ -16,6 +16,9 @@ from insight_spark.session import fresh_path
 # Spark turns "row_number() <= n" into a per-task limit ahead of the shuffle
 # only up to this n (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT_PUSHDOWN = 1000
+GROUP_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
+# An input below this size may be dealt anew to use all cores.
+SPREAD_BYTES = 256 << 20
 # One broadcast probe set stays below this size; larger sets take several passes.
 PROBE_BYTES = 64 << 20
 # Score cells computed at once inside a task.
@@ -39,11 +42,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def spread_small(df: DataFrame) -> DataFrame:
     """Use all cores for heavy per-row work on a scan of few row groups.
 
-    An input with at least as many partitions as cores, as any large one has, is
-    returned untouched.
+    Only an input below 256 MB is dealt anew, so a large one is never shuffled
+    for this, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def top_n_per_group(
@@ -57,10 +61,14 @@ def top_n_per_group(
 ) -> DataFrame:
     """First ``n`` rows of each group with their position, skew-safe.
 
-    Up to 1000 rows Spark trims each task's groups before the shuffle. Above
-    that, ``salt_on`` spreads a group over ``salts`` parts that are each trimmed
-    to ``n`` first; the final window then sees at most ``salts * n`` rows.
+    Spark trims each task's groups before the shuffle; the session's limit for
+    that is raised to ``n`` where it is lower. Above 1000 rows ``salt_on`` also
+    spreads a group over ``salts`` parts that are each trimmed to ``n`` first; the
+    final window then sees at most ``salts * n`` rows.
     """
+    spark = df.sparkSession
+    if n > int(spark.conf.get(GROUP_LIMIT_KEY, str(GROUP_LIMIT_PUSHDOWN))):
+        spark.conf.set(GROUP_LIMIT_KEY, str(n))
     if n > GROUP_LIMIT_PUSHDOWN and salt_on:
         part = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
         inner = Window.partitionBy(*keys, "_part").orderBy(*order)
