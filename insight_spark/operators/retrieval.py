@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from insight_spark.operators.scale import (
     BLOCK_CELLS,
     best_of_block,
     keep_best,
+    kept,
     probe_slices,
     probe_top_k,
     slice_results,
@@ -196,6 +198,50 @@ def build_postings(
     return postings, frequency, lengths
 
 
+class LexicalIndex(NamedTuple):
+    """Tokenised documents and word counts of a corpus, in the shared folder.
+
+    ``words`` is (doc id, _scope, _tokens); ``counted`` is (_scope, term, _df,
+    _length), with one row per scope for all documents under DOCUMENT_MARK.
+    """
+
+    words: DataFrame
+    counted: DataFrame
+
+    def frequency(self) -> DataFrame:
+        """(term, df) over all scopes."""
+        real = self.counted.filter(F.col("term") != DOCUMENT_MARK)
+        return real.groupBy("term").agg(F.sum("_df").alias("df"))
+
+    def documents(self) -> int:
+        return self.counted.filter(F.col("term") == DOCUMENT_MARK).select(F.sum("_df")).first()[0] or 0
+
+
+def _words(docs: DataFrame, doc_id: str, text: str, scope: str | None, tokens) -> DataFrame:
+    in_scope = F.col(scope) if scope else F.lit("")
+    return docs.select(F.col(doc_id), in_scope.alias("_scope"), tokens(F.col(text)).alias("_tokens"))
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    """One pass counts both: every document adds one mark with its length to the words it contains."""
+    return (
+        words.select(
+            "_scope", F.size("_tokens").alias("_dl"),
+            F.explode(F.concat(F.array_distinct("_tokens"), F.array(F.lit(DOCUMENT_MARK)))).alias("term"),
+        )
+        .groupBy("_scope", "term")
+        .agg(F.count("*").alias("_df"), F.sum("_dl").alias("_length"))
+    )
+
+
+def lexical_index(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str | None = None, tokens=tokenize_words
+) -> LexicalIndex:
+    """Tokenise and count a corpus once, for any number of searches and rerankings."""
+    words = kept(_words(docs, doc_id, text, scope, tokens), "words")
+    return LexicalIndex(words, kept(_counted(words), "counted"))
+
+
 # --- Lexical and vector top-k -----------------------------------------------
 
 def _sql_type(df: DataFrame, name: str) -> str:
@@ -212,31 +258,21 @@ def bm25_topk(
     k: int = fv.CANDIDATES,
     scope: str | None = None,
     tokens=tokenize_words,
+    index: LexicalIndex | None = None,
 ) -> DataFrame:
     """Top ``k`` documents per query by Okapi BM25: (query, doc, score, rank).
 
-    Corpus statistics come from one word count (per ``scope``, e.g. conversation).
+    With an ``index`` of the documents their texts are not read again. Corpus
+    statistics come from one word count (per ``scope``, e.g. conversation).
     A word in more than half of the documents gets a quarter of the mean IDF.
     The weighted query terms are broadcast in size-checked parts; documents are
     scored where they lie, so no posting list and no (query, doc) pair is
     shuffled, however frequent a word is. Scores are rounded to six digits
     before ranking.
     """
-    in_scope = F.col(scope) if scope else F.lit("")
-    words = docs.select(
-        F.col(doc_id), in_scope.alias("_scope"), tokens(F.col(text)).alias("_tokens")
-    )
-    # One pass over the texts counts both: every document adds one mark with its
-    # length to the words it contains. The vocabulary is small next to the texts.
-    counted = (
-        words.select(
-            "_scope", F.size("_tokens").alias("_dl"),
-            F.explode(F.concat(F.array_distinct("_tokens"), F.array(F.lit(DOCUMENT_MARK)))).alias("term"),
-        )
-        .groupBy("_scope", "term")
-        .agg(F.count("*").alias("_df"), F.sum("_dl").alias("_length"))
-        .persist()
-    )
+    words = index.words if index else _words(docs, doc_id, text, scope, tokens)
+    # The vocabulary is small next to the texts.
+    counted = index.counted if index else _counted(words).persist()
     sizes = counted.filter(F.col("term") == DOCUMENT_MARK).select(
         "_scope", F.col("_df").alias("_docs"), (F.col("_length") / F.col("_df")).alias("_avgdl")
     )
@@ -299,7 +335,8 @@ def bm25_topk(
 
     result = slice_results(probe_slices(weights, "_query", F.octet_length("term") + 96), search)
     weights.unpersist()
-    counted.unpersist()
+    if index is None:
+        counted.unpersist()
     return result
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from insight_spark.functions import fixed_values as fv
 from insight_spark.operators import retrieval as ret
 from insight_spark.operators import routing
-from insight_spark.operators.scale import spread_small, top_n_per_group
+from insight_spark.operators.scale import kept, spread_small, top_n_per_group
 from insight_spark.plans.registry import Tables, query, sql_list
 from insight_spark.plans.text_queries import TOKENS_SQL, WORDS_SQL
 
@@ -145,8 +145,15 @@ bm25 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score
  QUALIFY rank <= 10)"""
 
 
+def index_of(t: Tables) -> ret.LexicalIndex:
+    """The documents tokenised and counted once per query run."""
+    if "_lexical" not in t.__dict__:
+        t._lexical = ret.lexical_index(documents(t))
+    return t._lexical
+
+
 def lexical(t: Tables) -> DataFrame:
-    return ret.bm25_topk(documents(t), questions(t))
+    return ret.bm25_topk(documents(t), questions(t), index=index_of(t))
 
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM bm25")
@@ -242,9 +249,7 @@ top3 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank
 
 
 def scorer(t: Tables):
-    docs = documents(t)
-    frequency = ret.build_postings(docs, "doc_id")[1]
-    return ret.coverage_scorer(frequency, t.documents.count())
+    return ret.coverage_scorer(index_of(t).frequency(), index_of(t).documents())
 
 
 def reranked(t: Tables) -> DataFrame:
@@ -300,17 +305,52 @@ def expand_low_score(t: Tables) -> DataFrame:
     rerank = lambda pairs: ret.rerank_topk(with_text(pairs), "query_id", "text", "chunk", "doc_id", score).select(
         "query_id", "doc_id", "rerank_score", "position"
     )
-    vocabulary = ret.build_postings(docs, "doc_id")[1].select("term")
+    vocabulary = index_of(t).frequency().select("term")
     longer = vocabulary.select(
         F.regexp_extract("term", "^(.{3,})(?:tion|ing)$", 1).alias("_stem"), F.col("term").alias("expansion")
     ).filter(F.col("_stem") != "")
     synonyms = longer.select(F.col("_stem").alias("term"), "expansion").unionByName(ret.abbreviation_synonyms(t.spark))
     return ret.expand_low_score(
-        asked, rerank(first), synonyms, lambda q: ret.bm25_topk(docs, q), rerank,
+        asked, rerank(first), synonyms, lambda q: ret.bm25_topk(docs, q, index=index_of(t)), rerank,
         "query_id", "doc_id", "text", first, trigger=0.9, texts=docs,
     )
 
 
+@query("session_retrieval")
+def session_retrieval(t: Tables) -> DataFrame:
+    """Search within a conversation, from splitting to the guard.
+
+    Documents are split into chunks and embedded with their own words; a source
+    is a conversation, and every question asks within one. BM25 and vectors are
+    fused, copies dropped and the rest reranked.
+    """
+    chunks = ret.split_recursive(spread_small(t.documents.select("doc_id", "source", "text"))).select(
+        F.concat_ws("-", "doc_id", "chunk_no").alias("chunk_id"), F.col("source").alias("conversation"), F.col("chunk").alias("text")
+    )
+    asked = t.benchmark.select(
+        F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("conversation"), "text"
+    )
+    return retrieve_in_session(chunks, asked).select("query_id", "chunk_id", "rerank_score", "position")
+
+
+def retrieve_in_session(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Reranked chunks (chunk_id, conversation, text) per question (query_id, conversation, text)."""
+    # One embedder for both sides: the IDF weights come from chunks and questions together.
+    together = chunks.select("chunk_id", F.lit(None).cast("bigint").alias("query_id"), "conversation", "text").unionByName(
+        asked.select(F.lit(None).cast("string").alias("chunk_id"), F.col("query_id").cast("bigint"), "conversation", "text")
+    )
+    embedded = kept(ret.embed_text(together), "embedded")
+    known = embedded.filter(F.col("chunk_id").isNotNull()).drop("query_id")
+    questions_ = embedded.filter(F.col("query_id").isNotNull()).drop("chunk_id")
+    index = ret.lexical_index(known, "chunk_id", scope="conversation")
+    words = ret.bm25_topk(known, questions_, "chunk_id", scope="conversation", index=index)
+    vectors = ret.vector_topk(known, questions_, "chunk_id", scope="conversation")
+    found = ret.hybrid_candidates(ret.rrf_fusion(words, vectors, "query_id", "chunk_id"), known, "query_id", "chunk_id")
+    pairs = found.join(questions_.select("query_id", "text"), "query_id")
+    score = ret.coverage_scorer(index.frequency(), index.documents())
+    return ret.rerank_topk(pairs, "query_id", "text", "chunk", "chunk_id", score)
+
+
 # --- Vocabulary hints -------------------------------------------------------
 
 def turn_questions(t: Tables) -> DataFrame:

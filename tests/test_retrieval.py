@@ -197,3 +197,27 @@ def test_expansion_leaves_near_copies_out(spark):
     score = lambda pairs: pairs.selectExpr("query_id", "doc_id", "0.5D AS rerank_score", "1 AS position")
     out = ret.expand_low_score(asked, ranked, synonyms, lambda q: every, score, "query_id", "doc_id", "text", seen, texts=texts)
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+def test_an_index_gives_the_same_hits(spark):
+    docs = spark.createDataFrame([(i, t, "a" if i % 2 else "b") for i, t in corpus()], "doc_id long, text string, conversation string")
+    asked = spark.createDataFrame([(1, "alpha gamma", "a"), (2, "beta sigma", "b")], "query_id long, text string, conversation string")
+    index = ret.lexical_index(docs, scope="conversation")
+    for scope, given in (("conversation", index), (None, ret.lexical_index(docs))):
+        plain = sorted(map(tuple, ret.bm25_topk(docs, asked, scope=scope).collect()))
+        assert plain == sorted(map(tuple, ret.bm25_topk(docs, asked, scope=scope, index=given).collect()))
+    counts = {r["term"]: r["df"] for r in index.frequency().collect()}
+    assert counts == {r["term"]: r["df"] for r in ret.build_postings(docs, "doc_id")[1].collect()}
+    assert index.documents() == docs.count()
+
+
+def test_session_retrieval_stays_in_its_conversation(spark):
+    from insight_spark.plans.retrieval_queries import retrieve_in_session
+
+    chunks = spark.createDataFrame(
+        [("1", "a", "river bank with willows"), ("2", "a", "stone wall in rain"), ("3", "b", "river bank with willows"), ("4", "b", "cold tea")],
+        "chunk_id string, conversation string, text string",
+    )
+    asked = spark.createDataFrame([(7, "a", "willows at the river"), (8, "b", "cold tea")], "query_id long, conversation string, text string")
+    best = {r["query_id"]: r["chunk_id"] for r in retrieve_in_session(chunks, asked).filter("position = 1").collect()}
+    assert best == {7: "1", 8: "4"}
