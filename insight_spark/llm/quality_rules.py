@@ -17,7 +17,8 @@ STOP_WORDS = [
     "der", "die", "und", "das", "ist", "ein", "zu", "nicht", "den", "mit", "von", "sich", "dem", "auf", "eine",
     "el", "los", "en", "y", "del", "las", "por", "con", "no", "su", "se", "al",
 ]
-BLANKS = r"' \t\n\u000B\f\r'"
+# Spark's SQL has no escape for the form feed: it would read \f as the letter f.
+BLANKS = r"' \t\n\u000B\u000C\r'"
 
 
 class Rule(NamedTuple):

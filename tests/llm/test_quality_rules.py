@@ -58,6 +58,18 @@ def test_measures_and_verdict(spark):
     assert rules.judge(frame.limit(0)).count() == 0
 
 
+def test_letter_f_is_a_word_and_the_form_feed_is_blank(spark):
+    given = [
+        "for a roof", "f", "fff", "f f", "if f\nf\nf\nof", "f\nf", "\x0c", "\x0cfor a roof\x0c", "\x0c\n\x0c", "f\x0cf",
+        "a\n\x0c\nb\n\x0c\nff\nff", "\x0c f \x0c", "five of half a loaf if " * 3 + "f",
+    ]
+    frame = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r["doc_id"]: r.asDict() for r in rules.judge(frame).collect()}
+    for i, text in enumerate(given):
+        want = measures(text)
+        assert {k: got[i][k] for k in want} == want, repr(text)
+
+
 def test_no_rules_leave_the_base(spark):
     frame = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "doc_id long, text string")
     assert rules.judge(frame, rules=[]).first()["kept"]
