@@ -104,20 +104,20 @@ def near_duplicates(
     list grows with the number of copies.
     """
     prints = kept_table(fingerprints(df, id_col, text_col, words), "fingerprints")
-    placed = _groups(prints, F.min("id"), bits)
+    placed = _groups(prints, F.min("id"), links(prints, bits))
     return prints.join(placed, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("first").alias("component_id"),
     )
 
 
-def _groups(prints: DataFrame, least: Column, bits: int) -> DataFrame:
-    """(fp, first) for every fingerprint: ``least``, a minimum over ``prints``, of its whole component.
+def _groups(prints: DataFrame, least: Column, edges: DataFrame) -> DataFrame:
+    """(fp, first) for every fingerprint: ``least``, a minimum over ``prints``, of its whole component under ``edges``.
 
     Written to the shared folder, so that both sides of a join with it are dealt
     anew and a hot fingerprint can be split.
     """
-    labels = connected_components(links(prints, bits)).withColumnRenamed("node", "fp")
+    labels = connected_components(edges).withColumnRenamed("node", "fp")
     groups = prints.groupBy("fp").agg(least.alias("first"))
     labelled = groups.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "first")
     firsts = labelled.groupBy("label").agg(F.min("first").alias("first"))
@@ -133,8 +133,13 @@ def keep_one(
     repeated rows the least by their columns. A null id counts as the greatest.
     """
     prints = kept_table(fingerprints(df, id_col, text_col, words), "fingerprints")
+    return keep_first(df, prints, links(prints, bits), id_col, text_col)
+
+
+def keep_first(df: DataFrame, prints: DataFrame, edges: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``keep_one`` for groups that ``edges`` make of ``prints`` (id, text_key, fp), a row per row of ``df``."""
     key = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_key").alias("text_key"))
-    placed = _groups(prints, F.min(key), bits)
+    placed = _groups(prints, F.min(key), edges)
     doubled = prints.join(placed, "fp").filter(
         ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")))
     )
