@@ -3,7 +3,8 @@
 A text is cut only where the tokenizer's own splitting must cut too: before a
 single space, between a letter and a sign, and after a single line break. What
 lies between two cuts has the same ids in every text, so a worker keeps the ids
-of the stretches it has seen and asks the library only for new ones.
+of the stretches it has seen and asks the library only for new ones. A text that
+holds one of the tokenizer's added tokens goes to the library whole.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Stretches remembered per worker; beyond that the memory starts anew.
+# Stretches remembered per worker, and their ids; beyond that the memory starts anew.
 REMEMBERED = 1_000_000
+REMEMBERED_IDS = 8_000_000
 # Every character that Unicode calls white space, and the four information separators.
 _BLANK = r"\t\n\x0B\x0C\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # A space next to white space, the cutting sign itself, or the one letter whose lower case ends
@@ -29,17 +31,15 @@ _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Tokens:
-    """Ids of texts by the tokenizer file at ``path``, without special tokens.
-
-    Strings that look like special tokens are ordinary text.
-    """
+    """Ids of texts by the tokenizer file at ``path``, as the library gives them with ``add_special_tokens=False``."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(map(re.escape, added))
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
@@ -52,7 +52,7 @@ class Tokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the texts, which must not be null, one after the other, and their number per text."""
-        stretches, codes, per_text = _stretches(texts)
+        stretches, codes, per_text = _stretches(texts, self.added)
         place, length = self._known(stretches)
         size = length[codes].astype(np.int64)
         ends = np.cumsum(size)
@@ -63,7 +63,7 @@ class Tokens:
         return self.ids[at].astype(np.uint32), whole[stops] - whole[stops - per_text]
 
     def _known(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
             self._forget()
         values = stretches.to_numpy(zero_copy_only=False)
         if not len(values):
@@ -102,15 +102,22 @@ class Tokens:
         self.length = np.concatenate([self.length, sizes])[order]
 
 
-def _stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct stretches, the number of each stretch of each text among them, and the stretches per text."""
+def _stretches(texts: pa.Array, added: str = "") -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct stretches, the number of each stretch of each text among them, and the stretches per text.
+
+    A text that the pattern ``added`` matches is one stretch.
+    """
     careful = pc.match_substring_regex(texts, _CAREFUL)
+    whole = pc.match_substring_regex(texts, added) if added else pa.array(np.zeros(len(texts), bool))
+    careful = pc.or_(careful, whole)
     plain = pc.if_else(careful, "", texts)
     cut = pc.replace_substring_regex(plain, _CUTS, "\\1\\3\x00\\2\\4")
     lists = pc.split_pattern(pc.replace_substring(cut, " ", "\x00 "), "\x00")
     rows = np.flatnonzero(careful.to_numpy(zero_copy_only=False))
     if len(rows):
-        split = [_careful_cuts(texts[int(i)].as_py()) for i in rows]
+        split = [
+            [texts[int(i)].as_py()] if whole[int(i)].as_py() else _careful_cuts(texts[int(i)].as_py()) for i in rows
+        ]
         where = np.arange(len(texts))
         where[rows] = len(texts) + np.arange(len(rows))
         lists = pa.concat_arrays([lists, pa.array(split, pa.list_(pa.string()))]).take(pa.array(where))

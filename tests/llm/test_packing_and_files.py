@@ -34,6 +34,19 @@ def test_ids_equal_the_library(paths):
             assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_added_tokens_are_the_librarys(paths):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", " <|endoftext|> ", "\n", "end.", "Next", "a  b"]
+    texts = ["end.<|endoftext|>Next", *["".join(rng.choice(marks) for _ in range(rng.randint(1, 6))) for _ in range(500)]]
+    for path, wanted in zip(paths, ([437, 13, 50256, 10019], [806, 269, 49407, 1131])):
+        library = Tokenizer.from_file(path)
+        ids, counts = tokens.Tokens(path).encode(pa.array(texts, pa.string()))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got[0] == wanted and got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_full_memory_starts_anew(paths, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 5)
     memory = tokens.Tokens(paths[0])
