@@ -25,6 +25,11 @@ RUN = 32
 ROUNDS = 2
 # Added to every expected count, so that no piece has probability zero.
 SMOOTHING = 0.01
+# No piece is less probable than that, however large the corpus.
+FLOOR = 1e-10
+# Sums are kept times this to the number of characters, a power of two and so exact: a run of RUN
+# pieces at the floor stays above 1e-80 and no run gets above 1e241.
+SCALE = 2.0**25
 # Probability of a character that the vocabulary does not have, the same in all languages.
 UNKNOWN = 1e-7
 # Words worked on at a time.
@@ -36,12 +41,14 @@ class Pieces(NamedTuple):
     """The vocabulary as a trie in an open hash table.
 
     ``keys`` holds (node, character) or -1 for a free slot, ``child`` the node
-    that it leads to, ``piece_at`` the piece that ends at a node or -1.
+    that it leads to, ``piece_at`` the piece that ends at a node or -1, ``sizes``
+    the characters of each piece.
     """
 
     keys: np.ndarray
     child: np.ndarray
     piece_at: np.ndarray
+    sizes: np.ndarray
     longest: int
 
 
@@ -81,7 +88,8 @@ def build_trie(pieces: list[str]) -> Pieces:
             while keys[slot] >= 0:
                 slot = (slot + 1) % size
             keys[slot], children[slot] = key, child
-    return Pieces(keys, children, np.array(piece_at, np.int32), max(map(len, pieces)))
+    sizes = np.array([len(piece) for piece in pieces])
+    return Pieces(keys, children, np.array(piece_at, np.int32), sizes, int(sizes.max()))
 
 
 def _slot(keys: np.ndarray, size: int) -> np.ndarray:
@@ -140,6 +148,8 @@ class _Lattice:
             place, node = place[hit], found[hit].astype(np.int64)
             self.fits[step, place] = trie.piece_at[node]
         self.unknown = self.fits[0] < 0
+        # By piece, and one character for unknown.
+        self.scale = SCALE ** np.append(trie.sizes, 1)[:, None]
 
     def _edges(self, end: int):
         """(length, runs, their pieces) for pieces that end after ``end`` characters; piece -1 is unknown."""
@@ -152,10 +162,11 @@ class _Lattice:
                 yield length, rows, pieces[rows]
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
-        """alpha[t, run, language]: the sum over all segmentations of the first t characters.
+        """alpha[t, run, language]: the sum over all segmentations of the first t characters, times SCALE ** t.
 
         ``probability`` has a last row for unknown characters.
         """
+        probability = probability * self.scale
         steps = int(self.lengths.max(initial=0))
         alpha = np.zeros((steps + 1, len(self.lengths), probability.shape[1]))
         alpha[0] = 1
@@ -167,12 +178,20 @@ class _Lattice:
     def totals(self, alpha: np.ndarray) -> np.ndarray:
         """Probability of each run, in the order the runs were given."""
         out = np.empty(alpha.shape[1:])
-        out[self.order] = alpha[self.lengths, np.arange(len(self.lengths))]
+        out[self.order] = alpha[self.lengths, np.arange(len(self.lengths))] / SCALE ** self.lengths[:, None]
+        return out
+
+    def log_totals(self, alpha: np.ndarray) -> np.ndarray:
+        """Logarithms of ``totals``, also of those that are too small for a double."""
+        out = np.empty(alpha.shape[1:])
+        logs = np.log(alpha[self.lengths, np.arange(len(self.lengths))])
+        out[self.order] = logs - self.lengths[:, None] * np.log(SCALE)
         return out
 
     def expected(self, probability: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected piece counts per language for runs seen ``counts`` (run x language) times."""
         alpha = self.forward(probability)
+        probability = probability * self.scale
         steps = len(alpha) - 1
         rows_all = np.arange(len(self.lengths))
         weight = counts[self.order] / alpha[self.lengths, rows_all]
@@ -202,7 +221,7 @@ def word_logs(words: pa.Array, trie: Pieces, model: Model) -> np.ndarray:
         logs = np.empty((len(runs), out.shape[1]))
         for part in range(0, len(runs), SLICE):
             lattice = _Lattice(runs.slice(part, SLICE), trie)
-            logs[part : part + SLICE] = np.log(lattice.totals(lattice.forward(table)))
+            logs[part : part + SLICE] = lattice.log_totals(lattice.forward(table))
         for language in range(out.shape[1]):
             out[start : start + SLICE, language] = segment_sums(logs[:, language], per_word)
     return out
@@ -266,10 +285,16 @@ def train(
         summed = expected.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         total = np.full(probability.shape, SMOOTHING)
         total[summed["piece"].to_numpy(), summed["lang"].to_numpy()] += summed["n"].to_numpy()
-        probability = total / total.sum(0)
+        probability = _shares(total)
     return Model(languages, probability)
 
 
+def _shares(total: np.ndarray) -> np.ndarray:
+    """Probabilities from expected counts, none below the floor (but for the last rounding to a sum of one)."""
+    share = np.maximum(total / total.sum(0), FLOOR)
+    return share / share.sum(0)
+
+
 def _expectation(shared):
     def run(batches):
         trie, languages, probability = shared.value

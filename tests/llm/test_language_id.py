@@ -79,6 +79,25 @@ def test_expected_counts_are_posterior_sums():
     assert np.allclose(got, [want[p] for p in PIECES])
 
 
+def test_long_runs_of_rare_pieces_stay_finite():
+    kana = [chr(c) for c in range(0x3042, 0x3062)]
+    trie = lang.build_trie(["▁", *kana])
+    # Two languages: none of the letters was seen among 1e13 pieces, and one was seen a few times.
+    total = np.full((len(kana) + 1, 2), lang.SMOOTHING)
+    total[0] = 1e13
+    total[1, 1] = 1e5
+    model = lang.Model(["x", "y"], lang._shares(total))
+    assert np.allclose(model.probability.sum(0), 1) and model.probability.min() > 0.99 * lang.FLOOR
+    word = "".join(kana[:31])
+    logs = lang.word_logs(pa.array([word, kana[0], word * 5]), trie, model)
+    want = [sum(math.log(model.probability[1 + kana.index(c), k]) for c in word) + math.log(model.probability[0, k]) for k in range(2)]
+    assert np.allclose(logs[0], want) and np.isfinite(logs).all()
+    best, share = lang._judged(pa.array([f"{word} {kana[0]}", kana[0]]), trie, model)
+    assert best.tolist() == [1, 1] and np.isfinite(share).all()
+    counts = lang._Lattice(pa.array(["▁" + word]), trie).expected(lang._with_unknown(model.probability), np.array([[0.0, 1e12]]))
+    assert np.allclose(counts.sum(0), [0, 32e12])
+
+
 def test_split_words():
     words, codes, counts = lang.split_words(pa.array(["Ab ab, 12 C'd", "", "!!", "é"]))
     flat = [words[int(c)].as_py() for c in codes]
