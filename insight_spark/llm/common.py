@@ -55,6 +55,14 @@ def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name like ``wish`` that ``df`` does not have in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{wish}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.llm.common import chunks, id_type, kept_table, map_chunks, small_batches, text_key
+from insight_spark.llm.common import chunks, free_name, id_type, kept_table, map_chunks, small_batches, text_key
 
 # Fixed masks: six words each out of 8, 10 and 12. Together they meet 98 of 100 stretches of
 # 15 words in which three were replaced.
@@ -261,8 +261,8 @@ def matches(
     return map_chunks(given, work, kinds).groupBy("doc_id", "text_key", "item_id").agg(F.max("overlap").alias("overlap"))
 
 
-def _same_row(flagged: DataFrame, id_col: str) -> Column:
-    return F.col(id_col).eqNullSafe(flagged["_flag_id"]) & (F.col("_text_key") == flagged["_flag_key"])
+def _same_row(flagged: DataFrame, id_col: str, mark: str) -> Column:
+    return F.col(f"`{id_col}`").eqNullSafe(flagged[flagged.columns[0]]) & (F.col(mark) == flagged[flagged.columns[1]])
 
 
 def report(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
@@ -276,7 +276,7 @@ def report(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         F.array_sort(F.collect_set("item_id")).alias("items"), F.max("overlap").alias("longest")
     )
     rows = df.select(id_col, text_key(text_col).alias("_text_key"))
-    return rows.join(flagged, _same_row(flagged, id_col), "left").select(
+    return rows.join(flagged, _same_row(flagged, id_col, "_text_key"), "left").select(
         id_col, F.col("longest").isNotNull().alias("contaminated"),
         F.coalesce("items", F.array().cast(found.select(F.collect_set("item_id")).schema[0].dataType)).alias("items"),
         F.coalesce("longest", F.lit(0)).alias("longest"),
@@ -286,6 +286,7 @@ def report(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """The rows, with all their columns, that overlap with no item."""
     found = kept_table(matches(df, items, id_col, text_col, **columns), "matches")
-    flagged = found.select(F.col("doc_id").alias("_flag_id"), F.col("text_key").alias("_flag_key")).distinct()
-    rows = df.withColumn("_text_key", text_key(text_col))
-    return rows.join(flagged, _same_row(flagged, id_col), "left_anti").drop("_text_key")
+    mark, flag_id, flag_key = (free_name(df, wish) for wish in ("text_key", "flag_id", "flag_key"))
+    flagged = found.select(F.col("doc_id").alias(flag_id), F.col("text_key").alias(flag_key)).distinct()
+    rows = df.withColumn(mark, text_key(text_col))
+    return rows.join(flagged, _same_row(flagged, id_col, mark), "left_anti").drop(mark)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.llm.common import id_type, kept_table, map_chunks, text_key
+from insight_spark.llm.common import free_name, id_type, kept_table, map_chunks, text_key
 from insight_spark.llm.components import connected_components
 
 SEED = 42
@@ -130,7 +130,7 @@ def keep_one(
     """One row, with all its columns, of every near-duplicate group: that of the smallest id.
 
     Among rows of the smallest id the one with the smallest text hash stays, of
-    repeated rows the least by their columns. A null id counts as the greatest.
+    repeated rows the least by their columns as JSON. A null id counts as the greatest.
     """
     prints = kept_table(fingerprints(df, id_col, text_col, words), "fingerprints")
     return keep_first(df, prints, links(prints, bits), id_col, text_col)
@@ -143,11 +143,12 @@ def keep_first(df: DataFrame, prints: DataFrame, edges: DataFrame, id_col: str,
     doubled = prints.join(placed, "fp").filter(
         ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")))
     )
-    dropped = doubled.select(F.col("id").alias("_drop_id"), F.col("text_key").alias("_drop_key")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.col("_text_key") == F.col("_drop_key"))
-    kept = df.withColumn("_text_key", text_key(text_col)).join(dropped, same, "left_anti")
+    mark, drop_id, drop_key, row = (free_name(df, wish) for wish in ("text_key", "drop_id", "drop_key", "row"))
+    dropped = doubled.select(F.col("id").alias(drop_id), F.col("text_key").alias(drop_key)).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(drop_id)) & (F.col(mark) == F.col(drop_key))
+    kept = df.withColumn(mark, text_key(text_col)).join(dropped, same, "left_anti")
     if not prints.groupBy("id", "text_key").count().filter("count > 1").isEmpty():
-        rest = [c for c in df.columns if c != id_col]
-        least = kept.groupBy(id_col, "_text_key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))
-        kept = least.select(id_col, *[F.col("_row").getField(c).alias(c) for c in rest])
+        rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != id_col])
+        least = kept.groupBy(id_col, mark).agg(F.min_by(rest, F.to_json(rest)).alias(row))
+        kept = least.select(id_col, *[F.col(row).getField(c).alias(c) for c in df.columns if c != id_col])
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])

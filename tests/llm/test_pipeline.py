@@ -17,7 +17,7 @@ def docs(spark, small):
 
 def test_names_and_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
-        "quality classifier", "near-duplicates", "benchmark decontamination", "secret scans", "best-fit packing"
+        "quality classifier", "SimHash near-dedup", "benchmark decontamination", "secret scans", "best-fit packing"
     ]
 
 
@@ -77,3 +77,18 @@ def test_whole_run_equals_stage_by_stage(spark, small, docs):
     for parts in used.values():
         parts.sort()
         assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= 2048
+
+
+def test_stages_leave_clashing_columns_alone(spark, small):
+    long = " ".join(f"w{i}" for i in range(40))
+    kind = "doc_id long, text string, _text_key string, _drop_id int, _flag_id int, _cut int, meta map<string,int>"
+    rows = [(1, long, "mine", 1, 2, 3, {"a": 1}), (1, long, "mine", 1, 2, 3, {"a": 1}), (2, "secret: abcdefgh", "x", 4, 5, 6, None), (3, long, "y", 7, 8, 9, None)]
+    frame = spark.createDataFrame(rows, kind)
+    kept = corpus_pipeline.near_duplicates(spark, frame, small)
+    assert kept.columns == frame.columns
+    got = sorted(map(tuple, kept.collect()))
+    assert got == [rows[0], rows[2]]
+    clean = corpus_pipeline.decontamination(spark, frame, small)
+    assert clean.columns == frame.columns and sorted(map(repr, clean.collect())) == sorted(map(repr, frame.collect()))
+    cut = corpus_pipeline.secrets(spark, frame, small)
+    assert cut.columns == frame.columns and [r["_cut"] for r in cut.collect()] == [3, 3, 6, 9]
