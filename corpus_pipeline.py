@@ -9,8 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import decontaminate, pattern_packing, quality_model, secret_scan, shingles
-from insight_spark.llm.common import crc_bucket, kept_table
+from insight_spark.llm import decontaminate, pattern_packing, quality_model, secret_scan, simhash
+from insight_spark.llm.common import crc_bucket, free_name, kept_table
 from insight_spark.session import load_table
 
 
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word shingle similarity of 0.8 or more."""
-    return shingles.keep_one(docs)
+    """One document of each SimHash group: three-word shingles, fingerprints at most three bits apart."""
+    return simhash.keep_one(docs, words=3, bits=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +32,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; n_chars follows the text."""
-    cut = secret_scan.redact(docs, flag="_cut")
+    flag = free_name(docs, "cut")
+    cut = secret_scan.redact(docs, flag=flag)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.when(F.col(flag), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-duplicates", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("secret scans", secrets),
     ("best-fit packing", packing),
