@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import decontaminate, language_id, lm_score, pattern_packing, preference, quality_model, quality_rules, secret_scan, simhash, simple8b
+from insight_spark.llm import decontaminate, language_id, lm_score, pattern_packing, preference, quality_model, quality_rules, secret_scan, simhash, simple8b, spelling
 from insight_spark.llm.common import crc_bucket
 from insight_spark.session import load_table
 
@@ -108,3 +108,9 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = load_table(spark, sf_dir, "labels").filter("quality = 1")
     models = lm_score.train(lm_score.mark_target(docs.select("doc_id", "text"), good), F.col("_target"))
     return lm_score.score(docs, models)
+
+
+@_query("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(load_table(spark, sf_dir, "documents"), "text", "doc_id")
+    return spelling.variants(spelling.vocabulary(found.select(spelling.misspell("doc_id").alias("run"))))
