@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import decontaminate, language_id, lm_score, pattern_packing, preference, quality_model, quality_rules, secret_scan, simhash, simple8b, spelling
+from insight_spark.llm import decontaminate, language_id, lm_score, pattern_packing, preference, quality_model, quality_rules, secret_scan, simhash, simple8b, spelling, token_alignment
 from insight_spark.llm.common import crc_bucket
 from insight_spark.session import load_table
 
@@ -114,3 +114,11 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.runs(load_table(spark, sf_dir, "documents"), "text", "doc_id")
     return spelling.variants(spelling.vocabulary(found.select(spelling.misspell("doc_id").alias("run"))))
+
+
+@_query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(
+        load_table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+    )
