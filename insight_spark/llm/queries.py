@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import decontaminate, language_id, lm_score, pattern_packing, preference, quality_model, quality_rules, secret_scan, simhash, simple8b, spelling, token_alignment
+from insight_spark.llm import decontaminate, html_extract, language_id, lm_score, pattern_packing, preference, quality_model, quality_rules, secret_scan, simhash, simple8b, spelling, token_alignment
 from insight_spark.llm.common import crc_bucket
 from insight_spark.session import load_table
 
@@ -122,3 +122,9 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         load_table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
     )
+
+
+@_query("op13_html_extract")
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load_table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages)).select("page_id", "url", "text", "n_chars")
