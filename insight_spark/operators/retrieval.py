@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import name_tokens, preview_text, tokenize_words
+from insight_spark.operators import nearest
 from insight_spark.operators.scale import (
     BLOCK_CELLS,
     best_of_block,
@@ -399,56 +400,10 @@ def vector_topk(
 ) -> DataFrame:
     """Exact top ``k`` neighbours by dot product: (query, vector id, score, rank).
 
-    The query vectors are broadcast in size-checked parts; every task multiplies
-    its vectors with them block by block and keeps only a running top-k.
+    Vectors are grouped around pivots and only groups whose bound reaches a query's
+    k-th score are multiplied with it, block by block (see :mod:`nearest`).
     """
-    spark = corpus.sparkSession
-    in_scope = (F.col(scope).cast("string") if scope else F.lit("")).alias("_scope")
-    asked = queries.select(
-        F.col(query_id).alias("_query"), in_scope, F.col(vector).alias("_vector")
-    ).filter(F.col(vector).isNotNull())
-    widths = asked.select(F.min(F.size("_vector")), F.max(F.size("_vector"))).first()
-    if widths[0] != widths[1]:
-        raise ValueError(f"query vectors of {widths[0]} and {widths[1]} numbers")
-    width = widths[0] or 1
-    id_type, probe_type = _sql_type(corpus, vector_id), _sql_type(queries, query_id)
-    # A vector of another width is an error and not a silent miss; a null vector has no neighbours.
-    checked = F.when(F.size(vector) == width, F.col(vector)).otherwise(
-        F.raise_error(F.concat(F.lit(f"a vector of other than {width} numbers: "), F.size(vector).cast("string")))
-    )
-    known = corpus.filter(F.col(vector).isNotNull())
-    rows = known.select(F.col(vector_id), in_scope, (checked if widths[0] else F.col(vector)).alias("_vector"))
-    def search(part: DataFrame) -> tuple:
-        found = part.toPandas()
-        matrix = np.array(found["_vector"].tolist(), dtype=float).reshape(len(found), width)
-        by_scope = {s: np.flatnonzero(found["_scope"] == s) for s in found["_scope"].unique()}
-        shared = spark.sparkContext.broadcast((matrix, by_scope))
-        return probe_top_k(
-            rows, _vector_scorer(shared, vector_id, width, k), found["_query"].tolist(), probe_type, id_type, k,
-            (query_id, vector_id),
-        ), shared
-
-    return slice_results(probe_slices(asked, "_query", F.lit(width * 8 + 64)), search)
-
-
-def _vector_scorer(shared, vector_id: str, width: int, k: int):
-    def score(batch: pa.RecordBatch):
-        matrix, by_scope = shared.value
-        if not len(matrix) or not batch.num_rows:
-            return
-        vectors = batch.column("_vector").flatten().to_numpy(zero_copy_only=False)
-        vectors = vectors.astype(float).reshape(batch.num_rows, width)
-        scope = np.array(batch.column("_scope").to_pylist(), dtype=object)
-        ids = np.array(batch.column(vector_id).to_pylist())
-        for name in set(scope.tolist()) & set(by_scope):
-            asked, rows = by_scope[name], np.flatnonzero(scope == name)
-            step = max(1, BLOCK_CELLS // len(asked))
-            for start in range(0, len(rows), step):
-                some = rows[start : start + step]
-                block = np.round(matrix[asked] @ vectors[some].T, 6)
-                yield best_of_block(block, asked, ids[some], k, -np.inf)
-
-    return score
+    return nearest.top_k(corpus, queries, vector_id, query_id, vector, k, scope)
 
 
 def dedupe_prefix(
