@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import expand_abbreviations, normalize_token, parse_month
+from insight_spark.operators import fuzzy
 from insight_spark.operators.relational import string_columns
-from insight_spark.operators.scale import BLOCK_CELLS, probe_slices, slice_results
 
 LITERAL = r"'((?:[^'\"\\]|\\.)*)'"
-ALPHABET_BINS = 64
 
 
 def column_forms(names: DataFrame) -> DataFrame:
@@ -82,85 +77,16 @@ def fuzzy_match(
 ) -> DataFrame:
     """Closest value per probe by difflib ratio: (scope, probe, value, ratio).
 
-    Both sides should be distinct. The probes are broadcast in size-checked
-    parts; each task compares its values with them, skipping every pair whose
-    length or shared-character bound cannot reach the cutoff or the best ratio
-    so far, and hands on one candidate per probe. A tie goes to the greater value.
+    Candidates come from an index that every pair of the cutoff must meet in (see
+    :mod:`fuzzy`); their ratios are verified. A tie goes to the greater value.
     """
-    spark = values.sparkSession
-    keyed = probes.select(
-        F.col(scope).alias("_scope"), F.col(probe).alias("_probe"),
-        F.to_json(F.struct(F.col(scope).alias("s"), F.col(probe).alias("p"))).alias("_id"),
-    )
-    corpus = values.select(F.col(scope).alias("_scope"), F.col(value).alias("_value"))
-    def search(part: DataFrame) -> tuple:
-        found = part.toPandas()
-        shared = spark.sparkContext.broadcast(
-            (found["_probe"].tolist(), found["_scope"].tolist(), [_histogram(p) for p in found["_probe"]])
-        )
-        return _closest_values(corpus, shared, found["_id"].tolist(), cutoff), shared
-
-    out = slice_results(probe_slices(keyed, "_id", F.octet_length("_id") * 3 + ALPHABET_BINS * 4), search)
-    parsed = F.from_json("_id", "s string, p string")
-    return out.select(
-        parsed["s"].alias(scope), parsed["p"].alias(probe), F.col("_value").alias(value),
-        F.round("score", 6).alias("ratio"),
+    asked = probes.select(F.col(scope).alias("scope"), F.col(probe).alias("probe"))
+    known = values.select(F.col(scope).alias("scope"), F.col(value).alias("value"))
+    return fuzzy.closest(asked, known, cutoff).select(
+        F.col("scope").alias(scope), F.col("probe").alias(probe), F.col("value").alias(value), F.round("ratio", 6).alias("ratio")
     )
 
 
-def _histogram(text: str) -> np.ndarray:
-    counts = np.zeros(ALPHABET_BINS, dtype=np.int32)
-    for character in text:
-        counts[ord(character) % ALPHABET_BINS] += 1
-    return counts
-
-
-def _closest_values(corpus: DataFrame, shared, ids: list[str], cutoff: float) -> DataFrame:
-    def run(batches):
-        probes, scopes, histograms = shared.value
-        by_scope: dict = {}
-        for i, name in enumerate(scopes):
-            by_scope.setdefault(name, []).append(i)
-        best: dict[int, tuple[float, str]] = {}
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name in set(names) & set(by_scope):
-                some = [t for n, t in zip(names, texts) if n == name]
-                step = max(1, BLOCK_CELLS // (ALPHABET_BINS * len(by_scope[name])))
-                for start in range(0, len(some), step):
-                    block = some[start : start + step]
-                    _closest(block, by_scope[name], probes, histograms, cutoff, best)
-        found = sorted(best)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([ids[i] for i in found], pa.string()),
-                pa.array([best[i][1] for i in found], pa.string()),
-                pa.array([best[i][0] for i in found], pa.float64()),
-            ],
-            names=["_id", "_value", "score"],
-        )
-
-    partial = corpus.mapInArrow(run, "_id string, _value string, score double")
-    return partial.groupBy("_id").agg(F.max(F.struct("score", "_value")).alias("_b")).select("_id", "_b.*")
-
-
-def _closest(block, asked, probes, histograms, cutoff, best) -> None:
-    """Update the best value per asked probe with one block of values."""
-    value_counts = np.stack([_histogram(text) for text in block])
-    lengths = np.array([len(text) for text in block])
-    for i in asked:
-        probe = probes[i]
-        total = lengths + len(probe)
-        shared = np.minimum(value_counts, histograms[i]).sum(axis=1)
-        bound = np.divide(2.0 * shared, total, out=np.ones(len(block)), where=total > 0)
-        for j in np.argsort(-bound, kind="stable"):
-            if bound[j] < (max(cutoff, best[i][0]) if i in best else cutoff):
-                break
-            ratio = difflib.SequenceMatcher(None, block[j], probe).ratio()
-            if ratio >= cutoff and (i not in best or (ratio, block[j]) > best[i]):
-                best[i] = (ratio, block[j])
-
-
 def resolve_values(literals: DataFrame, index: DataFrame, cutoff: float = fv.VALUE_CUTOFF) -> DataFrame:
     """Stored value for every literal: (table, literal, hint, resolved, method).
 
