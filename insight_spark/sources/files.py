@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -11,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from insight_spark.functions.text import file_name
-from insight_spark.operators.scale import join_null_safe, number_rows
+from insight_spark.operators.scale import join_null_safe, kept, number_rows
+from insight_spark.sources import csv_records
 
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -21,28 +23,60 @@ CELL_SCHEMA = (
     "path string, sheet_no int, sheet string, kind string, row int, names array<string>, cells array<string>, error string"
 )
 SAMPLE_ROWS = 3
-
-
-def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
-    """Some line has an odd number of quotes, so a quoted field goes on in the next line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+# Types that CSV columns are tried for, in this order, and what their values look like.
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+INFERRED = {
+    "int": WHOLE, "bigint": WHOLE, "double": r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$",
+    "date": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "timestamp": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9:.]+)?\S*$",
+    "boolean": r"(?i)^(true|false)$",
+}
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header. Give a schema for large inputs: inferring reads them twice.
 
-    Spark splits a file unless ``multi_line`` is set, which quoted line breaks
-    need. By default one pass over the text tells whether there are any.
+    Files are read in splits whatever their quotes hold. By default one pass over the
+    text tells whether a quoted field goes on in a next line; ``multi_line`` says so at
+    once. Rows of several files come under the header of the first.
     """
     if multi_line is None:
-        multi_line = has_quoted_breaks(spark, path)
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+        multi_line = not csv_records.effects(csv_records.csv_lines(spark, path)).filter("open[0] = 1 OR open[1] = 0").isEmpty()
+    if multi_line:
+        return records_table(csv_records.records(csv_records.csv_lines(spark, path)), schema)
+    reader = spark.read.option("header", True).option("escape", '"')
     if schema:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", True).csv(path)
 
 
+def records_table(records: DataFrame, schema: str | None = None) -> DataFrame:
+    """(path, row, record) as a table; row 0 of a file is its header. Without a schema types are found in one pass."""
+    kept_records = records if schema else kept(records, "csv-records")
+    options = {"escape": '"', "multiLine": "true"}
+    if schema:
+        parsed = F.from_csv("record", F.lit(schema), options)
+        return kept_records.filter("row > 0").select(parsed.alias("_r")).select("_r.*")
+    first = kept_records.filter("row = 0").agg(F.min_by("record", "path")).first()[0]
+    if first is None:
+        return records.sparkSession.createDataFrame([], "value string").drop("value")
+    names = next(csv.reader([first.replace("\n", " ")]))
+    texts = ", ".join(f"_{i} string" for i in range(len(names)))
+    body = kept_records.filter("row > 0").select(F.from_csv("record", F.lit(texts), options).alias("_r")).select("_r.*")
+    return inferred(body).toDF(*names)
+
+
+def inferred(df: DataFrame) -> DataFrame:
+    """Text columns as the narrowest type that all their values have, found in one pass."""
+    def fits(name: str, kind: str) -> Column:
+        return F.when(F.col(name).rlike(INFERRED[kind]), F.col(name).try_cast(kind))
+
+    counts = [F.count(F.col(c)).alias(f"{c}_n") for c in df.columns]
+    counts += [F.count(fits(c, kind)).alias(f"{c}_{kind}") for c in df.columns for kind in INFERRED]
+    found = df.agg(*counts).first()
+    kinds = {c: next((k for k in INFERRED if found[f"{c}_n"] and found[f"{c}_{k}"] == found[f"{c}_n"]), "string") for c in df.columns}
+    return df.select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in df.columns])
+
+
 def binary_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:

@@ -11,7 +11,10 @@ from insight_spark.operators.retrieval import cap_chunks, split_recursive, split
 from insight_spark.operators.profile import table_chunks
 from insight_spark.operators.relational import coerce_numeric, string_columns
 from insight_spark.operators.scale import kept
+from insight_spark.session import fresh_path
+from insight_spark.sources import csv_records
 from insight_spark.sources.files import (
+    binary_files,
     cell_chunks,
     part_chunks,
     scan_csv,
@@ -26,35 +29,26 @@ from insight_spark.sources.tables import upload_table_name, write_table
 TABLE_TYPES, DOCUMENT_TYPES = ("csv", "xlsx"), ("txt", "docx")
 CHUNK_COLUMNS = ["chunk_id", "conversation_id", "source", "source_type", "chunk_type", "text", "columns"]
 # Possessive runs: the matcher neither recurses nor goes back, however long a field is.
-RECORD = r'((?:[^"\n]++|"(?:[^"]++|"")*+"?)++)'
-CELL = r'("(?:[^"]++|"")*+"|[^,]*+),'
+CELL = r'("(?:[^"]++|"")*+"[^,]*+|[^,]*+),'
 CHUNK_ORDER = ["source", "path", "pos", "chunk_no", "chunk_id"]
 
 
-def csv_row_chunks(files: DataFrame) -> DataFrame:
-    """CSV files as "Row i: column: value" texts, for files of any header.
+def csv_row_chunks(records: DataFrame) -> DataFrame:
+    """Records of CSV files (path, row, record) as "Row i: column: value" texts, for files of any header.
 
     ``from_csv`` needs one schema; here every file brings its own header, so the
-    records are split with a quote-aware pattern and paired with the header names.
+    cells are found with a quote-aware pattern and paired with the header names.
     """
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n?", "\n")
-    # A record ends at a line break that is followed by an even number of quotes.
-    records = F.filter(
-        F.regexp_extract_all(text, F.lit(RECORD), F.lit(1)), lambda r: F.trim(r) != ""
-    )
     def cells(record):
-        raw = F.regexp_extract_all(
-            F.concat(record, F.lit(",")), F.lit(CELL), F.lit(1)
-        )
-        bare = F.transform(raw, lambda c: F.regexp_replace(c, r'^"|"$', ""))
-        return F.transform(bare, lambda c: F.replace(c, F.lit('""'), F.lit('"')))
+        raw = F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(CELL), F.lit(1))
+        bare = F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+        return bare
 
-    each = files.select("path", records.alias("_r")).select(
-        "path", cells(F.get("_r", F.lit(0))).alias("names"), F.posexplode(F.slice("_r", 2, 2_000_000_000)).alias("row", "_record")
-    )
+    headers = records.filter("row = 0").select("path", cells(F.col("record")).alias("names"))
+    each = records.filter("row > 0").join(headers, "path").select("path", "names", (F.col("row") - 1).cast("int").alias("row"), "record")
     named = F.array_join(
         F.zip_with(
-            "names", cells(F.col("_record")),
+            "names", cells(F.col("record")),
             lambda n, c: F.concat(n, F.lit(": "), F.when(c.isNull() | (c == ""), F.lit("nan")).otherwise(c)),
         ),
         ", ",
@@ -78,23 +72,51 @@ def with_ids(pieces: DataFrame, conversation_id: str) -> DataFrame:
 
 
 def ingest_files(files: DataFrame, conversation_id: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(chunks, status) of a ``binaryFile`` listing (path, content).
+    """(chunks, status) of uploaded files (path, content).
+
+    The contents are read once and laid out by file ending in the shared folder;
+    contents of unsupported files are not kept. An unsupported or broken file only
+    shows in the status. All chunks are returned unless ``cap`` limits them per
+    conversation. No table is made here, so ``sql_table`` is null; see
+    :func:`ingest_paths`. Large files are better named than handed over:
+    :func:`ingest_folder`.
+    """
+    spark = files.sparkSession
+    listed = files.select("path", "content", file_extension(F.col("path")).alias("_ext"))
+    kind = F.when(F.col("_ext").isin(*TABLE_TYPES, *DOCUMENT_TYPES), F.col("_ext")).otherwise("other")
+    place = fresh_path(spark, "uploads")
+    listed.withColumns({"kind": kind, "content": F.when(kind != "other", F.col("content"))}).write.partitionBy("kind").parquet(place)
+    stored = spark.read.schema("path string, content binary, _ext string, kind string").parquet(place)
+    of_kind = lambda ending: stored.filter(F.col("kind") == ending).select("path", "content")
+    lines = csv_records.content_lines(of_kind("csv"))
+    return _ingested(stored.select("path", "_ext"), lines, of_kind("xlsx"), of_kind("docx"), of_kind("txt"), conversation_id, cap)
+
+
+def ingest_folder(spark: SparkSession, folder, conversation_id: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`ingest_files` for all files below a folder (or folders), each kind loaded by its own ending.
 
-    Every file is parsed once: its parts, with errors as rows, and its chunks
-    are kept in the shared folder, and chunks and status read them there. An
-    unsupported or broken file only shows in the status. All chunks are
-    returned unless ``cap`` limits them per conversation. No table is made here,
-    so ``sql_table`` is null; see :func:`ingest_paths`.
+    CSV files are read in splits, so their size is not bounded by what one row or task holds.
     """
-    listed = files.withColumn("_ext", file_extension(F.col("path")))
-    csv = listed.filter(F.col("_ext") == "csv")
-    books = listed.filter(F.col("_ext") == "xlsx")
-    word = listed.filter(F.col("_ext") == "docx")
-    plain = listed.filter(F.col("_ext") == "txt")
+    listing = binary_files(spark, folder).select("path", file_extension(F.col("path")).alias("_ext"))
+    load = lambda ending: binary_files(spark, folder, _any_case(ending)).select("path", "content")
+    lines = csv_records.csv_lines(spark, folder, _any_case("csv"))
+    return _ingested(listing, lines, load("xlsx"), load("docx"), load("txt"), conversation_id, cap)
+
+
+def _any_case(ending: str) -> str:
+    return "*." + "".join(f"[{c}{c.upper()}]" for c in ending)
+
+
+def _ingested(
+    listed: DataFrame, lines: DataFrame, books: DataFrame, word: DataFrame, plain: DataFrame, conversation_id: str, cap: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """``listed`` is (path, _ext). Every file is parsed once: its parts, with errors as rows, and its chunks
+    are kept in the shared folder, and chunks and status read them there."""
     cells, parts = kept(workbook_cells(books), "cells"), kept(word_parts(word), "parts")
+    records = kept(csv_records.records(lines), "records")
     none = F.lit(None).cast("array<string>")
     first = F.lit(None).cast("int")
-    tables = csv_row_chunks(csv).select("path", "type", F.col("row").alias("pos"), "text", "columns").unionByName(
+    tables = csv_row_chunks(records).select("path", "type", F.col("row").alias("pos"), "text", "columns").unionByName(
         cell_chunks(cells).select("path", "type", F.col("row").alias("pos"), "text", none.alias("columns"))
     )
     documents = part_chunks(parts).select("path", "type", F.col("position").alias("pos"), "text", none.alias("columns")).unionByName(

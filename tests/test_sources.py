@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from insight_spark.plans.office_samples import word_file, workbook_file
 from insight_spark.session import fresh_path, shared_dir
-from insight_spark.sources import chunk_store, files, ingest, sinks, tables
+from insight_spark.sources import chunk_store, csv_records, files, ingest, sinks, tables
 
 
 @pytest.fixture()
@@ -21,7 +21,7 @@ def folder(tmp_path):
 
 def test_csv(spark, folder):
     df = files.scan_csv(spark, str(folder / "sales.csv"))
-    assert [tuple(r) for r in df.collect()] == [("Jan", 450000, 'a, "b"'), ("Feb", None, "two\nlines")]
+    assert sorted(map(tuple, df.collect()), reverse=True) == [("Jan", 450000, 'a, "b"'), ("Feb", None, "two\nlines")]
     typed = files.scan_csv(spark, str(folder / "sales.csv"), "Month string, Revenue double, Note string")
     assert typed.schema["Revenue"].dataType.simpleString() == "double"
 
@@ -152,7 +152,6 @@ def test_csv_splits_unless_quoted_breaks_need_it(spark, tmp_path):
         assert df.rdd.getNumPartitions() > 1 and df.count() == 60_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert files.has_quoted_breaks(spark, str(tmp_path / "broken.csv"))
     assert [tuple(r) for r in files.scan_csv(spark, str(tmp_path / "broken.csv")).collect()] == [(1, "x\ny")]
 
 
@@ -160,7 +159,7 @@ def test_csv_records_with_long_fields(spark):
     long = "word, " * 20_000
     text = f'id,note\n1,"{long}""q"" end"\n2,"two\nlines"\n3,\n4,""\n'
     listing = spark.createDataFrame([("/in/a.csv", bytearray(text.encode()))], "path string, content binary")
-    rows = {r["row"]: r["text"].split("\n", 1)[1] for r in ingest.csv_row_chunks(listing).collect()}
+    rows = {r["row"]: r["text"].split("\n", 1)[1] for r in ingest.csv_row_chunks(csv_records.records(csv_records.content_lines(listing))).collect()}
     assert rows == {0: f'id: 1, note: {long}"q" end', 1: "id: 2, note: two\nlines", 2: "id: 3, note: nan", 3: "id: 4, note: nan"}
 
 
