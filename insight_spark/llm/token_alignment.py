@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections import Counter
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -34,6 +34,10 @@ FREQUENT = 1 << 20
 # Pairs counted in a task before their partial counts are handed on.
 HELD_PAIRS = 1 << 20
 SPACE = "\u2581"
+# Signs before which a word is cut, where no entry of B has a letter before them.
+SIGNS = ",.!?;:)\""
+# Links of a group that are made one by one.
+LARGE_GROUP = 4096
 
 
 class Aligner:
@@ -48,14 +52,23 @@ class Aligner:
         self.first.encode_special_tokens = True
         self.second = SentencePieceProcessor(model_file=pieces_path)
         letters = _byte_letters()
-        entries = sorted(self.first.get_vocab().items(), key=lambda item: item[1])
-        self.first_bytes = {i: bytes(letters[c] for c in entry) for entry, i in entries if all(c in letters for c in entry)}
-        self.second_bytes = [self._piece(i) for i in range(self.second.get_piece_size())]
-        self.width = len(self.second_bytes)
+        entries = {i: entry for entry, i in self.first.get_vocab().items()}
+        first = [bytes(letters.get(c, 0) for c in entries.get(i, "")) for i in range(max(entries) + 1)]
+        second = [self._piece(i) for i in range(self.second.get_piece_size())]
+        self.height, self.width = len(first), len(second)
+        self.first_bytes, self.second_bytes = _Strings(first), _Strings(second)
+        # Each id written with what may follow it: within a group, at the end of A's side, at the end of the group.
+        numbers = [str(i).encode() for i in range(max(self.height, self.width))]
+        self.written = _Strings(
+            [n + b"," for n in numbers[: self.height]] + [n + b"|" for n in numbers[: self.height]]
+            + [n + b"," for n in numbers[: self.width]] + [n + b";" for n in numbers[: self.width]]
+        )
         plain = [self.second.id_to_piece(i) for i in range(self.width) if not self.second.is_byte(i)]
         # Cuts are safe where no entry reaches over them.
         self.spaces = not any(SPACE in piece.lstrip(SPACE) for piece in plain)
         self.breaks = self.spaces and not any("\n" in piece for piece in plain)
+        inside = "\0".join(plain)
+        self.signs = "".join(c for c in SIGNS if not re.search(rf"[^\W\d_]{re.escape(c)}", inside)) if self.breaks else ""
         self._forget()
 
     def _piece(self, i: int) -> bytes:
@@ -64,13 +77,13 @@ class Aligner:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.groups: list[str | None] = []  # None: the bytes differ
+        self.groups: list[bytes | None] = []  # written out, ending in ";"; None: the bytes differ
         self.sizes = np.empty((0, 4), np.int64)  # ids of A, ids of B, groups, links
         self.starts = np.zeros(1, np.int64)
         self.pairs = np.empty(0, np.int64)
         self.times = np.empty(0, np.int64)
 
-    def align(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def align(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """For texts that are neither null nor empty: (ids of A, ids of B, groups, links) per text, the
         groups written out, the number of distinct pairs per text, and those pairs (a * width + b) with
         the times each is linked, text after text."""
@@ -78,19 +91,17 @@ class Aligner:
             self._forget()
         stretches, codes, per_text = self._stretches(texts)
         places = self._places(stretches)
-        bad = np.array([self.groups[p] is None for p in places], bool)
+        bad = np.fromiter((self.groups[p] is None for p in places.tolist()), bool, len(places))
         text_of = np.repeat(np.arange(len(texts)), per_text)
+        taken = places[codes]
         again = np.unique(text_of[bad[codes]])
         if len(again):  # such a text is judged as a whole
             whole = self._places([" " + texts[int(i)].as_py() for i in again])
             lone = np.isin(text_of, again)
             first = np.concatenate(([True], text_of[1:] != text_of[:-1]))
-            taken = places[codes]
             taken[lone & first] = whole
             keep = ~lone | first
             taken, text_of = taken[keep], text_of[keep]
-        else:
-            taken = places[codes]
         return self._collect(taken, text_of, len(texts))
 
     def _collect(self, taken: np.ndarray, text_of: np.ndarray, count: int):
@@ -98,23 +109,16 @@ class Aligner:
         sums = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(self.sizes[taken], axis=0)))
         sizes = sums[bounds[1:]] - sums[bounds[:-1]]
         distinct, inverse = np.unique(taken, return_inverse=True)
-        names = np.array([self.groups[p] or "" for p in distinct] + [""], object)[inverse].tolist()
-        written = [";".join(names[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        names = np.array([self.groups[p] or b"" for p in distinct.tolist()] + [b""], object)[inverse].tolist()
+        written = [b"".join(names[a:b])[:-1] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         # Stretches per text, then the pairs of those.
         held, copies = np.unique(text_of * len(distinct) + inverse, return_counts=True)
         owner, place = held // len(distinct), distinct[held % len(distinct)]
         many = self.starts[place + 1] - self.starts[place]
-        ends = np.cumsum(many)
-        at = np.repeat(self.starts[place] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
-        limit = self.width * (max(self.first_bytes) + 1)
-        key = np.repeat(owner, many) * limit + self.pairs[at]
-        order = np.argsort(key, kind="stable")
-        key, times = key[order], (self.times[at] * np.repeat(copies, many))[order]
-        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        times = np.add.reduceat(times, heads) if len(heads) else times
-        key = key[heads]
-        per_text = np.bincount(key // limit, minlength=count)
-        return sizes, written, per_text, key % limit, times
+        at = _ranges(self.starts[place], many)
+        limit = self.width * self.height
+        key, times = _summed(np.repeat(owner, many) * limit + self.pairs[at], self.times[at] * np.repeat(copies, many))
+        return sizes, written, np.bincount(key // limit, minlength=count), key % limit, times
 
     def _stretches(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct stretches of " " + text, the number of each stretch among them, and the stretches per text."""
@@ -124,9 +128,11 @@ class Aligner:
             return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), np.ones(len(texts), np.int64)
         whole = pc.match_substring_regex(texts, rf"\x00|{SPACE}")
         careful = pc.or_(whole, pc.match_substring_regex(spaced, rf" [{_BLANK}]|[{_BLANK}] "))
-        cut = pc.if_else(careful, "", pc.utf8_slice_codeunits(spaced, 1))
+        cut = pc.if_else(careful, "", texts)
         if self.breaks:
             cut = pc.replace_substring_regex(cut, rf"([^{_BLANK}]\n)([^{_BLANK}])", "\\1\x00\\2")
+        if self.signs:
+            cut = pc.replace_substring_regex(cut, rf"(\pL)([{re.escape(self.signs)}])", "\\1\x00\\2")
         cut = pc.binary_join_element_wise(pa.scalar(" "), pc.replace_substring(cut, " ", "\x00 "), "")
         lists = pc.split_pattern(cut, "\x00")
         rows = np.flatnonzero(careful.to_numpy(zero_copy_only=False))
@@ -145,61 +151,99 @@ class Aligner:
     def _places(self, stretches: list[str]) -> np.ndarray:
         known = self.known
         new = [s for s in stretches if s not in known]
-        for start in range(0, len(new), 10_000):
-            self._learn(new[start : start + 10_000])
+        for start in range(0, len(new), 20_000):
+            self._learn(new[start : start + 20_000])
         return np.fromiter((known[s] for s in stretches), np.int64, len(stretches))
 
     def _learn(self, stretches: list[str]) -> None:
         first = [e.ids for e in self.first.encode_batch_fast(stretches, add_special_tokens=False)]
         # B puts a space before what it is given; behind a line break none may stand.
-        given = [s[1:] if s.startswith(" ") else "\n" + s for s in stretches]
-        second = self.second.encode(given, num_threads=1)
-        sizes, starts, pairs, times = [], [], [], []
-        for stretch, a, b in zip(stretches, first, second):
-            if not stretch.startswith(" "):
-                b = b[2:]
-            groups = self._align(stretch.encode(), a, b)
-            self.known[stretch] = len(self.groups)
-            if groups is None:
-                self.groups.append(None)
-                sizes.append((0, 0, 0, 0))
-            else:
-                linked = Counter()
-                for x, y in groups:
-                    if len(x) == 1 and len(y) == 1:
-                        linked[x[0] * self.width + y[0]] += 1
-                    else:
-                        right = Counter(y)
-                        for i, m in Counter(x).items():
-                            for j, n in right.items():
-                                linked[i * self.width + j] += m * n
-                self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-                sizes.append((len(a), len(b), len(groups), sum(linked.values())))
-                pairs.extend(linked.keys())
-                times.extend(linked.values())
-            starts.append(len(pairs))
-        base = len(self.pairs)
-        self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int64).reshape(-1, 4)))
-        self.starts = np.concatenate((self.starts, base + np.array(starts, np.int64)))
-        self.pairs = np.concatenate((self.pairs, np.array(pairs, np.int64)))
-        self.times = np.concatenate((self.times, np.array(times, np.int64)))
-
-    def _align(self, text: bytes, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Ids of A and B between two common ends; None where the bytes of either are not the text."""
-        first, second = [self.first_bytes[i] for i in a], [self.second_bytes[j] for j in b]
-        if b"".join(first) != text or b"".join(second) != text:
-            return None
-        groups = []
-        end_a = end_b = from_a = from_b = j = 0
-        for i, part in enumerate(first):
-            end_a += len(part)
-            while end_b < end_a:
-                end_b += len(second[j])
-                j += 1
-            if end_a == end_b:
-                groups.append((a[from_a : i + 1], b[from_b:j]))
-                from_a, from_b = i + 1, j
-        return groups
+        spaced = [s.startswith(" ") for s in stretches]
+        second = self.second.encode([s[1:] if own else "\n" + s for s, own in zip(stretches, spaced)], num_threads=1)
+        second = [ids if own else ids[2:] for ids, own in zip(second, spaced)]
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (first, second))
+        a, b = (np.array([i for part in ids for i in part], np.int64) for ids in (first, second))
+        raw = [s.encode() for s in stretches]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        good = self._same_bytes(raw, size, a, n_a, b, n_b)
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        n_a, n_b, size = (np.where(good, n, 0) for n in (n_a, n_b, size))
+        groups, pairs, times, owner, texts = self._grouped(a, n_a, b, n_b, np.cumsum(size))
+        texts = [t if ok else None for t, ok in zip(texts, good.tolist())]
+        base, count = len(self.pairs), len(stretches)
+        links = np.bincount(owner, times, count).astype(np.int64)
+        self.known.update(zip(stretches, range(len(self.groups), len(self.groups) + count)))
+        self.groups += texts
+        self.sizes = np.concatenate((self.sizes, np.stack((n_a, n_b, groups, links), axis=1)))
+        self.starts = np.concatenate((self.starts, base + np.cumsum(np.bincount(owner, minlength=count))))
+        self.pairs = np.concatenate((self.pairs, pairs))
+        self.times = np.concatenate((self.times, times))
+
+    def _same_bytes(self, raw, size, a, n_a, b, n_b) -> np.ndarray:
+        """Which stretches both tokenizers give back."""
+        good = np.ones(len(raw), bool)
+        for strings, ids, count in ((self.first_bytes, a, n_a), (self.second_bytes, b, n_b)):
+            total = np.concatenate(([0], np.cumsum(strings.lengths[ids])))
+            ends = np.cumsum(count)
+            good &= total[ends] - total[ends - count] == size
+        for strings, ids, count in ((self.first_bytes, a, n_a), (self.second_bytes, b, n_b)):
+            made = strings.joined(ids[np.repeat(good, count)])
+            given = np.frombuffer(b"".join(r for r, ok in zip(raw, good.tolist()) if ok), np.uint8)
+            wrong = np.flatnonzero(made != given)
+            if len(wrong):
+                at = np.flatnonzero(good)
+                good[at[np.searchsorted(np.cumsum(size[at]), wrong, "right")]] = False
+        return good
+
+    def _grouped(self, a, n_a, b, n_b, stops):
+        """Groups per stretch; the linked pairs with their times and stretches; the groups written out."""
+        end_a, end_b = (np.cumsum(s.lengths[ids]) for s, ids in ((self.first_bytes, a), (self.second_bytes, b)))
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        stretch = np.searchsorted(stops, common)  # of each group
+        in_a, in_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+        to_a, to_b = np.cumsum(in_a), np.cumsum(in_b)
+        # Every id of A with every id of B in its group; large groups by their distinct ids.
+        large = in_a * in_b > LARGE_GROUP
+        many = np.where(large[group_a], 0, in_b[group_a])
+        partner = _ranges((to_b - in_b)[group_a], many)
+        limit = self.height * self.width
+        keys = [np.repeat(stretch[group_a] * limit + a * self.width, many) + b[partner]]
+        times = [np.ones(len(partner), np.int64)]
+        for g in np.flatnonzero(large).tolist():
+            left, n = np.unique(a[to_a[g] - in_a[g] : to_a[g]], return_counts=True)
+            right, m = np.unique(b[to_b[g] - in_b[g] : to_b[g]], return_counts=True)
+            keys.append((stretch[g] * limit + left[:, None] * self.width + right).reshape(-1))
+            times.append((n[:, None] * m).reshape(-1))
+        key, times = _summed(np.concatenate(keys), np.concatenate(times))
+        # A's ids of a group stand before B's.
+        place_a, place_b = np.arange(len(a)) + (to_b - in_b)[group_a], np.arange(len(b)) + to_a[group_b]
+        piece = np.empty(len(a) + len(b), np.int64)
+        piece[place_a] = a + np.where(np.arange(1, len(a) + 1) == to_a[group_a], self.height, 0)
+        piece[place_b] = 2 * self.height + b + np.where(np.arange(1, len(b) + 1) == to_b[group_b], self.width, 0)
+        line = self.written.joined(piece).tobytes()
+        ends = np.cumsum(n_a + n_b)
+        byte_ends = np.concatenate(([0], np.cumsum(self.written.lengths[piece])))[np.concatenate(([0], ends))].tolist()
+        texts = [line[x:y] for x, y in zip(byte_ends[:-1], byte_ends[1:])]
+        return np.bincount(stretch, minlength=len(stops)), key % limit, times, key // limit, texts
+
+
+class _Strings:
+    """Byte strings one after the other."""
+
+    def __init__(self, parts: list[bytes]):
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def joined(self, which: np.ndarray) -> np.ndarray:
+        return self.flat[_ranges(self.starts[which], self.lengths[which])]
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for every start, as many as its count."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -233,7 +277,7 @@ def aligned_texts(df: DataFrame, bytes_path: str, pieces_path: str, text_col: st
     def work(chunk: pa.RecordBatch) -> pa.RecordBatch:
         aligner = shared_aligner(bytes_path, pieces_path)
         sizes, written, per_text, pairs, times = aligner.align(chunk.column(2))
-        digests = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
+        digests = [hashlib.sha256(w).hexdigest() if w else "" for w in written]
         offsets = pa.array(np.concatenate(([0], np.cumsum(per_text))).astype(np.int32))
         return pa.RecordBatch.from_arrays(
             [*chunk.columns[:2], *(pa.array(sizes[:, i]) for i in range(4)), pa.array(digests, pa.string()),

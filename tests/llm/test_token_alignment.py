@@ -111,7 +111,7 @@ def test_memory_starts_anew_and_hot_texts(spark, monkeypatch):
         sizes, written, *_ = aligner.align(pa.array(texts))
         want = [groups_of(t) or [] for t in texts]
         assert sizes[:, 2].tolist() == [len(g) for g in want]
-        assert [len([p for p in w.split(";") if p]) for w in written] == [len(g) for g in want]
+        assert [len([p for p in w.split(b";") if p]) for w in written] == [len(g) for g in want]
     rows = [(i, "same text for a third") for i in range(300)] + [(1000 + i, f"other {i}") for i in range(600)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, token_alignment.align(frame, *PATHS).collect()), key=repr) == brute(rows)
