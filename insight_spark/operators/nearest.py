@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.operators.scale import BLOCK_CELLS, best_of_block, kept, merge_best, top_n_per_group
+from insight_spark.operators.scale import BLOCK_CELLS, best_of_block, kept, top_n_per_group
 
 # Vectors of a part, and queries that meet it in one task, at most (about).
 PART_ROWS = 4096

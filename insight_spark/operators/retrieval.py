@@ -4,32 +4,19 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import name_tokens, preview_text, tokenize_words
 from insight_spark.operators import nearest
-from insight_spark.operators.scale import (
-    BLOCK_CELLS,
-    best_of_block,
-    keep_best,
-    kept,
-    probe_slices,
-    probe_top_k,
-    slice_results,
-    top_n_per_group,
-)
+from insight_spark.operators.postings import PostingIndex
+from insight_spark.operators.scale import top_n_per_group
+from insight_spark.session import fresh_path
 
 PROSE_SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 TABLE_SEPARATORS = ["\n\n", "\n"]
-# Stands for "a document" among the counted words; no word has this character.
-DOCUMENT_MARK = "\x00"
 
 
 # --- Chunks -----------------------------------------------------------------
@@ -199,56 +186,19 @@ def build_postings(
     return postings, frequency, lengths
 
 
-class LexicalIndex(NamedTuple):
-    """Tokenised documents and word counts of a corpus, in the shared folder.
-
-    ``words`` is (doc id, _scope, _tokens); ``counted`` is (_scope, term, _df,
-    _length), with one row per scope for all documents under DOCUMENT_MARK.
-    """
-
-    words: DataFrame
-    counted: DataFrame
-
-    def frequency(self) -> DataFrame:
-        """(term, df) over all scopes."""
-        real = self.counted.filter(F.col("term") != DOCUMENT_MARK)
-        return real.groupBy("term").agg(F.sum("_df").alias("df"))
-
-    def documents(self) -> int:
-        return self.counted.filter(F.col("term") == DOCUMENT_MARK).select(F.sum("_df")).first()[0] or 0
-
-
-def _words(docs: DataFrame, doc_id: str, text: str, scope: str | None, tokens) -> DataFrame:
-    in_scope = F.col(scope) if scope else F.lit("")
-    return docs.select(F.col(doc_id), in_scope.alias("_scope"), tokens(F.col(text)).alias("_tokens"))
-
-
-def _counted(words: DataFrame) -> DataFrame:
-    """One pass counts both: every document adds one mark with its length to the words it contains."""
-    return (
-        words.select(
-            "_scope", F.size("_tokens").alias("_dl"),
-            F.explode(F.concat(F.array_distinct("_tokens"), F.array(F.lit(DOCUMENT_MARK)))).alias("term"),
-        )
-        .groupBy("_scope", "term")
-        .agg(F.count("*").alias("_df"), F.sum("_dl").alias("_length"))
-    )
-
-
 def lexical_index(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str | None = None, tokens=tokenize_words
-) -> LexicalIndex:
-    """Tokenise and count a corpus once, for any number of searches and rerankings."""
-    words = kept(_words(docs, doc_id, text, scope, tokens), "words")
-    return LexicalIndex(words, kept(_counted(words), "counted"))
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str | None = None, tokens=tokenize_words,
+    path: str | None = None,
+) -> PostingIndex:
+    """Tokenise a corpus and store its posting blocks once, for any number of searches and rerankings."""
+    spark = docs.sparkSession
+    index = PostingIndex(spark, path or fresh_path(spark, "postings"), docs.schema[doc_id].dataType.simpleString())
+    index.add(docs, doc_id, text, scope, tokens)
+    return index
 
 
 # --- Lexical and vector top-k -----------------------------------------------
 
-def _sql_type(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
-
-
 def bm25_topk(
     docs: DataFrame,
     queries: DataFrame,
@@ -259,134 +209,18 @@ def bm25_topk(
     k: int = fv.CANDIDATES,
     scope: str | None = None,
     tokens=tokenize_words,
-    index: LexicalIndex | None = None,
+    index: PostingIndex | None = None,
 ) -> DataFrame:
     """Top ``k`` documents per query by Okapi BM25: (query, doc, score, rank).
 
-    With an ``index`` of the documents their texts are not read again. Corpus
-    statistics come from one word count (per ``scope``, e.g. conversation).
-    A word in more than half of the documents gets a quarter of the mean IDF.
-    The weighted query terms are broadcast in size-checked parts; documents are
-    scored where they lie, so no posting list and no (query, doc) pair is
-    shuffled, however frequent a word is. Scores are rounded to six digits
-    before ranking.
+    With an ``index`` of the documents neither they nor their texts are read. Corpus
+    statistics are those of the ``scope``, e.g. conversation. A word in more than half of
+    the documents gets a quarter of the mean IDF. Posting blocks whose bound cannot
+    reach a query's k-th score are skipped (see :mod:`postings`). Scores are rounded
+    to six digits before ranking.
     """
-    words = index.words if index else _words(docs, doc_id, text, scope, tokens)
-    # The vocabulary is small next to the texts.
-    counted = index.counted if index else _counted(words).persist()
-    sizes = counted.filter(F.col("term") == DOCUMENT_MARK).select(
-        "_scope", F.col("_df").alias("_docs"), (F.col("_length") / F.col("_df")).alias("_avgdl")
-    )
-    frequency = counted.filter(F.col("term") != DOCUMENT_MARK)
-    idf = frequency.join(sizes, "_scope").select(
-        "_scope",
-        "term",
-        "_avgdl",
-        (F.log(F.col("_docs") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)).alias("_raw"),
-    )
-    floor = idf.groupBy("_scope").agg((F.avg("_raw") * 0.25).alias("_floor"))
-    asked = (
-        queries.select(
-            F.col(query_id).alias("_query"),
-            (F.col(scope) if scope else F.lit("")).alias("_scope"),
-            F.explode(tokens(F.col(query_text))).alias("term"),
-        )
-        .groupBy("_query", "_scope", "term")
-        .agg(F.count("*").alias("_times"))
-    )
-    weights = (
-        asked.join(idf, ["_scope", "term"])
-        .join(floor, "_scope")
-        .select(
-            "_query",
-            "_scope",
-            "term",
-            "_avgdl",
-            (F.when(F.col("_raw") < 0, F.col("_floor")).otherwise(F.col("_raw")) * F.col("_times")).alias(
-                "_weight"
-            ),
-        )
-        .persist()
-    )
-    spark = docs.sparkSession
-    id_type, probe_type = _sql_type(docs, doc_id), _sql_type(queries, query_id)
-    def search(part: DataFrame) -> tuple:
-        found = part.toPandas()
-        query_ids, query_no = np.unique(found["_query"].to_numpy(), return_inverse=True)
-        terms, term_no = np.unique(found["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
-        scopes, scope_no = np.unique(found["_scope"].to_numpy(dtype=object).astype(str), return_inverse=True)
-        order = np.lexsort((query_no, term_no, scope_no))
-        lists = {
-            "terms": terms.tolist(),
-            "scopes": scopes.tolist(),
-            "query": query_no[order],
-            "weight": found["_weight"].to_numpy(dtype=float)[order],
-            # Entries of one (scope, term) lie together.
-            "key": (scope_no * max(1, len(terms)) + term_no)[order],
-            "avgdl": np.array(
-                [found["_avgdl"].to_numpy(dtype=float)[scope_no == s][0] for s in range(len(scopes))]
-            ),
-            "queries": len(query_ids),
-        }
-        shared = spark.sparkContext.broadcast(lists)
-        return probe_top_k(
-            words.filter(F.size("_tokens") > 0), _bm25_scorer(shared, doc_id, k), query_ids.tolist(), probe_type, id_type, k,
-            (query_id, doc_id),
-        ), shared
-
-    result = slice_results(probe_slices(weights, "_query", F.octet_length("term") + 96), search)
-    weights.unpersist()
-    if index is None:
-        counted.unpersist()
-    return result
-
-
-def _bm25_scorer(shared, doc_id: str, k: int):
-    k1, b = fv.BM25_K1, fv.BM25_B
-
-    def score(batch: pa.RecordBatch):
-        known = shared.value
-        n_terms, n_queries = max(1, len(known["terms"])), known["queries"]
-        if not n_queries:
-            return
-        vocabulary = pa.array(known["terms"], pa.string())
-        scopes = pa.array(known["scopes"], pa.string())
-        tokens = batch.column("_tokens")
-        lengths = np.diff(tokens.offsets.to_numpy())
-        term = pc.index_in(tokens.flatten(), value_set=vocabulary)
-        scope = pc.fill_null(pc.index_in(batch.column("_scope").cast(pa.string()), value_set=scopes), -1)
-        scope = scope.to_numpy(zero_copy_only=False)
-        hit = term.is_valid().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(batch.num_rows), lengths)[hit]
-        term = pc.drop_null(term).to_numpy(zero_copy_only=False).astype(np.int64)
-        pairs, tf = np.unique(row * n_terms + term, return_counts=True)
-        row, term = pairs // n_terms, pairs % n_terms
-        inside = scope[row] >= 0
-        row, term, tf = row[inside], term[inside], tf[inside]
-        norm = k1 * (1 - b + b * lengths[row] / known["avgdl"][scope[row]])
-        part = tf * (k1 + 1) / (tf + norm)
-        key = scope[row] * n_terms + term
-        first = np.searchsorted(known["key"], key, "left")
-        count = np.searchsorted(known["key"], key, "right") - first
-        ids = np.array(batch.column(doc_id).to_pylist(), dtype=object)
-        ids = ids.astype(np.int64) if pa.types.is_integer(batch.column(doc_id).type) else ids.astype(str)
-        # Only (question, document) pairs that share a word get a cell, whatever the sign of their sum.
-        edges = np.searchsorted(np.cumsum(count), np.arange(BLOCK_CELLS, int(count.sum()), BLOCK_CELLS))
-        edges = np.searchsorted(row, np.unique(row[edges])) if len(edges) else edges
-        for lo, hi in zip([0, *edges], [*edges, len(row)]):
-            reps = count[lo:hi]
-            total = int(reps.sum())
-            if not total:
-                continue
-            offset = np.repeat(first[lo:hi] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps)
-            entry = offset + np.arange(total)
-            cell, place = np.unique(
-                known["query"][entry].astype(np.int64) * batch.num_rows + np.repeat(row[lo:hi], reps), return_inverse=True
-            )
-            sums = np.bincount(place, np.repeat(part[lo:hi], reps) * known["weight"][entry], len(cell))
-            yield keep_best(cell // batch.num_rows, ids[cell % batch.num_rows], np.round(sums, 6), k)
-
-    return score
+    stored = index or lexical_index(docs, doc_id, text, scope, tokens)
+    return stored.search(queries, query_id, query_text, doc_id, k, scope, tokens)
 
 
 def vector_topk(

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import chain
-from math import ceil
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from insight_spark.session import fresh_path
@@ -19,8 +15,6 @@ GROUP_LIMIT_PUSHDOWN = 1000
 GROUP_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
 # An input below this size may be dealt anew to use all cores.
 SPREAD_BYTES = 256 << 20
-# One broadcast probe set stays below this size; larger sets take several passes.
-PROBE_BYTES = 64 << 20
 # Score cells computed at once inside a task.
 BLOCK_CELLS = 4_000_000
 
@@ -190,38 +184,6 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slice_results(parts: Iterator[DataFrame], search: Callable) -> DataFrame:
-    """``search(part)`` gives (result, broadcast) for each part of the probes; all results together.
-
-    One part runs within the caller's plan. Of several, each is searched and
-    written before the next one is broadcast, so a single broadcast is held at a
-    time and the plan does not grow with the number of parts.
-    """
-    first = next(parts)
-    second = next(parts, None)
-    if second is None:
-        return search(first)[0]
-    found = []
-    for part in chain([first, second], parts):
-        result, shared = search(part)
-        found.append(kept(result, "slice"))
-        shared.destroy()
-    return reduce(DataFrame.unionByName, found)
-
-
-def probe_slices(probes: DataFrame, key: str, row_bytes: Column) -> Iterator[DataFrame]:
-    """The probe set in parts that each fit a broadcast; one part when it is small.
-
-    ``row_bytes`` is the size of a row; its sum over the probes decides.
-    """
-    parts = max(1, ceil((probes.select(F.sum(row_bytes)).first()[0] or 0) / PROBE_BYTES))
-    for part in range(parts):
-        if parts == 1:
-            yield probes
-        else:
-            yield probes.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-
-
 def keep_best(
     probe: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,45 +213,3 @@ def best_of_block(
 
 def merge_best(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keep_best(*(np.concatenate([part[i] for part in parts]) for i in range(3)), k)
-
-
-def probe_top_k(
-    corpus: DataFrame,
-    score_batch: Callable,
-    probe_ids: list,
-    probe_type: str,
-    id_type: str,
-    k: int,
-    names: tuple[str, str],
-) -> DataFrame:
-    """Best ``k`` corpus rows for every broadcast probe, without emitting pairs.
-
-    ``score_batch(record_batch)`` yields (probe index, id, score) arrays. Each
-    task keeps one running top-k per probe and emits it once at its end, so the
-    shuffle carries at most ``k`` rows per probe and task.
-    """
-    query_name, id_name = names
-    # Ids are only written into the result here, so they travel with the closure.
-    ids_of = np.array(probe_ids, dtype=object)
-    arrow_types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-    def run(batches):
-        best = None
-        for batch in batches:
-            for part in score_batch(batch):
-                best = part if best is None else merge_best([best, part], k)
-        if best is not None and len(best[0]):
-            probe, ids, scores = best
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids_of[probe].tolist(), arrow_types[probe_type]),
-                    pa.array(ids.tolist(), arrow_types[id_type]),
-                    pa.array(scores, pa.float64()),
-                ],
-                names=[query_name, id_name, "score"],
-            )
-
-    partial = corpus.mapInArrow(
-        run, f"`{query_name}` {probe_type}, `{id_name}` {id_type}, score double"
-    )
-    return top_n_per_group(partial, [query_name], [F.desc("score"), F.col(id_name)], k)

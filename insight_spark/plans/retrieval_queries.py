@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from insight_spark.functions import fixed_values as fv
 from insight_spark.operators import retrieval as ret
 from insight_spark.operators import routing
+from insight_spark.operators.postings import PostingIndex
 from insight_spark.operators.scale import kept, spread_small, top_n_per_group
 from insight_spark.plans.registry import Tables, query, sql_list
 from insight_spark.plans.text_queries import TOKENS_SQL, WORDS_SQL
@@ -145,8 +146,8 @@ bm25 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score
  QUALIFY rank <= 10)"""
 
 
-def index_of(t: Tables) -> ret.LexicalIndex:
-    """The documents tokenised and counted once per query run."""
+def index_of(t: Tables) -> PostingIndex:
+    """The posting blocks of the documents, stored once per query run."""
     if "_lexical" not in t.__dict__:
         t._lexical = ret.lexical_index(documents(t))
     return t._lexical

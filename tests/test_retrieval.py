@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from insight_spark.functions import fixed_values as fv
-from insight_spark.operators import resolve, retrieval as ret, scale
+from insight_spark.operators import postings, resolve, retrieval as ret
 
 VOCABULARY = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta", "lambda", "zeta"]
 
@@ -41,9 +41,10 @@ def okapi(docs, queries, k):
     return out
 
 
-@pytest.mark.parametrize("probe_bytes", [64 << 20, 400])
-def test_bm25_equals_brute_force(spark, monkeypatch, probe_bytes):
-    monkeypatch.setattr(scale, "PROBE_BYTES", probe_bytes)
+@pytest.mark.parametrize("shard_docs", [4096, 5])
+def test_bm25_equals_brute_force(spark, monkeypatch, shard_docs):
+    monkeypatch.setattr(postings, "SHARD_DOCS", shard_docs)
+    monkeypatch.setattr(postings, "FIRST_SHARDS", 3)
     docs, queries = corpus(), [(1, "alpha beta beta"), (2, "zeta kappa unknownword"), (3, "sigma"), (4, "nothing here")]
     got = ret.bm25_topk(
         spark.createDataFrame(docs, "doc_id long, text string").repartition(5),
@@ -69,9 +70,7 @@ def test_bm25_per_conversation(spark):
         assert [r["doc_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i, _ in expected]
 
 
-@pytest.mark.parametrize("probe_bytes", [64 << 20, 300])
-def test_vectors_equal_brute_force(spark, monkeypatch, probe_bytes):
-    monkeypatch.setattr(scale, "PROBE_BYTES", probe_bytes)
+def test_vectors_equal_brute_force(spark):
     rng = random.Random(3)
     # Many equal vectors, so that ties must be broken by id.
     vectors = [(i, [float(rng.randrange(3)) for _ in range(4)], "s" if i % 3 else "t") for i in range(200)]
@@ -151,9 +150,7 @@ def test_expansion_finds_other_words(spark):
     assert {(r["query_id"], r["doc_id"]) for r in out.collect()} >= {(7, 1), (7, 2), (8, 3)}
 
 
-@pytest.mark.parametrize("probe_bytes", [64 << 20, 2048])
-def test_fuzzy_equals_difflib(spark, monkeypatch, probe_bytes):
-    monkeypatch.setattr(scale, "PROBE_BYTES", probe_bytes)
+def test_fuzzy_equals_difflib(spark):
     rng = random.Random(5)
     values = sorted({"".join(rng.choice("abcde") for _ in range(rng.randrange(3, 9))) for _ in range(150)})
     probes = sorted({"".join(rng.choice("abcde") for _ in range(rng.randrange(3, 9))) for _ in range(40)} | {"zzz", ""})
