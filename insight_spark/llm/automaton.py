@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from re import _constants as op, _parser
 from typing import NamedTuple
 
 import numpy as np
@@ -38,19 +37,102 @@ def _folded(byte: int, fold: bool) -> int:
     return bits
 
 
-def _byte_set(items, fold: bool) -> int:
-    bits, negate = 0, False
-    for kind, value in items:
-        if kind is op.NEGATE:
-            negate = True
-        elif kind is op.LITERAL:
-            bits |= _folded(value, fold)
-        elif kind is op.RANGE:
-            for byte in range(value[0], value[1] + 1):
-                bits |= _folded(byte, fold)
-        else:
-            raise ValueError(f"not supported in a scan pattern: {kind}")
-    return (1 << 256) - 1 & ~bits if negate else bits
+class Repeat(NamedTuple):
+    tree: list
+    low: int
+    high: int | None  # None: no limit
+
+
+class Branch(NamedTuple):
+    trees: list[list]
+
+
+class _Parser:
+    """The small expression syntax of scan patterns: characters, ``\\xHH`` and escaped signs, sets with ranges,
+    groups, alternatives, and the repeats ``? * + {m} {m,} {m,n}``. The tree is a list of byte sets (as bits of
+    an integer), branches and repeats."""
+
+    def __init__(self, pattern: str, fold: bool):
+        self.pattern, self.fold, self.at = pattern, fold, 0
+
+    def parse(self) -> list:
+        tree = self._alternatives()
+        if self.at < len(self.pattern):
+            raise ValueError(f"unexpected {self.pattern[self.at]} in scan pattern")
+        return tree
+
+    def _peek(self) -> str:
+        return self.pattern[self.at : self.at + 1]
+
+    def _take(self) -> str:
+        if self.at >= len(self.pattern):
+            raise ValueError("scan pattern ends too early")
+        self.at += 1
+        return self.pattern[self.at - 1]
+
+    def _alternatives(self) -> list:
+        trees = [self._sequence()]
+        while self._peek() == "|":
+            self.at += 1
+            trees.append(self._sequence())
+        return trees[0] if len(trees) == 1 else [Branch(trees)]
+
+    def _sequence(self) -> list:
+        tree: list = []
+        while self._peek() not in ("", "|", ")"):
+            sign = self._take()
+            if sign == "(":
+                if self._peek() == "?":
+                    raise ValueError("not supported in a scan pattern: (?")
+                part = self._alternatives()
+                if self._take() != ")":
+                    raise ValueError("unclosed group in scan pattern")
+            elif sign == "[":
+                part = [self._set()]
+            elif sign in ".^$*+?{":
+                raise ValueError(f"not supported in a scan pattern: {sign}")
+            else:
+                part = [_folded(self._byte(sign), self.fold)]
+            tree += self._repeated(part)
+        return tree
+
+    def _byte(self, sign: str) -> int:
+        if sign == "\\":
+            sign = self._take()
+            if sign == "x":
+                return int(self._take() + self._take(), 16)
+            if sign.isalnum():
+                raise ValueError(f"not supported in a scan pattern: \\{sign}")
+        if ord(sign) > 255:
+            raise ValueError("scan patterns match ASCII only")
+        return ord(sign)
+
+    def _set(self) -> int:
+        negate = self._peek() == "^"
+        self.at += negate
+        bits, first = 0, True
+        while first or self._peek() != "]":
+            first = False
+            low = high = self._byte(self._take())
+            if self._peek() == "-" and self.pattern[self.at + 1 : self.at + 2] not in ("]", ""):
+                self.at += 1
+                high = self._byte(self._take())
+            for byte in range(low, high + 1):
+                bits |= _folded(byte, self.fold)
+        self.at += 1
+        return (1 << 256) - 1 & ~bits if negate else bits
+
+    def _repeated(self, part: list) -> list:
+        sign = self._peek()
+        if sign in ("?", "*", "+") and sign:
+            self.at += 1
+            return [Repeat(part, int(sign == "+"), 1 if sign == "?" else None)]
+        if sign == "{":
+            end = self.pattern.index("}", self.at)
+            low, comma, high = self.pattern[self.at + 1 : end].partition(",")
+            self.at = end + 1
+            return [Repeat(part, int(low), int(high) if high else None if comma else int(low))]
+        return part
 
 
 class _Nfa:
@@ -63,26 +145,18 @@ class _Nfa:
         self.moves.append([])
         return len(self.empty) - 1
 
-    def add(self, tree, start: int, fold: bool) -> int:
+    def add(self, tree: list, start: int) -> int:
         """Adds the parsed pattern from ``start`` on and returns its end."""
-        for kind, value in tree:
-            if kind is op.LITERAL:
-                start = self._step(start, _folded(value, fold))
-            elif kind is op.NOT_LITERAL:
-                start = self._step(start, _byte_set([(op.NEGATE, None), (op.LITERAL, value)], fold))
-            elif kind is op.IN:
-                start = self._step(start, _byte_set(value, fold))
-            elif kind is op.SUBPATTERN:
-                start = self.add(value[-1], start, fold)
-            elif kind is op.BRANCH:
+        for part in tree:
+            if isinstance(part, Branch):
                 end = self.state()
-                for branch in value[1]:
-                    self.empty[self.add(branch, start, fold)].append(end)
+                for branch in part.trees:
+                    self.empty[self.add(branch, start)].append(end)
                 start = end
-            elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
-                start = self._repeat(value, start, fold)
+            elif isinstance(part, Repeat):
+                start = self._repeat(part, start)
             else:
-                raise ValueError(f"not supported in a scan pattern: {kind}")
+                start = self._step(start, part)
         return start
 
     def _step(self, start: int, byte_set: int) -> int:
@@ -90,19 +164,18 @@ class _Nfa:
         self.moves[start].append((byte_set, end))
         return end
 
-    def _repeat(self, value, start: int, fold: bool) -> int:
-        low, high, tree = value
-        for _ in range(low):
-            start = self.add(tree, start, fold)
-        if high is op.MAXREPEAT:
+    def _repeat(self, part: Repeat, start: int) -> int:
+        for _ in range(part.low):
+            start = self.add(part.tree, start)
+        if part.high is None:
             loop = self.state()
             self.empty[start].append(loop)
-            self.empty[self.add(tree, loop, fold)].append(loop)
+            self.empty[self.add(part.tree, loop)].append(loop)
             return loop
         end = self.state()
         self.empty[start].append(end)
-        for _ in range(high - low):
-            start = self.add(tree, start, fold)
+        for _ in range(part.high - part.low):
+            start = self.add(part.tree, start)
             self.empty[start].append(end)
         return end
 
@@ -123,7 +196,7 @@ def compile_patterns(patterns: tuple[tuple[str, bool], ...]) -> Automaton:
     for bit, (pattern, fold) in enumerate(patterns):
         start = nfa.state()
         starts.append(start)
-        final[nfa.add(_parser.parse(pattern.encode()), start, fold)] = 1 << bit
+        final[nfa.add(_Parser(pattern, fold).parse(), start)] = 1 << bit
     sets = [byte_set for moves in nfa.moves for byte_set, _ in moves]
     if any(byte_set >> 128 for byte_set in sets):
         raise ValueError("scan patterns match ASCII only")

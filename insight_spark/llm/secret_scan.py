@@ -57,10 +57,14 @@ def find_spans(texts: list[str | None], rules: tuple[Rule, ...], machine: dfa.Au
     states = dfa.scan(machine, data)
     patterns = [dfa.compiled(rule.pattern, rule.fold) for rule in rules]
     found: dict[int, list[tuple]] = {}
+    last = shift = counted = -1
     for begin, end in _windows(states, machine):
         text_no = bisect.bisect_right(starts, begin) - 1
-        before = np.frombuffer(data, np.uint8, begin - starts[text_no], starts[text_no])
-        shift = int(np.count_nonzero((before & 0xC0) != 0x80))
+        if text_no != last:
+            last, shift, counted = text_no, 0, int(starts[text_no])
+        # Code points since the window before: a text's bytes are counted once.
+        shift += int(np.count_nonzero((np.frombuffer(data, np.uint8, begin - counted, counted) & 0xC0) != 0x80))
+        counted = begin
         window, accepted = data[begin:end].decode("ascii"), machine.accepts[states[begin:end]]
         spans = found.setdefault(text_no, [])
         for number, (rule, pattern) in enumerate(zip(rules, patterns)):
@@ -81,12 +85,12 @@ def _windows(states: np.ndarray, machine: dfa.Automaton) -> list[tuple[int, int]
     if not on.any():
         return []
     edges = np.flatnonzero(np.diff(np.concatenate(([False], on, [False])).astype(np.int8)))
+    idle = np.flatnonzero(states == 0)
+    begins = np.searchsorted(idle, edges[::2])
+    begins = np.where(begins > 0, idle[np.maximum(begins - 1, 0)] + 1, 0) if len(idle) else np.zeros(len(begins), np.int64)
     out: list[tuple[int, int]] = []
-    for first, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        begin, floor = first, out[-1][1] if out else 0
-        while begin > floor and states[begin - 1]:
-            begin -= 1
-        if out and begin == floor and states[begin - 1]:
+    for begin, end in zip(begins.tolist(), edges[1::2].tolist()):
+        if out and begin < out[-1][1]:  # no start state since the window before
             begin = out.pop()[0]
         out.append((begin, end))
     return out

@@ -101,3 +101,49 @@ def test_rows_digest_and_redaction(spark):
 
 def test_overlapping_spans_are_cut_once():
     assert secret_scan.cut_out("0123456789", [(2, 5), (4, 7), (9, 10)], "#") == "01#78#"
+
+
+def test_many_secrets_take_linear_time():
+    """Four times as many secrets in one text take about four times as long."""
+    import time
+
+    from insight_spark.llm import automaton
+
+    machine = automaton.compile_patterns(tuple((r.scan, r.fold) for r in secret_scan.RULES))
+
+    def seconds(lines):
+        text = "é line " + "\nü ".join("0123456789abcdef" * 4 for _ in range(lines))
+        start = time.perf_counter()
+        spans = secret_scan.find_spans([text], secret_scan.RULES, machine)[0]
+        took = time.perf_counter() - start
+        assert len(spans) == lines and all(set(text[a:b]) <= set("0123456789abcdef") and b - a == 64 for _, a, b, _ in spans)
+        return took
+
+    seconds(1000)
+    assert seconds(100_000) < 10 * max(seconds(25_000), 0.05)
+
+
+@pytest.mark.parametrize("pattern", [r"a{2}b", r"(ab|c)+d?", r"x[a\-c-]*\.y", r"a{0,2}(b|)c", r"[]x]z"])
+def test_own_syntax_is_that_of_the_matcher(pattern):
+    import itertools
+    import re
+
+    from insight_spark.llm import automaton
+
+    machine = automaton.compile_patterns(((pattern, False),))
+    plain = re.compile(pattern)
+    for length in range(1, 5):
+        texts = ["".join(letters) for letters in itertools.product("abcdxz]-." if length < 4 else "abcdx", repeat=length)]
+        states = automaton.scan(machine, "".join(t + "\xff" for t in texts).encode("latin-1")).reshape(-1, length + 1)
+        for text, row in zip(texts, states):
+            ends = {i + 1 for i in range(length) if machine.accepts[row[i]]}
+            want = {e for s in range(length) for e in range(s + 1, length + 1) if plain.fullmatch(text, s, e)}
+            assert ends == want, (pattern, text)
+
+
+@pytest.mark.parametrize("pattern", ["(a", "a.b", r"\d", "(?:a)", "[ab", "a)b", "*a"])
+def test_other_syntax_is_refused(pattern):
+    from insight_spark.llm import automaton
+
+    with pytest.raises((ValueError, IndexError)):
+        automaton.compile_patterns(((pattern, False),))
