@@ -20,8 +20,13 @@ from insight_spark.llm.common import id_type, kept_table, map_chunks, segment_su
 
 # A word begins with this sign, as in the vocabulary.
 START = "▁"
-# A word of more characters is scored in runs of so many: no piece reaches over such a cut.
+# Words of up to so many characters share one array; longer ones are summed in a moving window.
+# Training counts a longer word in runs of so many.
 RUN = 32
+# Characters of long words worked on at a time.
+LONG_CHARS = 1 << 20
+# Characters between two rescalings of a long word's sums.
+RESCALED = 8
 ROUNDS = 2
 # Added to every expected count, so that no piece has probability zero.
 SMOOTHING = 0.01
@@ -32,8 +37,10 @@ FLOOR = 1e-10
 SCALE = 2.0**25
 # Probability of a character that the vocabulary does not have, the same in all languages.
 UNKNOWN = 1e-7
-# Words worked on at a time.
+# Words worked on at a time, at four languages.
 SLICE = 40_000
+# A model is sent to every executor; pieces times languages times eight bytes may not be more.
+MODEL_BYTES = 512 << 20
 NONE = "und"
 
 
@@ -175,6 +182,31 @@ class _Lattice:
                 alpha[end, rows] += alpha[end - length, rows] * probability[pieces]
         return alpha
 
+    def rolling(self, probability: np.ndarray, before: "_Rolled | None" = None, skip: int = 0) -> "_Rolled":
+        """Sums over all segmentations of runs of any length, kept only as far back as a piece reaches.
+
+        ``before`` goes on where an earlier window of the same run ended; the first ``skip``
+        characters of this one are that window's last.
+        """
+        shape = (len(self.lengths), probability.shape[1])
+        recent = before.recent if before else [np.zeros(shape)] * (self.longest - 1) + [np.ones(shape)]
+        logs = before.logs.copy() if before else np.zeros(shape)
+        done = np.zeros(shape)
+        for end in range(skip + 1, int(self.lengths.max(initial=0)) + 1):
+            alpha = np.zeros(shape)
+            for length, rows, pieces in self._edges(end):
+                if length <= len(recent):
+                    alpha[rows] += recent[-length][rows] * probability[pieces]
+            recent = [*recent[-self.longest + 1 :], alpha] if self.longest > 1 else [alpha]
+            if end % RESCALED == 0:
+                top = np.where(alpha > 0, alpha, 1.0)
+                recent = [a / top for a in recent]
+                logs += np.log(top)
+            ended = self.lengths == end
+            if ended.any():
+                done[ended] = np.log(recent[-1][ended]) + logs[ended]
+        return _Rolled(recent, logs, done)
+
     def totals(self, alpha: np.ndarray) -> np.ndarray:
         """Probability of each run, in the order the runs were given."""
         out = np.empty(alpha.shape[1:])
@@ -208,22 +240,51 @@ class _Lattice:
         return out
 
 
+class _Rolled(NamedTuple):
+    recent: list[np.ndarray]  # the last sums, rescaled
+    logs: np.ndarray  # what they were divided by
+    done: np.ndarray  # logarithm of the whole sum of each run that has ended
+
+
+def _long_logs(words: list[str], trie: Pieces, table: np.ndarray) -> np.ndarray:
+    """log P of words of any length, per language, no segmentation left out."""
+    out = np.empty((len(words), table.shape[1]))
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    while order:
+        taken, size = [], 0
+        while order and (not taken or size + len(words[order[0]]) <= LONG_CHARS):
+            taken.append(order.pop(0))
+            size += len(words[taken[-1]])
+        if size <= LONG_CHARS:
+            lattice = _Lattice(pa.array([words[i] for i in taken], pa.string()), trie)
+            out[np.array(taken)[lattice.order]] = lattice.rolling(table).done
+            continue
+        word, state = words[taken[0]], None
+        for start in range(0, len(word), LONG_CHARS):
+            low = max(0, start - trie.longest + 1) if state else 0
+            lattice = _Lattice(pa.array([word[low : start + LONG_CHARS]], pa.string()), trie)
+            state = lattice.rolling(table, state, start - low)
+        out[taken[0]] = state.done[0]
+    return out
+
+
 def _with_unknown(probability: np.ndarray) -> np.ndarray:
     return np.vstack([probability, np.full((1, probability.shape[1]), UNKNOWN)])
 
 
 def word_logs(words: pa.Array, trie: Pieces, model: Model) -> np.ndarray:
-    """log P(word) per language."""
+    """log P(word) per language, over all segmentations of the whole word."""
     out = np.empty((len(words), len(model.languages)))
     table = _with_unknown(model.probability)
-    for start in range(0, len(words), SLICE):
-        runs, per_word = word_runs(words.slice(start, SLICE))
-        logs = np.empty((len(runs), out.shape[1]))
-        for part in range(0, len(runs), SLICE):
-            lattice = _Lattice(runs.slice(part, SLICE), trie)
-            logs[part : part + SLICE] = lattice.log_totals(lattice.forward(table))
-        for language in range(out.shape[1]):
-            out[start : start + SLICE, language] = segment_sums(logs[:, language], per_word)
+    marked = pc.binary_join_element_wise(START, words, "")
+    long = pc.greater(pc.utf8_length(marked), RUN).to_numpy(zero_copy_only=False)
+    rows, short = np.flatnonzero(~long), marked.filter(pa.array(~long))
+    step = max(1000, 4 * SLICE // max(1, len(model.languages)))
+    for start in range(0, len(short), step):
+        lattice = _Lattice(short.slice(start, step), trie)
+        out[rows[start : start + step]] = lattice.log_totals(lattice.forward(table))
+    if long.any():
+        out[long] = _long_logs(marked.filter(pa.array(long)).to_pylist(), trie, table)
     return out
 
 
@@ -277,6 +338,8 @@ def train(
     counts = kept_table(count_words(df if keep is None else df.filter(keep), text_col, lang_col), "words")
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     trie = build_trie(pieces)
+    if 8 * len(pieces) * len(languages) > MODEL_BYTES:
+        raise ValueError(f"{len(languages)} languages make a model of more than {MODEL_BYTES >> 20} MB")
     probability = np.full((len(pieces), len(languages)), 1 / len(pieces))
     spark = df.sparkSession
     for _ in range(rounds if languages else 0):
@@ -339,6 +402,8 @@ def predict(
     one by one: repeated rows and null ids stay, an empty table gives no rows,
     other columns are not read.
     """
+    if model.probability.nbytes > MODEL_BYTES:
+        raise ValueError(f"{len(model.languages)} languages make a model of more than {MODEL_BYTES >> 20} MB")
     shared = df.sparkSession.sparkContext.broadcast((build_trie(pieces), model))
 
     def work(chunk: pa.RecordBatch) -> pa.RecordBatch:

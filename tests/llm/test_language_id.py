@@ -41,15 +41,40 @@ def test_forward_pass_sums_every_segmentation():
             assert logs[k] == pytest.approx(math.log(sum_over_segmentations("▁" + word, table)))
 
 
-def test_long_words_are_scored_in_runs():
+def log_sum(word, table):
+    """log of the sum over all segmentations of a word of any length."""
+    alpha = [0.0]
+    for end in range(1, len(word) + 1):
+        terms = []
+        for size in range(1, min(end, 4) + 1):
+            p = table.get(word[end - size : end], lang.UNKNOWN if size == 1 else None)
+            if p is not None:
+                terms.append(alpha[end - size] + math.log(p))
+        top = max(terms)
+        alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return alpha[-1]
+
+
+@pytest.mark.parametrize("long_chars", [1 << 20, 150, 40])
+def test_long_words_sum_every_segmentation(monkeypatch, long_chars):
+    """Words over the arrays' width, several at once and in windows, among short ones."""
+    monkeypatch.setattr(lang, "LONG_CHARS", long_chars)
     model, trie = random_model(), lang.build_trie(PIECES)
-    word = "abcab" * 200
-    (got,) = lang.word_logs(pa.array([word]), trie, model)
-    marked = "▁" + word
-    runs = [marked[i : i + lang.RUN] for i in range(0, len(marked), lang.RUN)]
-    lattice = lang._Lattice(pa.array(runs), trie)
-    want = np.log(lattice.totals(lattice.forward(lang._with_unknown(model.probability)))).sum(0)
-    assert np.allclose(got, want) and np.isfinite(got).all()
+    words = ["abcab" * 20, "ab", "x" * 33, "abc" * 11 + "é", "cab" * 400, "", "中" + "ab" * 60]
+    got = lang.word_logs(pa.array(words), trie, model)
+    for word, logs in zip(words, got):
+        for k in range(2):
+            table = dict(zip(PIECES, model.probability[:, k]))
+            assert logs[k] == pytest.approx(log_sum("▁" + word, table))
+
+
+def test_models_of_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(lang, "MODEL_BYTES", 100)
+    frame = spark.createDataFrame([(1, "ab", "l0")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        lang.predict(frame, random_model(), PIECES)
+    with pytest.raises(ValueError, match="languages"):
+        lang.train(frame, PIECES * 20)
 
 
 def test_expected_counts_are_posterior_sums():
