@@ -22,6 +22,8 @@ from insight_spark.llm.common import chunks, free_name, id_type, kept_table, map
 # Fixed masks: six words each out of 8, 10 and 12. Together they meet 98 of 100 stretches of
 # 15 words in which three were replaced.
 MASKS = ("11001111", "1100101011", "110100100101")
+# Items of up to so many words must match as a whole, so their masks are made for their length.
+SHORT = 13
 # An overlap is a stretch of at least so many words (of the whole item, if that is shorter) ...
 MIN_OVERLAP = 13
 # ... that begins and ends with an equal word and has at least this percentage of equal words.
@@ -56,6 +58,21 @@ def split(texts: pa.Array) -> Words:
     return Words(hashed[codes] if len(codes) else np.empty(0, np.uint64), counts)
 
 
+def short_masks(length: int) -> tuple[str, ...]:
+    """Masks over a whole item of ``length`` words, of which any accepted match fits one.
+
+    Its first and last word are equal and at most a fifth of the others replaced, so of one
+    part more than there are replaced words one part is whole.
+    """
+    if length < 3:
+        return ("1" * length,)
+    parts = length * (100 - MIN_EQUAL) // 100 + 1
+    cuts = [1 + (length - 2) * i // parts for i in range(parts + 1)]
+    return tuple(
+        "1" + "".join("1" if a <= i < b else "0" for i in range(1, length - 1)) + "1" for a, b in zip(cuts, cuts[1:])
+    )
+
+
 def seeds(words: Words, masks: tuple[str, ...] = MASKS):
     """(key, place) per mask, for every place where the mask fits into a text."""
     total = len(words.hashes)
@@ -97,13 +114,28 @@ def _packed(hashes: np.ndarray, counts: np.ndarray) -> pa.Array:
     )
 
 
-def item_seeds(items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """(key, item_no, item_pos) for every seed of the items, once per key and place."""
+def all_masks(items: DataFrame, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
+    """The masks, and those for the lengths of the short items that there are (at most SHORT lengths)."""
+    size = F.expr("octet_length(words) div 8")
+    lengths = items.select(size.alias("n")).filter(F.col("n").between(1, SHORT)).distinct().collect()
+    return (*masks, *(mask for n in sorted(r["n"] for r in lengths) for mask in short_masks(n)))
+
+
+def item_seeds(items: DataFrame, masks: tuple[str, ...] = MASKS, general: int = len(MASKS)) -> DataFrame:
+    """(key, item_no, item_pos) for every seed of the items, once per key and place.
+
+    Masks after the first ``general`` are for items of just their length.
+    """
     def work(chunk: pa.RecordBatch) -> pa.RecordBatch:
         held = chunk.column(1).to_pylist()
         words = Words(np.frombuffer(b"".join(held), np.uint64), np.array([len(w) // 8 for w in held]))
         begin = np.cumsum(words.counts) - words.counts
-        keys, places = zip(*seeds(words, masks))
+        size = np.repeat(words.counts, words.counts)
+        keys, places = [], []
+        for number, (key, place) in enumerate(seeds(words, masks)):
+            fits = size[place] > SHORT if number < general else size[place] == len(masks[number])
+            keys.append(key[fits])
+            places.append(place[fits])
         place = np.concatenate(places)
         item = np.repeat(np.arange(len(held)), words.counts)[place]
         return pa.RecordBatch.from_arrays(
@@ -227,12 +259,14 @@ def matches(
 ) -> DataFrame:
     """(doc_id, text_key, item_id, overlap): every item a document overlaps with, and the longest overlap in words.
 
-    Words are runs of letters and digits, compared in lower case. An item of
-    fewer words than the shortest mask cannot be told from ordinary prose and
-    matches nothing; neither do null and empty texts on either side.
+    Words are runs of letters and digits, compared in lower case. A short item matches
+    as a whole, one of a single word wherever that word stands: leave out items that
+    are no text. Null and empty texts on either side match nothing.
     """
     listed = item_words(items, item_col, item_text_col)
-    sown = kept_table(item_seeds(listed, masks), "seeds")
+    general = len(masks)
+    masks = all_masks(listed, masks)
+    sown = kept_table(item_seeds(listed, masks, general), "seeds")
     bits = df.sparkSession.sparkContext.broadcast(build_filter(sown))  # 2**FILTER_BITS bits
     regions = hit_regions(df, bits, masks, id_col, text_col)
     hits = regions.select("region", F.explode(F.arrays_zip("places", "keys")).alias("_h")).select(

@@ -123,3 +123,64 @@ def test_planted_passages(spark, small):
     }
     flagged = {r["doc_id"] for r in dec.report(docs, bench).filter("contaminated").collect()}
     assert flagged == holds
+
+
+def planted(rng, length, replaced):
+    """An item and a text that holds it with so many inner words replaced."""
+    item = [f"w{rng.randrange(400)}" for _ in range(length)]
+    copy = list(item)
+    for place in rng.sample(range(1, length - 1), replaced) if replaced else []:
+        copy[place] = f"x{rng.randrange(400)}"
+    before, after = ([f"w{rng.randrange(400)}" for _ in range(rng.randint(0, 30))] for _ in range(2))
+    return item, before + copy + after
+
+
+def test_recall_by_item_length_and_replaced_words(spark):
+    """Copies of every length are caught; with replaced words at least nine of ten, and all up to 13 words."""
+    rng = random.Random(12)
+    items, docs, kinds = [], [], {}
+    for length in range(1, 31):
+        for replaced in range(length // 5 + 1) if length > 4 else (0,):
+            for _ in range(12):
+                item, text = planted(rng, length, replaced)
+                if length < 4:
+                    item = [f"only{len(items)}{w}" for w in item]
+                    text = [*text[: len(text) // 2], *item, *text[len(text) // 2 :]]
+                kinds[len(items)] = (length, replaced)
+                docs.append((len(items), " ".join(text)))
+                items.append((len(items), " ".join(item)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    found = {r["doc_id"] for r in dec.report(frame, bench).collect() if r["doc_id"] in r["items"]}
+    recall = {}
+    for i, kind in kinds.items():
+        recall.setdefault(kind, []).append(i in found)
+    low = {kind: sum(hit) / len(hit) for kind, hit in recall.items() if sum(hit) < 0.9 * len(hit)}
+    assert not low, low
+    assert all(all(hit) for (length, replaced), hit in recall.items() if length <= dec.SHORT or not replaced)
+
+
+def test_short_masks_meet_every_accepted_match():
+    import itertools
+
+    for length in range(1, dec.SHORT + 1):
+        masks = dec.short_masks(length)
+        assert all(len(mask) == length for mask in masks)
+        for equal in itertools.product((0, 1), repeat=length):
+            if equal[0] and equal[-1] and 100 * sum(equal) >= dec.MIN_EQUAL * length:
+                assert any(all(e for e, sign in zip(equal, mask) if sign == "1") for mask in masks)
+
+
+def test_other_texts_do_not_match_short_items(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(5, 12)))) for i in range(30)]
+    docs = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(200))) for i in range(100)]
+    got = {r["doc_id"]: sorted(r["items"]) for r in dec.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for doc_id, text in docs:
+        words = words_of(text)
+        want = [i for i, item in items if (n := len(words_of(item))) and any(
+            words[s] == words_of(item)[0] and words[s + n - 1] == words_of(item)[-1]
+            and 100 * sum(a == b for a, b in zip(words[s : s + n], words_of(item))) >= dec.MIN_EQUAL * n
+            for s in range(len(words) - n + 1)
+        )]
+        assert got[doc_id] == want
