@@ -13,30 +13,35 @@ def words_of(text):
     return re.findall(r"[^\W_]+|(?:_|[^\w\s])+", (text or "").lower())
 
 
-def brute(rows, targets, size):
+def brute(rows, targets, least):
     """Score of every text, one word at a time."""
-    counts = Counter(w for _, t in rows for w in words_of(t))
-    known = {w: i + 2 for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[: size - 2])}
-    code = lambda t: [known.get(w, 1) for w in words_of(t)]
+    def counted(texts):
+        pairs, single = Counter(), Counter()
+        for t in texts:
+            words = words_of(t)
+            pairs.update(zip(["\0", *words], words))
+            single.update(words)
+        return pairs, single
+
+    every, all_words = counted([t for _, t in rows])
+    listed = {pair for pair, n in every.items() if n >= least}
 
     def model(texts):
-        pairs, after, single = Counter(), Counter(), Counter()
-        for t in texts:
-            for v, w in zip([0, *code(t)], code(t)):
-                pairs[v, w] += 1
-                after[v] += 1
-                single[w] += 1
-        total = sum(single.values()) + lm_score.ADDED * size
+        pairs, single = counted(texts)
+        after = Counter()
+        for (v, w), n in pairs.items():
+            after[v] += n * ((v, w) in listed)
+        total = sum(single.values()) + lm_score.ADDED * len(all_words)
         return lambda v, w: -math.log(
-            (pairs[v, w] + lm_score.PRIOR * (single[w] + lm_score.ADDED) / total) / (after[v] + lm_score.PRIOR)
+            (pairs[v, w] * ((v, w) in listed) + lm_score.PRIOR * (single[w] + lm_score.ADDED) / total) / (after[v] + lm_score.PRIOR)
         )
 
     target, background = model([t for d, t in rows if d in targets]), model([t for _, t in rows])
     out = []
     for d, t in rows:
-        ids = code(t)
-        a, b = (sum(m(v, w) for v, w in zip([0, *ids], ids)) / max(len(ids), 1) for m in (target, background))
-        out.append((d, len(ids), a, b, a - b))
+        words = words_of(t)
+        a, b = (sum(m(v, w) for v, w in zip(["\0", *words], words)) / max(len(words), 1) for m in (target, background))
+        out.append((d, len(words), a, b, a - b))
     return out
 
 
@@ -47,13 +52,16 @@ def texts():
     return [*rows, (60, None), (61, ""), (62, " \n "), (None, "a1 b1"), (3, rows[3][1])]
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("least, most", [(3, 1 << 20), (3, 10), (1, 0), (2, 50)])
+def test_equals_brute_force(spark, least, most):
+    """Also where most pairs and words are judged in joins."""
     rows = texts()
-    frame = spark.createDataFrame([(d, t, 1.0, 2) for d, t in rows], "doc_id long, text string, score double, n_tokens int").repartition(3)
+    frame = spark.createDataFrame([(d, t, 1.0, 2) for d, t in rows], "doc_id long, text string, score double, _target_id int").repartition(3)
     ids = spark.createDataFrame([(i,) for i in range(1, 40, 2)] + [(5,), (None,)], "doc_id long")
-    models = lm_score.train(lm_score.mark_target(frame, ids), F.col("_target"), size=40)
-    got = sorted(map(tuple, lm_score.score(frame, models).collect()), key=repr)
-    want = sorted(brute(rows, set(range(1, 40, 2)), 40), key=repr)
+    models = lm_score.train(lm_score.mark_target(frame, ids), F.col("_target"), min_pair=least)
+    got = sorted(map(tuple, lm_score.score(frame, models, most_pairs=most, most_words=most).collect()), key=repr)
+    want = sorted(brute(rows, set(range(1, 40, 2)), least), key=repr)
+    assert len(got) == len(want)
     for x, y in zip(got, want):
         assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], abs=1e-4)
     by_id = {r[0]: r[4] for r in got}
@@ -62,9 +70,46 @@ def test_equals_brute_force(spark):
     assert lm_score.score(frame.limit(0), models).count() == 0
 
 
+def test_probabilities_sum_to_one(spark):
+    """Over all words of the vocabulary, after a frequent and a rare word."""
+    rows = [(i, t) for i, t in texts() if i is not None]
+    models = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 2 == 0, min_pair=3)
+    words = {r["word"]: r for r in models.words.collect()}
+    pairs = {r["pair"]: r for r in models.pairs.collect()}
+    single = [w for w in words if w != lm_score.START]
+    for before in [lm_score.START, *single[:3]]:
+        for side in ("target", "background"):
+            total = 0.0
+            for w in single:
+                key = before << 32 | w
+                key -= (key >> 63) << 64
+                loss = pairs[key][side] if key in pairs else words[w][f"own_{side}"] + words[before][f"after_{side}"]
+                total += math.exp(-loss)
+            assert total == pytest.approx(1, abs=1e-6)
+
+
+def test_the_models_grow_with_the_corpus(spark):
+    sizes = []
+    for count in (200, 800):
+        rows = [(i, f"word{i} comes after word{i // 2} again word{i} comes word{i} comes") for i in range(count)]
+        models = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True))
+        sizes.append((models.words.count(), models.pairs.count()))
+    assert sizes[1][0] > 3 * sizes[0][0] and sizes[1][1] > 3 * sizes[0][1]
+
+
+def test_texts_outside_the_corpus(spark):
+    rows = [(i, "a b c a b c a b c") for i in range(5)]
+    models = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True))
+    other = spark.createDataFrame([(1, "a b c"), (2, "zzz a yyy")], "doc_id long, text string")
+    losses = {r["doc_id"]: r["target_loss"] for r in lm_score.score(other, models).collect()}
+    assert losses[1] < losses[2] < 50
+
+
 def test_without_target_or_texts(spark):
     frame = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    models = lm_score.train(frame, F.lit(None).cast("boolean"), size=8)
+    models = lm_score.train(frame, F.lit(None).cast("boolean"))
     assert math.isfinite(lm_score.score(frame, models).first()["score"])
-    nothing = lm_score.train(frame.limit(0), F.lit(True), size=8)
-    assert nothing.words == [] and lm_score.score(frame, nothing).first()["score"] == pytest.approx(0)
+    nothing = lm_score.train(frame.limit(0), F.lit(True))
+    assert nothing.words.count() == 0 and lm_score.score(frame, nothing).first()["score"] == pytest.approx(0)
+    with pytest.raises(ValueError):
+        lm_score.mark_target(frame.withColumn("_target", F.lit(1)), frame)
