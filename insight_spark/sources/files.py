@@ -4,25 +4,23 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 import zipfile
-from xml.etree import ElementTree
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from insight_spark.functions.text import file_name
 from insight_spark.operators.scale import join_null_safe, kept, number_rows
-from insight_spark.sources import csv_records
+from insight_spark.sources import csv_records, office
 
-WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-SHEET_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 WORD_SCHEMA = "path string, kind string, position int, text string, error string"
 CELL_SCHEMA = (
     "path string, sheet_no int, sheet string, kind string, row int, names array<string>, cells array<string>, error string"
 )
 SAMPLE_ROWS = 3
+# Rows of a file or sheet that are handed on together.
+ROWS_HELD = 5000
 # Types that CSV columns are tried for, in this order, and what their values look like.
 WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 INFERRED = {
@@ -90,43 +88,32 @@ def scan_text(files: DataFrame) -> DataFrame:
     return files.select("path", file_name(F.col("path")).alias("source"), F.lit("txt").alias("type"), readable.alias("text"))
 
 
-def _word_rows(path: str, content: bytes) -> list[tuple]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{WORD_NS}body")
-
-    def text(node) -> str:
-        return "".join(
-            t.text or "" if t.tag == f"{WORD_NS}t" else "\n" if t.tag in (f"{WORD_NS}br", f"{WORD_NS}cr") else "\t"
-            for t in node.iter()
-            if t.tag in (f"{WORD_NS}t", f"{WORD_NS}br", f"{WORD_NS}cr", f"{WORD_NS}tab")
-        )
-
-    rows = [
-        (path, "paragraph", i, text(p).strip(), None) for i, p in enumerate(body.findall(f"{WORD_NS}p"))
-    ]
-    for i, table in enumerate(body.findall(f"{WORD_NS}tbl")):
-        lines = [
-            " | ".join(
-                "\n".join(text(p) for p in cell.findall(f"{WORD_NS}p")).strip() for cell in row.findall(f"{WORD_NS}tc")
-            )
-            for row in table.findall(f"{WORD_NS}tr")
-        ]
-        rows.append((path, "table", i, "\n".join(lines), None))
-    parts = [row for row in rows if row[1] == "table" or row[3]]
-    tables = sum(row[1] == "table" for row in parts)
-    return [(path, "summary", None, f"Paragraphs: {len(parts) - tables}\nTables: {tables}", None), *parts]
+def _word_rows(path: str, content: bytes) -> Iterator[tuple]:
+    counts = {"paragraph": 0, "table": 0}
+    for kind, number, text in office.word_blocks(io.BytesIO(content)):
+        if text or kind == "table":
+            counts[kind] += 1
+            yield path, kind, number, text, None
+    yield path, "summary", None, f"Paragraphs: {counts['paragraph']}\nTables: {counts['table']}", None
 
 
 def _each_file(read, columns: list[str], empty: tuple):
-    """mapInPandas body: ``read`` per file; an unreadable file gives one error row."""
+    """mapInPandas body: the rows that ``read`` gives per file, in frames of ROWS_HELD; an unreadable file gives one
+    error row instead of what comes after the error."""
     def run(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
+                held = []
                 try:
-                    rows = read(path, bytes(content))
+                    for row in read(path, bytes(content)):
+                        held.append(row)
+                        if len(held) == ROWS_HELD:
+                            yield pd.DataFrame(held, columns=columns)
+                            held = []
                 except Exception as problem:  # one bad file must not fail the batch
-                    rows = [(path, *empty, f"{type(problem).__name__}: {problem}")]
-                yield pd.DataFrame(rows, columns=columns)
+                    held = [(path, *empty, f"{type(problem).__name__}: {problem}")]
+                if held:
+                    yield pd.DataFrame(held, columns=columns)
 
     return run
 
@@ -164,56 +151,12 @@ def part_chunks(parts: DataFrame) -> DataFrame:
     )
 
 
-def _cell_column(reference: str) -> int:
-    number = 0
-    for letter in re.match(r"[A-Z]+", reference).group():
-        number = number * 26 + ord(letter) - 64
-    return number - 1
-
-
-def _sheet_rows(path: str, content: bytes) -> list[tuple]:
-    rows = []
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        names = set(archive.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
-            shared = ["".join(t.text or "" for t in item.iter(f"{SHEET_NS}t")) for item in root.findall(f"{SHEET_NS}si")]
-        links = {
-            link.get("Id"): link.get("Target")
-            for link in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
-        }
-        sheets = ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{SHEET_NS}sheet")
-        for sheet_no, sheet in enumerate(sheets):
-            target = links[sheet.get(f"{REL_NS}id")].lstrip("/")
-            target = target if target.startswith("xl/") else f"xl/{target}"
-            table = []
-            for index, row in enumerate(ElementTree.fromstring(archive.read(target)).iter(f"{SHEET_NS}row")):
-                cells: dict[int, str] = {}
-                for place, cell in enumerate(row.findall(f"{SHEET_NS}c")):
-                    column = _cell_column(cell.get("r")) if cell.get("r") else place
-                    value = cell.find(f"{SHEET_NS}v")
-                    if cell.get("t") == "s" and value is not None:
-                        cells[column] = shared[int(value.text)]
-                    elif cell.get("t") == "inlineStr":
-                        cells[column] = "".join(t.text or "" for t in cell.iter(f"{SHEET_NS}t"))
-                    elif value is not None:
-                        cells[column] = value.text
-                width = max(cells, default=-1) + 1
-                number = int(row.get("r")) - 1 if row.get("r") else index
-                table.append((number, [cells.get(i) for i in range(width)]))
-            if not table:
-                continue
-            header = [name or f"Unnamed: {i}" for i, name in enumerate(table[0][1])]
-            place = (path, sheet_no, sheet.get("name"))
-            body = [(number - 1 - table[0][0], cells) for number, cells in table[1:]]
-            sample = [
-                ", ".join(f"{n}: {'nan' if c is None else c}" for n, c in zip(header, cells + [None] * len(header)))
-                for _, cells in body[:SAMPLE_ROWS]
-            ]
-            rows.append((*place, "sheet", len(body), header, sample, None))
-            rows += [(*place, "row", number, header, cells, None) for number, cells in body]
-    return rows
+def _sheet_rows(path: str, content: bytes) -> Iterator[tuple]:
+    with office.archive_of(content) as archive:
+        shared = office.SharedStrings(archive)
+        for sheet in office.sheets(archive):
+            for kind, number, header, cells in office.table_rows(office.sheet_rows(archive, sheet, shared), SAMPLE_ROWS):
+                yield path, sheet.number, sheet.name, kind, number, header, cells, None
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:
@@ -242,6 +185,73 @@ def scan_workbook(files: DataFrame, header: list[str] | None = None, sheet_no: i
     )
 
 
+def list_sheets(spark: SparkSession, path, pattern: str = "*.[xX][lL][sS][xX]") -> DataFrame:
+    """(path, sheet_no, sheet, part, error): the sheets of all workbooks below a folder, listed by tasks; only the
+    directory of a file is read. A broken workbook is one row with an error."""
+    paths = binary_files(spark, path, pattern).select("path")
+    spread = paths.repartition(max(1, spark.sparkContext.defaultParallelism))
+
+    def run(batches):
+        for batch in batches:
+            for name in batch["path"]:
+                try:
+                    with office.open_stored(name) as stream, zipfile.ZipFile(stream) as archive:
+                        rows = [(name, *sheet, None) for sheet in office.sheets(archive)]
+                except Exception as problem:  # one bad file must not fail the listing
+                    rows = [(name, None, None, None, f"{type(problem).__name__}: {problem}")]
+                yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "part", "error"]).astype({"sheet_no": "Int32"})
+
+    return spread.mapInPandas(run, "path string, sheet_no int, sheet string, part string, error string")
+
+
+def stored_sheets(spark: SparkSession, path, columns: list[str] | None = None, sheet_no: int | None = None) -> DataFrame:
+    """Sheets of stored workbooks as :func:`workbook_cells` gives them, a task's share being whole sheets.
+
+    A sheet is read while it is unpacked, ROWS_HELD rows at a time: neither a file nor a
+    sheet is held as one value, only the shared strings of its file. With ``columns`` the
+    other cells are left out; a missing column is null.
+    """
+    listed = kept(list_sheets(spark, path), "sheets")
+    wanted = listed if sheet_no is None else listed.filter((F.col("sheet_no") == sheet_no) | F.col("error").isNotNull())
+    names = ["path", "sheet_no", "sheet", "kind", "row", "names", "cells", "error"]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names)
+
+    def rows_of(name: str, sheet: office.Sheet):
+        with office.open_stored(name) as stream, zipfile.ZipFile(stream) as archive:
+            shared = office.SharedStrings(archive)
+            for kind, number, header, cells in office.table_rows(office.sheet_rows(archive, sheet, shared), SAMPLE_ROWS):
+                if columns is not None:
+                    if kind == "row":
+                        place = {name: i for i, name in enumerate(header)}
+                        cells = [cells[place[c]] if c in place and place[c] < len(cells) else None for c in columns]
+                    header = columns
+                yield name, sheet.number, sheet.name, kind, number, header, cells, None
+
+    def run(batches):
+        for batch in batches:
+            for name, number, sheet, part, error in batch.itertuples(index=False):
+                if error is not None:
+                    yield frame([(name, 0, None, "error", 0, None, None, error)])
+                    continue
+                held = []
+                try:
+                    for row in rows_of(name, office.Sheet(int(number), sheet, part)):
+                        held.append(row)
+                        if len(held) == ROWS_HELD:
+                            yield frame(held)
+                            held = []
+                except Exception as problem:  # one bad sheet must not fail the others
+                    held = [(name, int(number), sheet, "error", 0, None, None, f"{type(problem).__name__}: {problem}")]
+                if held:
+                    yield frame(held)
+
+    # Sheets are dealt out one by one, whatever file they are of.
+    tasks = max(1, min(wanted.count(), 10 * spark.sparkContext.defaultParallelism))
+    return wanted.repartition(tasks, "path", "sheet_no").mapInPandas(run, CELL_SCHEMA)
+
+
 def workbook_chunks(files: DataFrame) -> DataFrame:
     """All sheets as row texts plus a summary per sheet with three sample rows."""
     return cell_chunks(workbook_cells(files))
