@@ -12,7 +12,7 @@ from insight_spark.plans.question_queries import ROUTE_SQL, messages, route_ques
 from insight_spark.plans.registry import Tables, query
 from insight_spark.session import fresh_path
 from insight_spark.sources import chunk_store, files, ingest, sinks, tables
-from insight_spark.streaming import jobs
+from insight_spark.streaming import jobs, rollup
 
 CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
@@ -291,8 +291,8 @@ def stream_conversation_rollup(t: Tables) -> DataFrame:
     )
     log.unionByName(log).write.parquet(f"{path}/in")
     stream = t.spark.readStream.schema(log.schema).parquet(f"{path}/in")
-    jobs.start_rollup(stream, f"{path}/out", f"{path}/checkpoint", "10 days").awaitTermination()
-    state = jobs.read_rollup(t.spark, f"{path}/out")
+    rollup.start_rollup(stream, f"{path}/out", f"{path}/checkpoint", "10 days").awaitTermination()
+    state = rollup.read_rollup(t.spark, f"{path}/out")
     return state.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -1,12 +1,10 @@
-"""Structured Streaming: file ingest, conversation rollup, route classification."""
+"""Structured Streaming: file ingest and route classification; see :mod:`rollup` for conversations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from insight_spark.functions import fixed_values as fv
-from insight_spark.functions.text import title_from_first_message
 from insight_spark.operators.routing import classify_route
 from insight_spark.sources.chunk_store import write_chunks
 from insight_spark.sources.ingest import ingest_files, ingest_paths
@@ -47,49 +45,6 @@ def stream_ingest_files(
     )
 
 
-def conversation_rollup(messages: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Per conversation: messages, time of the last one, and a title.
-
-    ``messages`` is a stream (message_id, conversation_id, content, created_at);
-    a message that arrives twice within the watermark counts once. The title is
-    the first fifty characters of the earliest message.
-    """
-    return (
-        messages.withWatermark("created_at", watermark)
-        .dropDuplicatesWithinWatermark(["message_id"])
-        .groupBy("conversation_id")
-        .agg(
-            F.count("*").alias("message_count"),
-            F.max("created_at").alias("updated_at"),
-            title_from_first_message(F.lit("New Chat"), F.min_by(F.substring("content", 1, fv.TITLE_CHARS), F.struct("created_at", "message_id"))).alias("title"),
-        )
-    )
-
-
-def start_rollup(messages: DataFrame, out_path: str, checkpoint: str, watermark: str = "1 hour") -> StreamingQuery:
-    """Run the rollup; every batch writes its changed conversations as a version file.
-
-    The current state is the newest version per conversation.
-    """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-
-    return (
-        conversation_rollup(messages, watermark).writeStream.outputMode("update")
-        .foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
-def read_rollup(spark: SparkSession, out_path: str) -> DataFrame:
-    """Newest state of every conversation."""
-    return (
-        spark.read.parquet(out_path)
-        .groupBy("conversation_id")
-        .agg(F.max(F.struct("version", "message_count", "updated_at", "title")).alias("_s"))
-        .select("conversation_id", "_s.message_count", "_s.updated_at", "_s.title")
-    )
-
-
 def classify_stream(questions: DataFrame) -> DataFrame:
     """Route of every question on a stream (question, has_docs, has_csv, files)."""
     return questions.withColumn(

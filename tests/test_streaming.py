@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from insight_spark.session import fresh_path
 from insight_spark.sources import chunk_store
-from insight_spark.streaming import jobs
+from insight_spark.streaming import jobs, rollup
 
 
 def message(i, conversation, minutes, content="hello"):
@@ -19,15 +19,59 @@ def test_rollup_counts_once_and_continues(spark):
     stream = lambda: spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).parquet(f"{path}/in")
     first = [message(1, 7, 1, "first words"), message(2, 7, 2), message(2, 7, 2), message(3, 8, 1)]
     spark.createDataFrame(first, SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    jobs.start_rollup(stream(), f"{path}/out", f"{path}/cp", "1 hour").awaitTermination()
+    rollup.start_rollup(stream(), f"{path}/out", f"{path}/cp", "1 hour").awaitTermination()
     # The second run sees a repeat, a new message, and continues from the checkpoint.
     second = [message(2, 7, 2), message(4, 7, 9, "later words")]
     spark.createDataFrame(second, SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    jobs.start_rollup(stream(), f"{path}/out", f"{path}/cp", "1 hour").awaitTermination()
-    state = {r["conversation_id"]: (r["message_count"], r["title"], r["updated_at"].minute) for r in jobs.read_rollup(spark, f"{path}/out").collect()}
+    rollup.start_rollup(stream(), f"{path}/out", f"{path}/cp", "1 hour").awaitTermination()
+    state = {r["conversation_id"]: (r["message_count"], r["title"], r["updated_at"].minute) for r in rollup.read_rollup(spark, f"{path}/out").collect()}
     assert state == {7: (3, "first words", 9), 8: (1, "hello", 1)}
 
 
+def stream_of(spark, path, parts):
+    """Parts as files that a stream takes one by one."""
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    kind = spark.createDataFrame([], SCHEMA).schema
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def test_quiet_conversations_leave_the_state(spark):
+    path = fresh_path(spark, "rollup")
+    # Every day twenty new conversations; those of the days before say nothing more.
+    parts = [[message(1000 * day + i, 100 * day + i, 1440 * day + i, f"day {day}") for i in range(20)] for day in range(8)]
+    query = rollup.start_rollup(stream_of(spark, path, parts), f"{path}/out", f"{path}/cp", "1 hour", "12 hours", compact_every=3)
+    query.awaitTermination()
+    live = [sum(int(s["numRowsTotal"]) for s in p["stateOperators"] if "transformWithState" in s["operatorName"]) for p in query.recentProgress]
+    assert max(live) <= 60 and rollup.live_states(query) <= 60
+    assert rollup.read_rollup(spark, f"{path}/out").count() == 160
+    assert len(rollup._versions(spark, f"{path}/out", "bases", "base")) == 1
+    assert len(rollup._versions(spark, f"{path}/out", "batches", "batch")) < 4
+
+
+def test_a_conversation_may_come_back(spark):
+    path = fresh_path(spark, "rollup")
+    parts = [
+        [message(1, 7, 0, "opening words"), message(2, 7, 5)], [message(3, 8, 3000, "other")], [message(4, 8, 6000)],
+        [message(5, 7, 9000, "much later"), message(6, 7, 9001)], [message(7, 8, 12000)],
+    ]
+    rollup.start_rollup(stream_of(spark, path, parts), f"{path}/out", f"{path}/cp", "10 minutes", "1 hour", compact_every=2).awaitTermination()
+    spans = rollup._spans(spark, f"{path}/out")
+    assert spans.filter("conversation_id = 7").count() == 2
+    state = {r["conversation_id"]: (r["message_count"], r["title"]) for r in rollup.read_rollup(spark, f"{path}/out").collect()}
+    assert state == {7: (4, "opening words"), 8: (3, "other")}
+
+
+def test_late_messages_are_counted(spark):
+    path = fresh_path(spark, "rollup")
+    parts = [[message(1, 7, 0)], [message(2, 7, 1000)], [message(3, 8, 1001)], [message(4, 7, 5), message(5, 8, 1002)]]
+    query = rollup.start_rollup(stream_of(spark, path, parts), f"{path}/out", f"{path}/cp", "1 hour", "30 days")
+    query.awaitTermination()
+    state = {r["conversation_id"]: r["message_count"] for r in rollup.read_rollup(spark, f"{path}/out").collect()}
+    assert rollup.late_messages(query) == 1 and state == {7: 2, 8: 2}
+    assert rollup.read_rollup(spark, f"{path}/nothing").count() == 0
+
+
 def test_ingest_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
