@@ -305,7 +305,28 @@ def stream_ingest_files(t: Tables) -> DataFrame:
         t.spark, f"{path}/in", "stream-0001", f"{path}/chunks", f"{path}/status", f"{path}/checkpoint"
     )
     query_.awaitTermination()
-    return t.spark.read.parquet(f"{path}/status").select("filename", "format", "type", "chunks", "status")
+    return jobs.read_status(t.spark, f"{path}/status").select("filename", "format", "type", "chunks", "status")
+
+
+@query("stream_ingest_states", """
+SELECT DISTINCT 'txt' AS format, 'document' AS type, 'processing,ready' AS states, true AS chunked FROM documents""")
+def stream_ingest_states(t: Tables) -> DataFrame:
+    """The states that the files of a watched folder go through, in order, each once per file."""
+    path = fresh_path(t.spark, "ingest")
+    spread_small(t.documents.select("text")).write.text(f"{path}/in")
+    jobs.stream_ingest_files(
+        t.spark, f"{path}/in", "stream-0002", f"{path}/chunks", f"{path}/status", f"{path}/checkpoint", files_per_batch=3
+    ).awaitTermination()
+    steps = t.spark.read.parquet(f"{path}/status")
+    each = steps.groupBy("path").agg(
+        F.max("format").alias("format"), F.max("type").alias("type"), F.max("chunks").alias("chunks"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "status"))), lambda s: s["status"]), ",").alias("states"),
+    )
+    stored = t.spark.read.parquet(f"{path}/chunks").groupBy("source").agg(F.count("*").alias("stored"))
+    return (
+        each.withColumn("source", F.regexp_extract("path", r"([^/]*)$", 1)).join(stored, "source", "left")
+        .select("format", "type", "states", (F.coalesce("stored", F.lit(0)) == F.col("chunks")).alias("chunked")).distinct()
+    )
 
 
 STREAM_ROUTE_SQL = ROUTE_SQL.replace(

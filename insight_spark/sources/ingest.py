@@ -71,7 +71,9 @@ def with_ids(pieces: DataFrame, conversation_id: str) -> DataFrame:
     )
 
 
-def ingest_files(files: DataFrame, conversation_id: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+def ingest_files(
+    files: DataFrame, conversation_id: str, cap: int | None = None, with_path: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(chunks, status) of uploaded files (path, content).
 
     The contents are read once and laid out by file ending in the shared folder;
@@ -89,7 +91,8 @@ def ingest_files(files: DataFrame, conversation_id: str, cap: int | None = None)
     stored = spark.read.schema("path string, content binary, _ext string, kind string").parquet(place)
     of_kind = lambda ending: stored.filter(F.col("kind") == ending).select("path", "content")
     lines = csv_records.content_lines(of_kind("csv"))
-    return _ingested(stored.select("path", "_ext"), lines, of_kind("xlsx"), of_kind("docx"), of_kind("txt"), conversation_id, cap)
+    chunks, status = _ingested(stored.select("path", "_ext"), lines, of_kind("xlsx"), of_kind("docx"), of_kind("txt"), conversation_id, cap)
+    return chunks, status if with_path else status.drop("path")
 
 
 def ingest_folder(spark: SparkSession, folder, conversation_id: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +103,8 @@ def ingest_folder(spark: SparkSession, folder, conversation_id: str, cap: int |
     listing = binary_files(spark, folder).select("path", file_extension(F.col("path")).alias("_ext"))
     load = lambda ending: binary_files(spark, folder, _any_case(ending)).select("path", "content")
     lines = csv_records.csv_lines(spark, folder, _any_case("csv"))
-    return _ingested(listing, lines, load("xlsx"), load("docx"), load("txt"), conversation_id, cap)
+    chunks, status = _ingested(listing, lines, load("xlsx"), load("docx"), load("txt"), conversation_id, cap)
+    return chunks, status.drop("path")
 
 
 def _any_case(ending: str) -> str:
@@ -140,7 +144,7 @@ def _ingested(
         .join(broken, "path", "left")
         .join(counts, "path", "left")
         .select(
-            F.col("source").alias("filename"), F.col("_ext").alias("format"), kind.alias("type"),
+            "path", F.col("source").alias("filename"), F.col("_ext").alias("format"), kind.alias("type"),
             F.lit(None).cast("string").alias("sql_table"),
             F.coalesce("chunks", F.lit(0)).alias("chunks"),
             F.when(kind.isNull(), F.lit("skipped")).when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("ready")).alias("status"),

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from insight_spark.session import fresh_path
@@ -82,12 +83,46 @@ def test_ingest_stream(spark, tmp_path):
     run()
     (folder / "c.txt").write_text("More words.")
     run()
-    status = {r["filename"]: r["status"] for r in spark.read.parquet(f"{path}/status").collect()}
+    status = {r["filename"]: r["status"] for r in jobs.read_status(spark, f"{path}/status").collect()}
     assert status == {"a.txt": "ready", "b.bin": "skipped", "c.txt": "ready"}
     chunks = spark.read.parquet(f"{path}/chunks")
     assert {r["source"] for r in chunks.select("source").distinct().collect()} == {"a.txt", "c.txt"}
 
 
+def test_a_batch_that_stops_half_way(spark, tmp_path):
+    """Its files are processing; run again they have one final state, and what was derived is dropped."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("Some words about harbours.")
+    (folder / "b.docx").write_bytes(b"no zip")
+    path = fresh_path(spark, "ingest")
+    from insight_spark.operators.postings import PostingIndex
+
+    index = PostingIndex(spark, f"{path}/index", "string")
+    index.add(spark.createDataFrame([("x", "old words", "c1"), ("y", "other words", "c2")], "doc_id string, text string, c string"), scope="c")
+    calls = []
+
+    def stop(conversation):
+        calls.append(conversation)
+        if len(calls) == 1:
+            raise RuntimeError("stopped")
+
+    def run():
+        return jobs.stream_ingest_files(
+            spark, str(folder), "c1", f"{path}/chunks", f"{path}/status", f"{path}/cp", derived=[index.delete, stop]
+        )
+
+    with pytest.raises(Exception, match="stopped"):
+        run().awaitTermination()
+    assert {r["status"] for r in jobs.read_status(spark, f"{path}/status").collect()} == {"processing"}
+    run().awaitTermination()
+    status = jobs.read_status(spark, f"{path}/status").collect()
+    assert {(r["filename"], r["status"]) for r in status} == {("a.txt", "ready"), ("b.docx", "error")}
+    steps = spark.read.parquet(f"{path}/status").groupBy("path", "step").count()
+    assert {r["count"] for r in steps.collect()} == {1} and spark.read.parquet(f"{path}/chunks").count() == 1
+    assert calls == ["c1", "c1"] and {r["scope"] for r in index.sizes().collect()} == {"c2"}
+
+
 def test_ingest_stream_imports_tables(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
