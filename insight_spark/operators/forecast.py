@@ -20,6 +20,10 @@ from insight_spark.operators.relational import (
 from insight_spark.operators.scale import join_null_safe, previous_in_group
 
 PERIOD_UNITS = {"D": "day", "W": "week", "MS": "month", "QS": "quarter", "YS": "year"}
+# Places where a trend may bend, the most bends taken, and the steps of their search.
+CANDIDATES, MOST_CHANGES, PENALTIES, SWEEPS = 100, 8, 14, 40
+# Futures that are drawn for the band.
+DRAWS = 300
 FIT_SCHEMA = "ds timestamp, y double, yhat double, yhat_lower double, yhat_upper double"
 
 
@@ -169,9 +173,115 @@ def _design(days: np.ndarray, start: float, span: float, weekly: int, yearly: in
     return np.column_stack(columns)
 
 
+def _hinges(days: np.ndarray, changes: np.ndarray, span: float) -> np.ndarray:
+    """One column per trend change: 0 before it, the time since it after."""
+    return np.maximum(0.0, (days[:, None] - changes) / span)
+
+
+def _least_squares(design: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    beta, *_ = np.linalg.lstsq(design, y, rcond=None)
+    return beta, float(((y - design @ beta) ** 2).sum())
+
+
+def _criterion(rss: float, n: int, terms: int, changes: int, floor: float) -> float:
+    """Bayesian information criterion; a change costs its size and its place."""
+    return n * np.log(max(rss, floor) / n) + (terms + changes) * np.log(n)
+
+
+def trend_changes(days: np.ndarray, y: np.ndarray, base: np.ndarray, span: float) -> np.ndarray:
+    """Days on which the trend bends, beside the columns of ``base``.
+
+    Candidates are the rows of the middle of the history, every one of them in a short
+    series. An L1 penalty on the bends proposes sets of them, coordinate by coordinate for
+    falling penalties; each set is fitted freely, cut back while the information criterion
+    falls, and the best one is taken. It may be empty.
+    """
+    n = len(y)
+    inner = np.arange(max(1, int(0.08 * n)), int(0.92 * n))
+    if n < 12 or not len(inner):
+        return np.empty(0)
+    places = days[np.unique(np.linspace(inner[0], inner[-1], min(CANDIDATES, len(inner))).astype(int))]
+    most = min(MOST_CHANGES, max(1, (n - base.shape[1]) // 8))
+    columns = _hinges(days, places, span)
+    basis, _ = np.linalg.qr(base)
+    rest, target = columns - basis @ (basis.T @ columns), y - basis @ (basis.T @ y)
+    gram, toward = rest.T @ rest, rest.T @ target
+    size = np.diag(gram).copy()
+    floor = 1e-10 * float(((y - y.mean()) ** 2).sum()) + 1e-300
+    best, chosen = _criterion(float((target**2).sum()), n, base.shape[1], 0, floor), np.empty(0, int)
+    weights, seen = np.zeros(len(places)), set()
+    top = np.abs(toward).max(initial=0.0)
+    for penalty in top * np.geomspace(0.7, 1e-3, PENALTIES) if top > 0 else ():
+        for _ in range(SWEEPS):
+            before = weights.copy()
+            for j in np.flatnonzero(size > 1e-12):
+                pull = toward[j] - gram[j] @ weights + size[j] * weights[j]
+                weights[j] = np.sign(pull) * max(0.0, abs(pull) - penalty) / size[j]
+            if np.abs(weights - before).max(initial=0.0) <= 1e-6 * (np.abs(weights).max(initial=0.0) + 1e-12):
+                break
+        active = np.flatnonzero(np.abs(weights) > 1e-9)
+        # Of neighbours that share a bend the largest stands for it at first.
+        active = np.sort(active[np.argsort(-np.abs(weights[active]), kind="stable")][: 2 * most])
+        if tuple(active) in seen or not len(active):
+            continue
+        seen.add(tuple(active))
+        score, kept = _cut_back(base, columns, active, y, floor, most)
+        if score < best - 1e-9:
+            best, chosen = score, kept
+    return places[chosen]
+
+
+def _cut_back(base, columns, active, y, floor, most) -> tuple[float, np.ndarray]:
+    """The best criterion on the way from ``active`` to no change, one change less at a time; at most ``most`` changes."""
+    kept, best = list(active), (np.inf, np.empty(0, int))
+    while kept:
+        _, rss = _least_squares(np.hstack([base, columns[:, kept]]), y)
+        score = _criterion(rss, len(y), base.shape[1] + len(kept), len(kept), floor)
+        if len(kept) <= most and score < best[0]:
+            best = score, np.array(kept)
+        if len(kept) == 1:
+            break
+        less = [
+            (_least_squares(np.hstack([base, columns[:, kept[:i] + kept[i + 1 :]]]), y)[1], i) for i in range(len(kept))
+        ]
+        kept.pop(min(less)[1])
+    return best
+
+
+def _season_orders(gaps: np.ndarray, span: float, rows: int) -> list[tuple[int, int]]:
+    """Waves a week and a year that the history can show: two cycles of it, and four rows per term."""
+    finest = gaps[gaps > 0].min() if (gaps > 0).any() else 0
+    spacing = np.median(gaps[gaps > 0]) if (gaps > 0).any() else 365
+    week = 3 if span >= 14 and 0 < finest < 7 and rows > 2 * 8 else 0
+    found = []
+    for weekly in sorted({0, week}):
+        year = int(min(10, 365.25 / (2 * spacing) - 0.5, (rows / 4 - 1 - 2 * weekly) / 2)) if span >= 690 else 0
+        found += [(weekly, order) for order in sorted({0, min(2, max(0, year)), max(0, year)})]
+    return found
+
+
+def _ahead_band(ahead: np.ndarray, start: float, span: float, last: float, changes: np.ndarray, bends: np.ndarray, sigma: float) -> np.ndarray:
+    """(lower, upper) distance from the prediction for future days: noise, and trend changes as often and as large as
+    those of the history, drawn in a fixed sequence."""
+    flat = np.column_stack([np.full(len(ahead), -1.96 * sigma), np.full(len(ahead), 1.96 * sigma)])
+    if not len(changes) or not len(ahead):
+        return flat
+    draw = np.random.default_rng(7)
+    paths = draw.normal(0, sigma, (DRAWS, len(ahead)))
+    horizon = max(ahead[-1] - last, 1e-9)
+    for path, count in zip(paths, draw.poisson(len(changes) * horizon / max(last - start, 1.0), DRAWS)):
+        at = last + horizon * draw.random(count)
+        path += _hinges(ahead, at, span) @ draw.laplace(0, np.abs(bends).mean(), count)
+    drawn = np.quantile(paths, [0.025, 0.975], axis=0).T
+    widest = np.maximum(np.abs(drawn).max(1), 1.96 * sigma)
+    widest = np.maximum.accumulate(widest)
+    return np.column_stack([-widest, widest])
+
+
 def fit_series(pdf: pd.DataFrame, periods: int, freq: str | None, seasonal: bool = True) -> pd.DataFrame:
-    """Least-squares fit of one series; history and future with a 95% band.
+    """Fit of one series: a trend that bends where the data say so, and seasons that the data choose.
 
+    History and future come with a 95% band, which widens ahead with the changes seen.
     Without ``seasonal`` it is the regression line over time.
     """
     pdf = pdf.sort_values("ds")
@@ -188,26 +298,30 @@ def fit_series(pdf: pd.DataFrame, periods: int, freq: str | None, seasonal: bool
     future = future[future > ds.max()][:periods]
     ahead = future.to_numpy().astype("datetime64[us]").astype(float) / 86_400_000_000
     start, span = days[0], max(days[-1] - days[0], 1.0)
-    finest = gaps[gaps > 0].min() if (gaps > 0).any() else 0
-    # A season needs two cycles of history (the last month of a year may still be open). A year gets
-    # as many waves as the spacing of the rows can show and four rows per term support.
-    weekly = 3 if span >= 14 and 0 < finest < 7 and len(y) > 2 * 8 else 0
-    spacing = np.median(gaps[gaps > 0]) if (gaps > 0).any() else 365
-    yearly = int(min(10, 365.25 / (2 * spacing) - 0.5, (len(y) / 4 - 1 - 2 * weekly) / 2)) if span >= 690 else 0
-    weekly, yearly = (weekly, max(0, yearly)) if seasonal else (0, 0)
-    history = _design(days, start, span, weekly, yearly)
-    beta, *_ = np.linalg.lstsq(history, y, rcond=None)
-    fitted = history @ beta
-    spare = max(1, len(y) - history.shape[1])
-    band = 1.96 * np.sqrt(((y - fitted) ** 2).sum() / spare)
-    predicted = np.concatenate([fitted, _design(ahead, start, span, weekly, yearly) @ beta])
+    floor = 1e-10 * float(((y - y.mean()) ** 2).sum()) + 1e-300
+    choices = []
+    for weekly, yearly in _season_orders(gaps, span, len(y)) if seasonal else [(0, 0)]:
+        base = _design(days, start, span, weekly, yearly)
+        changes = trend_changes(days, y, base, span) if seasonal else np.empty(0)
+        history = np.hstack([base, _hinges(days, changes, span)])
+        beta, rss = _least_squares(history, y)
+        score = _criterion(rss, len(y), history.shape[1], len(changes), floor)
+        choices.append((score, len(choices), weekly, yearly, changes, history, beta, rss))
+    *_, weekly, yearly, changes, history, beta, rss = min(choices, key=lambda c: c[:2])
+    sigma = np.sqrt(rss / max(1, len(y) - history.shape[1]))
+    coming = np.hstack([_design(ahead, start, span, weekly, yearly), _hinges(ahead, changes, span)])
+    predicted = np.concatenate([history @ beta, coming @ beta])
+    bends = beta[len(beta) - len(changes) :]
+    band = np.vstack([
+        np.tile([-1.96 * sigma, 1.96 * sigma], (len(y), 1)), _ahead_band(ahead, start, span, days[-1], changes, bends, sigma),
+    ])
     return pd.DataFrame(
         {
             "ds": np.concatenate([ds.to_numpy(), future.to_numpy()]),
             "y": np.concatenate([y, np.full(len(future), np.nan)]),
             "yhat": predicted,
-            "yhat_lower": predicted - band,
-            "yhat_upper": predicted + band,
+            "yhat_lower": predicted + band[:, 0],
+            "yhat_upper": predicted + band[:, 1],
         }
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from insight_spark.operators import forecast as fc
 from insight_spark.operators import relational as rel
@@ -201,6 +201,34 @@ def ts_forecast_trend(t: Tables) -> DataFrame:
     return ahead.select("o_orderstatus", day_text(), *[F.round(c, 2).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")])
 
 
+BENT_SQL = f"""
+{MONTHLY_SQL}, i AS (SELECT o_orderstatus, ds, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ds) - 1 AS i,
+ count(*) OVER (PARTITION BY o_orderstatus) AS n, max(ds) OVER (PARTITION BY o_orderstatus) AS last, epoch_us(ds) / 86400000000::DOUBLE AS x FROM monthly),
+bend AS (SELECT o_orderstatus, any_value(last) AS last, any_value(n) AS n, min(x) AS x0, max(x) FILTER (i = n // 2) AS xb FROM i GROUP BY o_orderstatus HAVING any_value(n) >= 12)"""
+
+
+def bent(t: Tables) -> DataFrame:
+    """The months of every status with a made value: 2 a day more, from the middle month on 5 a day less."""
+    order = Window.partitionBy("o_orderstatus").orderBy("ds")
+    days = F.unix_micros(F.col("ds").cast("timestamp")) / 86_400_000_000
+    numbered = monthly(t).withColumns({"x": days, "i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("o_orderstatus"))})
+    middle = numbered.groupBy("o_orderstatus").agg(
+        F.min("x").alias("x0"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("x"))).alias("xb"), F.max("n").alias("m")
+    )
+    value = 2 * (F.col("x") - F.col("x0")) - 5 * F.greatest(F.lit(0.0), F.col("x") - F.col("xb"))
+    return numbered.join(middle.filter("m >= 12"), "o_orderstatus").select("o_orderstatus", "ds", value.alias("y"))
+
+
+@query("ts_forecast_bend", f"""
+WITH {BENT_SQL}, f AS (SELECT *, last + to_months(CAST(k AS INTEGER)) AS ds FROM bend, range(1, 7) r(k))
+SELECT o_orderstatus, strftime(ds, '%Y-%m-%d') AS day,
+ round(2 * (epoch_us(ds) / 86400000000::DOUBLE - x0) - 5 * (epoch_us(ds) / 86400000000::DOUBLE - xb), 1) AS yhat FROM f""")
+def ts_forecast_bend(t: Tables) -> DataFrame:
+    """A planted bend is found where it is, so the forecast follows the last slope."""
+    ahead = fc.forecast(bent(t), ["o_orderstatus"], 6, "MS").filter("y IS NULL")
+    return ahead.select("o_orderstatus", day_text(), F.round("yhat", 1).alias("yhat"))
+
+
 @query("ts_backtest_trend", f"""
 WITH {MONTHLY_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY o_orderstatus) AS n,
  row_number() OVER (PARTITION BY o_orderstatus ORDER BY ds DESC) AS back, epoch_us(ds) / 86400000000::DOUBLE AS x FROM monthly),

@@ -109,3 +109,65 @@ def test_series_with_null_keys_and_dates(spark):
     assert dropped == {None: (5, 1), "a": (4, 0)}
     gaps = fc.date_gaps(frame.withColumn("i", F.monotonically_increasing_id()), ["k"], "t", "i")
     assert gaps.count() == 9 and gaps.filter("gap_days = 1").count() == 6
+
+
+def bent_series(noise, seed=3, n=72, bend=40):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    return [(d, 100 + 4.0 * i - 9.0 * max(0, i - bend) + float(rng.normal(0, noise))) for i, d in enumerate(months(n))]
+
+
+def fitted(rows, periods=6, seasonal=True):
+    import pandas as pd
+
+    return fc.fit_series(pd.DataFrame(rows, columns=["ds", "y"]), periods, "MS", seasonal)
+
+
+def test_a_bend_is_found():
+    out = fitted(bent_series(0.0))
+    days = [(d - datetime(2020, 1, 1)).days for d in months(78)]
+    slope = (out["yhat"].iloc[-1] - out["yhat"].iloc[-6]) / (days[-1] - days[-6])
+    assert slope == pytest.approx(-5 / 30.4, rel=0.05)
+    noisy = fitted(bent_series(4.0), 12)
+    truth = [100 + 4.0 * i - 9.0 * max(0, i - 40) for i in range(72, 84)]
+    ahead = noisy.iloc[72:]
+    assert sum(lo <= t <= hi for t, lo, hi in zip(truth, ahead["yhat_lower"], ahead["yhat_upper"])) >= 11
+
+
+def test_the_band_widens_ahead_only_with_changes():
+    wide = lambda out: (out["yhat_upper"] - out["yhat_lower"]).to_numpy()
+    bent = wide(fitted(bent_series(4.0), 24))
+    assert bent[-1] > 1.5 * bent[0] and (bent[73:] >= bent[72:-1] - 1e-9).all()
+    import numpy as np
+
+    straight = wide(fitted([(d, 5.0 * i + float(np.random.default_rng(i).normal(0, 2))) for i, d in enumerate(months(72))], 24))
+    assert straight[-1] == pytest.approx(straight[0])
+
+
+def test_bends_lower_the_error_of_the_backtest(spark):
+    rows = [("s", d, y) for d, y in bent_series(3.0, n=72, bend=30)]
+    series = spark.createDataFrame(rows, "s string, ds timestamp, y double")
+    bent = fc.backtest(series, ["s"], "MS")[1].first()["mape_pct"]
+    line = fc.backtest(series, ["s"], "MS", seasonal=False)[1].first()["mape_pct"]
+    assert bent < 0.3 * line
+
+
+def test_noise_alone_neither_bends_nor_has_seasons():
+    import numpy as np
+
+    bends = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        days = np.arange(60) * 30.0
+        bends += len(fc.trend_changes(days, 3 + days / 50 + rng.normal(0, 5, 60), fc._design(days, 0.0, days[-1], 0, 0), days[-1]))
+    assert bends <= 3
+
+
+def test_season_and_bend_together():
+    import math
+
+    rows = [(d, y + 15 * math.sin(2 * math.pi * i / 12)) for i, (d, y) in enumerate(bent_series(1.0))]
+    out = fitted(rows, 12)
+    truth = [100 + 4.0 * i - 9.0 * max(0, i - 40) + 15 * math.sin(2 * math.pi * i / 12) for i in range(72, 84)]
+    assert max(abs(a - b) for a, b in zip(out["yhat"].iloc[72:], truth)) < 12
