@@ -8,6 +8,7 @@ from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import expand_abbreviations, normalize_token, parse_month
 from insight_spark.operators import fuzzy
 from insight_spark.operators.relational import string_columns
+from insight_spark.operators.scale import HOT_LEAST, kept, lookup
 
 LITERAL = r"'((?:[^'\"\\]|\\.)*)'"
 
@@ -179,7 +180,7 @@ def rewrite_literals(statements: DataFrame, index: DataFrame, key: str = "sql_id
         F.regexp_extract_all(F.col(sql), F.lit(LITERAL), F.lit(1)).alias("_literals"),
         F.split(F.col(sql), LITERAL, -1).alias("_between"),
     )
-    each = found.select(key, "table", F.posexplode("_literals").alias("_at", "literal"))
+    each = kept(found.select(key, "table", F.posexplode("_literals").alias("_at", "literal")), "literals")
     wanted = each.filter(~F.col("literal").rlike(r"^[0-9]+(\.[0-9]+)?$"))
     resolved = resolve_values(
         wanted.select("table", "literal", F.lit(None).cast("string").alias("hint")), index
@@ -189,7 +190,7 @@ def rewrite_literals(statements: DataFrame, index: DataFrame, key: str = "sql_id
         F.coalesce(F.replace("resolved", F.lit("'"), F.lit("''")), "literal")
     )
     fixed = (
-        each.join(resolved, ["table", "literal"], "left")
+        lookup(each, resolved, ["table", "literal"], HOT_LEAST)
         .groupBy(key)
         .agg(
             F.transform(

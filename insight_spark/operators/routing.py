@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import contains_any, contains_word, starts_with_any, words_of
 from insight_spark.operators.relational import agg_dominant
+from insight_spark.operators.scale import HOT_LEAST, kept, lookup
 
 
 def is_general(question: Column, strict: bool = False) -> Column:
@@ -97,15 +98,14 @@ def source_hint(
     """
     keys = keys or []
     terms = F.array_except(words_of(F.col(question)), F.array(*[F.lit(w) for w in fv.INTENT_WORDS]))
-    asked = questions.select(query_id, *keys, F.explode(F.array_distinct(terms)).alias("term"))
-    sides = vocabulary.filter(F.col("vocabulary").isin("csv", "document"))
-    hits = (
-        asked.join(sides, [*keys, "term"])
-        .groupBy(query_id)
-        .agg(
-            F.count_if(F.col("vocabulary") == "csv").alias("csv_hits"),
-            F.count_if(F.col("vocabulary") == "document").alias("doc_hits"),
-        )
+    asked = kept(questions.select(query_id, *keys, F.explode(F.array_distinct(terms)).alias("term")), "question-words")
+    # One row per word, so a word that is in every question is looked up and not joined pair by pair.
+    sides = vocabulary.groupBy(*keys, "term").agg(
+        F.count_if(F.col("vocabulary") == "csv").alias("csv"), F.count_if(F.col("vocabulary") == "document").alias("document")
+    )
+    found = lookup(asked, sides, [*keys, "term"], HOT_LEAST)
+    hits = found.groupBy(query_id).agg(
+        F.coalesce(F.sum("csv"), F.lit(0)).alias("csv_hits"), F.coalesce(F.sum("document"), F.lit(0)).alias("doc_hits")
     )
     return (
         questions.select(query_id)

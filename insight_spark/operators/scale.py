@@ -12,7 +12,10 @@ from insight_spark.session import fresh_path
 # Spark turns "row_number() <= n" into a per-task limit ahead of the shuffle
 # only up to this n (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT_PUSHDOWN = 1000
-GROUP_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
+# A key that more than one row in so many has is hot; there are fewer hot keys than this.
+HOT_SHARE = 10_000
+# Rows up to which a hot key is no burden for one task.
+HOT_LEAST = 100_000
 # An input below this size may be dealt anew to use all cores.
 SPREAD_BYTES = 256 << 20
 # Score cells computed at once inside a task.
@@ -33,6 +36,28 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_key_{i}" for i in range(len(keys))])
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], least: int = 0) -> DataFrame:
+    """``rows`` left join ``table``, which has one row per key, without a task that holds a hot key.
+
+    A key that more than one row in HOT_SHARE has is hot, so there are fewer hot keys than
+    that: their rows meet their table rows by broadcast, all others by shuffle. ``rows`` is
+    read three times, so it should be a written table; up to ``least`` rows no key is hot.
+    A key with a null finds nothing.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    total = rows.count()
+    if total <= least:
+        return rows.join(table, keys, "left")
+    marks = [f"_hot_{i}" for i in range(len(keys))]
+    sizes = rows.groupBy(*[F.col(k).alias(m) for k, m in zip(keys, marks)]).count()
+    hot = kept(sizes.filter(F.col("count") * HOT_SHARE > total).select(*marks), "hot-keys")
+    is_hot = reduce(lambda a, b: a & b, [F.col(k) == F.col(m) for k, m in zip(keys, marks)])
+    found = kept(table.join(F.broadcast(hot), is_hot).drop(*marks), "hot")
+    few = rows.join(F.broadcast(hot), is_hot, "left_semi").join(F.broadcast(found), keys, "left")
+    many = rows.join(F.broadcast(hot), is_hot, "left_anti").join(table, keys, "left")
+    return few.unionByName(many)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Use all cores for heavy per-row work on a scan of few row groups.
 
@@ -55,14 +80,10 @@ def top_n_per_group(
 ) -> DataFrame:
     """First ``n`` rows of each group with their position, skew-safe.
 
-    Spark trims each task's groups before the shuffle; the session's limit for
-    that is raised to ``n`` where it is lower. Above 1000 rows ``salt_on`` also
-    spreads a group over ``salts`` parts that are each trimmed to ``n`` first; the
-    final window then sees at most ``salts * n`` rows.
+    Up to 1000 rows Spark trims each task's groups before the shuffle. Above that
+    ``salt_on`` spreads a group over ``salts`` parts that are each trimmed to ``n``
+    first; the final window then sees at most ``salts * n`` rows.
     """
-    spark = df.sparkSession
-    if n > int(spark.conf.get(GROUP_LIMIT_KEY, str(GROUP_LIMIT_PUSHDOWN))):
-        spark.conf.set(GROUP_LIMIT_KEY, str(n))
     if n > GROUP_LIMIT_PUSHDOWN and salt_on:
         part = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
         inner = Window.partitionBy(*keys, "_part").orderBy(*order)

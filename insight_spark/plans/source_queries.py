@@ -201,6 +201,35 @@ def chunk_store_delete(t: Tables) -> DataFrame:
     return chunk_store.read_chunks(t.spark, path).select("conversation_id").distinct()
 
 
+def whole_chunks(t: Tables) -> DataFrame:
+    """Every document as one chunk of the conversation named by its source."""
+    return t.documents.select(
+        F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("conversation_id"), "source",
+        F.lit("document").alias("source_type"), F.lit("txt").alias("chunk_type"), "text",
+    )
+
+
+@query("chunk_store_rows", "SELECT source AS conversation_id, CAST(doc_id AS VARCHAR) AS chunk_id, text FROM documents")
+def chunk_store_rows(t: Tables) -> DataFrame:
+    """Chunks stored twice, the second time in place of the first, and read back whole."""
+    path = fresh_path(t.spark, "chunks")
+    chunk_store.write_chunks(whole_chunks(t).withColumn("text", F.lit("old")), path)
+    chunk_store.write_chunks(whole_chunks(t), path)
+    return chunk_store.read_chunks(t.spark, path).select("conversation_id", "chunk_id", "text")
+
+
+@query("chunk_store_rows_left", """
+SELECT source AS conversation_id, CAST(doc_id AS VARCHAR) AS chunk_id, text, copies FROM documents, (SELECT unnest([1, 2]) AS copies) WHERE source <> 'src1'""")
+def chunk_store_rows_left(t: Tables) -> DataFrame:
+    """Chunks appended once more, and one conversation deleted: the others twice, chunk by chunk."""
+    path = fresh_path(t.spark, "chunks")
+    chunk_store.write_chunks(whole_chunks(t), path)
+    chunk_store.write_chunks(whole_chunks(t), path, append=True)
+    chunk_store.delete_chunks(t.spark, path, "src1")
+    stored = chunk_store.read_chunks(t.spark, path).groupBy("conversation_id", "chunk_id", "text").agg(F.count("*").cast("int").alias("n"))
+    return stored.select("conversation_id", "chunk_id", "text", F.explode(F.sequence(F.lit(1), "n")).alias("copies"))
+
+
 # --- Ingest and sinks -------------------------------------------------------
 
 def upload(t: Tables) -> DataFrame:
@@ -257,6 +286,30 @@ def ingest_document_chunks(t: Tables) -> DataFrame:
     )
 
 
+@query("scan_csv_breaks", """
+SELECT c_custkey, 'first line' || chr(10) || '"' || c_name || '", second' AS note, c_nationkey::BIGINT AS c_nationkey, c_acctbal FROM customer""")
+def scan_csv_breaks(t: Tables) -> DataFrame:
+    """Customers with a quoted line break in every row, written as CSV and read back in splits."""
+    path = fresh_path(t.spark, "csv")
+    note = F.concat(F.lit('first line\n"'), "c_name", F.lit('", second'))
+    t.customer.select("c_custkey", note.alias("note"), "c_nationkey", "c_acctbal").write.option("header", True).option("escape", '"').csv(path)
+    found = files.scan_csv(t.spark, path)
+    return found.select(F.col("c_custkey").cast("bigint"), "note", F.col("c_nationkey").cast("bigint"), "c_acctbal")
+
+
+@query("ingest_folder_rows", """
+SELECT 'c_custkey: ' || c_custkey || ', note: two' || chr(10) || 'lines, of "' || c_name || '", c_mktsegment: ' || c_mktsegment AS line,
+ 'hybrid' AS type, 'ready' AS status FROM customer""")
+def ingest_folder_rows(t: Tables) -> DataFrame:
+    """A folder of CSV files with quoted line breaks, ingested by name: every row as a chunk, with its file's status."""
+    path = fresh_path(t.spark, "upload")
+    note = F.concat(F.lit('two\nlines, of "'), "c_name", F.lit('"'))
+    t.customer.select("c_custkey", note.alias("note"), "c_mktsegment").write.option("header", True).option("escape", '"').csv(path)
+    chunks, status = ingest.ingest_folder(t.spark, path, "upload-0003")
+    rows = chunks.filter("chunk_type = 'csv_row'").join(status.withColumnRenamed("filename", "source").select("source", "type", "status"), "source")
+    return rows.select(F.regexp_extract("text", r"(?s)^From [^\n]*\n(.*)$", 1).alias("line"), "type", "status")
+
+
 @query("ingest_chunks")
 def ingest_chunks(t: Tables) -> DataFrame:
     """All chunks of an upload."""

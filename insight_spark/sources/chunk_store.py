@@ -8,8 +8,6 @@ CHUNK_SCHEMA = (
     "chunk_id string, conversation_id string, source string, source_type string, chunk_type string, "
     "text string, columns array<string>, meta map<string,string>, embedding array<float>"
 )
-# Files written per conversation and task round; a hot conversation is spread over them.
-FILES_PER_CONVERSATION = 16
 
 
 def shaped(df: DataFrame) -> DataFrame:
@@ -26,15 +24,11 @@ def shaped(df: DataFrame) -> DataFrame:
 def write_chunks(df: DataFrame, path: str, append: bool = False) -> None:
     """Write chunks; unless appending, the conversations in ``df`` are replaced.
 
-    Rows are shuffled by conversation and a salt, so a small conversation gives
-    few files and a large one is not written by a single task.
+    Rows are dealt out by conversation and rebalanced by size: a small conversation
+    is one file, a large one is written by several tasks.
     """
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(FILES_PER_CONVERSATION))
     (
-        shaped(df)
-        .withColumn("_salt", salt)
-        .repartition("conversation_id", "_salt")
-        .drop("_salt")
+        shaped(df).hint("rebalance", "conversation_id")
         .write.mode("append" if append else "overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("conversation_id")

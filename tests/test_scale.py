@@ -93,3 +93,20 @@ def test_null_keys_and_values_survive_several_ranges(spark):
     assert {(r["k"], r["t"]): r["previous"] for r in previous_in_group(dated, ["k"], "t", rows_per_bucket=10).collect()} == lagged
     at = value_at_index(frame.filter("NOT isnan(v)"), ["k"], "v", 0.5, "m", rows_per_bucket=10)
     assert {(r["k"], r["m"]) for r in at.collect()} == {(None, 20.0), (1, 20.0), (2, 20.0)}
+
+
+def test_lookup_keeps_hot_keys_out_of_the_shuffle(spark):
+    """A third of the rows share a key; they meet the table by broadcast, the rest by shuffle."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100_000).alias("k"), F.lit("a").alias("s"))
+    rows = scale.kept(rows.unionByName(spark.sql("SELECT -1L AS id, CAST(NULL AS BIGINT) AS k, 'a' AS s")), "rows")
+    table = spark.range(200_000).select(F.col("id").alias("k"), F.lit("a").alias("s"), (F.col("id") * 2).alias("v")).filter("k % 5 <> 3")
+    found = scale.lookup(rows, table, ["k", "s"])
+    want = rows.join(table, ["k", "s"], "left")
+    assert found.count() == 30_001 and found.exceptAll(want.select(found.columns)).count() == 0
+    hot = rows.groupBy("k").count().filter(F.col("count") * scale.HOT_SHARE > 30_001)
+    assert hot.count() == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
+    assert scale.lookup(rows, table, ["k", "s"], least=10**6).exceptAll(want.select(found.columns)).count() == 0
