@@ -78,27 +78,6 @@ def kept_table(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# A key that more than one row in so many has is hot; there are fewer hot keys than this.
-HOT_SHARE = 10_000
-
-
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``rows`` left join ``table``, which has one row per ``key``, without a task that holds a hot key.
-
-    Rows of hot keys meet their fewer than 10,000 table rows by broadcast, the others by
-    shuffle. ``rows`` is read three times, so it should be a written table. A null key
-    finds nothing.
-    """
-    total = rows.count()
-    sizes = rows.groupBy(F.col(key).alias("_hot")).count()
-    hot = kept_table(sizes.filter(F.col("count") * HOT_SHARE > total).select("_hot"), "hot-keys")
-    found = kept_table(table.join(F.broadcast(hot), F.col(key) == F.col("_hot")).drop("_hot"), "hot")
-    is_hot = F.col(key) == F.col("_hot")
-    few = rows.join(F.broadcast(hot), is_hot, "left_semi").join(F.broadcast(found), key, "left")
-    many = rows.join(F.broadcast(hot), is_hot, "left_anti").join(table, key, "left")
-    return few.unionByName(many)
-
-
 def crc_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

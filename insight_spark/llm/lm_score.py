@@ -18,8 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.llm.common import chunks, free_name, id_type, kept_table, lookup, map_chunks, segment_sums, small_batches, text_column
+from insight_spark.llm.common import chunks, free_name, id_type, kept_table, map_chunks, segment_sums, small_batches, text_column
 from insight_spark.llm.decontaminate import _passes, build_filter
+from insight_spark.operators.scale import lookup
 
 # Names of the text's beginning, and of "any word" in rows that count single words.
 START, ANY = 0, 1

@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.llm.common import kept_table, lookup
+from insight_spark.llm.common import kept_table
+from insight_spark.operators.scale import lookup
 
 LETTERS = r"([a-zÀ-ÿ]+)"
 # Words of a block that are compared in one group; a larger block is cut.

@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.llm.common import chunks, kept_table, lookup, map_chunks, small_batches
+from insight_spark.llm.common import chunks, kept_table, map_chunks, small_batches
 from insight_spark.llm.tokens import _BLANK, _careful_cuts
+from insight_spark.operators.scale import lookup
 
 # Stretches remembered per worker; beyond that the memory starts anew.
 REMEMBERED = 400_000
