@@ -132,7 +132,7 @@ def train(
 
     ``keep`` restricts the ids that may be learned from. An id without a 0/1
     label, or with both, is not used; an id labelled twice alike counts once. A
-    repeated id takes part once per text. Without a usable label every weight is
+    repeated id takes part once, by the text of the least features. Without a usable label every weight is
     zero and every score 0.5. Only the sample's ids are broadcast, and only its
     texts leave the scan.
     """
@@ -160,8 +160,9 @@ def train(
         )
 
     hashed = map_chunks(picked, work, "_order bigint, _label int, at binary, vals binary")
-    # The order decides the outcome, so equal orders (repeated ids) go by their features.
-    rows = hashed.orderBy("_order", "at", "vals").toLocalIterator()
+    # One row per id, reduced in the tasks: an id that many rows bear sends no more than any other.
+    single = hashed.groupBy("_order", "_label").agg(F.min(F.struct("at", "vals")).alias("_least")).select("_order", "_label", "_least.*")
+    rows = single.orderBy("_order", "at", "vals").toLocalIterator()
     examples = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["vals"], np.float32), r["_label"]) for r in rows]
     return fit(examples, bits)
 
