@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import contains_any, let, literal_map
+from insight_spark.operators.scale import top_n_per_group
 
 # Frequent short words per language (own selection), tried in this order; a tie
 # goes to the earlier language.
@@ -133,3 +134,93 @@ def language_name(code: Column) -> Column:
 
 def is_supported(code: Column) -> Column:
     return code.isin(*fv.LANGUAGE_NAMES)
+
+
+# --- Profiles learned from texts ---------------------------------------------
+
+# Ranks of a profile and the letters of its longest entries.
+PROFILE_SIZE, PROFILE_LETTERS = 300, 3
+
+
+def _padded_words(text: Column) -> Column:
+    """The words of a text in lower case with a blank on either side of each."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
+    return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+
+
+def learn_profiles(
+    texts: DataFrame, text: str = "text", language: str = "lang", size: int = PROFILE_SIZE, letters: int = PROFILE_LETTERS
+) -> dict[str, list[str]]:
+    """The ``size`` most frequent letter sequences of each language, in order.
+
+    Distinct words are counted before they are cut, so the work after that grows with the
+    vocabulary. What comes to the driver is ``size`` sequences per language.
+    """
+    words = texts.select(
+        F.col(language).alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")
+    ).dropna()
+    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1)))
+        return F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+
+    cut = F.flatten(F.array(*[pieces(n) for n in range(1, letters + 1)]))
+    grams = (
+        counted.select("lang", "n", F.explode(cut).alias("gram")).filter(F.trim("gram") != "")
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    )
+    ranked = top_n_per_group(grams, ["lang"], [F.desc("n"), F.col("gram")], size)
+    found: dict[str, list[str]] = {}
+    for row in ranked.orderBy("lang", "rank").collect():
+        found.setdefault(row["lang"], []).append(row["gram"])
+    return found
+
+
+def profile_distances(text: Column, profiles: dict[str, list[str]]) -> Column:
+    """Out-of-place distance of the text's own profile to each language's, in the order of the languages' names.
+
+    The text's sequences are ranked by how often they occur. One that a language does not list
+    is as far out of place as its profile is long. Null for a text without any of them.
+    """
+    codes = sorted(profiles)
+    grams = sorted({gram for listed in profiles.values() for gram in listed})
+    size = max(map(len, profiles.values()))
+    place = {code: {gram: i for i, gram in enumerate(profiles[code])} for code in codes}
+    listed = [F.array(*[F.lit(place[code].get(gram, -1)) for gram in grams]) for code in codes]
+
+    def ranked(whole: Column) -> Column:
+        times = F.transform(
+            F.array(*[F.lit(gram) for gram in grams]),
+            lambda gram, i: F.struct(
+                (-(F.length(whole) - F.length(F.replace(whole, gram, F.lit("")))) / F.length(gram)).alias("less"), i.alias("i")
+            ),
+        )
+        present = F.filter(times, lambda t: t["less"] < 0)
+        return F.slice(F.transform(F.array_sort(present), lambda t: t["i"]), 1, size)
+
+    def distances(order: Column) -> Column:
+        def away(ranks: Column) -> Column:
+            steps = F.transform(
+                order, lambda i, rank: let(F.get(ranks, i), lambda r: F.when(r < 0, F.lit(size)).otherwise(F.abs(r - rank)))
+            )
+            return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
+
+        return F.when(F.size(order) > 0, F.array(*[away(ranks) for ranks in listed]))
+
+    return let(let(_padded_words(text), ranked), distances)
+
+
+def profile_language(text: Column, profiles: dict[str, list[str]]) -> Column:
+    """The language of the least distance, ties to the first by name; null without a letter sequence of any."""
+    names = F.array(*[F.lit(code) for code in sorted(profiles)])
+    return let(
+        profile_distances(text, profiles),
+        lambda d: F.when(d.isNotNull(), F.get(names, F.array_position(d, F.array_min(d)).cast("int") - 1)),
+    )
+
+
+def detect_by_profiles(text: Column, profiles: dict[str, list[str]]) -> Column:
+    """:func:`detect_language` with learned profiles in place of the word lists."""
+    return F.coalesce(script_language(text), alphabet_language(text), profile_language(text, profiles), F.lit("en"))

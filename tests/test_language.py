@@ -42,3 +42,34 @@ def test_accuracy_on_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     share = docs.select(F.avg((lang.detect_language(F.col("text")) == F.col("lang")).cast("int"))).first()[0]
     assert share > 0.9
+
+
+def test_learned_profiles_are_the_counted_ranks(spark):
+    from collections import Counter
+
+    rows = [("aa", "abab abc"), ("aa", "ab"), ("bb", "xyz xyx"), (None, "lost")]
+    got = lang.learn_profiles(spark.createDataFrame(rows, "lang string, text string"), size=7)
+    for code, words in (("aa", ["abab", "abc", "ab"]), ("bb", ["xyz", "xyx"])):
+        grams = Counter()
+        for word in words:
+            padded = f" {word} "
+            grams.update(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n].strip())
+        assert got[code] == [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:7]]
+
+
+def test_out_of_place_distance_by_hand(spark):
+    profiles = {"aa": ["a", "b", "ab"], "bb": ["b", "x", "ab"]}
+    df = spark.createDataFrame([("a b a",), ("ab ab xb",), ("123",), (None,)], "s string")
+    rows = df.select(lang.profile_distances(F.col("s"), profiles).alias("d"), lang.profile_language(F.col("s"), profiles).alias("l")).collect()
+    # "a b a": a, b; "ab ab xb": b (3), then a and ab (2 each, in the order of the sequences), x.
+    assert rows[0]["d"] == [0, 3 + 1] and rows[0]["l"] == "aa"
+    assert rows[1]["d"] == [1 + 1 + 0, 0 + 3 + 0] and rows[1]["l"] == "aa"
+    assert rows[2]["d"] is None and rows[3]["l"] is None
+
+
+def test_learned_profiles_tell_the_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("lang IS NOT NULL")
+    profiles = lang.learn_profiles(docs.filter("doc_id % 2 = 0"))
+    unseen = docs.filter("doc_id % 2 = 1").select("lang", lang.detect_by_profiles(F.col("text"), profiles).alias("found"))
+    right = {r["lang"]: r["share"] for r in unseen.groupBy("lang").agg(F.avg((F.col("lang") == F.col("found")).cast("int")).alias("share")).collect()}
+    assert len(right) == 4 and min(right.values()) >= 0.95
