@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from insight_spark.functions import fixed_values as fv
+from insight_spark.operators import expansion
 from insight_spark.operators import retrieval as ret
 from insight_spark.operators import routing
 from insight_spark.operators.postings import PostingIndex
@@ -292,27 +293,38 @@ def answer_source_files(t: Tables) -> DataFrame:
     return ret.source_files(ret.answer_sources(hits, "query_id", "chunk", "source", "source_type"), "query_id")
 
 
+PAIRS_SQL = f"""
+w AS (SELECT {TOKENS_SQL.format('text')} AS ws FROM documents),
+p AS (SELECT ws[i] AS x, ws[i + d] AS y FROM (SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM w), range(1, 6) r(d) WHERE i + d <= len(ws)),
+near AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM p WHERE x <> y GROUP BY ALL),
+m AS (SELECT word, sum(n) AS m FROM (SELECT a AS word, n FROM near UNION ALL SELECT b, n FROM near) GROUP BY word)"""
+
+
+@query("expansion_pairs", f"""
+WITH {PAIRS_SQL} SELECT a, b, n, round(log2(n::DOUBLE * (2.0::DOUBLE * (SELECT sum(n) FROM near)) / (ma.m::DOUBLE * mb.m)), 6) AS pmi
+FROM near JOIN m ma ON ma.word = a JOIN m mb ON mb.word = b WHERE n >= 3""")
+def expansion_pairs(t: Tables) -> DataFrame:
+    """Words near each other in the documents, with their mutual information."""
+    return expansion.mutual_information(expansion.near_pairs(documents(t)))
+
+
 @query("expand_low_score")
 def expand_low_score(t: Tables) -> DataFrame:
     """Second retrieval for the questions that the first one covers poorly.
 
-    Synonyms: words of the same document source as the abbreviation table would
-    not occur in invented prose, so every question word maps to its longer forms
-    in the vocabulary (the word plus "tion" or "ing").
+    A question gets the words that stand near its own most tellingly in the documents, and
+    the abbreviation table's.
     """
     asked, docs, score = questions(t), documents(t), scorer(t)
-    first = candidates(t).select("query_id", "doc_id")
+    first = kept(candidates(t).select("query_id", "doc_id"), "first-candidates")
     with_text = lambda pairs: pairs.join(docs.withColumnRenamed("text", "chunk"), "doc_id").join(asked, "query_id")
     rerank = lambda pairs: ret.rerank_topk(with_text(pairs), "query_id", "text", "chunk", "doc_id", score).select(
         "query_id", "doc_id", "rerank_score", "position"
     )
-    vocabulary = index_of(t).frequency().select("term")
-    longer = vocabulary.select(
-        F.regexp_extract("term", "^(.{3,})(?:tion|ing)$", 1).alias("_stem"), F.col("term").alias("expansion")
-    ).filter(F.col("_stem") != "")
-    synonyms = longer.select(F.col("_stem").alias("term"), "expansion").unionByName(ret.abbreviation_synonyms(t.spark))
+    scored = expansion.mutual_information(expansion.near_pairs(docs))
+    synonyms = kept(expansion.expansion_terms(scored).unionByName(ret.abbreviation_synonyms(t.spark)), "synonyms")
     return ret.expand_low_score(
-        asked, rerank(first), synonyms, lambda q: ret.bm25_topk(docs, q, index=index_of(t)), rerank,
+        asked, kept(rerank(first), "reranked"), synonyms, lambda q: ret.bm25_topk(docs, q, index=index_of(t)), rerank,
         "query_id", "doc_id", "text", first, trigger=0.9, texts=docs,
     )
 
