@@ -26,6 +26,10 @@ SEGMENT = 1 << 15
 # Ids in a word and bits of each, by selector; 0 and 1 stand for runs of zeros.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+# Blocks whose selectors are chosen together, so that the arrays stay in the processor's cache.
+TILE = 64
+# Ids of so many bits go three to a word; narrower slots with escapes must save against that.
+PLAIN = 20
 # Selectors with narrower slots have no escape.
 ESCAPE_FROM = 4
 
@@ -44,21 +48,48 @@ def _fits(width: int) -> int:
 
 def _choose(ids: np.ndarray) -> np.ndarray:
     """For every place in every block the selector of fewest bits per id, were a word to begin there."""
+    tiles = [_choose_tile(ids[start : start + TILE]) for start in range(0, len(ids), TILE)]
+    return np.concatenate(tiles) if tiles else np.zeros(ids.shape, np.uint8)
+
+
+def _choose_tile(ids: np.ndarray) -> np.ndarray:
     blocks, size = ids.shape
     best = np.full(ids.shape, np.inf, np.float32)
     choice = np.zeros(ids.shape, np.uint8)
-    large = np.zeros((blocks, size + 1), np.int16)
-    for selector, (count, width) in enumerate(zip(COUNTS, WIDTHS)):
-        np.cumsum(ids >= _fits(int(width)), axis=1, dtype=np.int16, out=large[:, 1:])
-        ends = np.minimum(np.arange(size) + count, size)
-        misfits = large[:, ends] - large[:, :-1]
-        held = (ends - np.arange(size)).astype(np.float32)
-        cost = (np.float32(32) * misfits + np.float32(64)) / held
+    for selector, (count, width) in enumerate(zip(COUNTS.tolist(), WIDTHS.tolist())):
+        over = ids >= _fits(width)
+        fitting = size - np.count_nonzero(over, axis=1)
+        if width < ESCAPE_FROM:
+            # Without escapes a word needs ``count`` small ids, or those up to the block's end.
+            rows = np.flatnonzero((fitting >= count) | ~over[:, -1])
+        else:
+            # Else three ids of PLAIN bits in a word are cheaper, wherever it begins.
+            rows = np.flatnonzero(fitting * 3 >= count) if width < PLAIN else np.arange(blocks)
+        if not len(rows):
+            continue
+        over = over[rows] if len(rows) < blocks else over
+        large = np.zeros((len(rows), size + 1), np.int16)
+        misfits = np.empty(over.shape, np.int16)
+        np.cumsum(over, axis=1, dtype=np.int16, out=large[:, 1:])
+        whole = max(0, size + 1 - count)  # places where a full word fits
+        if whole:
+            np.subtract(large[:, size + 1 - whole :], large[:, :whole], out=misfits[:, :whole])
+        np.subtract(large[:, -1:], large[:, whole:-1], out=misfits[:, whole:])
+        held = np.minimum(count, size - np.arange(size)).astype(np.float32)
+        cost = misfits.astype(np.float32)
+        cost *= np.float32(32)
+        cost += np.float32(64)
+        cost /= held
         if width < ESCAPE_FROM:
             cost[misfits > 0] = np.inf
-        better = cost < best
-        best[better] = cost[better]
-        choice[better] = selector
+        if len(rows) < blocks:
+            better = cost < best[rows]
+            best[rows] = np.where(better, cost, best[rows])
+            choice[rows] = np.where(better, np.uint8(selector), choice[rows])
+        else:
+            better = cost < best
+            np.copyto(best, cost, where=better)
+            choice[better] = selector
     return choice
 
 

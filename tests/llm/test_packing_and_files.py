@@ -20,6 +20,8 @@ def paths():
 ODD = [
     "", " ", "a", "Hello, world.\nThe end.", "a  b", "a \n b", "\n\nx\n\ny ", "it's don't 's", "1 23  x1", "İstanbul İ.", "é́!",
     "a\x00b c", "<|endoftext|> x", "tab\there", "中文 字，", "　 x  y", "x́ ≠ y", "🙂🙂 ok", "a  b", "\x85\n \x1c z",
+    "J\u030c j\u030c H\u0331 T\u0308", "ÀÉ SHOUT Mixed.Case,Word\nNext.\nLine", "I\u0307 K\u212a", "dž Dž DŽ ẞ ΑΣ Σ",
+    "Plain WORDS beside e\u0301", "CAPS.\u0301 And SoOn, A B",
 ]
 
 
@@ -186,9 +188,9 @@ def test_a_word_holds_what_its_selector_says():
 
 def test_files_round_trip(spark, paths):
     rows = corpus() + [(5000, "long " * 60_000)]
+    rows.append((5001, "before<|endoftext|>After <|STARTOFTEXT|>"))
     got = simple8b.round_trip(frame_of(spark, rows, 7), paths[1]).collect()
     library = tokens.Tokens(paths[1]).tokenizer
-    library.encode_special_tokens = True
     ids = {t: [*library.encode(t or "", add_special_tokens=False).ids, 2] for _, t in rows}
     by_id = sorted(got, key=lambda r: r["start"])
     assert [r["doc_id"] for r in by_id] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
