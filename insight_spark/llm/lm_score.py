@@ -1,11 +1,12 @@
 """Cross-entropy difference: how much better a target model reads a text than a background model.
 
-Both are word bigram models over one vocabulary, all words of the corpus, with the
-word's own probability as prior and smoothed alike. Words are named by 32 bits of a
-hash, so a pair of words is one number; counts are kept by pair in Spark tables that
-grow with the corpus. A pair that occurs fewer than ``MIN_PAIR`` times says nothing
-beyond its words. A text's score is the mean over its words of target loss less
-background loss; the lower, the closer it is to the target.
+Both are word bigram models over one vocabulary, the words of the corpus that occur
+``LEAST`` times and one class of all others, with the word's own probability as prior
+and smoothed alike. Words are named by 32 bits of a hash, so a pair of words is one
+number; counts are kept by pair in Spark tables that grow with the corpus. A pair that
+occurs fewer than ``LEAST`` times says nothing beyond its words. A text's score is the
+mean over its words of target loss less background loss; the lower, the closer it is
+to the target.
 """
 
 from __future__ import annotations
@@ -22,26 +23,26 @@ from insight_spark.llm.common import chunks, free_name, id_type, kept_table, map
 from insight_spark.llm.decontaminate import _passes, build_filter
 from insight_spark.operators.scale import lookup
 
-# Names of the text's beginning, and of "any word" in rows that count single words.
+# Names of the text's beginning, and of "any word" in rows that count single words and all words.
 START, ANY = 0, 1
-# Occurrences in all texts from which a pair is counted.
-MIN_PAIR = 3
+# Occurrences in all texts from which a word or a pair has numbers of its own.
+LEAST = 10
 # Weight of the word's own probability in counts, and what each word gets besides its count there.
 PRIOR, ADDED = 20.0, 0.5
-# Pairs (16 bytes each) and words (36 bytes) that are sent to the executors, the most frequent; what is
+# Pairs (16 bytes each) and words (24 bytes) that are sent to the executors, the most frequent; what is
 # beyond them meets its numbers in a join.
-FREQUENT_PAIRS, FREQUENT_WORDS = 1 << 20, 1 << 19
+FREQUENT_PAIRS, FREQUENT_WORDS = 1 << 21, 1 << 20
 # Pairs counted in a task before they are handed on.
 HELD = 3 << 20
 
 
 class Models(NamedTuple):
     """``pairs`` is (pair, n, target, background), ``words`` is (word, n, own_target, own_background, after_target,
-    after_background): losses, to be added for a pair that is not listed. ``unseen`` are those of a word never seen."""
+    after_background): losses, to be added for a pair that is not listed. ``others`` are those of a word that is not."""
 
     pairs: DataFrame
     words: DataFrame
-    unseen: tuple[float, float, float, float]
+    others: tuple[float, float, float, float]
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -85,7 +86,8 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def pair_counts(df: DataFrame, text_col: str, target_col: str) -> DataFrame:
-    """(pair, target, background): occurrences in the target texts and in all; word w alone is the pair (ANY, w)."""
+    """(pair, target, background): occurrences in the target texts and in all; word w alone is the pair (ANY, w), all
+    words together are (ANY, ANY)."""
 
     def run(batches):
         held, size = [], 0
@@ -98,7 +100,7 @@ def pair_counts(df: DataFrame, text_col: str, target_col: str) -> DataFrame:
         for chunk in chunks(batches):
             pairs, counts = text_pairs(text_column(chunk, text_col))
             chosen = np.repeat(chunk.column(1).to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            for keys in (pairs, pairs & 0xFFFFFFFF | ANY << 32):
+            for keys in (pairs, pairs & 0xFFFFFFFF | ANY << 32, np.full(len(pairs), ANY << 32 | ANY)):
                 held.append(_summed(keys, chosen, np.ones(len(keys), np.int64)))
                 size += len(held[-1][0])
             if size > HELD:
@@ -118,26 +120,25 @@ def pair_counts(df: DataFrame, text_col: str, target_col: str) -> DataFrame:
     )
 
 
-def train(
-    df: DataFrame, is_target: Column, text_col: str = "text", min_pair: int = MIN_PAIR
-) -> Models:
+def train(df: DataFrame, is_target: Column, text_col: str = "text", least: int = LEAST) -> Models:
     """Both models from all texts; the target model from those where ``is_target`` holds (null: it doesn't).
 
     Nothing but totals comes to the driver.
     """
     mark = free_name(df, "target")
     marked = df.select(text_col, F.coalesce(is_target, F.lit(False)).alias(mark))
-    single = F.shiftrightunsigned("pair", 32) == ANY
+    single, word = F.shiftrightunsigned("pair", 32) == ANY, F.col("pair").bitwiseAND(0xFFFFFFFF)
     counted = kept_table(
-        pair_counts(marked, text_col, mark).filter(single | (F.col("background") >= min_pair)), "pairs", codec="zstd"
+        pair_counts(marked, text_col, mark).filter((F.col("background") >= least) | (single & (word == ANY))), "pairs", codec="zstd"
     )
-    word = F.col("pair").bitwiseAND(0xFFFFFFFF)
-    own = counted.filter(single).select(word.alias("word"), "target", "background")
+    own = counted.filter(single & (word != ANY)).select(word.alias("word"), "target", "background")
     listed = counted.filter(~single).select(
         "pair", F.shiftrightunsigned("pair", 32).alias("before"), word.alias("word"), "target", "background"
     )
-    n_words, n_target, n_background = own.agg(F.count("*"), F.sum("target"), F.sum("background")).first()
-    totals = [(n or 0) + ADDED * max(n_words, 1) for n in (n_target, n_background)]
+    every = counted.filter(single & (word == ANY)).select("target", "background").first() or (0, 0)
+    n_words, *known = own.agg(F.count("*"), F.sum("target"), F.sum("background")).first()
+    totals = [n + ADDED * (n_words + 1) for n in every]
+    rare = [(n - (k or 0) + ADDED) / total for n, k, total in zip(every, known, totals)]
     after = listed.groupBy(F.col("before").alias("word")).agg(
         F.sum("target").alias("follow_target"), F.sum("background").alias("follow_background")
     )
@@ -158,17 +159,17 @@ def train(
     )
     owns = words.select("word", "own_target", "own_background")
     follows = words.select(F.col("word").alias("before"), "after_target", "after_background")
-    known = lookup(kept_table(lookup(listed, owns, "word"), "own-losses"), follows, "before")
+    joined = lookup(kept_table(lookup(listed, owns, "word"), "own-losses"), follows, "before")
 
     def pair_loss(side: str) -> Column:
         return F.col(f"after_{side}") - F.log(F.col(side) + F.exp(-F.col(f"own_{side}")))
 
     pairs = kept_table(
-        known.select("pair", F.col("background").alias("n"), pair_loss("target").alias("target"), pair_loss("background").alias("background")),
+        joined.select("pair", F.col("background").alias("n"), pair_loss("target").alias("target"), pair_loss("background").alias("background")),
         "pair-losses",
     )
-    base = np.log(PRIOR)
-    return Models(pairs, words, (*(float(-np.log(ADDED * PRIOR / t)) for t in totals), float(base), float(base)))
+    base = float(np.log(PRIOR))
+    return Models(pairs, words, (*(float(-np.log(PRIOR * share)) for share in rare), base, base))
 
 
 def frequent(table: DataFrame, most: int) -> Column:
@@ -192,33 +193,39 @@ def score(
     text and one without a word have no word and 0 everywhere. Repeated rows and
     null ids stay, an empty table gives no rows, other columns are not read.
 
-    The most frequent pairs and words are sent to the executors, and a filter of fixed
-    size over the other pairs; only words that these cannot judge meet the tables.
+    The most frequent pairs and words are sent to the executors, and filters of fixed
+    size over the others; only words that these cannot judge meet the tables.
     """
     spark = df.sparkSession
     common = frequent(models.pairs, most_pairs)
     sent = models.pairs.filter(common).select("pair", "target", "background").toArrow().sort_by("pair")
-    known = models.words.filter(frequent(models.words, most_words)).drop("n").toArrow().sort_by("word")
+    usual = frequent(models.words, most_words)
+    known = models.words.filter(usual).drop("n").toArrow().sort_by("word")
     rest = models.pairs.filter(~common)
     bits = build_filter(rest.select(F.col("pair").alias("key")))
+    word_bits = build_filter(models.words.filter(~usual).select(F.col("word").alias("key")))
+    others = np.array(models.others)
     shared = spark.sparkContext.broadcast((
         sent["pair"].to_numpy(), np.stack([sent[c].to_numpy() for c in ("target", "background")], 1).astype(np.float32),
-        known["word"].to_numpy(), np.stack([known[c].to_numpy() for c in known.column_names[1:]], 1).astype(np.float32), bits,
+        known["word"].to_numpy(), np.stack([known[c].to_numpy() for c in known.column_names[1:]], 1).astype(np.float32), bits, word_bits,
     ))
 
     def work(chunk: pa.RecordBatch) -> pa.RecordBatch:
-        pair_keys, pair_losses, word_keys, word_losses, filter_bits = shared.value
+        pair_keys, pair_losses, word_keys, word_losses, pair_bits, word_bits = shared.value
         pairs, counts = text_pairs(text_column(chunk, "text"))
         distinct, inverse = np.unique(pairs, return_inverse=True)
         at, listed = _found(pair_keys, distinct)
-        word, word_known = _found(word_keys, distinct & 0xFFFFFFFF)
-        before, before_known = _found(word_keys, distinct >> 32 & 0xFFFFFFFF)
-        maybe = np.zeros(len(distinct), bool)
-        maybe[_passes(distinct.view(np.uint64), filter_bits)] = True
-        plain = ~listed & ~maybe & word_known & before_known
+        plain = ~listed
+        plain[_passes(distinct.view(np.uint64), pair_bits)] = False
         losses = np.zeros((len(distinct), 2))
+        for name, side in ((distinct & 0xFFFFFFFF, slice(0, 2)), (distinct >> 32 & 0xFFFFFFFF, slice(2, 4))):
+            word, word_known = _found(word_keys, name)
+            losses += np.where(word_known[:, None], word_losses[word][:, side], others[side]) if len(word_keys) else others[side]
+            elsewhere = np.zeros(len(name), bool)
+            elsewhere[_passes(name.view(np.uint64), word_bits)] = True
+            plain &= word_known | ~elsewhere
+        losses[~plain] = 0
         losses[listed] = pair_losses[at[listed]]
-        losses[plain] = word_losses[word[plain]][:, :2] + word_losses[before[plain]][:, 2:]
         is_open = ~(listed | plain)
         sums = [pa.array(segment_sums(losses[inverse, side], counts)) for side in (0, 1)]
         owner = np.repeat(np.arange(len(counts)), counts)[is_open[inverse]]
@@ -249,7 +256,7 @@ def score(
     def loss(side: str, own: float, after: float) -> Column:
         return F.coalesce(side, F.coalesce(f"own_{side}", F.lit(own)) + F.coalesce(f"after_{side}", F.lit(after))).alias(side)
 
-    own_t, own_b, after_t, after_b = models.unseen
+    own_t, own_b, after_t, after_b = models.others
     judged = judged.select("pair", loss("target", own_t, after_t), loss("background", own_b, after_b))
     late = links.join(judged, "pair").groupBy("row").agg(
         F.sum(F.col("target") * F.col("times")).alias("late_target"), F.sum(F.col("background") * F.col("times")).alias("late_background")

@@ -25,16 +25,16 @@ def brute(rows, targets, least):
 
     every, all_words = counted([t for _, t in rows])
     listed = {pair for pair, n in every.items() if n >= least}
+    known = {w for w, n in all_words.items() if n >= least}
 
     def model(texts):
         pairs, single = counted(texts)
-        after = Counter()
-        for (v, w), n in pairs.items():
-            after[v] += n * ((v, w) in listed)
-        total = sum(single.values()) + lm_score.ADDED * len(all_words)
-        return lambda v, w: -math.log(
-            (pairs[v, w] * ((v, w) in listed) + lm_score.PRIOR * (single[w] + lm_score.ADDED) / total) / (after[v] + lm_score.PRIOR)
-        )
+        after, total = Counter(), sum(single.values()) + lm_score.ADDED * (len(known) + 1)
+        for pair in listed:
+            after[pair[0]] += pairs[pair]
+        rare = sum(n for w, n in single.items() if w not in known)
+        own = lambda w: ((single[w] if w in known else rare) + lm_score.ADDED) / total
+        return lambda v, w: -math.log((pairs[v, w] * ((v, w) in listed) + lm_score.PRIOR * own(w)) / (after[v] + lm_score.PRIOR))
 
     target, background = model([t for d, t in rows if d in targets]), model([t for _, t in rows])
     out = []
@@ -58,7 +58,7 @@ def test_equals_brute_force(spark, least, most):
     rows = texts()
     frame = spark.createDataFrame([(d, t, 1.0, 2) for d, t in rows], "doc_id long, text string, score double, _target_id int").repartition(3)
     ids = spark.createDataFrame([(i,) for i in range(1, 40, 2)] + [(5,), (None,)], "doc_id long")
-    models = lm_score.train(lm_score.mark_target(frame, ids), F.col("_target"), min_pair=least)
+    models = lm_score.train(lm_score.mark_target(frame, ids), F.col("_target"), least=least)
     got = sorted(map(tuple, lm_score.score(frame, models, most_pairs=most, most_words=most).collect()), key=repr)
     want = sorted(brute(rows, set(range(1, 40, 2)), least), key=repr)
     assert len(got) == len(want)
@@ -73,7 +73,7 @@ def test_equals_brute_force(spark, least, most):
 def test_probabilities_sum_to_one(spark):
     """Over all words of the vocabulary, after a frequent and a rare word."""
     rows = [(i, t) for i, t in texts() if i is not None]
-    models = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 2 == 0, min_pair=3)
+    models = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 2 == 0, least=3)
     words = {r["word"]: r for r in models.words.collect()}
     pairs = {r["pair"]: r for r in models.pairs.collect()}
     single = [w for w in words if w != lm_score.START]
@@ -85,6 +85,9 @@ def test_probabilities_sum_to_one(spark):
                 key -= (key >> 63) << 64
                 loss = pairs[key][side] if key in pairs else words[w][f"own_{side}"] + words[before][f"after_{side}"]
                 total += math.exp(-loss)
+            # And the class of all other words.
+            i = 0 if side == "target" else 1
+            total += math.exp(-models.others[i] - words[before][f"after_{side}"])
             assert total == pytest.approx(1, abs=1e-6)
 
 
@@ -92,14 +95,14 @@ def test_the_models_grow_with_the_corpus(spark):
     sizes = []
     for count in (200, 800):
         rows = [(i, f"word{i} comes after word{i // 2} again word{i} comes word{i} comes") for i in range(count)]
-        models = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True))
+        models = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), least=2)
         sizes.append((models.words.count(), models.pairs.count()))
     assert sizes[1][0] > 3 * sizes[0][0] and sizes[1][1] > 3 * sizes[0][1]
 
 
 def test_texts_outside_the_corpus(spark):
     rows = [(i, "a b c a b c a b c") for i in range(5)]
-    models = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True))
+    models = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), least=3)
     other = spark.createDataFrame([(1, "a b c"), (2, "zzz a yyy")], "doc_id long, text string")
     losses = {r["doc_id"]: r["target_loss"] for r in lm_score.score(other, models).collect()}
     assert losses[1] < losses[2] < 50
