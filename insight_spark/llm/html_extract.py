@@ -25,9 +25,9 @@ from insight_spark.llm.page_layouts import MARK, NAMES, layouts
 # Pages to learn from, their length, and the layouts made of them.
 SAMPLE = 500
 SAMPLE_CHARS = 30_000
-LAYOUTS = 1500
+LAYOUTS = 1800
 WIDTH = 1 << 14  # hashed places of what is seen
-ROUNDS = 150
+ROUNDS = 200
 CHUNK_NODES = 200_000
 KNOWN = sorted({part for names in NAMES.values() for name in names for part in name.lower().split("-")}, key=len, reverse=True)
 _AROUND = frozenset("nav aside footer form dialog menu".split())
@@ -89,6 +89,8 @@ def _seen(nodes: list[Node]) -> list[list[int]]:
             for total in (chars, linked, words, blocks, heads):
                 total[node.parent] += total[i]
     tags = Counter(node.tag for node in nodes)
+    marked = tags["article"] + tags["main"] > 0
+    inside = [False] * count
     out = []
     for i, node in enumerate(nodes):
         dense = _bin(linked[i] / chars[i], (0.01, 0.34, 0.67, 0.99)) if chars[i] else 5
@@ -109,6 +111,9 @@ def _seen(nodes: list[Node]) -> list[list[int]]:
             if "©" in node.text or "|" in node.text:
                 names.append("sign=" + ("c" if "©" in node.text else "p"))
         names.append("bias" if node.tag else "text")
+        if marked and i:  # where the page has an element for its article
+            inside[i] = inside[node.parent] or node.tag in ("article", "main")
+            names += [f"where={inside[i]}", f"where={inside[i]},{node.tag}"]
         out.append([_hashed(name) for name in names])
     return out
 

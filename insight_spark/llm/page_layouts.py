@@ -27,7 +27,9 @@ NAMES = {
     "neutral": "wrapper container row col inner outer section block box grid layout center wide left right wrap",
 }
 NAMES = {kind: names.split() for kind, names in NAMES.items()}
+ROLES = {"menu": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "form": "search", "main": "main", "notice": "alert"}
 _COMMENT_HEADS = ("Comments", "3 comments", "Discussion", "Leave a reply", "Kommentare", "Commentaires", "Comentarios", "What readers say")
+_SKIPS = ("Skip to content", "Skip to main content", "Zum Inhalt", "Aller au contenu", "Menu", "Back to top")
 _AUTHORS = ("anna", "Bob K.", "guest_17", "María", "J. Doe", "léa", "Uwe", "anonymous")
 _BUTTONS = ("Search", "Subscribe", "Sign up", "Send", "OK", "Log in", "Accept")
 _WORDS = "the of and to in a is that for it on with as was at by this from or an be are not have which their has but".split()
@@ -41,6 +43,7 @@ class Layout:
         self.others, self.short = others or [_words(rng, 30)], short or [_words(rng, 4)]
         self.telling = rng.random() < 0.85  # names say what a part is
         self.elements = rng.random() < 0.6  # elements do
+        self.own_element = self.elements and rng.random() < 0.8  # one is the article's own
         self.closed = rng.random() < 0.8  # paragraphs have end tags
 
     def page(self) -> str:
@@ -56,6 +59,8 @@ class Layout:
         if rng.random() < 0.3:
             rng.shuffle(head)
         tail = [part() for part, odds in ((self.advert, 0.2), (self.notice, 0.15), (self.form, 0.15), (self.menu, 0.2), (self.footer, 0.85)) if rng.random() < odds]
+        if rng.random() < 0.15:
+            head.insert(0, f'<a href="#main"{self.named("menu", 0.5)}>{rng.choice(_SKIPS)}</a>')
         inside = "".join([*head, *body, *tail])
         for _ in range(rng.randrange(3)):
             inside = f"<div{self.named('neutral', 0.7)}>{inside}</div>"
@@ -68,13 +73,14 @@ class Layout:
         name = rng.choice(NAMES[kind])
         if rng.random() < 0.25:
             name += rng.choice(("-1", "-box", "_area", " " + rng.choice(NAMES["neutral"]), "-wrapper", "-inner", "-section"))
-        if kind == "menu" and rng.random() < 0.1:
-            return ' role="navigation"'
+        if kind in ROLES and rng.random() < 0.15:
+            return f' role="{ROLES[kind]}"'
         return f' {rng.choice(("class", "class", "id"))}="{name}"'
 
     def part(self, kind: str, element: str, inside: str) -> str:
         """The part under its own element, or a plain one with a telling name."""
-        if self.elements and element != "div" and self.rng.random() < 0.8:
+        used = self.own_element if kind == "main" else self.elements and element != "div" and self.rng.random() < 0.8
+        if used:
             return f"<{element}{self.named(kind, 0.4)}>{inside}</{element}>"
         tag = self.rng.choice(("div", "div", "section"))
         return f"<{tag}{self.named(kind)}>{inside}</{tag}>"
@@ -159,7 +165,7 @@ class Layout:
             text = escape(" ".join(rng.choice(self.others).split()[: rng.randint(3, 60)]))
             author = escape(rng.choice(_AUTHORS))
             inside = f"<b>{author}</b> <p>{text}</p>" if rng.random() < 0.6 else f"<div>{author}</div><div>{text}</div>"
-            tag = rng.choice(("div", "li", "article" if self.elements else "div"))
+            tag = rng.choice(("div", "li", "article" if self.own_element else "div"))
             items.append(f"<{tag}{self.always('comments') if rng.random() < 0.7 else ''}>{inside}</{tag}>")
         inside = "".join(items)
         if rng.random() < 0.3:
@@ -216,14 +222,14 @@ class Layout:
         if rng.random() < 0.25:
             social = f"<div{self.always('social')}>{self.link_list()}</div>"
             inside = social + inside if rng.random() < 0.5 else inside + social
-        if rng.random() < 0.12:
+        if rng.random() < 0.2:
             inside += self.comments()
-        if rng.random() < 0.1 and self.elements:
-            inside += f"<footer>{self.link_list()}</footer>"
+        if rng.random() < 0.2 and self.elements:
+            inside += f"<footer>{self.sentence() + ' ' + self.link() if rng.random() < 0.5 else self.link_list()}</footer>"
         element = rng.choice(("article", "article", "main"))
         out = self.part("main", element, inside)
         if rng.random() < 0.25:
-            out = f"<{(tag := 'main' if self.elements and element != 'main' else 'div')}{self.named('main', 0.6)}>{out}</{tag}>"
+            out = f"<{(tag := 'main' if self.own_element and element != 'main' else 'div')}{self.named('main', 0.6)}>{out}</{tag}>"
         return out
 
 

@@ -127,6 +127,62 @@ def test_pages_written_by_hand(model, name):
     assert html_extract.main_texts(model, [PAGES[name]]) == [" ".join(ARTICLE)]
 
 
+# The words of the tables' pages in other frames, one clue at a time.
+LONG = "Thoner of ndingor enhewh thouea thesstnd, ingnd. Retion of ineding that the edhely whth esth anlyes st inedtionor erlynd."
+SHORT = "Ed sher threble the andanonen retiea attionha."
+TITLE = "Onor haonnt thha on thly wh"
+INSIDE = f"<h1>{TITLE}</h1><p>{LONG}</p><p>Sh is.</p><p>{SHORT}</p>"
+WANT = f"{TITLE} {LONG} Sh is. {SHORT}"
+OTHER = "Nicht aulich für sch erüver enau sch der."
+HEAD = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>x</title><style>p{margin:0}</style><script>var t="</p>";track(0);</script></head><body>'
+NAV = '<nav><ul><li><a href="/The">The</a></li><li><a href="/and">and</a></li><li><a href="/to">to</a></li></ul></nav>'
+FOOT = '<footer>&copy; tiontion.example.net &middot; En laleenéelle la des et.</footer></body></html>'
+FRAMES = {
+    "base": HEAD + NAV + f'<div class="ad">{OTHER}</div><article>{INSIDE}</article>' + FOOT,
+    "main": HEAD + NAV + f'<main>{INSIDE}</main>' + FOOT,
+    "div content": HEAD + NAV + f'<div id="content">{INSIDE}</div>' + FOOT,
+    "div post": HEAD + f'<div class="menu"><a href=1>Home</a> <a href=2>About</a></div><div class="post">{INSIDE}</div><div class="footer">{OTHER} &copy; 2020</div>',
+    "header elem": HEAD + f'<header><h2>{OTHER}</h2><p>{SHORT}</p></header>' + NAV + f'<article>{INSIDE}</article>' + FOOT,
+    "sidebar aside": HEAD + NAV + f'<article>{INSIDE}</article><aside><h3>Recent</h3><p>{OTHER}</p><p>{LONG}</p></aside>' + FOOT,
+    "sidebar div": HEAD + NAV + f'<article>{INSIDE}</article><div class="sidebar"><h3>Recent</h3><p>{OTHER}</p><p>{LONG}</p></div>' + FOOT,
+    "cookie": HEAD + NAV + f'<div class="cookie-notice"><p>{OTHER}</p><button>OK</button></div><article>{INSIDE}</article>' + FOOT,
+    "cookie id": HEAD + NAV + f'<div id="cookie-consent">{LONG}</div><article>{INSIDE}</article>' + FOOT,
+    "notice in article": HEAD + NAV + f'<article><div class="notice">{OTHER}</div>{INSIDE}</article>' + FOOT,
+    "ad in article": HEAD + NAV + f'<article><h1>{TITLE}</h1><p>{LONG}</p><div class="ad">{OTHER}</div><p>Sh is.</p><p>{SHORT}</p></article>' + FOOT,
+    "ad aside in article": HEAD + NAV + f'<article><h1>{TITLE}</h1><p>{LONG}</p><aside class="ad">{OTHER}</aside><p>Sh is.</p><p>{SHORT}</p></article>' + FOOT,
+    "comments section": HEAD + NAV + f'<article>{INSIDE}</article><section class="comments"><h2>Comments</h2><div class="comment"><p>{LONG}</p></div><div class="comment"><p>{SHORT}</p></div></section>' + FOOT,
+    "comments id": HEAD + NAV + f'<article>{INSIDE}</article><div id="comments"><h3>Comments</h3><ul><li>{LONG}</li><li>{SHORT}</li></ul></div>' + FOOT,
+    "comments in article": HEAD + NAV + f'<article>{INSIDE}<section id="comments"><h3>2 comments</h3><p>{LONG}</p><p>{SHORT}</p></section></article>' + FOOT,
+    "comment articles": HEAD + NAV + f'<article>{INSIDE}</article><section class="comments"><article class="comment">{LONG}</article><article class="comment">{SHORT}</article></section>' + FOOT,
+    "form": HEAD + NAV + f'<form action="/s"><label>{OTHER}</label><input name=q><button>Go</button></form><article>{INSIDE}</article>' + FOOT,
+    "newsletter form": HEAD + NAV + f'<article>{INSIDE}</article><form class="newsletter"><p>{OTHER}</p><input type=email><button>Subscribe</button></form>' + FOOT,
+    "form in article": HEAD + NAV + f'<article>{INSIDE}<form><p>{OTHER}</p><select><option>a<option>b</select></form></article>' + FOOT,
+    "table": HEAD + f'<table><tr><td><ul><li><a href=1>The</a></li><li><a href=2>and</a></li></ul></td><td>{INSIDE}</td></tr></table>' + FOOT,
+    "article header": HEAD + NAV + f'<article><header><h1>{TITLE}</h1></header><p>{LONG}</p><p>Sh is.</p><p>{SHORT}</p></article>' + FOOT,
+    "article footer": HEAD + NAV + f'<article>{INSIDE}<footer>Posted in <a href=1>foo</a></footer></article>' + FOOT,
+    "share": HEAD + NAV + f'<article>{INSIDE}<div class="share"><a href=1>Tweet</a> <a href=2>Share</a></div></article>' + FOOT,
+    "related": HEAD + NAV + f'<article>{INSIDE}<div class="related-posts"><h3>Related</h3><ul><li><a href=1>{OTHER}</a></li><li><a href=2>{SHORT}</a></li></ul></div></article>' + FOOT,
+    "lists": HEAD + NAV + f'<article><h1>{TITLE}</h1><ul><li>{LONG}</li><li>Sh is.</li></ul><blockquote>{SHORT}</blockquote></article>' + FOOT,
+    "sections": HEAD + NAV + f'<article><h1>{TITLE}</h1><section><p>{LONG}</p></section><section><p>Sh is.</p><p>{SHORT}</p></section></article>' + FOOT,
+    "popup": HEAD + f'<div class="popup"><p>{LONG}</p></div>' + NAV + f'<article>{INSIDE}</article>' + FOOT,
+    "breadcrumb": HEAD + NAV + f'<div class="breadcrumb"><a href=1>The</a> &gt; <a href=2>and</a> &gt; to</div><article>{INSIDE}</article>' + FOOT,
+    "hidden": HEAD + NAV + f'<div style="display:none">{OTHER}</div><article>{INSIDE}</article>' + FOOT,
+    "h2 headings": HEAD + NAV + f'<article><h1>{TITLE}</h1><h2>{LONG}</h2><p>Sh is.</p><h3>{SHORT}</h3></article>' + FOOT,
+    "skip": HEAD + f'<a href="#main">Skip to content</a>' + NAV + f'<article>{INSIDE}</article>' + FOOT,
+    "dialog": HEAD + NAV + f'<dialog open><p>{OTHER}</p></dialog><article>{INSIDE}</article>' + FOOT,
+    "alert": HEAD + NAV + f'<div class="alert alert-info" role="alert">{OTHER}</div><article>{INSIDE}</article>' + FOOT,
+    "promo": HEAD + NAV + f'<article>{INSIDE}</article><section class="promo"><p>{OTHER}</p></section><section class="sponsored"><p>{SHORT}</p></section>' + FOOT,
+    "gdpr": HEAD + NAV + f'<section class="gdpr"><p>{OTHER}</p></section><article>{INSIDE}</article>' + FOOT,
+    "newsletter div": HEAD + NAV + f'<article>{INSIDE}</article><div class="newsletter"><p>{OTHER}</p></div>' + FOOT,
+    "bio": HEAD + NAV + f'<article>{INSIDE}</article><div class="author-bio"><p>{OTHER}</p></div>' + FOOT,
+}
+
+
+@pytest.mark.parametrize("name", FRAMES)
+def test_frames_around_one_article(model, name):
+    assert html_extract.main_texts(model, [FRAMES[name]]) == [WANT]
+
+
 def test_nulls_repeats_clashes_and_empty_tables(spark, sampled, model):
     rows = [(1, "u", None, 5, "x"), (None, None, "", 6, "y"), (2, "v", PAGES["blog"], 7, "z"), (2, "v", PAGES["blog"], 7, "z"), (3, "w", "plain text", 8, "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
