@@ -109,17 +109,33 @@ def embed_text(df: DataFrame, text: str = "text", width: int = 256, embedder=Non
     """
     if embedder is not None:
         return df.withColumn("embedding", embedder(F.col(text)))
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    return embed_with(df, embedding_weights(df, text, width), text)
+
+
+def _hashed(df: DataFrame, text: str, width: int) -> DataFrame:
+    from pyspark.ml.feature import HashingTF
+
+    words = F.coalesce(tokenize_words(F.col(text)), F.array().cast("array<string>"))
+    return HashingTF(numFeatures=width, inputCol="_words", outputCol="_tf").transform(df.withColumn("_words", words))
+
+
+def embedding_weights(df: DataFrame, text: str = "text", width: int = 256) -> list[float]:
+    """The IDF weight of each of ``width`` buckets of hashed words."""
+    from pyspark.ml.feature import IDF
+
+    return IDF(inputCol="_tf", outputCol="_idf").fit(_hashed(df.select(text), text, width)).idf.toArray().tolist()
+
+
+def embed_with(df: DataFrame, weights: list[float], text: str = "text") -> DataFrame:
+    """:func:`embed_text` with given weights."""
+    from pyspark.ml.feature import ElementwiseProduct, Normalizer
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
 
-    hashed = HashingTF(numFeatures=width, inputCol="_words", outputCol="_tf").transform(
-        df.withColumn("_words", tokenize_words(F.col(text)))
-    )
-    weighted = IDF(inputCol="_tf", outputCol="_idf").fit(hashed).transform(hashed)
+    product = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_idf")
+    weighted = product.transform(_hashed(df, text, len(weights)))
     unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighted)
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
-        "_words", "_tf", "_idf", "_unit"
-    )
+    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_idf", "_unit")
 
 
 # --- Vocabulary and postings ------------------------------------------------

@@ -12,6 +12,8 @@ from insight_spark.operators.postings import PostingIndex
 from insight_spark.operators.scale import kept, spread_small, top_n_per_group
 from insight_spark.plans.registry import Tables, query, sql_list
 from insight_spark.plans.text_queries import TOKENS_SQL, WORDS_SQL
+from insight_spark.session import fresh_path
+from insight_spark.sources.session_store import SessionStore
 
 
 def documents(t: Tables) -> DataFrame:
@@ -333,9 +335,9 @@ def expand_low_score(t: Tables) -> DataFrame:
 def session_retrieval(t: Tables) -> DataFrame:
     """Search within a conversation, from splitting to the guard.
 
-    Documents are split into chunks and embedded with their own words; a source
-    is a conversation, and every question asks within one. BM25 and vectors are
-    fused, copies dropped and the rest reranked.
+    Documents are split into chunks and stored with their vectors and posting blocks; a
+    source is a conversation, and every question asks within one, of the store. BM25
+    and vectors are fused, copies dropped and the rest reranked.
     """
     chunks = ret.split_recursive(spread_small(t.documents.select("doc_id", "source", "text"))).select(
         F.concat_ws("-", "doc_id", "chunk_no").alias("chunk_id"), F.col("source").alias("conversation"), F.col("chunk").alias("text")
@@ -343,25 +345,29 @@ def session_retrieval(t: Tables) -> DataFrame:
     asked = t.benchmark.select(
         F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("conversation"), "text"
     )
-    return retrieve_in_session(chunks, asked).select("query_id", "chunk_id", "rerank_score", "position")
-
-
-def retrieve_in_session(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """Reranked chunks (chunk_id, conversation, text) per question (query_id, conversation, text)."""
-    # One embedder for both sides: the IDF weights come from chunks and questions together.
-    together = chunks.select("chunk_id", F.lit(None).cast("bigint").alias("query_id"), "conversation", "text").unionByName(
-        asked.select(F.lit(None).cast("string").alias("chunk_id"), F.col("query_id").cast("bigint"), "conversation", "text")
+    store = SessionStore(t.spark, fresh_path(t.spark, "session"))
+    store.add(chunks)
+    return store.search(asked).select("query_id", "chunk_id", "rerank_score", "position")
+
+
+@query("session_retrieval_known", """
+SELECT 'src' || (s % 20) AS conversation, 'zq' || chr((97 + s % 20)::INTEGER) || 'xword' AS word, 'mark-' || (s % 20) AS chunk_id, 1 AS position, 1.0::DOUBLE AS score
+FROM range(20) r(s) WHERE 'src' || (s % 20) IN (SELECT source FROM documents)""")
+def session_retrieval_known(t: Tables) -> DataFrame:
+    """A word that one added chunk of a conversation holds, and chunks of the others too, finds that chunk first."""
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("conversation"), "text")
+    named = docs.select("conversation").distinct().withColumn("s", F.regexp_extract("conversation", r"^src([0-9]+)$", 1).cast("int")).filter("s < 20")
+    word = F.concat(F.lit("zq"), F.char(F.col("s") + 97), F.lit("xword"))
+    marks = named.select(F.concat(F.lit("mark-"), "s").alias("chunk_id"), "conversation", F.concat(F.lit("a chunk about "), word).alias("text"))
+    # The same words stand in another conversation, where nobody asks for them.
+    strays = named.select(F.concat(F.lit("stray-"), "s").alias("chunk_id"), F.lit("elsewhere").alias("conversation"), word.alias("text"))
+    store = SessionStore(t.spark, fresh_path(t.spark, "session"))
+    store.add(docs.unionByName(marks).unionByName(strays))
+    asked = named.select(F.col("s").alias("query_id"), "conversation", word.alias("text"))
+    found = store.search(asked).filter("position = 1").withColumnRenamed("rerank_score", "score")
+    return found.join(asked.select("query_id", "conversation", F.col("text").alias("word")), "query_id").select(
+        "conversation", "word", "chunk_id", "position", "score"
     )
-    embedded = kept(ret.embed_text(together), "embedded")
-    known = embedded.filter(F.col("chunk_id").isNotNull()).drop("query_id")
-    questions_ = embedded.filter(F.col("query_id").isNotNull()).drop("chunk_id")
-    index = ret.lexical_index(known, "chunk_id", scope="conversation")
-    words = ret.bm25_topk(known, questions_, "chunk_id", scope="conversation", index=index)
-    vectors = ret.vector_topk(known, questions_, "chunk_id", scope="conversation")
-    found = ret.hybrid_candidates(ret.rrf_fusion(words, vectors, "query_id", "chunk_id"), known, "query_id", "chunk_id")
-    pairs = found.join(questions_.select("query_id", "text"), "query_id")
-    score = ret.coverage_scorer(index.frequency(), index.documents())
-    return ret.rerank_topk(pairs, "query_id", "text", "chunk", "chunk_id", score)
 
 
 # --- Vocabulary hints -------------------------------------------------------

@@ -209,12 +209,20 @@ def test_an_index_gives_the_same_hits(spark):
 
 
 def test_session_retrieval_stays_in_its_conversation(spark):
-    from insight_spark.plans.retrieval_queries import retrieve_in_session
+    from insight_spark.session import fresh_path
+    from insight_spark.sources.session_store import SessionStore
 
+    kind = "chunk_id string, conversation string, text string"
     chunks = spark.createDataFrame(
-        [("1", "a", "river bank with willows"), ("2", "a", "stone wall in rain"), ("3", "b", "river bank with willows"), ("4", "b", "cold tea")],
-        "chunk_id string, conversation string, text string",
+        [("1", "a", "river bank with willows"), ("2", "a", "stone wall in rain"), ("3", "b", "river bank with willows"), ("4", "b", "cold tea")], kind
     )
+    path = fresh_path(spark, "session")
+    SessionStore(spark, path).add(chunks)
     asked = spark.createDataFrame([(7, "a", "willows at the river"), (8, "b", "cold tea")], "query_id long, conversation string, text string")
-    best = {r["query_id"]: r["chunk_id"] for r in retrieve_in_session(chunks, asked).filter("position = 1").collect()}
-    assert best == {7: "1", 8: "4"}
+    store = SessionStore(spark, path)  # another process: nothing but the folder
+    best = lambda: {r["query_id"]: r["chunk_id"] for r in store.search(asked).filter("position = 1").collect()}
+    assert best() == {7: "1", 8: "4"}
+    # A conversation is replaced as a whole, or deleted; the others stay.
+    store.add(spark.createDataFrame([("5", "a", "willows by the lake"), ("6", "a", "quiet evening")], kind))
+    assert best() == {7: "5", 8: "4"}
+    assert store.delete("b") and best() == {7: "5"} and store.chunks().count() == 2
