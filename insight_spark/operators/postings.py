@@ -116,13 +116,13 @@ class PostingIndex:
     ) -> DataFrame:
         """(query, doc, score, rank): the best ``k`` documents of its scope per query."""
         asked = kept(self.weights(queries, query_id, text, scope, tokens), "asked")
-        pairs = self.bounds(asked)
-        most = self.blocks().select("scope", "shard").distinct().groupBy("scope").count().agg(F.max("count")).first()[0] or 0
+        shards = kept(self.blocks().select("scope", "shard").distinct(), "shards")
+        most = shards.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
         query_type = queries.schema[query_id].dataType.simpleString()
         if most <= FIRST_SHARDS:
-            found = self._scores(asked, pairs.drop("bound"), query_type, k)
+            found = self._scores(asked, asked.select("query", "scope").distinct().join(shards, "scope"), query_type, k)
         else:
-            pairs = kept(pairs, "bounds")
+            pairs = kept(self.bounds(asked), "bounds")
             near = kept(top_n_per_group(pairs, ["query"], [F.desc("bound"), F.col("shard")], FIRST_SHARDS).drop("rank", "bound"), "first-shards")
             first = kept(
                 top_n_per_group(self._scores(asked, near, query_type, k), ["query"], [F.desc("score"), F.col("doc")], k).drop("rank"),
