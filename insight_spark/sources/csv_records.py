@@ -119,6 +119,20 @@ def effects(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, "path string, block long, open array<long>, starts array<long>, owns array<long>")
 
 
+def any_break(lines: DataFrame) -> bool:
+    """Some record goes on in a next line: then a line that begins outside a quoted field ends inside one.
+
+    Only lines with a quote are looked at, and not all once one is found.
+    """
+    def run(batches):
+        for batch in batches:
+            found = [line for line in batch.column(0).to_pylist() if open_after(line, False)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found[:1], pa.string())], names=["value"])
+
+    return not lines.filter(F.contains("value", F.lit('"'))).select("value").mapInArrow(run, "value string").isEmpty()
+
+
 def entries(effect: DataFrame) -> DataFrame:
     """(path, block, inside, origin, before): how each split truly begins.
 

@@ -38,7 +38,7 @@ def scan_csv(spark: SparkSession, path: str, schema: str | None = None, multi_li
     once. Rows of several files come under the header of the first.
     """
     if multi_line is None:
-        multi_line = not csv_records.effects(csv_records.csv_lines(spark, path)).filter("open[0] = 1 OR open[1] = 0").isEmpty()
+        multi_line = csv_records.any_break(csv_records.csv_lines(spark, path))
     if multi_line:
         return records_table(csv_records.records(csv_records.csv_lines(spark, path)), schema)
     reader = spark.read.option("header", True).option("escape", '"')

@@ -94,3 +94,9 @@ def test_types_and_schema(spark, tmp_path):
     assert [(r["n"], r["s"], r["none"]) for r in df.orderBy("n").collect()] == [(-2, "7", None), (1, "a\nb", None)]
     given = files.scan_csv(spark, str(tmp_path), "n long, big long, x double, d string, t string, b string, s string, none string")
     assert given.schema["n"].dataType.simpleString() == "bigint" and given.agg(F.sum("n")).first()[0] == -1
+
+
+@pytest.mark.parametrize("text, breaks", [('a,b\n1,2\n', False), ('a,b\n"x, y","z ""q"""\n', False), ('a,b\n1,"x\ny"\n', True), ('a\n5" pipe\n', False), ("", False)])
+def test_breaks_are_seen(spark, tmp_path, text, breaks):
+    (tmp_path / "x.csv").write_text(text)
+    assert csv_records.any_break(csv_records.csv_lines(spark, str(tmp_path))) == breaks
