@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions import fixed_values as fv
@@ -140,6 +142,8 @@ def is_supported(code: Column) -> Column:
 
 # Ranks of a profile and the letters of its longest entries.
 PROFILE_SIZE, PROFILE_LETTERS = 300, 3
+# Texts, and characters of them, that are compared with the profiles at once.
+PROFILE_TEXTS, PROFILE_CHARACTERS = 256, 1 << 20
 
 
 def _padded_words(text: Column) -> Column:
@@ -183,33 +187,93 @@ def profile_distances(text: Column, profiles: dict[str, list[str]]) -> Column:
 
     The text's sequences are ranked by how often they occur. One that a language does not list
     is as far out of place as its profile is long. Null for a text without any of them.
+
+    All sequences are looked for at once, in one pass over the texts for each of their lengths.
     """
     codes = sorted(profiles)
     grams = sorted({gram for listed in profiles.values() for gram in listed})
     size = max(map(len, profiles.values()))
     place = {code: {gram: i for i, gram in enumerate(profiles[code])} for code in codes}
-    listed = [F.array(*[F.lit(place[code].get(gram, -1)) for gram in grams]) for code in codes]
-
-    def ranked(whole: Column) -> Column:
-        times = F.transform(
-            F.array(*[F.lit(gram) for gram in grams]),
-            lambda gram, i: F.struct(
-                (-(F.length(whole) - F.length(F.replace(whole, gram, F.lit("")))) / F.length(gram)).alias("less"), i.alias("i")
-            ),
-        )
-        present = F.filter(times, lambda t: t["less"] < 0)
-        return F.slice(F.transform(F.array_sort(present), lambda t: t["i"]), 1, size)
-
-    def distances(order: Column) -> Column:
-        def away(ranks: Column) -> Column:
-            steps = F.transform(
-                order, lambda i, rank: let(F.get(ranks, i), lambda r: F.when(r < 0, F.lit(size)).otherwise(F.abs(r - rank)))
-            )
-            return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
-
-        return F.when(F.size(order) > 0, F.array(*[away(ranks) for ranks in listed]))
-
-    return let(let(_padded_words(text), ranked), distances)
+    places = np.array([[place[code].get(gram, -1) for gram in grams] for code in codes], np.int32).reshape(len(codes), len(grams))
+    tree = _gram_tree(grams)
+
+    @F.pandas_udf("array<int>")
+    def distances(texts: pd.Series) -> pd.Series:
+        found: list = []
+        held, letters = [], 0
+        for i, one in enumerate(texts, start=1):
+            held.append(one)
+            letters += len(one)
+            if letters >= PROFILE_CHARACTERS or len(held) == PROFILE_TEXTS or i == len(texts):
+                found += _out_of_place(_gram_counts(held, grams, tree), places, size)
+                held, letters = [], 0
+        return pd.Series(found, dtype=object)
+
+    return distances(_padded_words(text))
+
+
+def _gram_tree(grams: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letter of a code point, next node of node and letter, sequence that ends in a node or -1); 0 leads nowhere, 1 is the root."""
+    alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(grams))))}
+    letters = np.zeros(0x110000, np.int32)
+    letters[[ord(c) for c in alphabet]] = list(alphabet.values())
+    prefixes = sorted({gram[:n] for gram in grams for n in range(1, len(gram) + 1)})
+    node = {"": 1} | {prefix: i + 2 for i, prefix in enumerate(prefixes)}
+    after, ends = np.zeros((len(node) + 1, len(alphabet) + 1), np.int32), np.full(len(node) + 1, -1, np.int32)
+    for prefix in prefixes:
+        after[node[prefix[:-1]], alphabet[prefix[-1]]] = node[prefix]
+    for i, gram in enumerate(grams):
+        ends[node[gram]] = i
+    return letters, after, ends
+
+
+def _gram_counts(texts: list[str], grams: list[str], tree: tuple) -> np.ndarray:
+    """(texts x sequences): how often each sequence occurs in each text, without overlap."""
+    letters, after, ends = tree
+    sizes = np.array([len(text) + 1 for text in texts])
+    points = np.frombuffer("".join(text + "\0" for text in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    letter = letters[points]
+    counts = np.zeros(len(texts) * len(grams), np.int64)
+    at, node = np.arange(len(letter)), np.ones(len(letter), np.int32)
+    for n in range(1, max(map(len, grams), default=0) + 1):
+        alive = at + n <= len(letter)
+        at, node = at[alive], after[node[alive], letter[at[alive] + n - 1]]
+        at, node = at[node > 0], node[node > 0]
+        found = ends[node]
+        hit = found >= 0
+        where, gram = _apart(at[hit], found[hit], n, grams)
+        counts += np.bincount(row[where] * len(grams) + gram, minlength=len(counts))
+    return counts.reshape(len(texts), len(grams))
+
+
+def _apart(at: np.ndarray, gram: np.ndarray, n: int, grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of sequences of ``n`` letters without those that overlap the one before that counts."""
+    overlaps = np.array([any(g[i:] == g[:-i] for i in range(1, len(g))) for g in grams], bool)
+    some = np.flatnonzero(overlaps[gram])
+    some = some[np.lexsort((at[some], gram[some]))]
+    place = at[some]
+    hidden: set[int] = set()
+    for i in (np.flatnonzero((np.diff(place) < n) & (np.diff(gram[some]) == 0)) + 1).tolist():
+        before = i - 1
+        while before in hidden:
+            before -= 1
+        if place[i] - place[before] < n:
+            hidden.add(i)
+    keep = np.ones(len(at), bool)
+    keep[some[list(hidden)]] = False
+    return at[keep], gram[keep]
+
+
+def _out_of_place(counts: np.ndarray, places: np.ndarray, size: int) -> list:
+    """Per text the distance to every profile, or None where nothing occurs."""
+    order = np.argsort(-counts, axis=1, kind="stable")[:, :size]
+    present = np.take_along_axis(counts, order, 1) > 0
+    rank = np.arange(order.shape[1])
+    found = np.stack(
+        [np.where(present, np.where(p[order] < 0, size, np.abs(p[order] - rank)), 0).sum(axis=1) for p in places], axis=1
+    )
+    return [row if some else None for row, some in zip(found.tolist(), present.any(axis=1))]
 
 
 def profile_language(text: Column, profiles: dict[str, list[str]]) -> Column:

@@ -67,6 +67,34 @@ def test_out_of_place_distance_by_hand(spark):
     assert rows[2]["d"] is None and rows[3]["l"] is None
 
 
+def test_distance_of_sequences_that_overlap_themselves(spark):
+    profiles = {"aa": ["aa", "aba", " a"], "bb": ["z", "aa", "a "]}
+    texts = ["aaaa", "ababa aaaaa", "", "É", "aa " * 300 + "aba"]
+    expected = []
+    for text in texts:
+        whole = " " + "  ".join(text.lower().split()) + " "
+        grams = sorted({g for listed in profiles.values() for g in listed})
+        seen = sorted((-whole.count(g), i) for i, g in enumerate(grams) if g in whole)
+        out = lambda listed: sum(abs(listed.index(grams[i]) - r) if grams[i] in listed else 3 for r, (_, i) in enumerate(seen[:3]))
+        expected.append([out(profiles["aa"]), out(profiles["bb"])] if seen else None)
+    assert detect(spark, texts, lambda c: lang.profile_distances(c, profiles)) == expected
+
+
+def test_sequences_are_counted_in_one_pass(spark):
+    # Once every sequence searched the whole text on its own, with an expression for each.
+    profiles = {"aa": ["ab", "b"], "bb": ["b", "x"]}
+    df = spark.createDataFrame([("ab xb",)], "s string").select(lang.profile_distances(F.col("s"), profiles).alias("d"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "replace(" not in plan
+
+
+def test_the_batch_counts_each_text_alone():
+    grams = ["aa", "aba", " a", "é", "\U0001f600"]
+    texts = [" aaa ", "", " ababa  aaaaa ", " éa  \U0001f600 ", " aa "]
+    counts = lang._gram_counts(texts, grams, lang._gram_tree(grams))
+    assert counts.tolist() == [[text.count(gram) for gram in grams] for text in texts]
+
+
 def test_learned_profiles_tell_the_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").filter("lang IS NOT NULL")
     profiles = lang.learn_profiles(docs.filter("doc_id % 2 = 0"))
