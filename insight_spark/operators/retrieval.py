@@ -4,64 +4,96 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import name_tokens, preview_text, tokenize_words
 from insight_spark.operators import nearest
 from insight_spark.operators.postings import PostingIndex
-from insight_spark.operators.scale import top_n_per_group
+from insight_spark.operators.scale import small_batches, top_n_per_group
 from insight_spark.session import fresh_path
 
 PROSE_SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 TABLE_SEPARATORS = ["\n\n", "\n"]
+# Characters of chunks that are handed on together.
+CHUNK_CHARACTERS = 1 << 20
 
 
 # --- Chunks -----------------------------------------------------------------
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """Cut before every separator, which stays at the front of its piece."""
-    if not separator:
-        return list(text)
-    found = [match.start() for match in re.finditer(re.escape(separator), text)]
-    edges = [0, *found, len(text)]
-    return [text[a:b] for a, b in zip(edges, edges[1:]) if b > a]
-
-
-def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Join neighbouring pieces up to ``size``; the tail of one chunk, at most
-    ``overlap`` long, opens the next."""
-    chunks, window, length = [], deque(), 0
-    for piece in pieces:
-        if window and length + len(piece) > size:
-            chunks.append("".join(window))
-            while window and (length > overlap or length + len(piece) > size):
-                length -= len(window.popleft())
-        window.append(piece)
-        length += len(piece)
-    if window:
-        chunks.append("".join(window))
-    return [chunk.strip() for chunk in chunks if chunk.strip()]
-
-
-def split_text(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
-    """Chunks of one text: the coarsest separator that occurs, finer ones only
-    inside pieces that are still too long."""
-    present = next((i for i, s in enumerate(separators) if s == "" or s in text), None)
-    if present is None:
-        present = len(separators) - 1
-    chunks, fitting = [], []
-    for piece in _pieces(text, separators[present]):
+def _pieces(blocks: Iterable[str], separator: str) -> Iterator[str]:
+    """Cut a text that comes in blocks before every separator, which stays at the front of its piece."""
+    pattern, held, at = re.compile(re.escape(separator)), "", 0
+    for block in blocks:
+        if not separator:
+            yield from block
+            continue
+        held += block
+        start = end = 0
+        for match in pattern.finditer(held, at):
+            if match.start() > start:
+                yield held[start : match.start()]
+            start, end = match.span()
+        # The last piece may go on in the next block; what was searched of it is not searched again.
+        at = max(at, end, len(held) - len(separator) + 1) - start
+        held = held[start:]
+    if held:
+        yield held
+
+
+class _Packer:
+    """Joins neighbouring pieces up to ``size``; the tail of one chunk, at most ``overlap`` long, opens the next."""
+
+    def __init__(self, size: int, overlap: int):
+        self.size, self.overlap = size, overlap
+        self.window: deque[str] = deque()
+        self.length = 0
+
+    def _chunk(self) -> Iterator[str]:
+        chunk = "".join(self.window).strip()
+        if chunk:
+            yield chunk
+
+    def add(self, piece: str) -> Iterator[str]:
+        if self.window and self.length + len(piece) > self.size:
+            yield from self._chunk()
+            while self.window and (self.length > self.overlap or self.length + len(piece) > self.size):
+                self.length -= len(self.window.popleft())
+        self.window.append(piece)
+        self.length += len(piece)
+
+    def end(self) -> Iterator[str]:
+        yield from self._chunk()
+        self.window.clear()
+        self.length = 0
+
+
+def split_blocks(blocks: Iterable[str], size: int, overlap: int, separators: list[str]) -> Iterator[str]:
+    """Chunks, one by one, of a text that comes in blocks. The first of ``separators`` must be the coarsest that
+    occurs in it; finer ones are used only inside pieces that are still too long."""
+    packer = _Packer(size, overlap)
+    finer = separators[1:]
+    for piece in _pieces(blocks, separators[0]):
         if len(piece) < size:
-            fitting.append(piece)
+            yield from packer.add(piece)
             continue
-        chunks += _pack(fitting, size, overlap)
-        fitting = []
-        finer = separators[present + 1 :]
-        chunks += split_text(piece, size, overlap, finer) if finer else [piece]
-    return chunks + _pack(fitting, size, overlap)
+        yield from packer.end()
+        if finer:
+            yield from split_text(piece, size, overlap, finer)
+        else:
+            yield piece
+    yield from packer.end()
+
+
+def split_text(text: str, size: int, overlap: int, separators: list[str]) -> Iterator[str]:
+    """Chunks of one text: the coarsest separator that occurs, finer ones only inside pieces that are still too long."""
+    present = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    return split_blocks([text], size, overlap, separators[present:])
 
 
 def split_recursive(
@@ -73,15 +105,71 @@ def split_recursive(
 ) -> DataFrame:
     """One row per chunk: the input columns, ``chunk_no`` from 0 and ``chunk``."""
     cuts = PROSE_SEPARATORS if separators is None else separators
+    small_batches(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap, cuts) if t else [])
+        return texts.map(lambda t: list(split_text(t, size, overlap, cuts)) if t else [])
 
     others = [name for name in df.columns if name != text]
     return df.select(*others, F.posexplode(chunks(F.col(text))).alias("chunk_no", "chunk"))
 
 
+def split_lines(
+    lines: DataFrame, size: int = fv.PROSE_CHUNK, overlap: int = fv.PROSE_OVERLAP, separators: list[str] | None = None
+) -> DataFrame:
+    """:func:`split_recursive` of files that come as lines (see ``files.text_lines``): (path, chunk_no, chunk).
+
+    A file is read in order and never held as a whole; at most its longest piece of the
+    coarsest separator is. A separator is line breaks only or has none.
+    """
+    cuts = PROSE_SEPARATORS if separators is None else separators
+    small_batches(lines.sparkSession)
+    empty = (F.col("line") == "").cast("long")
+    total = F.sum(F.col("bytes") + 1)  # as if the last line ended
+    order = F.struct("block", "place")
+    files = lines.groupBy("path").agg(
+        (total <= F.max("size")).alias("_fits"), (total == F.max("size") - 2).alias("_cut"), (total < F.max("size")).alias("marked"),
+        (F.count("*") > 1).alias("_many"), (F.sum(empty) > F.min_by(empty, order)).alias("_blank"),
+        *[F.bool_or(F.contains("line", F.lit(s))).alias(f"_has_{i}") for i, s in enumerate(cuts)],
+    )
+    closed = F.col("_fits") & ~F.col("_cut")
+    has = {"\n\n": F.col("_blank"), "\n": F.col("_many") | closed, "": F.lit(True)}
+    level = F.coalesce(*[F.when(has.get(s, F.col(f"_has_{i}")), i) for i, s in enumerate(cuts)], F.lit(len(cuts) - 1))
+    # A byte order mark, which the reader of lines takes off, belongs to the text.
+    files = files.select("path", level.alias("level"), closed.alias("closed"), "marked")
+    ordered = lines.join(files, "path").repartition("path").sortWithinPartitions("path", "block", "place")
+
+    def text(first: tuple, rest: Iterable[tuple]) -> Iterator[str]:
+        yield "\ufeff" * first[4] + first[1]
+        for row in rest:
+            yield "\n" + row[1]
+        if first[3]:
+            yield "\n"
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5))))
+        held: list[tuple] = []
+        letters = 0
+        for path, own in groupby(rows, lambda row: row[0]):
+            first = next(own)
+            for number, chunk in enumerate(split_blocks(text(first, own), size, overlap, cuts[first[2] :])):
+                held.append((path, number, chunk))
+                letters += len(chunk)
+                if letters >= CHUNK_CHARACTERS:
+                    yield _chunk_batch(held)
+                    held, letters = [], 0
+        if held:
+            yield _chunk_batch(held)
+
+    return ordered.select("path", "line", "level", "closed", "marked").mapInArrow(run, "path string, chunk_no int, chunk string")
+
+
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["path", "chunk_no", "chunk"])
+
+
 def split_structured(df: DataFrame, text: str = "text") -> DataFrame:
     return split_recursive(df, text, fv.TABLE_CHUNK, fv.TABLE_OVERLAP, TABLE_SEPARATORS)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from insight_spark.session import fresh_path
 
@@ -18,6 +18,8 @@ HOT_SHARE = 10_000
 HOT_LEAST = 100_000
 # An input below this size may be dealt anew to use all cores.
 SPREAD_BYTES = 256 << 20
+# Rows of one Arrow batch of texts or files for Python, so that it is bounded however large the input is.
+BATCH_ROWS = 256
 # Score cells computed at once inside a task.
 BLOCK_CELLS = 4_000_000
 
@@ -198,6 +200,14 @@ def value_at_index(
     )
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of the session hold more than BATCH_ROWS rows. It cannot be set back: it is read when a plan runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: nothing to release, nothing to lose."""
     path = fresh_path(df.sparkSession, label)

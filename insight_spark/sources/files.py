@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -82,6 +83,29 @@ def binary_files(spark: SparkSession, path: str, pattern: str | None = None) ->
     return reader.load(path)
 
 
+def text_lines(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
+    """(path, block, place, line, bytes, size): the lines of text files, read in splits.
+
+    Lines are in the order of ``block`` and ``place``; ``bytes`` is the length that a line has in its file of ``size``.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    # The path as the other readers name it: not escaped.
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return reader.text(path).select(
+        F.regexp_replace(plain, "^file:///", "file:/").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        F.coalesce(F.try_validate_utf8("value"), F.make_valid_utf8("value")).alias("line"),
+        F.octet_length("value").cast("long").alias("bytes"), F.col("_metadata.file_size").alias("size"),
+    )
+
+
+def no_glob(path: str) -> str:
+    """A path in which no character stands for others."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def scan_text(files: DataFrame) -> DataFrame:
     """One row per file: (path, source, type, text). ``files`` is (path, content)."""
     readable = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.make_valid_utf8(F.col("content").cast("string")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from insight_spark.functions.text import file_extension, file_name
-from insight_spark.operators.retrieval import cap_chunks, split_recursive, split_structured
+from insight_spark.operators.retrieval import cap_chunks, split_lines, split_recursive, split_structured
 from insight_spark.operators.profile import table_chunks
 from insight_spark.operators.relational import coerce_numeric, string_columns
 from insight_spark.operators.scale import kept
@@ -16,10 +16,12 @@ from insight_spark.sources import csv_records
 from insight_spark.sources.files import (
     binary_files,
     cell_chunks,
+    no_glob,
     part_chunks,
     scan_csv,
     scan_text,
     scan_workbook,
+    text_lines,
     word_parts,
     workbook_cells,
 )
@@ -72,7 +74,7 @@ def with_ids(pieces: DataFrame, conversation_id: str) -> DataFrame:
 
 
 def ingest_files(
-    files: DataFrame, conversation_id: str, cap: int | None = None, with_path: bool = False
+    files: DataFrame, conversation_id: str, cap: int | None = None, with_path: bool = False, texts: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks, status) of uploaded files (path, content).
 
@@ -81,7 +83,8 @@ def ingest_files(
     shows in the status. All chunks are returned unless ``cap`` limits them per
     conversation. No table is made here, so ``sql_table`` is null; see
     :func:`ingest_paths`. Large files are better named than handed over:
-    :func:`ingest_folder`.
+    :func:`ingest_folder`. ``texts`` are the paths of further, stored text files, which are
+    read in splits.
     """
     spark = files.sparkSession
     listed = files.select("path", "content", file_extension(F.col("path")).alias("_ext"))
@@ -91,22 +94,45 @@ def ingest_files(
     stored = spark.read.schema("path string, content binary, _ext string, kind string").parquet(place)
     of_kind = lambda ending: stored.filter(F.col("kind") == ending).select("path", "content")
     lines = csv_records.content_lines(of_kind("csv"))
-    chunks, status = _ingested(stored.select("path", "_ext"), lines, of_kind("xlsx"), of_kind("docx"), of_kind("txt"), conversation_id, cap)
+    plain, listing = _plain_pieces(of_kind("txt")), stored.select("path", "_ext")
+    if texts:
+        plain = plain.unionByName(_text_pieces(text_lines(spark, [no_glob(path) for path in texts])))
+        named = spark.createDataFrame([(path,) for path in texts], "path string")
+        listing = listing.unionByName(named.withColumn("_ext", file_extension(F.col("path"))))
+    chunks, status = _ingested(listing, lines, of_kind("xlsx"), of_kind("docx"), plain, conversation_id, cap)
     return chunks, status if with_path else status.drop("path")
 
 
 def ingest_folder(spark: SparkSession, folder, conversation_id: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """:func:`ingest_files` for all files below a folder (or folders), each kind loaded by its own ending.
 
-    CSV files are read in splits, so their size is not bounded by what one row or task holds.
+    CSV and text files are read in splits, so their size is not bounded by what one row or task holds.
     """
     listing = binary_files(spark, folder).select("path", file_extension(F.col("path")).alias("_ext"))
     load = lambda ending: binary_files(spark, folder, _any_case(ending)).select("path", "content")
     lines = csv_records.csv_lines(spark, folder, _any_case("csv"))
-    chunks, status = _ingested(listing, lines, load("xlsx"), load("docx"), load("txt"), conversation_id, cap)
+    plain = _text_pieces(text_lines(spark, folder, _any_case("txt")))
+    chunks, status = _ingested(listing, lines, load("xlsx"), load("docx"), plain, conversation_id, cap)
     return chunks, status.drop("path")
 
 
+def _plain_pieces(files: DataFrame) -> DataFrame:
+    """Chunks of text files (path, content) as :func:`_ingested` takes them."""
+    texts = scan_text(files).select("path", "text")
+    return _as_pieces(split_recursive(texts))
+
+
+def _text_pieces(lines: DataFrame) -> DataFrame:
+    return _as_pieces(split_lines(lines))
+
+
+def _as_pieces(chunks: DataFrame) -> DataFrame:
+    return chunks.select(
+        "path", F.lit("txt").alias("type"), F.lit(None).cast("int").alias("pos"),
+        F.lit(None).cast("array<string>").alias("columns"), "chunk_no", "chunk",
+    )
+
+
 def _any_case(ending: str) -> str:
     return "*." + "".join(f"[{c}{c.upper()}]" for c in ending)
 
@@ -114,20 +140,17 @@ def _any_case(ending: str) -> str:
 def _ingested(
     listed: DataFrame, lines: DataFrame, books: DataFrame, word: DataFrame, plain: DataFrame, conversation_id: str, cap: int | None
 ) -> tuple[DataFrame, DataFrame]:
-    """``listed`` is (path, _ext). Every file is parsed once: its parts, with errors as rows, and its chunks
+    """``listed`` is (path, _ext), ``plain`` the chunks of text files. Every file is parsed once: its parts, with errors as rows, and its chunks
     are kept in the shared folder, and chunks and status read them there."""
     cells, parts = kept(workbook_cells(books), "cells"), kept(word_parts(word), "parts")
     records = kept(csv_records.records(lines), "records")
     none = F.lit(None).cast("array<string>")
-    first = F.lit(None).cast("int")
     tables = csv_row_chunks(records).select("path", "type", F.col("row").alias("pos"), "text", "columns").unionByName(
         cell_chunks(cells).select("path", "type", F.col("row").alias("pos"), "text", none.alias("columns"))
     )
-    documents = part_chunks(parts).select("path", "type", F.col("position").alias("pos"), "text", none.alias("columns")).unionByName(
-        scan_text(plain).select("path", "type", first.alias("pos"), "text", none.alias("columns"))
-    )
+    documents = part_chunks(parts).select("path", "type", F.col("position").alias("pos"), "text", none.alias("columns"))
     split = split_structured(tables).withColumn("source_type", F.lit("csv")).unionByName(
-        split_recursive(documents).withColumn("source_type", F.lit("document"))
+        split_recursive(documents).unionByName(plain).withColumn("source_type", F.lit("document"))
     )
     pieces = kept(split, "pieces")
     chunks = capped(with_ids(pieces, conversation_id), cap)

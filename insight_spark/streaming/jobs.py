@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from insight_spark.functions.text import file_extension, file_name
 from insight_spark.operators.routing import classify_route
 from insight_spark.sources.chunk_store import write_chunks
+from insight_spark.sources.files import no_glob
 from insight_spark.sources.ingest import TABLE_TYPES, ingest_files, ingest_paths
 
 PROCESSING = "processing"
@@ -29,7 +30,8 @@ def stream_ingest_files(
     one final state. Before that state is written, what was derived from the
     conversation's chunks (vocabulary, search index) is dropped: each of ``derived`` is
     called with the conversation. With a ``table_folder`` structured files also become
-    tables, one import per file; only their paths, at most ``files_per_batch``, are named.
+    tables, one import per file. Only paths, at most ``files_per_batch``, come to the driver; text
+    files are read in splits and none is held as a whole.
     """
     files = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
@@ -50,13 +52,16 @@ def stream_ingest_files(
             "type": F.lit(None).cast("string"), "chunks": F.lit(None).cast("bigint"), "status": F.lit(PROCESSING),
             "error": F.lit(None).cast("string"),
         }), batch_id, 0)
-        contents = batch.select("path", "content")
         place = f"{chunk_path}/batch={batch_id}"
-        if table_folder:
-            tables = [r["path"] for r in named.filter(F.col("format").isin(*TABLE_TYPES)).select("path").toLocalIterator()]
-            contents = contents.filter(~ending.isin(*TABLE_TYPES))
-        chunks, status = ingest_files(contents, conversation_id, with_path=True)
-        if table_folder and tables:
+        # Files are read again by name: a filter on a batch would still read every content.
+        kinds = [(r["path"], r["format"]) for r in named.select("path", "format").toLocalIterator()]
+        texts = [path for path, kind in kinds if kind == "txt"]
+        tables = [path for path, kind in kinds if kind in TABLE_TYPES and table_folder]
+        others = [no_glob(path) for path, kind in kinds if kind != "txt" and not (kind in TABLE_TYPES and table_folder)]
+        empty = spark.createDataFrame([], "path string, content binary")
+        contents = spark.read.format("binaryFile").load(others).select("path", "content") if others else empty
+        chunks, status = ingest_files(contents, conversation_id, with_path=True, texts=texts)
+        if tables:
             table_chunks, table_status = ingest_paths(spark, tables, conversation_id, table_folder)
             chunks = chunks.unionByName(table_chunks)
             paths = named.select("path", "filename")
