@@ -9,10 +9,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from insight_spark.functions.text import file_name
-from insight_spark.operators.scale import join_null_safe, kept, number_rows
+from insight_spark.operators.scale import join_null_safe, kept, number_rows, small_batches
 from insight_spark.sources import csv_records, office
 
 WORD_SCHEMA = "path string, kind string, position int, text string, error string"
@@ -20,8 +21,8 @@ CELL_SCHEMA = (
     "path string, sheet_no int, sheet string, kind string, row int, names array<string>, cells array<string>, error string"
 )
 SAMPLE_ROWS = 3
-# Rows of a file or sheet that are handed on together.
-ROWS_HELD = 5000
+# Rows, and characters of them, that are handed on together.
+ROWS_HELD, HELD_CHARACTERS = 5000, 4 << 20
 # Types that CSV columns are tried for, in this order, and what their values look like.
 WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 INFERRED = {
@@ -121,23 +122,32 @@ def _word_rows(path: str, content: bytes) -> Iterator[tuple]:
     yield path, "summary", None, f"Paragraphs: {counts['paragraph']}\nTables: {counts['table']}", None
 
 
-def _each_file(read, columns: list[str], empty: tuple):
-    """mapInPandas body: the rows that ``read`` gives per file, in frames of ROWS_HELD; an unreadable file gives one
-    error row instead of what comes after the error."""
+def _each_file(read, columns: dict[str, pa.DataType], empty: tuple):
+    """mapInArrow body: the rows that ``read`` gives per file, ROWS_HELD or HELD_CHARACTERS of them together; an
+    unreadable file gives one error row instead of what comes after the error."""
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), columns.values())], names=list(columns))
+
     def run(batches):
+        ready, letters = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                held = []
+            for i in range(batch.num_rows):
+                held, path = [], batch.column(0)[i].as_py()
                 try:
-                    for row in read(path, bytes(content)):
+                    for row in read(path, batch.column(1)[i].as_py()):
                         held.append(row)
                         if len(held) == ROWS_HELD:
-                            yield pd.DataFrame(held, columns=columns)
+                            yield batch_of(held)
                             held = []
                 except Exception as problem:  # one bad file must not fail the batch
                     held = [(path, *empty, f"{type(problem).__name__}: {problem}")]
-                if held:
-                    yield pd.DataFrame(held, columns=columns)
+                ready += held
+                letters += sum(len(value) for row in held for value in row if isinstance(value, str))
+                if len(ready) >= ROWS_HELD or letters >= HELD_CHARACTERS:
+                    yield batch_of(ready)
+                    ready, letters = [], 0
+        if ready:
+            yield batch_of(ready)
 
     return run
 
@@ -145,11 +155,9 @@ def _each_file(read, columns: list[str], empty: tuple):
 def word_parts(files: DataFrame) -> DataFrame:
     """Parts of Word files: (path, kind, position, text, error); kind is summary,
     paragraph, table or error."""
-    names = ["path", "kind", "position", "text", "error"]
-    parts = files.select("path", "content").mapInPandas(
-        _each_file(_word_rows, names, ("error", None, None)), WORD_SCHEMA.replace("position int", "position double")
-    )
-    return parts.withColumn("position", F.nanvl("position", F.lit(None).cast("double")).cast("int"))
+    small_batches(files.sparkSession)
+    columns = {"path": pa.string(), "kind": pa.string(), "position": pa.int32(), "text": pa.string(), "error": pa.string()}
+    return files.select("path", "content").mapInArrow(_each_file(_word_rows, columns, ("error", None, None)), WORD_SCHEMA)
 
 
 def scan_docx(files: DataFrame) -> DataFrame:
@@ -189,10 +197,13 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     Kind "row" is a data row, numbered from 0 below the header in ``names``; kind
     "sheet" has the number of rows and, in ``cells``, three sample lines.
     """
-    names = ["path", "sheet_no", "sheet", "kind", "row", "names", "cells", "error"]
-    return files.select("path", "content").mapInPandas(
-        _each_file(_sheet_rows, names, (0, None, "error", 0, None, None)), CELL_SCHEMA
-    )
+    small_batches(files.sparkSession)
+    texts = pa.list_(pa.string())
+    columns = {
+        "path": pa.string(), "sheet_no": pa.int32(), "sheet": pa.string(), "kind": pa.string(), "row": pa.int32(),
+        "names": texts, "cells": texts, "error": pa.string(),
+    }
+    return files.select("path", "content").mapInArrow(_each_file(_sheet_rows, columns, (0, None, "error", 0, None, None)), CELL_SCHEMA)
 
 
 def scan_workbook(files: DataFrame, header: list[str] | None = None, sheet_no: int = 0) -> DataFrame:

@@ -4,7 +4,9 @@ import io
 import tracemalloc
 import zipfile
 
+import pyarrow as pa
 
+from insight_spark.plans.office_samples import word_file
 from insight_spark.sources import files, office
 
 HEAD = '<?xml version="1.0"?>'
@@ -98,3 +100,12 @@ def test_word_blocks_inside_tables_belong_to_them():
         archive.writestr("word/document.xml", f"{HEAD}<w:document {ns}><w:body>{body}</w:body></w:document>")
     out.seek(0)
     assert list(office.word_blocks(out)) == [("paragraph", 0, "one"), ("table", 0, "a\nb | c"), ("paragraph", 1, ""), ("paragraph", 2, "two")]
+
+
+def test_small_files_are_handed_on_together():
+    rows = [(f"/in/{i}.docx", word_file([f"line {i}"]) if i != 7 else b"broken") for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], names=["path", "content"])
+    columns = {"path": pa.string(), "kind": pa.string(), "position": pa.int32(), "text": pa.string(), "error": pa.string()}
+    out = list(files._each_file(files._word_rows, columns, ("error", None, None))([batch]))
+    assert len(out) == 1 and out[0].num_rows == 2 * 49 + 1
+    assert [r["path"] for r in out[0].to_pylist() if r["error"]] == ["/in/7.docx"]
