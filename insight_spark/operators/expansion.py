@@ -24,24 +24,39 @@ def near_pairs(docs: DataFrame, text: str = "text", window: int = WINDOW, tokens
     Each task adds up its own documents before anything is shuffled, so a word that is
     everywhere is no more rows than any other.
     """
+    return _partial_pairs(docs, text, window, tokens).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _partial_pairs(docs: DataFrame, text: str = "text", window: int = WINDOW, tokens: Callable = tokenize_words) -> DataFrame:
+    """(a, b, n) as each task counts them, TOKENS words at a time."""
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             lists = batch.column(0)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
             start = 0
-            while start < len(sizes):
+            while start < len(ends):
+                # Batches are put together, or cut, to TOKENS: few partial counts of a pair leave the task.
                 before = int(ends[start - 1]) if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, before + TOKENS, "right")))
-                found = _counted(lists.slice(start, stop - start), window)
-                if found.num_rows:
-                    yield found
+                stop = max(start + (not size), int(np.searchsorted(ends, before + TOKENS - size, "right")))
+                held.append(lists.slice(start, stop - start))
+                size += int(ends[stop - 1] - before) if stop > start else 0
                 start = stop
+                if start < len(ends) or size >= TOKENS:
+                    yield from _some(held, window)
+                    held, size = [], 0
+        yield from _some(held, window)
 
     listed = docs.select(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-    partial = listed.mapInArrow(run, "a string, b string, n long")
-    return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return listed.mapInArrow(run, "a string, b string, n long")
+
+
+def _some(held: list, window: int):
+    if held:
+        found = _counted(pa.concat_arrays(held), window)
+        if found.num_rows:
+            yield found
 
 
 def _counted(lists: pa.Array, window: int) -> pa.RecordBatch:

@@ -55,3 +55,17 @@ def test_terms_that_belong_together(spark):
     found = {r["term"]: r["expansion"] for r in terms.collect()}
     assert found["harbour"] == "vessel" and found["cattle"] == "meadow"
     assert expansion.expansion_terms(expansion.mutual_information(expansion.near_pairs(frame.limit(0)))).count() == 0
+
+
+def test_small_batches_are_counted_together(spark):
+    # Forty batches of one document once gave forty partial counts of the pair.
+    docs = spark.range(40).coalesce(1).selectExpr("'left right' AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        pairs = expansion.near_pairs(docs)
+        assert [tuple(r) for r in pairs.collect()] == [("left", "right", 40)]
+        partial = expansion._partial_pairs(docs)
+        assert [tuple(r) for r in partial.collect()] == [("left", "right", 40)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
