@@ -7,15 +7,17 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from insight_spark.functions import fixed_values as fv
 from insight_spark.functions.text import name_tokens, preview_text, tokenize_words
 from insight_spark.operators import nearest
 from insight_spark.operators.postings import PostingIndex
-from insight_spark.operators.scale import small_batches, top_n_per_group
+from insight_spark.operators.scale import join_null_safe, kept, small_batches, top_n_per_group
 from insight_spark.session import fresh_path
 
 PROSE_SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
@@ -274,20 +276,41 @@ def source_vocabulary(
 def build_postings(
     docs: DataFrame, doc_id: str, text: str = "text", tokens: Column | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings: term, doc, tf), (document frequency per term), (length per doc)."""
-    words = docs.select(doc_id, (tokenize_words(F.col(text)) if tokens is None else tokens).alias("_t"))
-    postings = (
-        words.select(doc_id, F.explode("_t").alias("term"))
-        .groupBy("term", doc_id)
-        .agg(F.count("*").alias("tf"))
-    )
-    frequency = (
-        words.select(F.explode(F.array_distinct("_t")).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
+    """(postings: doc, term, tf, dl), (document frequency per term), (length per doc).
+
+    A text is tokenised once and its words are counted where it is read; the three tables come from what that
+    pass wrote. Texts of one id are one document; a posting stands once for each of their lengths.
+    """
+    small_batches(docs.sparkSession)
+    words = docs.select(doc_id, (tokenize_words(F.col(text)) if tokens is None else tokens).alias("tokens"))
+    kind = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, term string, tf bigint, dl bigint"
+    counted = kept(words.mapInArrow(_word_counts, kind), "word-counts")
+    lengths = counted.filter(F.col("term").isNull()).select(doc_id, "dl")
+    postings = counted.filter(F.col("term").isNotNull())
+    if lengths.groupBy(doc_id).count().filter("count > 1").isEmpty():
+        return postings, postings.groupBy("term").agg(F.count("*").alias("df")), lengths
+    merged = kept(postings.groupBy(doc_id, "term").agg(F.sum("tf").alias("tf")), "postings")
+    return (
+        join_null_safe(merged, lengths, [doc_id]).select(doc_id, "term", "tf", "dl"),
+        merged.groupBy("term").agg(F.count("*").alias("df")), lengths,
     )
-    lengths = words.select(doc_id, F.size("_t").cast("bigint").alias("dl"))
-    return postings, frequency, lengths
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per word of a text with its count, and one without a word for the text itself."""
+    for batch in batches:
+        tokens, rows = batch.column(1), batch.num_rows
+        sizes = pc.list_value_length(tokens)
+        length = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = tokens.flatten().dictionary_encode()
+        key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * rows + np.repeat(np.arange(rows), length)
+        key, tf = np.unique(key, return_counts=True)
+        term, doc = key // rows, key % rows
+        ids, names = batch.column(0), [batch.schema.names[0], "term", "tf", "dl"]
+        listed = [ids.take(pa.array(doc)), coded.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int64)), pa.array(length[doc])]
+        yield pa.RecordBatch.from_arrays(listed, names=names)
+        whole = [ids, pa.nulls(rows, pa.string()), pa.nulls(rows, pa.int64()), sizes.cast(pa.int64())]
+        yield pa.RecordBatch.from_arrays(whole, names=names)
 
 
 def lexical_index(

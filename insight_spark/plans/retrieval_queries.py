@@ -129,8 +129,10 @@ dl AS (SELECT doc_id, len(ws) AS dl FROM words)"""
 @query("build_postings", f"""
 WITH {POSTINGS_SQL} SELECT tf.term, tf.doc_id, tf.tf, freq.df, dl.dl::BIGINT AS dl FROM tf JOIN freq USING (term) JOIN dl USING (doc_id)""")
 def build_postings(t: Tables) -> DataFrame:
-    postings, frequency, lengths = ret.build_postings(documents(t), "doc_id")
-    return postings.join(frequency, "term").join(lengths, "doc_id")
+    postings, frequency, _ = ret.build_postings(documents(t), "doc_id")
+    # The vocabulary is the small side: each task holds its share of it, and the postings are not sorted.
+    found = postings.filter(F.col("doc_id").isNotNull()).join(frequency.hint("shuffle_hash"), "term")
+    return found.select("doc_id", "term", "tf", "df", "dl")
 
 
 # --- Top-k ------------------------------------------------------------------

@@ -208,6 +208,22 @@ def test_an_index_gives_the_same_hits(spark):
     assert index.documents() == docs.count()
 
 
+def test_postings_of_repeated_and_missing_ids(spark):
+    rows = [(1, "apple pear apple"), (1, "apple plum"), (2, "pear"), (3, "the 12"), (4, None), (None, "apple")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    postings, frequency, lengths = ret.build_postings(docs, "doc_id")
+    assert {(r["term"], r["df"]) for r in frequency.collect()} == {("apple", 2), ("pear", 2), ("plum", 1)}
+    assert sorted((r["doc_id"] or 0, r["dl"] or 0) for r in lengths.collect()) == [(0, 1), (1, 2), (1, 3), (2, 1), (3, 0), (4, 0)]
+    found = sorted((r["doc_id"] or 0, r["term"], r["tf"], r["dl"]) for r in postings.collect())
+    assert found == [(0, "apple", 1, 1), (1, "apple", 3, 2), (1, "apple", 3, 3), (1, "pear", 1, 2), (1, "pear", 1, 3), (1, "plum", 1, 2), (1, "plum", 1, 3), (2, "pear", 1, 1)]
+
+
+def test_postings_read_the_texts_once(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    for table in ret.build_postings(docs, "doc_id"):
+        assert "text" not in table._jdf.queryExecution().analyzed().toString()
+
+
 def test_session_retrieval_stays_in_its_conversation(spark):
     from insight_spark.session import fresh_path
     from insight_spark.sources.session_store import SessionStore
