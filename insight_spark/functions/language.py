@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -61,9 +62,17 @@ def script_language(text: Column) -> Column:
         fv.SCRIPTS[1:],
         F.when(_share(text, fv.SCRIPTS[0][1]) > fv.SCRIPTS[0][2], F.lit(fv.SCRIPTS[0][0])),
     )
-    # One pass tells texts without any such character, which is nearly all of them.
-    anything = "[" + "".join(rule[1].strip("[]") for rule in fv.SCRIPTS) + "]"
-    return F.when(text.rlike(anything), found)
+    return F.when(_occurs(text, [rule[1] for rule in fv.SCRIPTS]), found)
+
+
+def _occurs(text: Column, character_classes: list[str]) -> Column:
+    """True when a character of any of the classes occurs.
+
+    Nearly all texts have none: a pass over one range, from the first character of the classes on, tells most of them.
+    """
+    inside = "".join(characters.strip("[]") for characters in character_classes)
+    least = min(re.findall(r"\\x\{([0-9A-F]+)\}", inside), key=lambda point: int(point, 16))
+    return text.rlike(rf"[\x{{{least}}}-\x{{10FFFF}}]") & text.rlike(f"[{inside}]")
 
 
 def word_profile_language(text: Column) -> Column:
@@ -71,24 +80,25 @@ def word_profile_language(text: Column) -> Column:
     codes = list(COMMON_WORDS)
     listed = {code: words.split() for code, words in COMMON_WORDS.items()}
     known = sorted({word for words in listed.values() for word in words})
-    words = F.filter(
-        F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)), lambda word: word.isin(*known)
-    )
 
-    def marked(code: str) -> Column:
+    def marked(code: str, letters: Column) -> Column:
         if code not in MARKER_LETTERS:
             return F.lit(0)
-        return F.when(F.lower(text).rlike(f"[{MARKER_LETTERS[code]}]"), 2).otherwise(0)
+        return F.when(letters.rlike(f"[{MARKER_LETTERS[code]}]"), 2).otherwise(0)
+
+    def scores(lower: Column) -> Column:
+        words = F.filter(F.regexp_extract_all(lower, F.lit(r"(\p{L}+)"), F.lit(1)), lambda word: word.isin(*known))
+        return let(
+            # All marker letters lie beyond ASCII, so they are looked for in the few letters that do.
+            F.struct(words.alias("words"), F.regexp_replace(lower, r"[\x00-\x7F]++", "").alias("letters")),
+            lambda found: F.array(
+                *[F.size(F.filter(found["words"], _listed_in(listed[code]))) + marked(code, found["letters"]) for code in codes]
+            ),
+        )
 
-    scores = let(
-        words,
-        lambda found: F.array(
-            *[F.size(F.filter(found, _listed_in(listed[code]))) + marked(code) for code in codes]
-        ),
-    )
     names = F.array(*[F.lit(code) for code in codes])
     return let(
-        scores,
+        let(F.lower(text), scores),
         lambda s: F.when(
             F.array_max(s) > 0, F.element_at(names, F.array_position(s, F.array_max(s)).cast("int"))
         ),
@@ -106,8 +116,7 @@ def alphabet_language(text: Column) -> Column:
         codes[1:],
         F.when(_share(text, ALPHABETS[codes[0]]) > ALPHABET_SHARE, F.lit(codes[0])),
     )
-    anything = "[" + "".join(letters.strip("[]") for letters in ALPHABETS.values()) + "]"
-    return F.when(text.rlike(anything), found)
+    return F.when(_occurs(text, list(ALPHABETS.values())), found)
 
 
 def detect_language(text: Column) -> Column:

@@ -101,3 +101,18 @@ def test_learned_profiles_tell_the_documents(spark, small):
     unseen = docs.filter("doc_id % 2 = 1").select("lang", lang.detect_by_profiles(F.col("text"), profiles).alias("found"))
     right = {r["lang"]: r["share"] for r in unseen.groupBy("lang").agg(F.avg((F.col("lang") == F.col("found")).cast("int")).alias("share")).collect()}
     assert len(right) == 4 and min(right.values()) >= 0.95
+
+
+def test_marker_letters_and_scripts_among_other_signs(spark):
+    rows = [
+        ("STRASSE \u00dc \u2013 x", "de"), ("\u0131", "tr"), ("ANO \u00d1", "es"), ("\u00e7", "fr"), ("\u2013 \u20ac \U0001f600", "en"), ("", "en"), (None, "en"),
+        ("\u0627\u0628\u062a \u2013", "ar"), ("\u043f\u0440\u0438 \u0432\u0435\u0442", "ru"), ("the " * 40 + "\u0627 \u0434", "en"),
+    ]
+    found = spark.createDataFrame(rows, "text string, want string").withColumn("found", lang.detect_language(F.col("text")))
+    assert [r for r in found.collect() if r["found"] != r["want"]] == []
+
+
+def test_a_text_is_searched_for_rare_letters_once(spark):
+    # Each pass over a whole text is a search in the text or in its lower case; there was one per language.
+    plan = spark.range(1).select(lang.word_profile_language(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE(lower(" not in plan and plan.count("lower(") == 1, plan
