@@ -67,15 +67,18 @@ class PostingIndex:
 
     def add(
         self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str | None = None,
-        tokens: Callable = tokenize_words, replace: bool = False,
+        tokens: Callable = tokenize_words, replace: bool = False, stored: str | None = None,
     ) -> None:
         """Index documents; with ``replace`` the scopes that occur in them are written anew.
 
-        A document without a word counts in the statistics. Ids must not repeat within a scope.
+        A document without a word counts in the statistics. Ids must not repeat within a scope. ``stored`` names
+        the column of a written table that has the words already; the texts are not read then.
         """
         in_scope = F.col(scope).cast("string") if scope else F.lit(ALL)
-        words = docs.select(in_scope.alias("scope"), F.col(doc_id).alias("doc"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-        words = kept(words.withColumn("length", F.size("tokens")), "tokens")
+        found = F.col(stored) if stored else tokens(F.col(text))
+        words = docs.select(in_scope.alias("scope"), F.col(doc_id).alias("doc"), F.coalesce(found, F.array().cast("array<string>")).alias("tokens"))
+        words = words.withColumn("length", F.size("tokens"))
+        words = words if stored else kept(words, "tokens")
         sizes = kept(words.groupBy("scope").agg(F.count("*").alias("documents"), F.sum("length").alias("length")), "sizes")
         cores = self.spark.sparkContext.defaultParallelism
         shards = F.greatest(

@@ -202,9 +202,12 @@ def embed_text(df: DataFrame, text: str = "text", width: int = 256, embedder=Non
     return embed_with(df, embedding_weights(df, text, width), text)
 
 
-def _hashed(df: DataFrame, text: str, width: int) -> DataFrame:
+def hashed_words(df: DataFrame, text: str = "text", width: int = 256) -> DataFrame:
+    """Add the words of the text (``_words``) and their counts in ``width`` buckets (``_tf``), unless they are there."""
     from pyspark.ml.feature import HashingTF
 
+    if "_tf" in df.columns:
+        return df
     words = F.coalesce(tokenize_words(F.col(text)), F.array().cast("array<string>"))
     return HashingTF(numFeatures=width, inputCol="_words", outputCol="_tf").transform(df.withColumn("_words", words))
 
@@ -213,17 +216,17 @@ def embedding_weights(df: DataFrame, text: str = "text", width: int = 256) -> li
     """The IDF weight of each of ``width`` buckets of hashed words."""
     from pyspark.ml.feature import IDF
 
-    return IDF(inputCol="_tf", outputCol="_idf").fit(_hashed(df.select(text), text, width)).idf.toArray().tolist()
+    return IDF(inputCol="_tf", outputCol="_idf").fit(hashed_words(df, text, width).select("_tf")).idf.toArray().tolist()
 
 
 def embed_with(df: DataFrame, weights: list[float], text: str = "text") -> DataFrame:
-    """:func:`embed_text` with given weights."""
+    """:func:`embed_text` with given weights; a table of :func:`hashed_words` is not tokenised again."""
     from pyspark.ml.feature import ElementwiseProduct, Normalizer
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import Vectors
 
     product = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_idf")
-    weighted = product.transform(_hashed(df, text, len(weights)))
+    weighted = product.transform(hashed_words(df, text, len(weights)))
     unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighted)
     return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_idf", "_unit")
 

@@ -26,12 +26,14 @@ class SessionStore:
 
     def add(self, chunks: DataFrame) -> None:
         """Store chunks (chunk_id, conversation, text); conversations that occur in them are replaced."""
-        given = kept(chunks.select("chunk_id", F.col("conversation").alias("conversation_id"), "text"), "chunks")
+        # A text is tokenised once: weights, vectors and postings all come from the stored words.
+        named = chunks.select("chunk_id", F.col("conversation").alias("conversation_id"), "text")
+        given = kept(ret.hashed_words(named, "text", self.width), "chunks")
         if not self._has_weights():
             fitted = ret.embedding_weights(given, "text", self.width)
             self.spark.createDataFrame([(fitted,)], "weights array<double>").write.parquet(f"{self.path}/weights")
         chunk_store.write_chunks(ret.embed_with(given, self.weights(), "text"), f"{self.path}/chunks")
-        self.index.add(given, "chunk_id", "text", "conversation_id", replace=True)
+        self.index.add(given, "chunk_id", "text", "conversation_id", replace=True, stored="_words")
 
     def _has_weights(self) -> bool:
         jvm = self.spark.sparkContext._jvm

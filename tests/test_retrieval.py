@@ -224,6 +224,24 @@ def test_postings_read_the_texts_once(spark):
         assert "text" not in table._jdf.queryExecution().analyzed().toString()
 
 
+def test_stored_words_serve_vectors_and_postings(spark):
+    from insight_spark.operators.scale import kept
+    from insight_spark.session import fresh_path
+
+    docs = spark.createDataFrame([*corpus(), (99, "the 12"), (100, None)], "doc_id long, text string")
+    stored = kept(ret.hashed_words(docs, "text", 32), "words")
+    weights = ret.embedding_weights(docs, "text", 32)
+    bare = stored.drop("text")  # whatever reads a text again fails
+    assert ret.embedding_weights(bare, "text", 32) == weights
+    vectors = lambda df: sorted((r["doc_id"], list(r["embedding"])) for r in ret.embed_with(df, weights).collect())
+    assert vectors(bare) == vectors(docs)
+    index = postings.PostingIndex(spark, fresh_path(spark, "postings"), "bigint")
+    index.add(bare, stored="_words")
+    plain = ret.lexical_index(docs)
+    count = lambda found: {(r["term"], r["df"]) for r in found.frequency().collect()}
+    assert count(index) == count(plain) and index.sizes().first() == plain.sizes().first()
+
+
 def test_session_retrieval_stays_in_its_conversation(spark):
     from insight_spark.session import fresh_path
     from insight_spark.sources.session_store import SessionStore
