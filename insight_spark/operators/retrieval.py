@@ -8,7 +8,6 @@ from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -24,6 +23,8 @@ PROSE_SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 TABLE_SEPARATORS = ["\n\n", "\n"]
 # Characters of chunks that are handed on together.
 CHUNK_CHARACTERS = 1 << 20
+# What ``str.strip`` takes off; there is no white space beyond U+3000.
+SPACES = "".join(filter(str.isspace, map(chr, range(0x3001))))
 
 
 # --- Chunks -----------------------------------------------------------------
@@ -105,16 +106,22 @@ def split_recursive(
     overlap: int = fv.PROSE_OVERLAP,
     separators: list[str] | None = None,
 ) -> DataFrame:
-    """One row per chunk: the input columns, ``chunk_no`` from 0 and ``chunk``."""
+    """One row per chunk: the input columns, ``chunk_no`` from 0 and ``chunk``.
+
+    A text shorter than ``size`` is one chunk whatever its separators; only longer ones go to Python.
+    """
     cuts = PROSE_SEPARATORS if separators is None else separators
     small_batches(df.sparkSession)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(split_text(t, size, overlap, cuts)) if t else [])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def chunks(texts: pa.Array) -> pa.Array:
+        return pa.array([list(split_text(t, size, overlap, cuts)) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
+    whole = F.col(text)
+    short, bare = F.length(whole) < size, F.btrim(whole, F.lit(SPACES))
+    found = F.when(short, F.when(bare != "", F.array(bare))).otherwise(chunks(F.when(~short, whole)))
     others = [name for name in df.columns if name != text]
-    return df.select(*others, F.posexplode(chunks(F.col(text))).alias("chunk_no", "chunk"))
+    return df.select(*others, F.posexplode(found).alias("chunk_no", "chunk"))
 
 
 def split_lines(

@@ -109,3 +109,29 @@ def test_small_files_are_handed_on_together():
     out = list(files._each_file(files._word_rows, columns, ("error", None, None))([batch]))
     assert len(out) == 1 and out[0].num_rows == 2 * 49 + 1
     assert [r["path"] for r in out[0].to_pylist() if r["error"]] == ["/in/7.docx"]
+
+
+def _word(body, after=""):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("word/document.xml", f"{HEAD}<w:document {ns}><w:body>{body}</w:body>{after}</w:document>")
+    return out
+
+
+def test_a_small_word_text_is_parsed_at_once_like_a_large_one(monkeypatch):
+    body = (
+        "<w:p><w:r><w:t>a</w:t><w:br/><w:t> b </w:t><w:tab/></w:r></w:p><w:sect><w:p><w:t>not the body's own</w:t></w:p></w:sect>"
+        "<w:tbl><w:tr><w:tc><w:p><w:t>x</w:t></w:p><w:tbl/></w:tc></w:tr></w:tbl><w:p><!-- c --><w:hyperlink><w:t>l</w:t></w:hyperlink></w:p>"
+    )
+    made = [_word(body), _word(body, after="<w:note><w:p/></w:note>"), _word("")]
+    monkeypatch.setattr(office, "WHOLE_BYTES", -1)
+    slow = [list(office.word_blocks(f)) for f in made]
+    assert slow[0] == [("paragraph", 0, "a\n b"), ("table", 0, "x"), ("paragraph", 1, "l")] == slow[1]
+    monkeypatch.undo()
+
+    def never(*_):
+        raise AssertionError("parsed event by event")
+
+    monkeypatch.setattr(office.ElementTree, "iterparse", never)
+    assert [list(office.word_blocks(f)) for f in made] == slow

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from insight_spark.functions import fixed_values as fv
 from insight_spark.operators import retrieval as ret
 from insight_spark.session import fresh_path
 from insight_spark.sources import files, ingest
@@ -93,3 +94,20 @@ def test_texts_go_to_python_in_small_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     ret.split_structured(spark.range(1).select(F.lit("x").alias("text")))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+
+
+def test_only_texts_of_the_size_and_longer_go_to_python(spark):
+    class Never:
+        def __iter__(self):
+            raise AssertionError("a short text was split in Python")
+
+    assert set(ret.SPACES) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+    texts = [None, "", " \x1c　", "a", "\x85  a \n\n b\x1f\n", "x. y" * 249, " " + "é" * 998, "​ a"]
+    given = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = ret.split_recursive(given, separators=Never()).orderBy("i", "chunk_no").collect()
+    assert [tuple(r) for r in found] == [(i, 0, t.strip()) for i, t in enumerate(texts) if t and t.strip()]
+    long = [t * n for t in ("ab", "a b\n", " \n\n", "a. ") for n in (250, 333, 500, 2000)] + [" " * 999 + "x", "y" * 1000]
+    given = spark.createDataFrame(list(enumerate(long)), "i int, text string")
+    for split, sizes in ((ret.split_recursive, (1000, 200, ret.PROSE_SEPARATORS)), (ret.split_structured, (fv.TABLE_CHUNK, fv.TABLE_OVERLAP, ret.TABLE_SEPARATORS))):
+        found = split(given).orderBy("i", "chunk_no").collect()
+        assert [tuple(r) for r in found] == [(i, n, c) for i, t in enumerate(long) for n, c in enumerate(ret.split_text(t, *sizes))]
