@@ -87,14 +87,18 @@ def split_blocks(blocks: Iterable[str], size: int, overlap: int, separators: lis
             continue
         yield from packer.end()
         if finer:
-            yield from split_text(piece, size, overlap, finer)
+            yield from _chunks_of(piece, size, overlap, finer)
         else:
             yield piece
     yield from packer.end()
 
 
-def split_text(text: str, size: int, overlap: int, separators: list[str]) -> Iterator[str]:
+def split_text(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
     """Chunks of one text: the coarsest separator that occurs, finer ones only inside pieces that are still too long."""
+    return list(_chunks_of(text, size, overlap, separators))
+
+
+def _chunks_of(text: str, size: int, overlap: int, separators: list[str]) -> Iterator[str]:
     present = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
     return split_blocks([text], size, overlap, separators[present:])
 
@@ -115,7 +119,7 @@ def split_recursive(
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def chunks(texts: pa.Array) -> pa.Array:
-        return pa.array([list(split_text(t, size, overlap, cuts)) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([split_text(t, size, overlap, cuts) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
     whole = F.col(text)
     short, bare = F.length(whole) < size, F.btrim(whole, F.lit(SPACES))
