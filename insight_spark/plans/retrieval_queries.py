@@ -35,14 +35,17 @@ def split_recursive(t: Tables) -> DataFrame:
 @query("split_recursive_bounds", """
 SELECT doc_id, true AS within_size, true AS in_text, true AS opens, true AS closes FROM documents WHERE regexp_matches(text, '\\S')""")
 def split_recursive_bounds(t: Tables) -> DataFrame:
-    """Per document: no chunk is too long, all are parts of the text, the first opens it and the last closes it."""
-    chunks = ret.split_recursive(documents(t)).join(t.documents.select("doc_id", F.trim("text").alias("whole")), "doc_id")
-    bare = F.regexp_replace("whole", r"^\s+|\s+$", "")
-    return chunks.groupBy("doc_id").agg(
+    """Per document: no chunk is too long, all are parts of the text, the first opens it and the last closes it.
+
+    A text is trimmed once and goes along with its chunks, which are added up where they are cut: no text is shuffled.
+    """
+    whole = F.btrim("text", F.lit(ret.SPACES))
+    given = documents(t).select("doc_id", "text", whole.alias("whole"), F.monotonically_increasing_id().alias("row"))
+    return ret.split_recursive(given).groupBy("row", "doc_id").agg(
         (F.max(F.length("chunk")) <= fv.PROSE_CHUNK).alias("within_size"), F.bool_and(F.contains("whole", "chunk")).alias("in_text"),
-        F.min_by(F.startswith(bare, F.col("chunk")), "chunk_no").alias("opens"),
-        F.max_by(F.endswith(bare, F.col("chunk")), "chunk_no").alias("closes"),
-    )
+        F.min_by(F.startswith("whole", "chunk"), "chunk_no").alias("opens"),
+        F.max_by(F.endswith("whole", "chunk"), "chunk_no").alias("closes"),
+    ).drop("row")
 
 
 @query("split_structured")

@@ -260,3 +260,20 @@ def test_session_retrieval_stays_in_its_conversation(spark):
     store.add(spark.createDataFrame([("5", "a", "willows by the lake"), ("6", "a", "quiet evening")], kind))
     assert best() == {7: "5", 8: "4"}
     assert store.delete("b") and best() == {7: "5"} and store.chunks().count() == 2
+
+
+def test_bounds_of_chunks_hold_per_row_and_no_text_is_joined(spark, tmp_path):
+    """Repeated and missing ids, and white space that only ``str.strip`` takes off."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = [(1, "a. b\n" * 900), (1, "other words " * 300), (None, "x"), (2, "\u00a0 opens" + " y" * 700 + " "), (3, " \n"), (4, None), (5, "z" * 2500)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.queries()["split_recursive_bounds"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["split_recursive_bounds"]).fetchall()
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want)) and len(want) == 5
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
