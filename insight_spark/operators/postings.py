@@ -58,9 +58,11 @@ class PostingIndex:
     def scoped_frequency(self) -> DataFrame:
         return self.blocks().groupBy("scope", "term").agg(F.sum("n").alias("df"))
 
-    def frequency(self) -> DataFrame:
-        """(term, df) over all scopes."""
-        return self.blocks().groupBy("term").agg(F.sum("n").alias("df"))
+    def frequency(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df) over all scopes, of all words or of those in ``terms`` (term)."""
+        blocks = self.blocks().select("term", "n")
+        wanted = blocks if terms is None else blocks.join(terms, "term", "left_semi")
+        return wanted.groupBy("term").agg(F.sum("n").alias("df"))
 
     def documents(self) -> int:
         return self.sizes().agg(F.sum("documents")).first()[0] or 0
@@ -77,7 +79,9 @@ class PostingIndex:
         in_scope = F.col(scope).cast("string") if scope else F.lit(ALL)
         found = F.col(stored) if stored else tokens(F.col(text))
         words = docs.select(in_scope.alias("scope"), F.col(doc_id).alias("doc"), F.coalesce(found, F.array().cast("array<string>")).alias("tokens"))
-        words = words.withColumn("length", F.size("tokens"))
+        # Words of letters travel as one text; those of another tokeniser may hold blanks.
+        held = F.array_join("tokens", " ") if tokens is tokenize_words else F.col("tokens")
+        words = words.select("scope", "doc", held.alias("tokens"), F.size("tokens").alias("length"))
         words = words if stored else kept(words, "tokens")
         sizes = kept(words.groupBy("scope").agg(F.count("*").alias("documents"), F.sum("length").alias("length")), "sizes")
         cores = self.spark.sparkContext.defaultParallelism
@@ -88,18 +92,23 @@ class PostingIndex:
         shape = sizes.select("scope", "documents", F.col("length").alias("total")).select(
             "scope", shards.cast("int").alias("shards"), (F.col("total") / F.col("documents")).alias("mean")
         )
+        # Tasks by the number of shards: the bytes they are made of would give few of them.
+        few = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
+        parts = max(1, min(shape.agg(F.sum("shards")).first()[0] or 1, few))
         batch = uuid.uuid4().hex[:8]
         placed = words.join(shape, "scope").select(
             "scope", "doc", "tokens", "mean",
             F.concat(F.lit(f"{batch}-"), F.pmod(F.xxhash64("doc"), "shards").cast("string")).alias("shard"),
         )
         kind = f"scope string, shard string, term string, docs array<{self.id_type}>, tfs array<int>, lengths array<int>, n bigint, peak double, mean double"
-        made = placed.groupBy("scope", "shard").applyInArrow(_shard_blocks, kind)
+        made = placed.repartition(parts, "scope", "shard").groupBy("scope", "shard").applyInArrow(_shard_blocks, kind)
         for frame, name in ((made, "blocks"), (sizes, "sizes")):
-            (
-                frame.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
-                .partitionBy("scope").parquet(f"{self.path}/{name}")
-            )
+            out = frame.write if scope else frame.drop("scope").write
+            out = out.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
+            if scope:
+                out.partitionBy("scope").parquet(f"{self.path}/{name}")
+            else:  # one folder: its rows need not be sorted by scope
+                out.parquet(f"{self.path}/{name}/scope={ALL}")
 
     def delete(self, scope: str) -> bool:
         """Remove what one scope has in the index."""
@@ -118,61 +127,80 @@ class PostingIndex:
         k: int = fv.CANDIDATES, scope: str | None = None, tokens: Callable = tokenize_words,
     ) -> DataFrame:
         """(query, doc, score, rank): the best ``k`` documents of its scope per query."""
-        asked = kept(self.weights(queries, query_id, text, scope, tokens), "asked")
-        shards = kept(self.blocks().select("scope", "shard").distinct(), "shards")
+        words = kept(self._asked(queries, query_id, text, scope, tokens), "questions")
+        # The index is read once; what follows reads the blocks of the questions' words.
+        blocks = kept(self.blocks().join(words.select("scope", "term").distinct(), ["scope", "term"], "left_semi"), "wanted")
+        asked = kept(self._weights(words, blocks), "asked")
+        shards = kept(blocks.select("scope", "shard").distinct(), "shards")
         most = shards.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
         query_type = queries.schema[query_id].dataType.simpleString()
         if most <= FIRST_SHARDS:
-            found = self._scores(asked, asked.select("query", "scope").distinct().join(shards, "scope"), query_type, k)
+            found = self._scores(asked, asked.select("query", "scope").distinct().join(shards, "scope"), query_type, k, blocks)
         else:
-            pairs = kept(self.bounds(asked), "bounds")
+            pairs = kept(self.bounds(asked, blocks), "bounds")
             near = kept(top_n_per_group(pairs, ["query"], [F.desc("bound"), F.col("shard")], FIRST_SHARDS).drop("rank", "bound"), "first-shards")
             first = kept(
-                top_n_per_group(self._scores(asked, near, query_type, k), ["query"], [F.desc("score"), F.col("doc")], k).drop("rank"),
+                top_n_per_group(self._scores(asked, near, query_type, k, blocks), ["query"], [F.desc("score"), F.col("doc")], k).drop("rank"),
                 "first-hits",
             )
             rest = further_shards(pairs, near, first, k)
-            found = first.unionByName(self._scores(asked, rest.drop("bound"), query_type, k))
+            found = first.unionByName(self._scores(asked, rest.drop("bound"), query_type, k, blocks))
         ranked = top_n_per_group(found, ["query"], [F.desc("score"), F.col("doc")], k)
         return ranked.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score", "rank")
 
     def weights(self, queries: DataFrame, query_id: str, text: str, scope: str | None, tokens: Callable) -> DataFrame:
         """(query, scope, term, weight, mean): Okapi weights; a word in more than half of the documents gets a
         quarter of the mean IDF of its scope."""
-        idf = self.scoped_frequency().join(self.sizes(), "scope").select(
-            "scope", "term", (F.col("length") / F.col("documents")).alias("mean"),
-            (F.log(F.col("documents") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"),
-        )
-        idf = kept(idf, "idf")
-        floor = idf.groupBy("scope").agg((F.avg("raw") * 0.25).alias("floor"))
-        asked = (
+        return self._weights(self._asked(queries, query_id, text, scope, tokens), self.blocks())
+
+    def _asked(self, queries: DataFrame, query_id: str, text: str, scope: str | None, tokens: Callable) -> DataFrame:
+        """(query, scope, term, times): the words of the questions."""
+        return (
             queries.select(
                 F.col(query_id).alias("query"), (F.col(scope).cast("string") if scope else F.lit(ALL)).alias("scope"),
                 F.explode(tokens(F.col(text))).alias("term"),
             )
             .groupBy("query", "scope", "term").agg(F.count("*").alias("times"))
         )
-        weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")) * F.col("times")
-        return asked.join(idf, ["scope", "term"]).join(floor, "scope").select("query", "scope", "term", weight.alias("weight"), "mean")
 
-    def bounds(self, asked: DataFrame) -> DataFrame:
+    def _weights(self, asked: DataFrame, blocks: DataFrame) -> DataFrame:
+        """:meth:`weights` of the words of :meth:`_asked`; the whole vocabulary is read only where one of them is in
+        more than half of the documents of its scope."""
+        found = kept(asked.join(self._idf(blocks.groupBy("scope", "term").agg(F.sum("n").alias("df"))), ["scope", "term"]), "idf")
+        common = found.filter("raw < 0").select("scope").distinct()
+        weight = F.col("raw")
+        if not common.isEmpty():
+            every = self._idf(self.scoped_frequency().join(common, "scope", "left_semi"))
+            found = found.join(every.groupBy("scope").agg((F.avg("raw") * 0.25).alias("floor")), "scope", "left")
+            weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+        return found.select("query", "scope", "term", (weight * F.col("times")).alias("weight"), "mean")
+
+    def _idf(self, frequency: DataFrame) -> DataFrame:
+        """(scope, term, mean, raw) of a frequency per scope and word."""
+        return frequency.join(self.sizes(), "scope").select(
+            "scope", "term", (F.col("length") / F.col("documents")).alias("mean"),
+            (F.log(F.col("documents") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"),
+        )
+
+    def bounds(self, asked: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
         """(query, scope, shard, bound): no document of the shard scores more; shards without a word of the query are left out.
 
         A block written at another mean length gives at most ``new mean / old mean`` times its peak.
         """
-        peaks = self.blocks().select("scope", "shard", "term", "peak", F.col("mean").alias("then"))
+        peaks = (blocks or self.blocks()).select("scope", "shard", "term", "peak", F.col("mean").alias("then"))
         grown = F.greatest(F.lit(1.0), F.col("mean") / F.col("then"))
         part = F.greatest(F.col("weight"), F.lit(0.0)) * F.col("peak") * grown
         return asked.join(peaks, ["scope", "term"]).groupBy("query", "scope", "shard").agg(F.sum(part).alias("bound"))
 
-    def _scores(self, asked: DataFrame, pairs: DataFrame, query_type: str, k: int) -> DataFrame:
-        """(query, doc, score): the best ``k`` of each shard for the queries that meet it."""
+    def _scores(self, asked: DataFrame, pairs: DataFrame, query_type: str, k: int, blocks: DataFrame | None = None) -> DataFrame:
+        """(query, doc, score): the best ``k`` of each shard for the queries that meet it; ``blocks`` are the index's or
+        those of the asked words."""
         shape = kept(
             pairs.groupBy("scope", "shard").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("slices")), "shape"
         )
         wanted = asked.select("scope", "term").distinct()
-        blocks = self.blocks().select("scope", "shard", "term", "docs", "tfs", "lengths").join(shape, ["scope", "shard"])
-        left = blocks.join(wanted, ["scope", "term"], "left_semi").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        placed = (blocks or self.blocks()).select("scope", "shard", "term", "docs", "tfs", "lengths").join(shape, ["scope", "shard"])
+        left = placed.join(wanted, ["scope", "term"], "left_semi").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         right = (
             pairs.join(shape, ["scope", "shard"]).withColumn("slice", F.pmod(F.xxhash64("query"), "slices").cast("int"))
             .select("scope", "shard", "slice", "query").join(asked, ["query", "scope"])
@@ -204,7 +232,9 @@ def further_shards(pairs: DataFrame, met: DataFrame, hits: DataFrame, k: int) ->
 def _shard_blocks(table: pa.Table) -> pa.Table:
     """The posting blocks of one shard."""
     tokens = table["tokens"].combine_chunks()
-    sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not pa.types.is_list(tokens.type):  # one text of words
+        tokens = pc.split_pattern(pc.if_else(pc.equal(tokens, ""), None, tokens), " ")
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = tokens.flatten().dictionary_encode()
     rows = table.num_rows
     key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * rows + np.repeat(np.arange(rows), sizes)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -423,24 +423,30 @@ def hybrid_candidates(
     fused: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text: str = "text",
     k: int = fv.CANDIDATES,
 ) -> DataFrame:
-    """Fused list with texts, one row per text prefix, best ``k`` per query."""
-    with_text = fused.join(docs.select(doc_id, F.col(text).alias("chunk")), doc_id)
+    """Fused list with texts, one row per text prefix, best ``k`` per query.
+
+    The list is written first: texts are not shuffled to meet a short one, and neither list is made twice.
+    """
+    with_text = kept(fused, "fused").join(docs.select(doc_id, F.col(text).alias("chunk")), doc_id)
     unique = dedupe_prefix(with_text, [query_id], "chunk", "fused_rank")
-    return top_n_per_group(unique, [query_id], [F.col("fused_rank")], k, "candidate")
+    return kept(top_n_per_group(unique, [query_id], [F.col("fused_rank")], k, "candidate"), "candidates")
 
 
-def coverage_scorer(frequency: DataFrame, documents: int):
+def coverage_scorer(frequency: DataFrame | Callable[[DataFrame], DataFrame], documents: int):
     """Default reranker: share of the question's IDF weight that the chunk covers.
 
-    Returns a function (pairs, question column, chunk column) -> pairs with
+    ``frequency`` is (term, df) or a function that gives it for some words (term). Returns a function (pairs, question column, chunk column) -> pairs with
     ``rerank_score`` in 0..1.
     """
     def score(pairs: DataFrame, query_id: str, question: str, chunk: str) -> DataFrame:
-        terms = (
+        words = (
             pairs.select(query_id, question)
             .distinct()
             .select(query_id, F.explode(F.array_distinct(tokenize_words(F.col(question)))).alias("term"))
-            .join(frequency, "term")
+        )
+        known = frequency(kept(words.select("term").distinct(), "asked-words")) if callable(frequency) else frequency
+        terms = (
+            words.join(known, "term")
             .groupBy(query_id)
             .agg(
                 F.map_from_entries(

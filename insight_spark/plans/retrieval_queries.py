@@ -258,7 +258,7 @@ top3 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank
 
 
 def scorer(t: Tables):
-    return ret.coverage_scorer(index_of(t).frequency(), index_of(t).documents())
+    return ret.coverage_scorer(index_of(t).frequency, index_of(t).documents())
 
 
 def reranked(t: Tables) -> DataFrame:

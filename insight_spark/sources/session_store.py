@@ -58,5 +58,5 @@ class SessionStore:
         vectors = ret.vector_topk(known.drop("text"), questions, "chunk_id", k=k, scope="conversation")
         found = ret.hybrid_candidates(ret.rrf_fusion(words, vectors, "query_id", "chunk_id"), known, "query_id", "chunk_id")
         pairs = found.join(questions.select("query_id", "text"), "query_id")
-        score = ret.coverage_scorer(self.index.frequency(), self.index.documents())
+        score = ret.coverage_scorer(self.index.frequency, self.index.documents())
         return ret.rerank_topk(pairs, "query_id", "text", "chunk", "chunk_id", score)

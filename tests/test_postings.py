@@ -91,3 +91,26 @@ def test_empty_texts_and_tables(spark):
     assert {r["doc_id"] for r in index.search(asked).collect()} == {3} and index.documents() == 3
     assert ret.lexical_index(frame.limit(0)).search(asked).count() == 0
     assert index.search(asked.limit(0)).count() == 0
+
+
+def test_the_index_is_read_once_and_for_the_words_asked(spark, monkeypatch):
+    docs = [(i, t + f" only{'abcdefghij'[i % 10]}") for i, t in corpus(60, 6)]
+    index = ret.lexical_index(spark.createDataFrame([(*r, "x") for r in docs], KIND))
+    asked = [(1, "onlya onlyb"), (2, "onlyc unknown")]
+    reads = []
+    blocks = postings.PostingIndex.blocks
+    monkeypatch.setattr(postings.PostingIndex, "blocks", lambda self: reads.append(1) or blocks(self))
+    found = hits(index.search(spark.createDataFrame(asked, "query_id long, text string"), k=5))
+    assert len(reads) == 1
+    for q, text in asked:
+        same(found[q], okapi(docs, [(q, text)], 5)[q])
+    words = spark.createDataFrame([("onlya",), ("unknown",)], "term string")
+    assert [tuple(r) for r in index.frequency(words).collect()] == [("onlya", 6)]
+
+
+def test_words_with_blanks_of_another_tokeniser(spark):
+    tokens = lambda text: F.split(text, ",")
+    docs = spark.createDataFrame([(1, "new york,rain"), (2, "new,york"), (3, "snow"), (4, "fog"), (5, "sun")], "doc_id long, text string")
+    index = ret.lexical_index(docs, tokens=tokens)
+    asked = spark.createDataFrame([(7, "new york")], "query_id long, text string")
+    assert [r["doc_id"] for r in index.search(asked, tokens=tokens).collect()] == [1]
