@@ -103,12 +103,13 @@ class PostingIndex:
         kind = f"scope string, shard string, term string, docs array<{self.id_type}>, tfs array<int>, lengths array<int>, n bigint, peak double, mean double"
         made = placed.repartition(parts, "scope", "shard").groupBy("scope", "shard").applyInArrow(_shard_blocks, kind)
         for frame, name in ((made, "blocks"), (sizes, "sizes")):
-            out = frame.write if scope else frame.drop("scope").write
-            out = out.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
-            if scope:
-                out.partitionBy("scope").parquet(f"{self.path}/{name}")
-            else:  # one folder: its rows need not be sorted by scope
-                out.parquet(f"{self.path}/{name}/scope={ALL}")
+            if not scope and not replace:  # one folder: its rows need not be sorted by scope
+                frame.drop("scope").write.mode("append").parquet(f"{self.path}/{name}/scope={ALL}")
+                continue
+            (
+                frame.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("scope").parquet(f"{self.path}/{name}")
+            )
 
     def delete(self, scope: str) -> bool:
         """Remove what one scope has in the index."""
