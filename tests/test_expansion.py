@@ -3,8 +3,11 @@
 import math
 import random
 import re
+import uuid
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from insight_spark.functions import fixed_values as fv
@@ -69,3 +72,43 @@ def test_small_batches_are_counted_together(spark):
         assert [tuple(r) for r in partial.collect()] == [("left", "right", 40)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_cells_are_counted_in_passes_and_merged_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(expansion, "PAIRS", 300)
+    monkeypatch.setattr(expansion, "BATCH", 7)
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "abcdef" for b in "ghijk" for c in "lmn"]
+    texts = [[rng.choice(words) for _ in range(rng.randrange(0, 90))] for _ in range(40)]
+    batches = [b for half in (texts[:25], texts[25:]) for b in expansion._counted([pa.array(half, pa.list_(pa.string()))], 5, 4)]
+    table = pa.Table.from_batches(batches)
+    cells = [expansion._merged(table.filter(pc.equal(table["cell"], c))) for c in table["cell"].unique()]
+    assert 1 < len(cells) <= 10
+    rows = [r for cell in cells for b in expansion._rows(cell.to_batches()) for r in b.to_pylist()]
+    want = brute([" ".join(t) for t in texts], 5)
+    assert len(rows) == len(want) and {(r["a"], r["b"]): r["n"] for r in rows} == want
+    assert sum(cell["n"][0].as_py() for cell in cells) == sum(want.values())
+
+
+def test_no_task_hands_on_its_pairs_at_once(spark, monkeypatch, tmp_path):
+    # All pairs of four million words once left Python in one batch, each as two words and a number.
+    frame = type(spark.range(0))
+    plain = frame.mapInArrow
+
+    def noted(self, run, kind):
+        def noting(batches):
+            for batch in run(batches):
+                (tmp_path / uuid.uuid4().hex).write_text(str(batch.nbytes))
+                yield batch
+
+        return plain(self, noting, kind)
+
+    monkeypatch.setattr(frame, "mapInArrow", noted)
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(40_000)]
+    texts = [("harbour vessel " + " ".join(rng.choices(words, k=300)),) for _ in range(1200)]
+    pairs = expansion.near_pairs(spark.createDataFrame(texts, "text string").coalesce(1))
+    scored = expansion.mutual_information(pairs)
+    assert {("harbour", "vessel", 1200)} <= {tuple(r)[:3] for r in scored.collect()}
+    assert pairs.count() > 1_500_000
+    assert max(int(note.read_text()) for note in tmp_path.iterdir()) < 16 << 20
