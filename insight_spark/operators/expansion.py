@@ -37,21 +37,23 @@ def near_pairs(docs: DataFrame, text: str = "text", window: int = WINDOW, tokens
     """(a, b, n): how often two different words, a before b by letters, stand at most ``window`` words apart.
 
     Each task adds up its own documents before anything is shuffled, so a word that is
-    everywhere is no more rows than any other. The cells are written once, the rows made where they are read.
+    everywhere is no more rows than any other. The cells are written once, the rows made where they are read;
+    :func:`mutual_information` reads the cells.
     """
+    groups = _groups(docs)
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        cells = kept(_by_cell(_partial_cells(docs, text, window, tokens), _merged, CELL), "near-pairs")
-    return cells.mapInArrow(_rows, "a string, b string, n long")
+        cells = kept(_by_cell(_partial_cells(docs, groups, text, window, tokens), _merged, CELL), "near-pairs")
+    pairs = cells.mapInArrow(_rows, "a string, b string, n long")
+    pairs._cells = cells, groups
+    return pairs
 
 
 def _partial_pairs(docs: DataFrame, text: str = "text", window: int = WINDOW, tokens: Callable = tokenize_words) -> DataFrame:
     """(a, b, n) as each task counts them, TOKENS words at a time."""
-    return _partial_cells(docs, text, window, tokens).mapInArrow(_rows, "a string, b string, n long")
-
+    return _partial_cells(docs, _groups(docs), text, window, tokens).mapInArrow(_rows, "a string, b string, n long")
 
-def _partial_cells(docs: DataFrame, text: str, window: int, tokens: Callable) -> DataFrame:
-    groups = _groups(docs)
 
+def _partial_cells(docs: DataFrame, groups: int, text: str, window: int, tokens: Callable) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -165,7 +167,8 @@ def _pack(words: pa.Array, key: np.ndarray, n: np.ndarray) -> bytes:
     codec, out = pa.Codec("zstd"), []
     for values in (np.diff(ends), np.frombuffer(letters or b"", np.uint8)[: ends[-1]], np.diff(key, prepend=0), n):
         raw = values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
-        small = codec.compress(raw.tobytes(), asbytes=True)
+        # All first bytes, then all second ones: they compress better.
+        small = codec.compress(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes(), asbytes=True)
         out += [struct.pack("<cqq", raw.dtype.char.encode(), raw.nbytes, len(small)), small]
     return b"".join(out)
 
@@ -177,7 +180,8 @@ def _parts(packed: bytes, start: int, stop: int) -> list[np.ndarray]:
         kind, size, small = struct.unpack_from("<cqq", packed, at)
         at += struct.calcsize("<cqq")
         if number >= start:
-            found.append(np.frombuffer(codec.decompress(packed[at : at + small], size, asbytes=True), np.dtype(kind.decode())))
+            kind, plain = np.dtype(kind.decode()), codec.decompress(packed[at : at + small], size, asbytes=True)
+            found.append(np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel())
         at += small
     return found
 
@@ -245,24 +249,17 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def mutual_information(pairs: DataFrame, least: int = LEAST) -> DataFrame:
     """(a, b, n, pmi) of the pairs seen ``least`` times: pointwise mutual information in bits, over all pairs.
 
-    ``pairs`` is read once: what is written of it are the pairs seen often, by cell, and what each word's pairs add up
-    to, which every cell of the word's group is given.
+    ``pairs`` is read once, by cell: what is written of it are the pairs seen often and what each word's pairs add up
+    to, which every cell of the word's group is given. Pairs that do not come from :func:`near_pairs` are packed first.
     """
-    groups = _groups(pairs)
+    cells, groups = pairs.__dict__.get("_cells") or _packed_rows(pairs)
 
     def run(batches):
-        held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= PAIRS // 8:
-                yield from _sums_and_often(held, least, groups)
-                held, size = [], 0
-        if size:
-            yield from _sums_and_often(held, least, groups)
+            for cell, packed in zip(batch.column("cell"), batch.column("packed")):
+                yield from _sums_and_often(cell.as_py(), packed.as_py(), least, groups)
 
-    with arrow_rows(pairs.sparkSession, BATCH // 4):
-        seen = kept(pairs.select("a", "b", "n").mapInArrow(run, f"{CELL}, often boolean"), "often")
+    seen = kept(cells.mapInArrow(run, f"{CELL}, often boolean"), "often")
     sums = kept(_by_cell(seen.filter("NOT often").drop("often"), _merged, CELL), "near-words")
     total = (sums.agg(F.sum("n")).first()[0] or 0) // 2
     other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
@@ -274,18 +271,45 @@ def mutual_information(pairs: DataFrame, least: int = LEAST) -> DataFrame:
     return both.select("a", "b", "n", F.round(F.log2(ratio), 6).alias("pmi"))
 
 
-def _sums_and_often(held: list[pa.RecordBatch], least: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """The sum of each word, as a pair with itself in the row of its group, and the cells of the pairs seen ``least`` times."""
+def _packed_rows(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """Cells of pairs that come as rows, and the number of groups."""
+    groups = _groups(pairs)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PAIRS // 8:
+                yield from _packed(held, groups)
+                held, size = [], 0
+        if size:
+            yield from _packed(held, groups)
+
+    return pairs.select("a", "b", "n").mapInArrow(run, CELL), groups
+
+
+def _packed(held: list[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     words, word = _coded([batch.column(i).cast(pa.string()) for i in (0, 1) for batch in held])
     n = np.concatenate([batch.column(2).to_numpy(zero_copy_only=False) for batch in held])
-    a, b = word[: len(n)].astype(np.int64), word[len(n) :].astype(np.int64)
+    a, b, count, group = word[: len(n)].astype(np.int64), word[len(n) :].astype(np.int64), len(words), _group_of(words, groups)
+    key = (_cell(group[a], group[b]) * count + a) * count + b
+    order = np.argsort(key, kind="stable")
+    yield from _cells(words, key[order], n[order])
+
+
+def _sums_and_often(cell: int, packed: bytes, least: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """Of a cell, the sum of each word, as a pair with itself in the row of its group, and the pairs seen ``least`` times."""
+    words = _words(packed)
     count, group = len(words), _group_of(words, groups).astype(np.int64)
-    sums = (np.bincount(a, n, count) + np.bincount(b, n, count)).astype(np.int64)
+    sums, often = np.zeros(count, np.int64), []
+    for key, n in _pairs(packed):
+        first, second = np.divmod(key, count)
+        sums += (np.bincount(first, n, count) + np.bincount(second, n, count)).astype(np.int64)
+        often.append((cell * count * count + key[n >= least], n[n >= least]))
     order = np.argsort(group, kind="stable")
-    often = np.flatnonzero(n >= least)
-    key = (_cell(group[a[often]], group[b[often]]) * count + a[often]) * count + b[often]
-    place = np.argsort(key, kind="stable")
-    for keys, counts, mark in (((group[order] * count + order) * count + order, sums[order], False), (key[place], n[often][place], True)):
+    key, n = (np.concatenate([part[i] for part in often]) for i in range(2))
+    for keys, counts, mark in (((group[order] * count + order) * count + order, sums[order], False), (key, n, True)):
         for batch in _cells(words, keys, counts):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([mark] * batch.num_rows, pa.bool_())], names=[*batch.schema.names, "often"])
 

@@ -506,7 +506,8 @@ def expand_low_score(
     ``synonyms`` is (term, expansion). ``retrieve(questions)`` gives candidates
     with at least (query, doc); only candidates not in ``seen`` are added before
     ``rerank``, and with ``texts`` (doc, text) only those whose text begins unlike
-    any seen one. Questions above the trigger never reach the expansion joins.
+    any seen one. Questions above the trigger never reach the expansion joins. Lists
+    are written before they meet the texts, so that no text is shuffled to meet a short one.
     """
     best = reranked.groupBy(query_id).agg(F.max("rerank_score").alias("_best"))
     low = questions.join(best.filter(F.col("_best") < trigger), query_id, "left_semi")
@@ -519,7 +520,7 @@ def expand_low_score(
     expanded = low.join(extra, query_id).withColumn(
         question, F.concat_ws(" ", question, "_extra")
     ).drop("_extra")
-    fresh = retrieve(expanded).join(seen.select(query_id, doc_id), [query_id, doc_id], "left_anti")
+    fresh = kept(retrieve(expanded).join(seen.select(query_id, doc_id), [query_id, doc_id], "left_anti"), "fresh")
     if texts is not None:
         begins = texts.select(doc_id, F.substring(text, 1, prefix).alias("_prefix"))
         known = seen.join(begins, doc_id).select(query_id, "_prefix").distinct()
@@ -528,7 +529,7 @@ def expand_low_score(
             .groupBy(query_id, "_prefix").agg(F.min(doc_id).alias(doc_id))
         )
     old = seen.join(low.select(query_id), query_id, "left_semi")
-    again = rerank(old.select(query_id, doc_id).unionByName(fresh.select(query_id, doc_id)))
+    again = rerank(kept(old.select(query_id, doc_id).unionByName(fresh.select(query_id, doc_id)), "expanded-candidates"))
     untouched = reranked.join(low.select(query_id), query_id, "left_anti")
     return untouched.select(*again.columns).unionByName(again)
 

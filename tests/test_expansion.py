@@ -90,6 +90,15 @@ def test_cells_are_counted_in_passes_and_merged_in_parts(spark, monkeypatch):
     assert sum(cell["n"][0].as_py() for cell in cells) == sum(want.values())
 
 
+def test_pairs_from_elsewhere_are_packed_first(spark):
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "abcdef" for b in "ghijk" for c in "lmn"]
+    frame = spark.createDataFrame([(" ".join(rng.choices(words, k=60)),) for _ in range(50)], "text string")
+    pairs = expansion.near_pairs(frame)
+    want = {tuple(r) for r in expansion.mutual_information(pairs).collect()}
+    assert want and {tuple(r) for r in expansion.mutual_information(pairs.repartition(3)).collect()} == want
+
+
 def test_no_task_hands_on_its_pairs_at_once(spark, monkeypatch, tmp_path):
     # All pairs of four million words once left Python in one batch, each as two words and a number.
     frame = type(spark.range(0))
