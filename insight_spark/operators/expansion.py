@@ -249,24 +249,28 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def mutual_information(pairs: DataFrame, least: int = LEAST) -> DataFrame:
     """(a, b, n, pmi) of the pairs seen ``least`` times: pointwise mutual information in bits, over all pairs.
 
-    ``pairs`` is read once, by cell: what is written of it are the pairs seen often and what each word's pairs add up
-    to, which every cell of the word's group is given. Pairs that do not come from :func:`near_pairs` are packed first.
+    ``pairs`` is read by cell: once for what each word's pairs add up to, which the cells of the word's group are given,
+    and once for the pairs seen often. Pairs that do not come from :func:`near_pairs` are packed first.
     """
     cells, groups = pairs.__dict__.get("_cells") or _packed_rows(pairs)
 
-    def run(batches):
-        for batch in batches:
-            for cell, packed in zip(batch.column("cell"), batch.column("packed")):
-                yield from _sums_and_often(cell.as_py(), packed.as_py(), least, groups)
+    def of_each(run):
+        def over(batches):
+            for batch in batches:
+                for cell, packed in zip(batch.column("cell"), batch.column("packed")):
+                    yield from run(cell.as_py(), packed.as_py())
+
+        return cells.mapInArrow(over, CELL)
 
-    seen = kept(cells.mapInArrow(run, f"{CELL}, often boolean"), "often")
-    sums = kept(_by_cell(seen.filter("NOT often").drop("often"), _merged, CELL), "near-words")
+    sums = kept(_by_cell(of_each(lambda _, packed: _sums(packed, groups)), _merged, CELL), "near-words")
     total = (sums.agg(F.sum("n")).first()[0] or 0) // 2
-    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    given = sums.withColumnRenamed("cell", "own").withColumn("other", other).withColumns(
-        {"low": F.least("own", "other"), "high": F.greatest("own", "other"), "often": F.lit(False)}
+    # Two groups are one here: sums travel to half as many cells.
+    half = F.expr("own div 2")
+    given = sums.withColumnRenamed("cell", "own").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit((groups - 1) // 2)))).withColumns(
+        {"low": F.least(half, F.col("other")), "high": F.greatest(half, F.col("other")), "often": F.lit(False)}
     ).withColumn("cell", F.expr("cast(high * (high + 1) div 2 + low AS int)"))
-    both = _by_cell(seen.filter("often").unionByName(given.select(*seen.columns)), _with_sums, "a string, b string, n long, m_a long, m_b long")
+    often = of_each(lambda cell, packed: _often(cell, packed, least)).withColumn("often", F.lit(True))
+    both = _by_cell(often.unionByName(given.select(*often.columns)), _with_sums, "a string, b string, n long, m_a long, m_b long")
     ratio = F.col("n").cast("double") * (2.0 * total) / (F.col("m_a").cast("double") * F.col("m_b"))
     return both.select("a", "b", "n", F.round(F.log2(ratio), 6).alias("pmi"))
 
@@ -286,7 +290,7 @@ def _packed_rows(pairs: DataFrame) -> tuple[DataFrame, int]:
         if size:
             yield from _packed(held, groups)
 
-    return pairs.select("a", "b", "n").mapInArrow(run, CELL), groups
+    return kept(pairs.select("a", "b", "n").mapInArrow(run, CELL), "pairs"), groups
 
 
 def _packed(held: list[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
@@ -298,20 +302,25 @@ def _packed(held: list[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]
     yield from _cells(words, key[order], n[order])
 
 
-def _sums_and_often(cell: int, packed: bytes, least: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """Of a cell, the sum of each word, as a pair with itself in the row of its group, and the pairs seen ``least`` times."""
+def _sums(packed: bytes, groups: int) -> Iterator[pa.RecordBatch]:
+    """What the pairs of a cell add up to for each word, as a pair of the word with itself in the row of its group."""
     words = _words(packed)
     count, group = len(words), _group_of(words, groups).astype(np.int64)
-    sums, often = np.zeros(count, np.int64), []
+    sums = np.zeros(count, np.int64)
     for key, n in _pairs(packed):
-        first, second = np.divmod(key, count)
-        sums += (np.bincount(first, n, count) + np.bincount(second, n, count)).astype(np.int64)
-        often.append((cell * count * count + key[n >= least], n[n >= least]))
+        for place in np.divmod(key, count):
+            sums += np.bincount(place, n, count).astype(np.int64)
     order = np.argsort(group, kind="stable")
-    key, n = (np.concatenate([part[i] for part in often]) for i in range(2))
-    for keys, counts, mark in (((group[order] * count + order) * count + order, sums[order], False), (key, n, True)):
-        for batch in _cells(words, keys, counts):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([mark] * batch.num_rows, pa.bool_())], names=[*batch.schema.names, "often"])
+    yield from _cells(words, (group[order] * count + order) * count + order, sums[order])
+
+
+def _often(cell: int, packed: bytes, least: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of a cell that are seen ``least`` times, in the cell of groups taken two by two."""
+    words = _words(packed)
+    key, n = (np.concatenate(part) for part in zip(*((key[n >= least], n[n >= least]) for key, n in _pairs(packed))))
+    high = (math.isqrt(8 * cell + 1) - 1) // 2
+    place = int(_cell((cell - high * (high + 1) // 2) // 2, high // 2))
+    yield from _cells(words, place * len(words) ** 2 + key, n)
 
 
 def _with_sums(table: pa.Table) -> pa.Table:

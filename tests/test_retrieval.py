@@ -196,6 +196,31 @@ def test_expansion_leaves_near_copies_out(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
 
 
+def test_a_second_retrieval_is_made_once(spark):
+    # The list was once made again for every use of it, and met the texts before its size was known.
+    asked = spark.createDataFrame([(1, "apple")], "query_id int, text string")
+    texts = spark.createDataFrame([(d, f"text {d}") for d in range(9)], "doc_id int, text string")
+    seen = spark.createDataFrame([(1, 1)], "query_id int, doc_id int")
+    ranked = spark.createDataFrame([(1, 1, 0.1, 1)], "query_id int, doc_id int, rerank_score double, position int")
+    synonyms = spark.createDataFrame([("apple", "pear")], "term string, expansion string")
+    made = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    every = spark.createDataFrame([(1, d) for d in range(9)], "query_id int, doc_id int").coalesce(1).mapInArrow(note, "query_id int, doc_id int")
+
+    def score(pairs):
+        count = pairs.count()  # as a scorer that looks at the questions first
+        return pairs.selectExpr("query_id", "doc_id", f"{count}D AS rerank_score", "1 AS position")
+
+    out = ret.expand_low_score(asked, ranked, synonyms, lambda q: every, score, "query_id", "doc_id", "text", seen, trigger=0.9, texts=texts)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(9)) and {r["rerank_score"] for r in out.collect()} == {9.0}
+    assert made.value == 9
+
+
 def test_an_index_gives_the_same_hits(spark):
     docs = spark.createDataFrame([(i, t, "a" if i % 2 else "b") for i, t in corpus()], "doc_id long, text string, conversation string")
     asked = spark.createDataFrame([(1, "alpha gamma", "a"), (2, "beta sigma", "b")], "query_id long, text string, conversation string")
