@@ -42,7 +42,7 @@ def near_pairs(docs: DataFrame, text: str = "text", window: int = WINDOW, tokens
     """
     groups = _groups(docs)
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        cells = kept(_by_cell(_partial_cells(docs, groups, text, window, tokens), _merged, CELL), "near-pairs")
+        cells = kept(_by_cell(_partial_cells(docs, groups, text, window, tokens), groups, _merged, CELL), "near-pairs")
     pairs = cells.mapInArrow(_rows, "a string, b string, n long")
     pairs._cells = cells, groups
     return pairs
@@ -94,9 +94,9 @@ def _cell(x, y):
     return high * (high + 1) // 2 + low
 
 
-def _by_cell(cells: DataFrame, run: Callable, kind: str) -> DataFrame:
-    """``run`` on all rows of one cell at a time."""
-    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * cells.sparkSession.sparkContext.defaultParallelism)
+def _by_cell(cells: DataFrame, groups: int, run: Callable, kind: str) -> DataFrame:
+    """``run`` on all rows of one cell at a time. There are twice as many tasks as cells, so that few have several."""
+    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups * groups)
     return cells.repartition(parts, "cell").groupBy("cell").applyInArrow(run, kind)
 
 
@@ -262,15 +262,13 @@ def mutual_information(pairs: DataFrame, least: int = LEAST) -> DataFrame:
 
         return cells.mapInArrow(over, CELL)
 
-    sums = kept(_by_cell(of_each(lambda _, packed: _sums(packed, groups)), _merged, CELL), "near-words")
+    sums = kept(_by_cell(of_each(lambda _, packed: _sums(packed, groups)), groups, _merged, CELL), "near-words")
     total = (sums.agg(F.sum("n")).first()[0] or 0) // 2
-    # Two groups are one here: sums travel to half as many cells.
-    half = F.expr("own div 2")
-    given = sums.withColumnRenamed("cell", "own").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit((groups - 1) // 2)))).withColumns(
-        {"low": F.least(half, F.col("other")), "high": F.greatest(half, F.col("other")), "often": F.lit(False)}
+    given = sums.withColumnRenamed("cell", "own").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumns(
+        {"low": F.least("own", "other"), "high": F.greatest("own", "other"), "often": F.lit(False)}
     ).withColumn("cell", F.expr("cast(high * (high + 1) div 2 + low AS int)"))
     often = of_each(lambda cell, packed: _often(cell, packed, least)).withColumn("often", F.lit(True))
-    both = _by_cell(often.unionByName(given.select(*often.columns)), _with_sums, "a string, b string, n long, m_a long, m_b long")
+    both = _by_cell(often.unionByName(given.select(*often.columns)), groups, _with_sums, "a string, b string, n long, m_a long, m_b long")
     ratio = F.col("n").cast("double") * (2.0 * total) / (F.col("m_a").cast("double") * F.col("m_b"))
     return both.select("a", "b", "n", F.round(F.log2(ratio), 6).alias("pmi"))
 
@@ -315,12 +313,10 @@ def _sums(packed: bytes, groups: int) -> Iterator[pa.RecordBatch]:
 
 
 def _often(cell: int, packed: bytes, least: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of a cell that are seen ``least`` times, in the cell of groups taken two by two."""
+    """The pairs of a cell that are seen ``least`` times."""
     words = _words(packed)
     key, n = (np.concatenate(part) for part in zip(*((key[n >= least], n[n >= least]) for key, n in _pairs(packed))))
-    high = (math.isqrt(8 * cell + 1) - 1) // 2
-    place = int(_cell((cell - high * (high + 1) // 2) // 2, high // 2))
-    yield from _cells(words, place * len(words) ** 2 + key, n)
+    yield from _cells(words, cell * len(words) ** 2 + key, n)
 
 
 def _with_sums(table: pa.Table) -> pa.Table:
